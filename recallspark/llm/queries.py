@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from recallspark.llm import bpe, html_text, packing, quality
+from recallspark.llm import bpe, html_text, language, packing, quality
 
-MODULES = [bpe, html_text, packing, quality]
+MODULES = [bpe, html_text, language, packing, quality]
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
