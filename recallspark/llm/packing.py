@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -23,10 +25,11 @@ TIERS = (512, 1024, 2048, 4096)
 #: Tokens that a task holds back per tier before it forms sequences of them.
 HOLD = 1 << 18
 #: Words whose ids a Python worker remembers; the memory is emptied when it is full.
-WORDS = 400_000
+WORDS = 1_000_000
 #: Sequences of a tier that one step takes, and the ranks that share them.
 STEP, RANKS = 64, 8
-_SPACE = b" \t\n\r"
+#: A word of Latin letters, which is one match of the splitting pattern, and a mark behind it, which is another.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
 
 class WordIds:
@@ -41,25 +44,64 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; null counts as empty."""
-        words = [_words(x) for x in texts]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.marks = {mark: np.array(self.tokenizer.encode(mark, add_special_tokens=False).ids, "<u4").tobytes() for mark in ("", ",", ".")}
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Unsigned 32-bit ids of each text; null counts as empty."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = lists.flatten().dictionary_encode()
+        ids = self._ids(coded.dictionary.to_pylist())
+        data = np.frombuffer(b"".join(ids), "<u4")
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        words = coded.indices.to_numpy()
+        ends = np.append(0, np.cumsum(sizes[words]))
+        starts = np.append(0, np.cumsum(sizes))[:-1]
+        out = data[np.repeat(starts[words] - ends[:-1], sizes[words]) + np.arange(ends[-1])]
+        at = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return [out[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def _ids(self, words: list[str]) -> list[bytes]:
         if len(self.known) > WORDS:
             self.known = {}
         known = self.known
-        new = list({w for line in words for w in line if w not in known})
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
+        plain, fresh, others = [], set(), []
+        for w in words:
+            if w not in known:
+                if m := _PLAIN.fullmatch(w):
+                    core = m[1].lower()
+                    plain.append((w, core, m[2]))
+                    if core not in known:
+                        fresh.add(core)
+                else:
+                    others.append(w)
+        self._learn_cores(list(fresh))
+        for w, core, mark in plain:
+            known[w] = known[core] + self.marks[mark] if mark else known[core]
+        self._learn(others)
+        return [known[w] for w in words]
+
+    def _learn(self, words: list[str]) -> None:
+        for k in range(0, len(words), 4096):
+            part = words[k : k + 4096]
             coded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, coded, strict=True))
-        return [b"".join([known[w] for w in line]) for line in words]
-
-
-def _words(text: str | None) -> list[str]:
-    if not text:
-        return []
-    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, coded, strict=True))
+
+    def _learn_cores(self, cores: list[str]) -> None:
+        """Words of letters only, many in one call: each ends with the only one of its tokens that ends a word."""
+        for k in range(0, len(cores), 2048):
+            part = cores[k : k + 2048]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) != len(part):
+                self._learn(part)
+                continue
+            data, start = ids.tobytes(), 0
+            for w, end in zip(part, ends.tolist(), strict=True):
+                self.known[w] = data[start:end]
+                start = end
 
 
 class Packer:
@@ -218,8 +260,8 @@ def pack(
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                for doc, ids in zip(part.column(0).to_pylist(), encode.encode(part.column(1).to_pylist()), strict=True):
-                    packer.add(doc, ids + end)
+                for doc, ids in zip(part.column(0).to_pylist(), encode.encode(part.column(1)), strict=True):
+                    packer.add(doc, ids.tobytes() + end)
                 dealt = []
                 for tier, pieces in packer.out:
                     dealt += steps.deal(tier, base + count, pieces)
