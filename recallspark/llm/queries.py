@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from recallspark.llm import ann, bpe, html_text, language, maxscore, ngram_join, packing, quality
+from recallspark.llm import ann, bpe, html_text, language, maxscore, ngram_join, packing, pii, quality
 
-MODULES = [ann, bpe, html_text, language, maxscore, ngram_join, packing, quality]
+MODULES = [ann, bpe, html_text, language, maxscore, ngram_join, packing, pii, quality]
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
