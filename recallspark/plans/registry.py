@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-MODULES: list = []
-FLAGSHIP = ""
+from recallspark.plans import conversations
+
+MODULES = [conversations]
+FLAGSHIP = "r7_coverage"
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
