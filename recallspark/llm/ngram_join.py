@@ -3,11 +3,11 @@
 How it runs.  (1) One pass gives every document a 128-bit key of its shingle set and counts all shingles in a sketch of fixed
 size, from which the frequent class follows.  (2) A second pass sends each shingle that is not frequent to the bucket of its
 hash; buckets count in how many documents it stands, and send back only shingles that stand in two or more.  (3) Each
-document orders its shingles: those that stand nowhere else, then rare ones by count, then frequent ones.  Linked documents
+document orders its shingles: those that stand nowhere else, then rare ones by the size class of their count, then frequent ones.  Linked documents
 share something in the first n - ceil(0.75 n) + 1 of them, so a document whose prefix is all its own is done: most are.
 (4) The others are indexed by their prefix: single rare tokens, and pairs of frequent tokens from a prefix that is one
-longer (for long sets, where pairs would be too many, single frequent tokens).  (5) Documents that meet in an index key
-are verified there by the counts of their common shingles, except where they all meet in an earlier key.
+longer (for long sets, where pairs would be too many, single frequent tokens).  (5) Documents that meet in an index key,
+over any path, meet in one task, or key by key where they are too many, and are verified by the counts of their common shingles.
 (6) Links become components.
 """
 
@@ -37,7 +37,9 @@ SHORT = 40
 #: Documents of one index key that meet in one task; more are dealt into parts, and every two parts meet.
 PART = 2048
 _H48 = np.uint64((1 << 48) - 1)
-_HOT = np.uint32(1 << 31)
+_HOT = np.uint8(255)
+#: Shingles that the sets of a candidate component may hold together to meet in one task.
+TOGETHER = 2_000_000
 
 
 def required(n: int) -> int:
@@ -169,7 +171,7 @@ def count_bucket(part: pa.Table) -> pa.Table:
     for k, batch in enumerate(batches):
         at = keep[cuts[k] : cuts[k + 1]]
         if len(at):
-            out.append((batch, batch, 2, np.array([len(at)], "<u4").tobytes() + place[at].tobytes() + (token[at] | bucket).astype("<u8").tobytes() + np.minimum(df[at], 1 << 30).astype("<u4").tobytes()))
+            out.append((batch, batch, 2, np.array([len(at)], "<u4").tobytes() + place[at].tobytes() + (token[at] | bucket).astype("<u8").tobytes() + np.ceil(np.log2(df[at]) / 2).astype("u1").tobytes()))
     return pa.Table.from_batches([_rows(out)])
 
 
@@ -205,13 +207,13 @@ def gather_batch(part: pa.Table) -> pa.Table:
     m = int.from_bytes(own[:4], "little")
     keys = [own[4 + 16 * k : 20 + 16 * k] for k in range(m)]
     sizes, hots = np.frombuffer(own, "<u4", m, 4 + 16 * m), np.frombuffer(own, "<u4", m, 4 + 20 * m)
-    place, token, df = [np.repeat(np.arange(m), hots)], [np.frombuffer(own, "<u8", int(hots.sum()), 4 + 24 * m)], [np.full(int(hots.sum()), _HOT)]
+    place, token, df = [np.repeat(np.arange(m), hots)], [np.frombuffer(own, "<u8", int(hots.sum()), 4 + 24 * m)], [np.full(int(hots.sum()), _HOT, np.uint8)]
     for kind, blob in zip(kinds, blobs, strict=True):
         if kind == 2:
             n = int.from_bytes(blob[:4], "little")
             place.append(np.frombuffer(blob, "<u2", n, 4).astype(np.int64))
             token.append(np.frombuffer(blob, "<u8", n, 4 + 2 * n))
-            df.append(np.frombuffer(blob, "<u4", n, 4 + 10 * n))
+            df.append(np.frombuffer(blob, "u1", n, 4 + 10 * n))
     p, t, d = np.concatenate(place), np.concatenate(token), np.concatenate(df)
     order = np.lexsort((t, d, p))
     p, t, d = p[order], t[order], d[order]
@@ -291,17 +293,24 @@ def meet(part: pa.Table) -> pa.Table:
 def links(members: DataFrame) -> DataFrame:
     """a and b: links between different sets, enough of them to join all that are linked by any path.
 
-    A key whose sets all meet in the same earlier key is left out, as nothing new can be found there.  A key with more
-    than PART sets is dealt into parts by a hash, and every two parts meet in a task of bounded size.
+    Sets that meet in a key, over any path, are a candidate component.  Where its sets hold few enough shingles to meet in one task, they
+    do, so that each set travels once.  The sets of larger ones meet key by key; a key with more than PART sets is dealt into
+    parts by a hash, and every two parts meet in a task of bounded size.  A key whose sets all meet in another key is left out.
     """
     index = members.select("set", F.col("keys")[0].alias("first"), F.explode("keys").alias("key"))
-    useful = index.groupBy("key").agg(F.count("*").alias("m"), F.min("first").alias("low"), F.max("first").alias("high"))
-    useful = useful.where((F.col("m") > 1) & ~((F.col("low") == F.col("high")) & (F.col("low") != F.col("key"))))
-    useful = useful.select("key", F.ceil(F.col("m") / PART).cast("int").alias("parts"))
-    places = index.select("set", "key").join(useful, "key").withColumn("own", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
+    useful = index.groupBy("key").agg(F.count("*").alias("m"), F.min("first").alias("low"), F.max("first").alias("high"), F.min("set").alias("hub"), F.expr("bit_xor(xxhash64(set))").alias("same"))
+    useful = useful.where((F.col("m") > 1) & ((F.col("low") != F.col("high")) | (F.col("low") == F.col("key"))))
+    useful = saved(useful.groupBy("same", "m", "low", "high", "hub").agg(F.min("key").alias("key")), "keys")
+    places = saved(index.select("set", "key").join(useful.select("key", "hub", F.ceil(F.col("m") / PART).cast("int").alias("parts")), "key"), "places")
+    candidates = components(places.select(F.col("set").alias("a"), F.col("hub").alias("b")))
+    weight = members.select(F.col("set").alias("node"), (F.octet_length("tokens") / 8).alias("w"))
+    small = candidates.join(weight, "node").groupBy("root").agg(F.sum("w").alias("w"))
+    own = saved(candidates.join(small, "root").select(F.col("node").alias("set"), F.when(F.col("w") <= TOGETHER, F.xxhash64("root")).alias("place")), "meetings")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    places = places.withColumn("other", other).select("set", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("place"))
-    return places.join(members.select("set", "n", "tokens"), "set").groupBy("place").applyInArrow(meet, "a binary, b binary").distinct()
+    large = places.join(own.where("place is null").select("set"), "set", "left_semi").withColumn("own", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")).withColumn("other", other)
+    by_key = large.select("set", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("place"))
+    meetings = own.where("place is not null").union(by_key)
+    return meetings.join(members.select("set", "n", "tokens"), "set").groupBy("place").applyInArrow(meet, "a binary, b binary").distinct()
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -325,8 +334,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         frequent = frequent_class(first.where("chunk is not null").select("chunk", "counts"), total)
         buckets = min(1 << 16, max(1, -(-total // BUCKET)))
         answers = exchange(docs, id_col, text_col, frequent, buckets).groupBy("key").applyInArrow(count_bucket, _MESSAGE)
-        members = answers.groupBy("key").applyInArrow(gather_batch, _MEMBER)
-        members = saved(members, "members").dropDuplicates(["set"])
+        members = saved(answers.groupBy("key").applyInArrow(gather_batch, _MEMBER).dropDuplicates(["set"]), "members")
         roots = components(links(members))
         classes = classes.join(roots.withColumnRenamed("node", "set"), "set", "left").select("set", "doc_id", F.coalesce("root", "set").alias("root"))
         least = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))

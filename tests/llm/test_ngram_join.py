@@ -81,6 +81,7 @@ def test_made_texts_equal_brute_force(spark, monkeypatch):
         monkeypatch.setattr(ngram_join, "LOAD", 0)
         monkeypatch.setattr(ngram_join, "PART", part)
         monkeypatch.setattr(ngram_join, "BUCKET", 3000)
+        monkeypatch.setattr(ngram_join, "TOGETHER", 2_000_000 if seed < 3 else 300)
         texts = made_texts(seed)
         df = spark.createDataFrame([(k, t, "x") for k, t in texts.items()], "doc_id long, text string, component_id string").repartition(3, "doc_id")
         same(ngram_join.ngram_join(ngram_join.saved(df, "made")).collect(), texts)
