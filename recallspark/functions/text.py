@@ -104,9 +104,9 @@ def action_of(joined: Column) -> Column:
     return reduce(lambda rest, a: F.when(joined.rlike("(?i)" + a[1]), a[0]).otherwise(rest), reversed(ACTIONS), F.lit(""))
 
 
-def action_keys(text: Column | str, title: Column | str = F.lit(""), summary: Column | str = F.lit("")) -> Column:
+def action_keys(text: Column | str, title: Column | str | None = None, summary: Column | str | None = None) -> Column:
     """Struct of action_key, entity_key and fact_key: what was done to which thing, as short hashes."""
-    joined = joined_text(text, title, summary)
+    joined = joined_text(text, F.lit("") if title is None else title, F.lit("") if summary is None else summary)
     norm, action = normalize_conversation(joined), action_of(joined)
     uuid = F.lower(F.regexp_extract(joined, "(?i)" + UUID, 0))
     quoted = F.regexp_extract(joined, "[“\"]([^”\"]{3,80})[”\"]", 1)

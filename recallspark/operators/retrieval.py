@@ -101,7 +101,7 @@ def space_priors(space_memories: DataFrame, mentions: DataFrame, tags: DataFrame
     """space_id, tag, prior: how much each awake tag stands for a space, the largest being 1."""
     awake = tags.where(~F.col("is_dormant")).select(F.col("name").alias("tag"))
     own = space_memories.join(mentions, "memory_id").join(awake, "tag").groupBy("space_id", "tag").agg(F.sum("relevance").alias("s"), F.count("*").alias("c"))
-    best = _top(own, ["space_id"], [F.desc("s"), F.desc("c"), F.asc("tag")], n)
+    best = _top(own, ["space_id"], [F.desc(F.round("s", 9)), F.desc("c"), F.asc("tag")], n)
     return best.select("space_id", "tag", (F.col("s") / F.max("s").over(W.Window.partitionBy("space_id"))).alias("prior"))
 
 

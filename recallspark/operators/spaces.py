@@ -38,7 +38,7 @@ def resolve(references: DataFrame, spaces: DataFrame) -> DataFrame:
     """ref, space_id: a reference as an id, else a name, else an alias."""
     ids = spaces.select(F.col("space_id").alias("ref"), F.col("space_id").alias("_i"))
     names = spaces.groupBy(F.lower("name").alias("low")).agg(F.min("space_id").alias("_n"))
-    aliases = spaces.select("space_id", F.lower(F.explode("aliases")).alias("low")).groupBy("low").agg(F.min("space_id").alias("_a"))
+    aliases = spaces.select("space_id", F.explode("aliases").alias("low")).groupBy(F.lower("low").alias("low")).agg(F.min("space_id").alias("_a"))
     own = references.withColumn("low", F.lower("ref")).join(ids, "ref", "left").join(names, "low", "left").join(aliases, "low", "left")
     return own.select("ref", F.coalesce("_i", "_n", "_a").alias("space_id"))
 

@@ -51,7 +51,6 @@ def due_counts(tasks: DataFrame, as_of: Column) -> DataFrame:
     return tasks.where(F.col("status").isin(*OPEN)).agg(count(F.to_date("due") == F.to_date(as_of)).alias("due_today"), count((hours >= 0) & (hours <= 24)).alias("due_24h"))
 
 
-@F.pandas_udf("double")
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
@@ -71,6 +70,6 @@ def duplicates(tasks: DataFrame, least: float = 0.92) -> DataFrame:
     short, long = F.least(F.length("ta"), F.length("tb")), F.greatest(F.length("ta"), F.length("tb"))
     near = a.join(b, "_b").where((F.col("fa") > F.col("fb")) & (2 * short >= least * (short + long)))
     inside = (F.contains("ta", "tb") | F.contains("tb", "ta")) & (short / long >= 0.72)
-    near = near.withColumn("similarity", F.when(inside, 0.94).otherwise(_ratio("ta", "tb"))).where(F.col("similarity") >= least)
+    near = near.withColumn("similarity", F.when(inside, 0.94).otherwise(F.pandas_udf(_ratio, "double")("ta", "tb"))).where(F.col("similarity") >= least)
     best = near.groupBy("fa").agg(F.max_by(F.struct(F.col("fb.id").alias("d"), "similarity"), "fb").alias("x"))
     return equal.union(best.select(F.col("fa.id"), F.col("x.d"), F.col("x.similarity")))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from recallspark.plans import conversations
+from recallspark.plans import conversations, graph, memories, work
 
-MODULES = [conversations]
+MODULES = [conversations, memories, graph, work]
 FLAGSHIP = "r7_coverage"
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
