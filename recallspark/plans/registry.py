@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from recallspark.plans import conversations, graph, memories, work
+from recallspark.plans import conversations, files, graph, memories, work
 
-MODULES = [conversations, memories, graph, work]
+MODULES = [conversations, memories, graph, work, files]
 FLAGSHIP = "r7_coverage"
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
