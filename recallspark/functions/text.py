@@ -5,6 +5,7 @@ All are built-in expressions, so they stay inside generated code and are pushed
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -53,6 +54,11 @@ def text_of(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")).cast("string")
 
 
+def let(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c), with c evaluated once however often it is used."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def squeeze(c: Column) -> Column:
     """Runs of blanks become one; ends are trimmed."""
     return F.trim(F.regexp_replace(c, BLANK, " "))
@@ -91,8 +97,7 @@ def stable_hash(c: Column) -> Column:
 
 
 def compact_key(c: Column | str, limit: int = 120) -> Column:
-    norm = normalize_conversation(c)
-    return F.when(norm == "", "").otherwise(F.sha2(F.substring(norm, 1, limit), 256))
+    return let(normalize_conversation(c), lambda norm: F.when(norm == "", "").otherwise(F.sha2(F.substring(norm, 1, limit), 256)))
 
 
 def joined_text(text: Column | str, title: Column | str, summary: Column | str) -> Column:
@@ -107,16 +112,25 @@ def action_of(joined: Column) -> Column:
 def action_keys(text: Column | str, title: Column | str | None = None, summary: Column | str | None = None) -> Column:
     """Struct of action_key, entity_key and fact_key: what was done to which thing, as short hashes."""
     joined = joined_text(text, F.lit("") if title is None else title, F.lit("") if summary is None else summary)
-    norm, action = normalize_conversation(joined), action_of(joined)
-    uuid = F.lower(F.regexp_extract(joined, "(?i)" + UUID, 0))
-    quoted = F.regexp_extract(joined, "[“\"]([^”\"]{3,80})[”\"]", 1)
-    named = F.regexp_extract(joined, r"(?iU)(?:空间|space)[：: ]*([\w\-\u4e00-\u9fff ]{2,60})", 1)
-    name = F.when(action.startswith("todo"), quoted).when(action.startswith("space"), named).otherwise("")
-    entity = F.when(uuid != "", uuid).when(action.startswith("todo") | action.startswith("space"), F.when(name != "", normalize_conversation(name)).otherwise(F.substring(norm, 1, 80))).otherwise("")
     short = lambda c: F.substring(F.sha2(c, 256), 1, 16)
-    action_key = F.when((action != "") & (entity != ""), F.concat(action, F.lit(":"), short(entity))).otherwise("")
-    fact_key = F.when(action != "", F.concat(action, F.lit(":"), short(F.substring(norm, 1, 160)))).otherwise(short(F.substring(norm, 1, 180)))
-    return F.struct(action_key.alias("action_key"), entity.alias("entity_key"), fact_key.alias("fact_key"))
+
+    def entity(x: Column) -> Column:
+        joined, action = x["joined"], x["action"]
+        uuid = F.lower(F.regexp_extract(joined, "(?i)" + UUID, 0))
+        quoted = F.regexp_extract(joined, "[“\"]([^”\"]{3,80})[”\"]", 1)
+        named = F.regexp_extract(joined, r"(?iU)(?:空间|space)[：: ]*([\w\-\u4e00-\u9fff ]{2,60})", 1)
+        name = F.when(action.startswith("todo"), quoted).when(action.startswith("space"), named).otherwise("")
+        own = F.when(name != "", normalize_conversation(name)).otherwise(F.substring(x["norm"], 1, 80))
+        return F.when(uuid != "", uuid).when(action.startswith("todo") | action.startswith("space"), own).otherwise("")
+
+    def keys(x: Column) -> Column:
+        action, e = x["action"], x["entity"]
+        action_key = F.when((action != "") & (e != ""), F.concat(action, F.lit(":"), short(e))).otherwise("")
+        fact_key = F.when(action != "", F.concat(action, F.lit(":"), short(F.substring(x["norm"], 1, 160)))).otherwise(short(F.substring(x["norm"], 1, 180)))
+        return F.struct(action_key.alias("action_key"), e.alias("entity_key"), fact_key.alias("fact_key"))
+
+    read = let(joined, lambda t: F.struct(t.alias("joined"), normalize_conversation(t).alias("norm"), action_of(t).alias("action")))
+    return let(let(read, lambda x: F.struct(x["norm"].alias("norm"), x["action"].alias("action"), entity(x).alias("entity"))), keys)
 
 
 def title_summary_key(title: Column | str, summary: Column | str) -> Column:
@@ -134,13 +148,12 @@ def is_persona_relevant(text: Column | str, title: Column | str, summary: Column
 
 def auto_title(c: Column | str) -> Column:
     """The first sentence by the first separator that is present, cut to 80 characters."""
-    s = F.regexp_replace(text_of(c), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
-    first = F.when(F.instr(s, "。") > 0, F.substring_index(s, "。", 1)).when(F.instr(s, "\n") > 0, F.substring_index(s, "\n", 1)).when(F.instr(s, ". ") > 0, F.substring_index(s, ". ", 1)).otherwise(s)
-    return F.concat(F.substring(first, 1, 80), F.when(F.length(first) > 80, "...").otherwise(""))
+    first = lambda s: F.when(F.instr(s, "。") > 0, F.substring_index(s, "。", 1)).when(F.instr(s, "\n") > 0, F.substring_index(s, "\n", 1)).when(F.instr(s, ". ") > 0, F.substring_index(s, ". ", 1)).otherwise(s)
+    return cut(let(F.regexp_replace(text_of(c), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), first), 80, "...")
 
 
 def cut(c: Column, n: int, mark: str) -> Column:
-    return F.concat(F.substring(c, 1, n), F.when(F.length(c) > n, mark).otherwise(""))
+    return let(c, lambda x: F.concat(F.substring(x, 1, n), F.when(F.length(x) > n, mark).otherwise("")))
 
 
 def compact_display_title(text: Column | str, fallback: Column | str, n: int = 36) -> Column:
@@ -153,11 +166,8 @@ def compact_display_title(text: Column | str, fallback: Column | str, n: int = 3
 
 def is_memory_subject_text(c: Column | str, least: int = 30) -> Column:
     """A text that a user wrote and that is long enough to be remembered."""
-    s = squeeze(text_of(c))
-    head = F.lower(F.substring(s, 1, 240))
-    starts = reduce(lambda a, b: a | b, [head.startswith(p) for p in BLOCKED_STARTS])
-    holds = reduce(lambda a, b: a | b, [head.contains(p) for p in BLOCKED_FRAGMENTS])
-    return (F.length(s) >= least) & ~starts & ~holds
+    blocked = lambda head: reduce(lambda a, b: a | b, [*(head.startswith(p) for p in BLOCKED_STARTS), *(head.contains(p) for p in BLOCKED_FRAGMENTS)])
+    return let(squeeze(text_of(c)), lambda s: (F.length(s) >= least) & ~let(F.lower(F.substring(s, 1, 240)), blocked))
 
 
 def title_key(c: Column | str) -> Column:
@@ -167,9 +177,8 @@ def title_key(c: Column | str) -> Column:
 
 def quality_flags(title: Column | str, summary: Column | str) -> Column:
     """pollution: and temporary: tokens that stand in a memory's title or summary."""
-    s = F.lower(F.concat_ws("\n", text_of(title), text_of(summary)))
-    hits = [F.when(s.contains(t), f"{kind}:{t}") for kind, tokens in (("pollution", POLLUTION), ("temporary", TEMPORARY)) for t in tokens]
-    return F.array_compact(F.array(*hits))
+    hits = lambda s: F.array_compact(F.array(*[F.when(s.contains(t), f"{kind}:{t}") for kind, tokens in (("pollution", POLLUTION), ("temporary", TEMPORARY)) for t in tokens]))
+    return let(F.lower(F.concat_ws("\n", text_of(title), text_of(summary))), hits)
 
 
 def compact(c: Column | str, n: int) -> Column:

@@ -5,11 +5,12 @@ Hot keys: groups are pre-aggregated, and the windowed scan is one pass in time o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from recallspark.functions.text import normalize_conversation, title_key
+from recallspark.functions.text import action_keys, let, normalize_conversation, title_key, title_summary_key
+from recallspark.sources.scratch import scratch_path
 
 TYPE_RANK = ("DECISION", "PREFERENCE", "FACT", "REASONING", "EVENT")
 
@@ -19,8 +20,7 @@ def ingestion_gate(events: DataFrame, text: str = "text", at: str = "ts", key: s
 
     A text that is empty after normalisation has an empty hash and never is a duplicate.
     """
-    norm = normalize_conversation(text)
-    own = events.withColumn("conversation_hash", F.when(norm == "", "").otherwise(F.sha2(norm, 256)))
+    own = events.withColumn("conversation_hash", let(normalize_conversation(text), lambda norm: F.when(norm == "", "").otherwise(F.sha2(norm, 256))))
     first = own.where("conversation_hash <> ''").groupBy("conversation_hash").agg(F.min(F.struct(at, key)).alias("_first"))
     if log is not None:
         first = first.join(log.select("conversation_hash", F.lit(True).alias("_known")).distinct(), "conversation_hash", "left")
@@ -31,10 +31,13 @@ def ingestion_gate(events: DataFrame, text: str = "text", at: str = "ts", key: s
     return own.join(first, "conversation_hash", "left").withColumn("status", F.when(is_first, "processed").otherwise("conversation_hash_duplicate")).drop("_first", "_known")
 
 
+def normalized_hash(text: str, key: str) -> Column:
+    return let(normalize_conversation(text), lambda norm: F.when(norm == "", F.concat(F.lit("#"), F.col(key).cast("string"))).otherwise(F.sha2(norm, 256)))
+
+
 def exact(memories: DataFrame, text: str = "raw_text", at: str = "created_at", key: str = "id") -> DataFrame:
     """id, normalized_hash, kept_id: the earliest memory with the same normalised text; texts that are empty keep themselves."""
-    norm = normalize_conversation(text)
-    own = memories.select(key, at, F.when(norm == "", F.concat(F.lit("#"), F.col(key).cast("string"))).otherwise(F.sha2(norm, 256)).alias("normalized_hash"))
+    own = memories.select(key, at, normalized_hash(text, key).alias("normalized_hash"))
     first = own.groupBy("normalized_hash").agg(F.min_by(key, F.struct(at, key)).alias("kept_id"))
     return own.join(first, "normalized_hash").select(key, "normalized_hash", "kept_id")
 
@@ -87,3 +90,39 @@ def newest_of_type(memories: DataFrame, n: int = 5) -> DataFrame:
     """The n newest open memories of each type."""
     newest = W.Window.partitionBy("memory_type").orderBy(F.desc("created_at"), F.desc("id"))
     return memories.where(F.col("valid_until").isNull()).withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= n)
+
+
+def records(memories: DataFrame, minutes: int = 10) -> DataFrame:
+    """The fingerprint log: id, decision (created or skipped) and reason of every memory.
+
+    Staged: exact text first, then the same action, the same fact, and the same title with summary within some minutes; each
+    stage looks at the survivors of the one before, so a row that is dropped late never blocks an early one.
+    """
+    keyed = memories.withColumn("_k", action_keys("raw_text", "title", "summary"))
+    keyed = keyed.select("id", F.col("created_at").alias("ts"), normalized_hash("raw_text", "id").alias("h"), F.col("_k.action_key").alias("action_key"), F.col("_k.fact_key").alias("fact_key"), title_summary_key("title", "summary").alias("title_summary_key"))
+    path = scratch_path(memories.sparkSession, "fingerprints")  # four stages look at the keys; texts are normalised once
+    keyed.write.parquet(path)
+    keyed = memories.sparkSession.read.schema(keyed.schema).parquet(path)
+    first = keyed.groupBy("h").agg(F.min_by("id", F.struct("ts", "id")).alias("kept_id"))
+    alive = keyed.join(first.select("h", F.col("kept_id").alias("id")), ["h", "id"], "left_semi")
+    log = keyed.select("id").join(alive.select("id", F.lit(True).alias("_first")), "id", "left").select("id", F.when(F.col("_first").isNull(), "normalized_duplicate").alias("reason"))
+    for key in ("action_key", "fact_key", "title_summary_key"):
+        seen = windowed(alive, key, "ts", "id", minutes)
+        log = log.join(seen.where("not kept").select("id", F.lit(key.removesuffix("_key") + "_duplicate").alias("_r")), "id", "left").withColumn("reason", F.coalesce("reason", "_r")).drop("_r")
+        alive = seen.where("kept").drop("kept")
+    return log.select("id", F.when(F.col("reason").isNull(), "created").otherwise("skipped").alias("decision"), "reason")
+
+
+def apply_conflicts(memories: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """memories after verdicts (old_id, new_id, verdict, ts): superseded ones point to the newest that replaces them and end when it came."""
+    won = verdicts.where("verdict = 'supersede'").groupBy(F.col("old_id").alias("id")).agg(F.max_by("new_id", F.struct("ts", "new_id")).alias("superseded_by"), F.max("ts").alias("_until"))
+    out = memories.join(won, "id", "left")
+    return out.withColumn("is_superseded", F.col("is_superseded") | F.col("superseded_by").isNotNull()).withColumn("valid_until", F.coalesce("_until", "valid_until")).drop("_until")
+
+
+def conflict_edges(verdicts: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Edges from every tag of an old memory to every different tag of the one that supersedes or refines it, at similarity 0.3."""
+    kind = F.when(F.col("verdict") == "supersede", "SUPERSEDES").when(F.col("verdict") == "refine", "REFINES")
+    own = verdicts.select("old_id", "new_id", "ts", kind.alias("relation_type")).where("relation_type is not null").distinct()
+    old, new = mentions.select(F.col("memory_id").alias("old_id"), F.col("tag").alias("source_tag")), mentions.select(F.col("memory_id").alias("new_id"), F.col("tag").alias("target_tag"))
+    return own.join(old, "old_id").join(new, "new_id").where("source_tag <> target_tag").select("old_id", "new_id", "source_tag", "target_tag", "relation_type", F.lit(0.3).alias("sim"), "ts")

@@ -68,3 +68,35 @@ def route(questions: DataFrame, assertions: DataFrame, level: int = 2, k: int =
     own = found.groupBy("qid").agg(F.round(F.avg(clipped), 6).alias("mean"), F.round(F.max(clipped), 6).alias("best"))
     way = F.when(F.col("mean") < 0.15, "experience").when(F.col("mean") >= THRESHOLDS[level], "persona").otherwise("mixed")
     return own.withColumn("route", way).withColumn("deviates", (F.col("best") >= 0.2) & (F.col("best") < 0.4))
+
+
+def merge_assertions(assertions: DataFrame, new: DataFrame, least: float = 0.88) -> tuple[DataFrame, DataFrame]:
+    """Assertions with the evidence of new ones that say the same, and the new ones that say something else.
+
+    A new assertion joins the nearest unlocked one of its dimension from a similarity on: evidences are united, confidence is the larger of the two plus
+    0.03.  New ones are compared with those that exist, not with each other; run a batch again to merge within it.
+    """
+    own = assertions.where(~F.col("locked"))
+    found = vector_topk(new.select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("qid"), "vec"), own.select(F.col("id").cast("string").alias("id"), "vec"), 10, least)
+    kinds = found.join(new.select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("qid"), F.col("dimension").alias("_d")), "qid").join(own.select(F.col("id").cast("string").alias("id"), "dimension"), "id").where("_d = dimension")
+    best = kinds.groupBy("qid").agg(F.max_by("id", F.struct("score", "id")).alias("target"))
+    matched = new.withColumn("qid", F.concat(F.lit("n"), F.col("id").cast("string"))).join(best, "qid", "left")
+    step = matched.where("target is not null").groupBy("target").agg(F.flatten(F.collect_list("evidences")).alias("_e"), F.max("confidence").alias("_c"))
+    merged = assertions.join(step, F.col("id").cast("string") == F.col("target"), "left")
+    merged = merged.withColumn("evidences", F.when(F.col("_e").isNotNull(), F.array_sort(F.array_distinct(F.concat("evidences", "_e")))).otherwise(F.col("evidences"))).withColumn("confidence", F.when(F.col("_c").isNotNull(), F.least(F.lit(1.0), F.greatest("confidence", "_c") + 0.03)).otherwise(F.col("confidence")))
+    return merged.drop("_e", "_c", "target"), matched.where("target is null").drop("qid", "target")
+
+
+def edit(assertions: DataFrame, events: DataFrame) -> DataFrame:
+    """Assertions (id, assertion, confidence, locked, is_superseded) after events (id, ts, event_id, action, text, confidence): edit, lock, unlock, delete, restore.
+
+    Each field is what the last event that sets it says; confidences are clipped to 0..1.
+    """
+    at, act = F.struct("ts", "event_id"), F.col("action")
+    last = lambda value, when: F.max_by(F.when(when, value), F.when(when, at))
+    step = events.groupBy("id").agg(
+        last(F.col("text"), (act == "edit") & F.col("text").isNotNull()).alias("_t"), last(F.least(F.greatest("confidence", F.lit(0.0)), F.lit(1.0)), (act == "edit") & F.col("confidence").isNotNull()).alias("_c"),
+        last(act == "lock", act.isin("lock", "unlock")).alias("_l"), last(act == "delete", act.isin("delete", "restore")).alias("_x"),
+    )
+    new = {"assertion": F.coalesce("_t", "assertion"), "confidence": F.coalesce("_c", "confidence"), "locked": F.coalesce("_l", "locked"), "is_superseded": F.coalesce("_x", "is_superseded")}
+    return assertions.join(step, "id", "left").withColumns(new).drop("_t", "_c", "_l", "_x")

@@ -123,3 +123,19 @@ def resolve_titles(files: DataFrame, by_path: DataFrame, by_name: DataFrame, by_
     title = F.coalesce("_p", "_n", "_r")
     source = F.when(F.col("_p").isNotNull(), "path").when(F.col("_n").isNotNull(), "name").when(F.col("_r").isNotNull(), "range").otherwise("missing")
     return out.select("file_id", title.alias("original_title"), source.alias("title_source"), F.coalesce(title, F.nullif(F.trim("first_user_turn"), F.lit("")), "name").alias("display_title"))
+
+
+def session_detail(found: DataFrame, linked: DataFrame, memories: DataFrame, links: DataFrame) -> DataFrame:
+    """Episodes of each session with the number of their turns, memories and evidence turns; each is counted on its own side first."""
+    keys = ["session_id", "episode_no"]
+    n_turns = linked.groupBy(*keys).agg(F.count("*").alias("turns"))
+    proof = links.groupBy("memory_id").agg(F.count("*").alias("_e"))
+    n_memories = memories.join(proof, "memory_id", "left").groupBy("episode_id").agg(F.count("*").alias("memories"), F.sum(F.coalesce("_e", F.lit(0))).alias("evidence"))
+    return found.select(*keys, "episode_id", "title").join(n_turns, keys, "left").join(n_memories, "episode_id", "left").fillna(0, ["turns", "memories", "evidence"])
+
+
+def source_backfill(memories: DataFrame, known: DataFrame) -> DataFrame:
+    """Source rows of sessions that have none: session_id, message_count, content_hash over their ids, first and last time."""
+    new = memories.join(known.select("session_id").distinct(), "session_id", "left_anti")
+    ids = F.array_sort(F.collect_list(F.struct("created_at", F.col("id").cast("string").alias("id"))))
+    return new.groupBy("session_id").agg(F.count("*").alias("message_count"), F.sha2(F.array_join(F.transform(ids, lambda x: x["id"]), "|"), 256).alias("content_hash"), F.min("created_at").alias("started_at"), F.max("created_at").alias("ended_at"))

@@ -18,13 +18,14 @@ def _top(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame
     return df.withColumn("rank", F.row_number().over(W.Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def vector_topk(queries: DataFrame, items: DataFrame, k: int = 20, least: float | None = None, query_rows: int = 2048, item_blocks: int = 64) -> DataFrame:
+def vector_topk(queries: DataFrame, items: DataFrame, k: int = 20, least: float | None = None, query_rows: int = 2048, item_rows: int = 16_384) -> DataFrame:
     """qid, id, score, rank: the k items of the largest dot product with each query, among all items but its own id.
 
-    queries: qid, vec; items: id, vec.  Query blocks of at most about query_rows rows meet item blocks in tasks that
+    queries: qid, vec; items: id, vec.  Query blocks of about query_rows rows meet blocks of about item_rows items in tasks that
     multiply matrices and return k rows for each query; neither side is collected or broadcast.
     """
     n_q = max(1, -(-queries.count() // query_rows))
+    item_blocks = max(1, -(-items.count() // item_rows))
     q = queries.select("qid", F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("qid"), F.lit(n_q)).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))).alias("_i"))
     i = items.select("id", F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("id"), F.lit(item_blocks)).alias("_i"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("_q"))
     i = i.select("id", "vec", F.col("_i").cast("int"), F.col("_q").cast("long"))

@@ -92,3 +92,40 @@ def cleanup(memories: DataFrame, mentions: DataFrame, marks: Column) -> tuple[Da
     """Memories and mentions without those of memories that mention a marked tag."""
     gone = mentions.where(marks).select("memory_id").distinct()
     return memories.join(gone, F.col("id") == F.col("memory_id"), "left_anti"), mentions.join(gone, "memory_id", "left_anti")
+
+
+def suggest(candidates_: DataFrame, spaces: DataFrame, least: float = 0.45) -> DataFrame:
+    """candidate_key, space_id, score: the existing space that fits best, by name (1), alias (0.9) or the share of the candidate's tags among its terms.
+
+    candidates_: candidate_key, name, tags; spaces: space_id, name, aliases, terms.  All meet by equality of normalised words.
+    """
+    norm = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
+    named = spaces.select("space_id", norm(F.col("name")).alias("k"), F.lit(1.0).alias("score")).union(spaces.select("space_id", F.explode("aliases").alias("a")).select("space_id", norm(F.col("a")).alias("k"), F.lit(0.9)))
+    by_name = candidates_.select("candidate_key", norm(F.col("name")).alias("k")).join(named, "k").select("candidate_key", "space_id", "score")
+    term = spaces.select("space_id", F.explode("terms").alias("t")).select("space_id", F.lower("t").alias("t")).distinct()
+    own = candidates_.select("candidate_key", F.size(F.array_distinct("tags")).alias("n"), F.explode(F.array_distinct("tags")).alias("t")).withColumn("t", F.lower("t"))
+    by_tag = own.join(term, "t").groupBy("candidate_key", "space_id").agg((F.count("*") / F.max("n")).alias("score"))
+    best = by_name.union(by_tag).groupBy("candidate_key", "space_id").agg(F.max("score").alias("score")).where(F.col("score") >= least)
+    order = W.Window.partitionBy("candidate_key").orderBy(F.desc("score"), "space_id")
+    return best.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
+
+
+def merge_suggestions(candidates_: DataFrame, k: int = 3) -> DataFrame:
+    """a, b, n, score: for each candidate the others that share most terms (candidate_key, terms), 0.55 + 0.12 for each, 0.95 at most.
+
+    A term that stands in very many candidates is no hint; pairs come from equality joins on terms and are counted before they are ranked.
+    """
+    own = candidates_.select(F.col("candidate_key").alias("a"), F.explode(F.array_distinct("terms")).alias("t"))
+    both = own.join(own.withColumnRenamed("a", "b"), "t").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    order = W.Window.partitionBy("a").orderBy(F.desc("n"), "b")
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("a", "b", "n", F.round(F.least(F.lit(0.95), 0.55 + 0.12 * F.col("n")), 6).alias("score"), "rank")
+
+
+def decide(candidates_: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bindings (memory_id, space_id, relevance) and aliases (space_id, alias) that decisions (candidate_key, decision, space_id) bring.
+
+    candidates_: candidate_key, name, memory_ids, confidence.  accept and merge bind; merge and accept under another name add the candidate's name as an alias.
+    """
+    own = candidates_.join(decisions.where(F.col("decision").isin("accept", "merge")), "candidate_key")
+    bound = own.select(F.explode("memory_ids").alias("memory_id"), "space_id", F.col("confidence").alias("relevance")).groupBy("memory_id", "space_id").agg(F.max("relevance").alias("relevance"))
+    return bound, own.where("decision = 'merge'").select("space_id", F.col("name").alias("alias")).distinct()
