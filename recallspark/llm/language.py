@@ -22,6 +22,7 @@ SAMPLE_ROWS = 600
 #: The follow-the-regularised-leader step sizes and the elastic net.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.01, 4
 UNKNOWN = "und"
+_SPREAD = 1 << 30
 _SALT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _letters: list[np.ndarray] = []
 
@@ -143,11 +144,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     and all predictions are "und".
     """
     require(docs, id_col, text_col, lang_col)
-    own = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("_lang"), F.xxhash64(F.lit(5), F.col(id_col)).alias("_h"), F.col(text_col).cast("string").alias("_text"))
+    own = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("_lang"), F.pmod(F.xxhash64(F.lit(5), F.col(id_col)), F.lit(_SPREAD)).alias("_h"), F.col(text_col).cast("string").alias("_text"))
     seen, n = document_counts(own, "_text")
     idf = np.log((1 + n) / (1 + seen)) + 1
+    counts = {r._lang: r.n for r in own.groupBy("_lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    if not counts:
+        return Model()
+    # Only rows whose hash is among the smallest of their language travel: about 4 * sample_rows of each, whatever its share.
+    reach = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(_SPREAD, 4 * sample_rows * _SPREAD // n))])
     first = W.Window.partitionBy("_lang").orderBy("_h", F.xxhash64("_text"))
-    sample = own.where(F.col("_text").rlike(r"\p{L}")).withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= sample_rows)
+    sample = own.where((F.col("_h") < reach[F.col("_lang")]) & F.col("_text").rlike(r"\p{L}")).withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= sample_rows)
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("rank", T.IntegerType()), T.StructField("index", T.BinaryType()), T.StructField("value", T.BinaryType())])
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
