@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from recallspark.plans import conversations, files, graph, memories, more, work
+from recallspark.plans import conversations, files, graph, memories, more, scalars, work
 
-MODULES = [conversations, memories, graph, work, more, files]
+MODULES = [conversations, memories, graph, work, more, scalars, files]
 FLAGSHIP = "r7_coverage"
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
