@@ -12,9 +12,9 @@ from pyspark.sql import window as W
 
 
 def usable(vec: str) -> F.Column:
-    """A vector that is there, has components, and holds no null and nothing infinite or undefined."""
+    """A vector that is there, and holds no null and nothing infinite or undefined; one without components is usable."""
     good = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.col(vec).isNotNull() & (F.size(vec) > 0) & F.coalesce(good, F.lit(False))
+    return F.col(vec).isNotNull() & F.coalesce(good, F.lit(False))
 
 
 def blocked_search(

@@ -25,7 +25,7 @@ class Shard:
     def __init__(self, ids: np.ndarray, rows: list[np.ndarray]):
         order = np.argsort(ids, kind="stable")
         self.ids, self.n = ids[order], len(ids)
-        self.terms = max(len(r) for r in rows)
+        self.terms = max(1, *(len(r) for r in rows))
         self.weights = np.zeros((self.terms, self.n), np.int64)
         for at, k in enumerate(order):
             self.weights[: len(rows[k]), at] = rows[k]
@@ -86,8 +86,8 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 5, id_col: str = "vec_i
     """The k items of the highest inner product with each query, exactly; vectors are arrays of integers.
 
     Returns query_id, rank (from 1), vec_id, score; a query is not compared with items of its own id, equal scores go by
-    the smaller id, and there are fewer rows where there are fewer items.  A missing component counts as 0; rows that
-    are null or hold nulls take no part; a query id that comes twice is asked once; repeated items each count.
+    the smaller id, and there are fewer rows where there are fewer items.  A missing component counts as 0, so a
+    vector without components scores 0; rows that are null or hold nulls take no part; a query id that comes twice is asked once; repeated items each count.
     Items are dealt into shards by a hash of the id; each shard returns k rows for each query, and the shards are
     merged.  Other columns are left out.
     """
@@ -126,7 +126,7 @@ ORACLES = {
     "op7_maxscore": """
         WITH items AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
-            WHERE embedding IS NOT NULL AND len(embedding) > 0
+            WHERE embedding IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = len(embedding)),
         pairs AS (
             SELECT q.vec_id AS query_id, i.vec_id AS vec_id, CAST(list_dot_product(q.v, i.v) AS BIGINT) AS score

@@ -25,7 +25,7 @@ def frame(spark, rows):
 
 
 def good(v, zero=False):
-    return bool(v) and all(x is not None and math.isfinite(x) for x in v) and (zero or any(v))
+    return v is not None and all(x is not None and math.isfinite(x) for x in v) and (zero or any(v))
 
 
 def test_one_bit_codes_recall(spark):
