@@ -81,17 +81,29 @@ def iso_dates(c: Column) -> Column:
 
 
 def normalize_conversation(c: Column | str) -> Column:
-    """Text for comparing conversations: no mood blocks, ISO dates, ids as <id>, no boilerplate or punctuation, lower case."""
-    s = F.regexp_replace(text_of(c), r"(?is)<mood>.*?</mood>", " ")
-    s = iso_dates(s)
-    s = F.regexp_replace(s, "(?i)" + UUID, "<id>")
-    s = F.regexp_replace(s, "(?i)" + SHORT_ID, "<id>")
-    for pattern in BOILERPLATE:
-        s = F.regexp_replace(s, "(?iU)" + pattern, " ")
+    """Text for comparing conversations: no mood blocks, ISO dates, ids as <id>, no boilerplate or punctuation, lower case.
+
+    Most texts hold none of the rarer things, so each is looked for by a plain search before its pattern runs.
+    """
+    swap = lambda pattern, to: lambda s: F.regexp_replace(s, pattern, to)
+    steps = [
+        (("<",), swap(r"(?is)<mood>.*?</mood>", " ")),
+        (("20",), iso_dates),
+        (("-",), swap("(?i)" + UUID, "<id>")),
+        (("..",), swap("(?i)" + SHORT_ID, "<id>")),
+        *((marks, swap("(?iU)" + pattern, " ")) for marks, pattern in zip((("提取方式",), ("冲突",), (":", "："), ("状态",)), BOILERPLATE, strict=True)),
+    ]
+    s = text_of(c)
+    for marks, step in steps:
+        s = let(s, _guarded(marks, step))
     s = F.regexp_replace(F.replace(s, F.lit("\r"), F.lit("\n")), MARKDOWN, " ")
     return F.lower(squeeze(F.regexp_replace(s, PUNCTUATION, " ")))
 
 
+def _guarded(marks: tuple[str, ...], step: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda x: F.when(reduce(lambda a, b: a | b, [F.contains(x, F.lit(m)) for m in marks]), step(x)).otherwise(x)
+
+
 def stable_hash(c: Column) -> Column:
     return F.sha2(c, 256)
 

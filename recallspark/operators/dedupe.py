@@ -20,8 +20,10 @@ def ingestion_gate(events: DataFrame, text: str = "text", at: str = "ts", key: s
 
     A text that is empty after normalisation has an empty hash and never is a duplicate.
     """
-    own = events.withColumn("conversation_hash", let(normalize_conversation(text), lambda norm: F.when(norm == "", "").otherwise(F.sha2(norm, 256))))
-    first = own.where("conversation_hash <> ''").groupBy("conversation_hash").agg(F.min(F.struct(at, key)).alias("_first"))
+    # coalesce: a key that cannot be null spares the join a test for null, which would hash every text again.
+    own = events.withColumn("conversation_hash", F.coalesce(let(normalize_conversation(text), lambda norm: F.when(norm == "", "").otherwise(F.sha2(norm, 256))), F.lit("")))
+    # Empty hashes are dropped after the aggregation by a value of it, as a filter of the key would hash every text once more.
+    first = own.groupBy("conversation_hash").agg(F.min(F.struct(at, key)).alias("_first"), F.max(F.col("conversation_hash") != "").alias("_some")).where("_some").drop("_some")
     if log is not None:
         first = first.join(log.select("conversation_hash", F.lit(True).alias("_known")).distinct(), "conversation_hash", "left")
     else:
@@ -32,7 +34,7 @@ def ingestion_gate(events: DataFrame, text: str = "text", at: str = "ts", key: s
 
 
 def normalized_hash(text: str, key: str) -> Column:
-    return let(normalize_conversation(text), lambda norm: F.when(norm == "", F.concat(F.lit("#"), F.col(key).cast("string"))).otherwise(F.sha2(norm, 256)))
+    return F.coalesce(let(normalize_conversation(text), lambda norm: F.when(norm == "", F.concat(F.lit("#"), F.col(key).cast("string"))).otherwise(F.sha2(norm, 256))), F.lit(""))
 
 
 def exact(memories: DataFrame, text: str = "raw_text", at: str = "created_at", key: str = "id") -> DataFrame:
@@ -63,12 +65,18 @@ def windowed(rows: DataFrame, key: str, at: str = "ts", id_col: str = "id", minu
 
 
 def source_groups(memories: DataFrame) -> DataFrame:
-    """Groups of memories with the same normalised text: canonical member, members, types, statuses, times."""
-    own = memories.where(F.col("status") != "deleted").withColumn("_norm", normalize_conversation("raw_text")).where("_norm <> ''").withColumn("group_key", F.sha2("_norm", 256))
+    """Groups of memories with the same normalised text: canonical member, members, types, statuses, times.
+
+    Texts that are empty after normalisation form no group: they are counted as 0 rather than filtered, as a filter would
+    normalise every text a second time.
+    """
+    key = let(normalize_conversation("raw_text"), lambda norm: F.when(norm != "", F.sha2(norm, 256)))
+    own = memories.where(F.col("status") != "deleted").withColumn("group_key", key)
+    there = F.col("group_key").isNotNull()
     rank = F.coalesce(F.array_position(F.array(*[F.lit(t) for t in TYPE_RANK]), F.col("memory_type")), F.lit(0))
     order = F.struct((F.col("status") != "active").alias("a"), F.when(rank == 0, 99).otherwise(rank).alias("b"), (-F.col("confidence")).alias("c"), F.col("created_at").alias("d"), F.col("id").alias("e"))
     out = own.groupBy("group_key").agg(
-        F.count("*").alias("n"), F.min_by("id", order).alias("canonical_id"), F.sort_array(F.collect_list("id")).alias("members"),
+        F.count("group_key").alias("n"), F.min_by("id", order).alias("canonical_id"), F.sort_array(F.collect_list(F.when(there, F.col("id")))).alias("members"),
         F.sort_array(F.collect_set("memory_type")).alias("types"), F.sort_array(F.collect_set("status")).alias("statuses"),
         F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"),
     )
