@@ -16,12 +16,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from recallspark.llm._common import require, saved, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Characters on each side of a mention whose words are its context.
-WINDOW = 120
-#: A term is looked at from so many different contexts of an entity; it is generalised where it gives away this share of the
+#: A term is looked at from so many different documents of an entity; it is generalised where it gives away this share of the
 #: entity's information, and removed where it gives away that share.
 SUPPORT, GENERALISE, REMOVE = 3, 0.6, 0.85
-#: Bits of the filter that spares most words the count over the corpus; it lets some through, and drops none.
+#: Bits of the filters that spare most words the count over the corpus, and most documents the search for copies; they let
+#: some through, and drop none.
 FILTER_BITS = 1 << 22
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -97,130 +96,176 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def context(text: str, start: int, end: int, taken: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
-    """Whole words near a mention, outside all patterns: (word in lower case, start, end)."""
-    out = []
-    for a, b in ((max(0, start - WINDOW), start), (end, min(len(text), end + WINDOW))):
-        for m in _WORD.finditer(text, a, b):
-            s, e = m.span()
-            cut = s == a and a > 0 and text[a - 1].isalpha() or e == b and b < len(text) and text[b].isalpha()
-            if not cut and not any(s < y and x < e for x, _, y in taken):
-                out.append((m.group().lower(), s, e))
+def words(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """Words outside all patterns (spans sorted by start): (word in lower case, start, end)."""
+    out, k, far = [], 0, 0
+    for m in _WORD.finditer(text):
+        s, e = m.span()
+        while k < len(taken) and taken[k][0] < e:
+            far = max(far, taken[k][2])
+            k += 1
+        if far <= s:
+            out.append((m.group().lower(), s, e))
     return out
 
 
-_TERM = T.StructType([T.StructField("term", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-_MENTION = T.StructType([T.StructField("entity", T.StringType()), T.StructField("context", T.StringType()), T.StructField("terms", T.ArrayType(_TERM))])
+def witness(terms: list[str]) -> bytes:
+    """Equal for documents of the same words outside patterns: copies are one witness."""
+    return hashlib.sha256(" ".join(terms).encode("utf-8", "surrogatepass")).digest()[:16]
+
+
+_AT = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+_TERM = T.StructType([T.StructField("term", T.StringType()), T.StructField("at", _AT)])
 
 
 def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_row (of this pass), the id, base (kind, start, end of every pattern) and mentions (entity, context, terms) of every document."""
+    """Of every document: the id, base (kind, start, end of every pattern), witness key and distinct entities; with entities, all its terms and their places."""
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    schema = T.StructType([docs.schema[id_col], T.StructField("base", T.ArrayType(span)), T.StructField("mentions", T.ArrayType(_MENTION))])
+    schema = T.StructType([docs.schema[id_col], T.StructField("base", T.ArrayType(span)), T.StructField("key", T.BinaryType()), T.StructField("entities", T.ArrayType(T.StringType())), T.StructField("terms", T.ArrayType(_TERM))])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1024):
-                base, found = [], []
+                columns = [[], [], [], []]
                 for text in part.column(1).to_pylist():
-                    own = base_spans(text)
-                    base.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in own])
-                    near = []
-                    for a, k, b in own[:]:
-                        terms = context(text, a, b, own)
+                    own, entities, terms = base_spans(text), set(), {}
+                    outside = words(text or "", own)
+                    for a, k, b in own:
                         value = text[a:b].lower() if k < 2 else "".join(_DIGIT.findall(text[a:b]))
-                        near.append({"entity": hashlib.sha256(f"{KINDS[k]}:{value}".encode()).hexdigest(), "context": hashlib.sha256(" ".join(t[0] for t in terms).encode("utf-8", "surrogatepass")).hexdigest()[:32], "terms": [{"term": t, "start": s, "end": e} for t, s, e in terms]})
-                    found.append(near)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(base, arrow.field(1).type), pa.array(found, arrow.field(2).type)], schema=arrow)
+                        entities.add(hashlib.sha256(f"{KINDS[k]}:{value}".encode()).hexdigest())
+                    if entities:
+                        for t, s, e in outside:
+                            terms.setdefault(t, []).append({"start": s, "end": e})
+                    row = [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in own], witness([w[0] for w in outside]), sorted(entities), [{"term": t, "at": at} for t, at in terms.items()]
+                    for column, value in zip(columns, row, strict=True):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:], strict=True)]], schema=arrow)
 
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def _slot(term: str) -> int:
-    return int.from_bytes(hashlib.blake2b(term.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") % FILTER_BITS
+def _slot(value: str | bytes) -> int:
+    raw = value if isinstance(value, bytes) else value.encode("utf-8", "surrogatepass")
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little") % FILTER_BITS
 
 
-def term_counts(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
-    """term and n_term: in how many of all documents each of `terms` stands.
-
-    A filter of fixed size, built from the terms, keeps most other words out of the shuffle; the join makes it exact.
-    """
+def _filter(values: DataFrame) -> bytes:
+    """Bits of the slots of the values of a single column."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER_BITS, bool)
         for batch in batches:
-            for term in batch.column(0).to_pylist():
-                bits[_slot(term)] = True
+            for value in batch.column(0).to_pylist():
+                bits[_slot(value)] = True
         if bits.any():
             yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
     whole = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in terms.select("term").coalesce(8).mapInArrow(fill, "bits binary").collect():  # at most 8 rows
+    for row in values.coalesce(8).mapInArrow(fill, "bits binary").collect():  # at most 8 rows
         whole |= np.frombuffer(row.bits, np.uint8)
-    packed = whole.tobytes()
+    return whole.tobytes()
+
+
+def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, copied: DataFrame) -> DataFrame:
+    """term and n_term: in how many different documents each of `terms` stands, and few other terms; `copied` holds the witness keys that come more than once.
+
+    Filters of fixed size keep most other words out of the shuffle, and let most documents be counted without their key.
+    """
+    packed, packed_keys = _filter(terms.select("term")), _filter(copied.select("key"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+        bits, repeated = (np.unpackbits(np.frombuffer(p, np.uint8)).astype(bool) for p in (packed, packed_keys))
         known: dict[str, bool] = {}
+        told: set[bytes] = set()
         for batch in batches:
             seen: dict[str, int] = {}
+            held: list[tuple[bytes, list[str]]] = []
             for text in batch.column(0).to_pylist():
-                for term in {w.lower() for w in set(_WORD.findall(text or ""))}:
+                own = [w[0] for w in words(text or "", base_spans(text))]
+                key = witness(own)
+                hits = []
+                if maybe := bool(repeated[_slot(key)]):
+                    if key in told:
+                        continue
+                    if len(told) > 500_000:
+                        told.clear()
+                    told.add(key)
+                for term in set(own):
                     hit = known.get(term)
                     if hit is None:
                         if len(known) > 500_000:
                             known.clear()
                         hit = known[term] = bool(bits[_slot(term)])
                     if hit:
+                        hits.append(term)
+                if not maybe:
+                    for term in hits:
                         seen[term] = seen.get(term, 0) + 1
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
+                elif hits:
+                    held.append((key, hits))
+            if seen or held:
+                rows = [[None] * len(seen) + [k for k, _ in held], [[t] for t in seen] + [h for _, h in held], [*seen.values(), *[1] * len(held)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.binary(), pa.list_(pa.string()), pa.int64()), strict=True)], names=["key", "terms", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: dict[str, int] = {}
+            for own, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for term in own:
+                    sums[term] = sums.get(term, 0) + n
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], names=["term", "n"])
 
-    counts = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    return counts.join(terms.select("term").distinct(), "term", "left_semi")
+    counted = saved(docs.select(F.col(text_col).cast("string")).mapInArrow(count, "key binary, terms array<string>, n long"), "counts")
+    once = counted.where("key is null").union(counted.where("key is not null").dropDuplicates(["key"]))
+    return once.select("terms", "n").mapInArrow(add, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, total: int, support: int, generalise: float) -> DataFrame:
+def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, support: int, generalise: float) -> DataFrame:
     """entity, term and share: the part of an entity's information that a term gives away.
 
-    share = PMI(term, entity) / IC(entity), with PMI = log(n_both * N / (n_term * n_entity)) and IC = log(N / n_entity) over the N
-    documents; n_entity and n_both count different contexts, so that copies of a passage are one witness.
+    share = PMI(term, entity) / IC(entity), with PMI = log(n_both * N / (n_term * n_entity)) and IC = log(N / n_entity).  All
+    four numbers count whole documents, of which copies (the same words outside patterns) are one.
     """
-    seen = found.select(F.explode("mentions").alias("m")).select("m.entity", "m.context", F.array_distinct("m.terms.term").alias("terms")).dropDuplicates(["entity", "context"])
-    entities = seen.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
-    pairs = seen.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    keys = saved(found.groupBy("key").agg(F.count("*").alias("copies")), "keys")
+    held = found.where(F.size("entities") > 0)
+    seen = held.select("key", F.explode("entities").alias("entity")).distinct()
+    entities = saved(seen.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support), "entities")
+    one = held.groupBy("key").agg(F.min("_row").alias("_row"))
+    looked = seen.join(entities, "entity", "left_semi").join(one, "key").select("_row", "entity")
+    pairs = looked.join(held.select("_row", F.col("terms.term").alias("terms")), "_row").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
     pairs = saved(pairs.join(entities, "entity"), "pairs")
     if not pairs.head(1):
         return pairs.select("entity", "term", F.lit(0.0).alias("share"))
-    n = float(max(total, 2))
-    counted = pairs.join(term_counts(docs, text_col, pairs), "term")
+    n = float(max(keys.count(), 2))
+    counted = pairs.join(term_counts(docs, text_col, pairs, keys.where("copies > 1")), "term")
     information = F.greatest(F.log(F.lit(n) / F.col("n_entity")), F.lit(1e-9))
-    share = F.log(F.col("n_both") * n / (F.greatest("n_term", "n_both") * F.col("n_entity"))) / information
-    return counted.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
+    share = F.log(F.col("n_both") * n / (F.col("n_term") * F.col("n_entity"))) / information
+    return saved(counted.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise), "shares")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """Spans of personal data in every whole text: the id and spans, an array of (start, end, kind, action) in order.
 
     Kinds email, ip, card and phone are the leftmost non-overlapping matches of fixed patterns that pass their checks, and
-    are removed.  Kind term marks words near a mention of an entity that reveal it: their co-occurrence with the entity
-    over the whole corpus gives away at least `generalise` of its information (from `support` different contexts on);
-    from `remove` on they are removed, below that generalised.  Offsets count code points, ends are exclusive.
+    are removed.  Kind term marks every occurrence, in a document that holds an entity, of words that reveal the entity: their
+    co-occurrence with it in whole documents over the corpus gives away at least `generalise` of its information (from
+    `support` different documents on); from `remove` on they are removed, below that generalised.  Offsets count code
+    points, ends are exclusive.
 
-    Null and empty texts have no spans; one row comes back for each input row (repeated ids get the spans of each of
-    their rows' own patterns, and the terms of all).  Only small rows are shuffled, never texts.  Other columns are left out.
+    Null and empty texts have no spans; one row comes back for each input row, with the spans of its own text, whatever its
+    id.  Only documents with entities send their terms, once each; texts are never shuffled.  Other columns are left out.
     """
     require(docs, id_col, text_col)
-    found = saved(mentions(docs, id_col, text_col), "mentions")
-    total = found.count()
-    share = disclosing_terms(found, docs, text_col, total, support, generalise)
-    words = found.select(id_col, F.explode("mentions").alias("m")).select(id_col, "m.entity", F.explode("m.terms").alias("t")).select(id_col, "entity", "t.term", "t.start", "t.end")
-    marked = words.join(share, ["entity", "term"]).groupBy(id_col, "start", "end").agg(F.max("share").alias("share"))
+    found = saved(mentions(docs, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()), "mentions")
+    share = disclosing_terms(found, docs, text_col, support, generalise)
+    told = found.where(F.size("entities") > 0).select("_row", "terms", F.explode("entities").alias("entity")).join(share.select("entity").distinct(), "entity", "left_semi")
+    places = told.select("_row", "entity", F.explode("terms").alias("t")).select("_row", "entity", "t.term", "t.at").join(share, ["entity", "term"])
+    marked = places.select("_row", "share", F.explode("at").alias("p")).groupBy("_row", "p.start", "p.end").agg(F.max("share").alias("share"))
     span = lambda x, kind, action: F.struct(x["start"].alias("start"), x["end"].alias("end"), kind.alias("kind"), action.alias("action"))
-    terms = marked.groupBy(F.col(id_col).alias("_id")).agg(F.collect_list(F.struct("start", "end", F.lit("term").alias("kind"), F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"))).alias("_terms"))
+    terms = marked.groupBy("_row").agg(F.collect_list(F.struct("start", "end", F.lit("term").alias("kind"), F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"))).alias("_terms"))
     base = F.transform("base", lambda x: span(x, x["kind"], F.lit("remove")))
-    joined = found.join(terms, F.col(id_col) == F.col("_id"), "left").withColumn("base", base)
+    joined = found.select("_row", id_col, "base").join(terms, "_row", "left").withColumn("base", base)
     order = F.array(*[F.lit(k) for k in (*KINDS, "term")])
     keyed = F.transform(F.concat("base", F.coalesce("_terms", F.array().cast("array<struct<start:bigint,end:bigint,kind:string,action:string>>"))), lambda x: F.struct(x["start"].alias("a"), F.array_position(order, x["kind"]).alias("b"), x["end"].alias("c"), x.alias("d")))
     return joined.select(id_col, F.transform(F.array_sort(keyed), lambda x: x["d"]).alias("spans"))

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -70,5 +71,29 @@ def test_terms_that_reveal_an_entity(spark):
     assert clean[20].text == rows[20][1] and clean[len(rows) - 2].text is None and clean[0].other == "x"
 
 
+def test_terms_count_over_whole_documents(spark):
+    far = lambda k: " ".join(f"plain common number{chr(97 + k)}{chr(97 + i % 26)}" for i in range(30))
+    told = [f"Zorblax wrote {far(k)} about this. Mail: boss@corp.com" for k in range(4)]
+    split = ["rareword plain common"] * 50  # one copied document beside the four: n_term is 5, not 54
+    told = [t.replace("about", "rareword") for t in told]
+    noise = [f"plain common wrote this mail {far(k % 26)} item{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]
+    again = [told[0].replace("Mail", "Zorblax rareword. Mail")]
+    texts = [*told, *again, *split, *noise]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "term"] for r in pii.find(df).collect()}
+    for k, t in enumerate([*told, *again]):
+        marked = [t[a:b].lower() for a, b in found[k]]
+        assert marked.count("zorblax") == t.lower().count("zorblax") and marked.count("rareword") == t.count("rareword")
+        assert not {"plain", "common", "wrote", "this", "mail"} & set(marked)
+    assert not any(found[k] for k in range(len(told) + len(again), len(texts)))
+    keyed = [[w[0] for w in pii.words(t, pii.base_spans(t))] for t in texts]
+    docs = {tuple(w): bool(pii.base_spans(t)) for w, t in zip(keyed, texts, strict=True)}
+    n, n_entity = len(docs), sum(docs.values())
+    for w in ("zorblax", "rareword", "plain"):
+        both, n_term = sum(e and w in d for d, e in docs.items()), sum(w in d for d in docs)
+        share = math.log(both * n / (n_term * n_entity)) / math.log(n / n_entity)
+        assert (share >= pii.GENERALISE) == (w != "plain")
+
+
 def test_empty_table(spark):
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).collect() == []
