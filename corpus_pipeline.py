@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recallspark.llm import language, packing, pii, quality
 from recallspark.llm._common import fold, saved, table
-from recallspark.llm.ngram_join import ngram_join
+from recallspark.llm.ngram_join import first_rows
 
 #: A document stays if its quality score and the probability of its language are at least so high.
 QUALITY, LANGUAGE = 0.5, 0.3
@@ -28,9 +28,8 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents, keep the one with the smallest id."""
-    first = ngram_join(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    """Of each class of linked documents and repeated rows, keep one row: the one with the smallest id, null ids last."""
+    return first_rows(docs)
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,6 +48,12 @@ def fold(col: str, mod: int) -> F.Column:
     return (F.crc32(F.col(col).cast("string").cast("binary")) % mod).cast("int")
 
 
+def row_key(id_col: str, text_col: str) -> F.Column:
+    """256-bit key of a row's id and text, nulls included; rows of the same key are repeated rows."""
+    part = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    return F.unhex(F.sha2(F.concat(part(F.col(id_col).cast("string")), part(F.col(text_col).cast("string"))).cast("binary"), 256))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder of spark.checkpoint.dir; the session's own setting is kept where there is one."""
     context = spark.sparkContext

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from recallspark.llm._common import require, saved, table
+from recallspark.llm._common import require, row_key, saved, table
 from recallspark.llm.components import components
 from recallspark.llm.shingles import _mix, set_key, shingles_of
 
@@ -52,8 +52,8 @@ def _counter(h: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, set (128-bit key of the shingle set) and n of every document; with them, rows of the sketch (chunk, counts)."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("set", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("chunk", T.IntegerType()), T.StructField("counts", T.BinaryType())])
+    """doc_id, row (its row key), set (128-bit key of the shingle set) and n of every document; with them, rows of the sketch (chunk, counts)."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("row", T.BinaryType()), T.StructField("set", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("chunk", T.IntegerType()), T.StructField("counts", T.BinaryType())])
     arrow, size = to_arrow_schema(schema), WIDTH // CHUNKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,13 +68,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     seen.add(keys[-1])
                     np.add.at(counts, _counter(h), 1)
             nothing = pa.nulls(len(keys))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), nothing.cast(pa.int32()), nothing.cast(pa.binary())], schema=arrow)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), nothing.cast(pa.int32()), nothing.cast(pa.binary())], schema=arrow)
         for k in range(CHUNKS):
             part = counts[k * size : (k + 1) * size]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((None, None, None, k, zlib.compress(part.tobytes(), 1)), arrow, strict=True)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((None, None, None, None, k, zlib.compress(part.tobytes(), 1)), arrow, strict=True)], schema=arrow)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), row_key(id_col, text_col)).mapInArrow(run, schema)
 
 
 def frequent_class(sketch: DataFrame, total: int) -> bytes:
@@ -313,6 +313,22 @@ def links(members: DataFrame) -> DataFrame:
     return meetings.join(members.select("set", "n", "tokens"), "set").groupBy("place").applyInArrow(meet, "a binary, b binary").distinct()
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, row, set and n of every document; and set, root (the same for linked sets) of every set that is not empty."""
+    first = saved(signatures(docs, id_col, text_col), "sets")
+    own = first.where("chunk is null").select("doc_id", "row", "set", "n")
+    sets = own.where("set is not null").select("set").distinct()
+    total = own.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        return own, sets.withColumn("root", F.col("set"))
+    frequent = frequent_class(first.where("chunk is not null").select("chunk", "counts"), total)
+    buckets = min(1 << 16, max(1, -(-total // BUCKET)))
+    answers = exchange(docs, id_col, text_col, frequent, buckets).groupBy("key").applyInArrow(count_bucket, _MESSAGE)
+    members = saved(answers.groupBy("key").applyInArrow(gather_batch, _MEMBER).dropDuplicates(["set"]), "members")
+    roots = components(links(members))
+    return own, sets.join(roots.withColumnRenamed("node", "set"), "set", "left").select("set", F.coalesce("root", "set").alias("root"))
+
+
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of documents that are linked, over any path, by the Jaccard similarity of their word shingles.
 
@@ -326,25 +342,29 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Sets are compared by 64-bit hashes of their shingles, of which 54 bits or more tell shingles apart.
     """
     require(docs, id_col, text_col)
-    first = saved(signatures(docs, id_col, text_col), "sets")
-    own = first.where("chunk is null").select("doc_id", "set", "n")
-    classes = own.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    total = own.agg(F.sum("n")).first()[0] or 0
-    if total:
-        frequent = frequent_class(first.where("chunk is not null").select("chunk", "counts"), total)
-        buckets = min(1 << 16, max(1, -(-total // BUCKET)))
-        answers = exchange(docs, id_col, text_col, frequent, buckets).groupBy("key").applyInArrow(count_bucket, _MESSAGE)
-        members = saved(answers.groupBy("key").applyInArrow(gather_batch, _MEMBER).dropDuplicates(["set"]), "members")
-        roots = components(links(members))
-        classes = classes.join(roots.withColumnRenamed("node", "set"), "set", "left").select("set", "doc_id", F.coalesce("root", "set").alias("root"))
-        least = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        classes = classes.join(least, "root").select("set", "component_id")
-    else:
-        classes = classes.select("set", F.col("doc_id").alias("component_id"))
-    out = own.join(classes, "set", "left")
+    own, roots = _classes(docs, id_col, text_col)
+    classes = own.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id")).join(roots, "set")
+    least = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    out = own.join(classes.join(least, "root").select("set", "component_id"), "set", "left")
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each class of linked documents, the one with the smallest id (null ids last); all columns stay.
+
+    Rows are told apart by id and text: of repeated rows one stays, as of other copies.  A text with an empty set is linked
+    with nothing, so only its repeated rows go.
+    """
+    require(docs, id_col, text_col)
+    own, roots = _classes(docs, id_col, text_col)
+    own = own.groupBy("row", "doc_id", "set").agg(F.count("*").alias("_n"))
+    sets = own.where("set is not null").groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "_n")).alias("x"))
+    linked = sets.join(roots, "set").groupBy("root").agg(F.min("x").alias("x")).select("x.row", "x._n")
+    kept = saved(linked.union(own.where("set is null").select("row", "_n")), "kept")
+    joined = docs.withColumn("_row_key", row_key(id_col, text_col)).join(kept.withColumnRenamed("row", "_row_key"), "_row_key")
+    return joined.where("_n = 1").union(joined.where("_n > 1").dropDuplicates(["_row_key"])).select(*docs.columns)
+
+
 def op3_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from recallspark.llm._common import require, saved, slices, table
+from recallspark.llm._common import require, row_key, saved, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: A term is looked at from so many different documents of an entity; it is generalised where it gives away this share of the
@@ -272,11 +272,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """docs with its texts sanitised: what a span removes becomes [KIND], what it generalises [WORD]; ids must be unique.
+    """docs with its texts sanitised: what a span removes becomes [KIND], what it generalises [WORD].
 
-    Overlapping spans are taken as one, named by the first.  Nulls stay null; all columns and rows stay.
+    Overlapping spans are taken as one, named by the first.  Nulls stay null; all columns and rows stay, repeated ids and
+    null ids included: spans find their rows by a key of id and text.
     """
-    spans = find(docs, id_col, text_col, **settings).where(F.size("spans") > 0).select(F.col(id_col).alias("_id"), F.col("spans").alias("_spans"))
+    require(docs, id_col, text_col)
+    keyed = docs.withColumn("_row_key", row_key(id_col, text_col))
+    spans = find(keyed, "_row_key", text_col, **settings).where(F.size("spans") > 0).withColumnRenamed("spans", "_spans").dropDuplicates(["_row_key"])
 
     def clean(texts, lists):
         import pandas as pd
@@ -293,9 +296,9 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
             out.append(text)
         return pd.Series(out, dtype="object")
 
-    joined = docs.join(spans, docs[id_col] == F.col("_id"), "left")
-    new = F.when(F.col("_spans").isNull(), docs[text_col]).otherwise(F.pandas_udf(clean, "string")(docs[text_col], F.col("_spans")))
-    return joined.select(*[new.alias(c) if c == text_col else docs[c] for c in docs.columns])
+    joined = keyed.join(spans, "_row_key", "left")
+    new = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.pandas_udf(clean, "string")(F.col(text_col), F.col("_spans")))
+    return joined.select(*[new.alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
 def _is(kind: str):

@@ -38,3 +38,16 @@ def test_stages_take_effect(spark):
     assert {r.doc_id for r in packed} == ids[4]
     run = corpus_pipeline.run(spark, SF)
     assert sorted((r.doc_id, r.start, r.length) for r in run.collect()) == sorted((r.doc_id, r.start, r.length) for r in packed)
+
+
+def test_null_and_repeated_ids(spark):
+    long = "one two three four five six seven eight nine ten"
+    rows = [(None, "null id with mail a@b.com and other words here", "x"), (None, "another null id with mail c@d.org and more words", "x"), (1, long, "x"), (1, long, "x"), (None, long, "x"), (2, "same id first text mail e@f.net stands here", "x"), (2, "a second text mail at its end g@h.net", "x"), (3, None, "x"), (3, None, "x"), (None, "", "x"), (4, " ", "x")]
+    df = corpus_pipeline.saved(spark.createDataFrame(rows, "doc_id long, text string, other string"), "made")
+    kept = corpus_pipeline.drop_near_copies(spark, df, SF)
+    assert kept.columns == df.columns
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, set(rows) - {(None, long, "x")}))
+    twice = corpus_pipeline.saved(df.union(df), "made")
+    clean = corpus_pipeline.remove_personal_data(spark, twice, SF).collect()
+    wanted = [(i, t and re.sub(r"[a-z]@[a-z]\.[a-z]+", "[EMAIL]", t), o) for i, t, o in rows * 2]
+    assert sorted(str((r.doc_id, r.text, r.other)) for r in clean) == sorted(map(str, wanted))
