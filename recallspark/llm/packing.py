@@ -26,10 +26,13 @@ TIERS = (512, 1024, 2048, 4096)
 HOLD = 1 << 18
 #: Words whose ids a Python worker remembers; the memory is emptied when it is full.
 WORDS = 1_000_000
+#: Bytes of text, and rows, whose words are looked up together.
+RUN_BYTES, RUN_ROWS = 8 << 20, 8192
 #: Sequences of a tier that one step takes, and the ranks that share them.
 STEP, RANKS = 64, 8
-#: A word of Latin letters, which is one match of the splitting pattern, and a mark behind it, which is another.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: A word of Latin letters, which is one match of the splitting pattern, and a run of marks behind it, which is another.
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?*%$#&)]*)")
+_encoders: dict[str, WordIds] = {}
 
 
 class WordIds:
@@ -37,7 +40,8 @@ class WordIds:
 
     The vocabulary drops white space, and neither its normalizer (NFC, one blank for white space, lower case for each
     character) nor its splitting pattern nor its merges reach over a blank, so a text's ids are those of its words in
-    a row.  Words come back often, so their ids are remembered; new words of a batch are encoded in one call.
+    a row.  A-Z may be put in lower case before, but where the text could hold a special token.  Words come back often,
+    so their ids are remembered; new words of a run of texts are encoded in one call.
     """
 
     def __init__(self, path: str):
@@ -47,41 +51,53 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.marks = {mark: np.array(self.tokenizer.encode(mark, add_special_tokens=False).ids, "<u4").tobytes() for mark in ("", ",", ".")}
 
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """Unsigned 32-bit ids of each text; null counts as empty."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    @staticmethod
+    def of(path: str) -> WordIds:
+        """One for each Python worker, so that what a task has learnt serves the next one."""
+        if path not in _encoders:
+            _encoders[path] = WordIds(path)
+        return _encoders[path]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Unsigned 32-bit ids of all texts in a row, and where each text begins and the last one ends; null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
         coded = lists.flatten().dictionary_encode()
-        ids = self._ids(coded.dictionary.to_pylist())
+        ids = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         data = np.frombuffer(b"".join(ids), "<u4")
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         words = coded.indices.to_numpy()
-        ends = np.append(0, np.cumsum(sizes[words]))
+        own = sizes[words]
+        ends = np.append(0, np.cumsum(own))
         starts = np.append(0, np.cumsum(sizes))[:-1]
-        out = data[np.repeat(starts[words] - ends[:-1], sizes[words]) + np.arange(ends[-1])]
-        at = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-        return [out[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        out = data[np.repeat(starts[words] - ends[:-1], own) + np.arange(ends[-1])]
+        return out, ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
 
     def _ids(self, words: list[str]) -> list[bytes]:
         if len(self.known) > WORDS:
-            self.known = {}
+            self.known.clear()
         known = self.known
-        plain, fresh, others = [], set(), []
-        for w in words:
-            if w not in known:
-                if m := _PLAIN.fullmatch(w):
-                    core = m[1].lower()
-                    plain.append((w, core, m[2]))
-                    if core not in known:
-                        fresh.add(core)
-                else:
-                    others.append(w)
-        self._learn_cores(list(fresh))
-        for w, core, mark in plain:
-            known[w] = known[core] + self.marks[mark] if mark else known[core]
-        self._learn(others)
-        return [known[w] for w in words]
+        found = list(map(known.get, words))
+        fresh = [k for k, x in enumerate(found) if x is None]
+        plain, cores, others = [], set(), set()
+        for k in fresh:
+            if m := _PLAIN.fullmatch(words[k]):
+                core, marks = m.groups()
+                plain.append((k, core, marks))
+                cores.add(core)
+                if marks:
+                    others.add(marks)
+            else:
+                others.add(words[k])
+        self._learn_cores([x for x in cores if x not in known])
+        self._learn([x for x in others if x not in known])
+        for k, core, marks in plain:
+            found[k] = known[words[k]] = known[core] + known[marks] if marks else known[core]
+        for k in fresh:
+            if found[k] is None:
+                found[k] = known[words[k]]
+        return found
 
     def _learn(self, words: list[str]) -> None:
         for k in range(0, len(words), 4096):
@@ -104,6 +120,19 @@ class WordIds:
                 start = end
 
 
+def runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose texts (the second column) are about RUN_BYTES long together; a longer text is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    start = size = 0
+    for k, n in enumerate(sizes.tolist()):
+        if k > start and (size + n > RUN_BYTES or k - start == RUN_ROWS):
+            yield batch.slice(start, k - start)
+            start, size = k, 0
+        size += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 class Packer:
     """Packs the documents of one task, in their order, with bounded memory.
 
@@ -255,13 +284,13 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
-        encode, packer, steps, count = WordIds(path), Packer(tiers, hold), Steps(step, ranks), 0
+        coder, packer, steps, count = WordIds.of(path), Packer(tiers, hold), Steps(step, ranks), 0
         steps.next = base
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                for doc, ids in zip(part.column(0).to_pylist(), encode.encode(part.column(1)), strict=True):
-                    packer.add(doc, ids.tobytes() + end)
+            for part in runs(batch):
+                ids, at = coder.encode(part.column(1))
+                for doc, a, b in zip(part.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    packer.add(doc, ids[a:b].tobytes() + end)
                 dealt = []
                 for tier, pieces in packer.out:
                     dealt += steps.deal(tier, base + count, pieces)

@@ -23,8 +23,16 @@ def fuzz(seed, n):
 
 def test_word_by_word_ids_are_those_of_the_whole_text():
     texts = fuzz(1, 3000)
-    own = packing.WordIds(public_tokenizers.path("word_bpe_49k.json")).encode(pa.array(texts))
-    assert [x.tolist() for x in own] == [x[:-1] for x in whole(texts)]
+    texts += ["<|ENDOFTEXT|> x", "A<|b", "Hello, World.", "word;:! (word)", "ÀÉ!? İ. ẞ;", "e.\u0300 x,\u0301", "a.b,c'd.", "it's. IT'S.", "x'. y.'"]
+    ids, at = packing.WordIds(public_tokenizers.path("word_bpe_49k.json")).encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [x[:-1] for x in whole(texts)]
+
+
+def test_runs_keep_every_row(monkeypatch):
+    monkeypatch.setattr(packing, "RUN_BYTES", 100)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array([None if k % 7 == 0 else "x" * (k * 11 % 130) for k in range(50)])], names=["id", "text"])
+    assert sum((p.column(0).to_pylist() for p in packing.runs(batch)), []) == list(range(50))
+    assert not list(packing.runs(batch.slice(0, 0)))
 
 
 def covered(rows, texts, window=4096):
