@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -21,28 +22,58 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 CONTAINERS = frozenset("html body main article section div td table ul ol dl blockquote figure details".split())
 #: Elements that never hold article text.
 OUTSIDE = frozenset("head nav aside footer form script style noscript template iframe object svg canvas button select textarea datalist dialog menu search audio video map math".split())
+HIDDEN = re.compile(r"display\s*:\s*none")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Elements that the next one of their name ends.
+SELF_CLOSING = frozenset("li dt dd tr td th option".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-#: Words of a class, id or role that mark boilerplate.
-MARKS = frozenset(
-    "ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
-    "complementary contentinfo dialog discussion disqus feedback footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices "
-    "alert pager pagination popup promo promotion recommended related replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored "
-    "subscribe subscription tags toolbar widget widgets warning".split()
+#: Words of a class or id that mark boilerplate where they begin or end the name.
+STRONG = frozenset(
+    "ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies footer gdpr login masthead menu menus modal nav navbar "
+    "navigation newsletter notice notices pager pagination popup promo promotion share sharing sidebar sidebars signup skip social sponsor sponsored subscribe "
+    "subscription toolbar widget widgets".split()
 )
-WORD = re.compile(r"[A-Za-z]+")
+#: Words that mark what readers wrote.
+COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
+#: Words that may as well name a part of the article: there, the clusters decide.
+WEAK = frozenset("alert dialog discussion feedback recommended related search tags warning".split())
+ROLES = {"navigation": 3, "contentinfo": 3, "complementary": 3, "menu": 3, "menubar": 3, "search": 3, "dialog": 3, "banner": 2, "alert": 1, "alertdialog": 3}
+#: First words of a name that only says how a page is laid out.
+MODIFIERS = frozenset("has with without no not is hide show can js".split())
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: How boilerplate a container is: by no sign, weakly, as a page header, by a strong word, as comments, by its element.
+CLEAN, MAYBE, HEADER, MARKED, READERS, NEVER = range(6)
+
+
+@lru_cache(1 << 16)
+def mark_of(name: str) -> int:
+    """The mark that one class name or id gives its container."""
+    words = [w.lower() for w in WORD.findall(name)]
+    if not words or words[0] in MODIFIERS:
+        return CLEAN
+    ends = {words[0], words[-1]}
+    if not COMMENTS.isdisjoint(ends):
+        return READERS
+    if not STRONG.isdisjoint(ends):
+        return MARKED
+    if "header" in ends:
+        return HEADER
+    return CLEAN if WEAK.isdisjoint(words) and STRONG.isdisjoint(words) else MAYBE
 
 
 class Node:
-    """An open or closed container: its parent, and whether it is boilerplate."""
+    """A container: its parent, its own mark, and what is summed up of its lines."""
 
-    __slots__ = ("tag", "id", "parent", "out", "sure", "saved", "flag", "article", "weight", "inside")
+    __slots__ = ("tag", "id", "parent", "mark", "article", "barred", "saved", "out", "titles", "top", "weak", "weight", "ratios", "count", "links", "prose", "region")
 
-    def __init__(self, tag: str, id: int, parent: Node | None, out: bool, sure: bool):
-        self.tag, self.id, self.parent, self.out, self.sure = tag, id, parent, out, sure
-        self.saved = self.inside = False
-        self.flag = self.weight = 0
+    def __init__(self, tag: str, id: int, parent: Node | None, mark: int):
+        self.tag, self.id, self.parent, self.mark = tag, id, parent, mark
         self.article = tag in ("article", "main") or parent is not None and parent.article
+        self.barred = mark in (NEVER, READERS) or parent is not None and parent.barred
+        self.saved = self.out = self.titles = self.region = False
+        self.top: Node | None = None
+        self.weak: Node | None = None
+        self.weight = self.ratios = self.count = self.links = self.prose = 0
 
 
 class Lines(HTMLParser):
@@ -51,24 +82,28 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[dict] = []
-        self.nodes = [Node("", 0, None, False, False)]
+        self.nodes = [Node("", 0, None, CLEAN)]
         self.stack = [self.nodes[0]]
         self.open: Counter[str] = Counter()
         self.text: list[str] = []
         self.tags = self.links = self.in_link = 0
-        self.heading = self.item = self.begun = False
+        self.heading = self.item = False
+        self.begun: set[str] = set()
 
     def _flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
             self.lines.append({"text": text, "tags": self.tags, "links": self.links, "heading": self.heading, "item": self.item, "node": self.stack[-1]})
-            self.tags = self.links = 0
         self.text = []
+        self.tags = self.links = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
             self._flush()
             self.heading, self.item = tag in HEADINGS, tag == "li"
+            if (last := self.stack[-1].tag) == "p" or last == tag and tag in SELF_CLOSING:
+                self.stack.pop()
+                self.open[last] -= 1
         elif tag == "br":
             self.text.append(" ")
         self.tags += 1
@@ -76,23 +111,32 @@ class Lines(HTMLParser):
             self.in_link = 1
         if tag in VOID:
             return
-        inner = tag == "header"
-        if tag in CONTAINERS or tag in OUTSIDE or inner or tag == "h1" or (attrs and tag in BLOCKS):
-            hidden = marked = False
-            for name, value in attrs:
-                if name in ("class", "id", "role") and value and tag not in ("html", "body", "main"):
-                    marked = marked or not MARKS.isdisjoint(WORD.findall(value.lower()))
-                elif name == "hidden" or name == "style" and value and re.search(r"display\s*:\s*none", value):
-                    hidden = True
-            if tag in ("article", "main", "h1") and not marked and not self.begun:
-                self.begun = True  # what wraps the article is no boilerplate, whatever its class says
-                for x in self.stack:
-                    x.saved = not x.sure
-            if tag in CONTAINERS or tag in OUTSIDE or inner or marked or hidden:
-                sure = tag in OUTSIDE or inner or hidden
-                self.nodes.append(Node(tag, len(self.nodes), self.stack[-1], sure or marked, sure))
-                self.stack.append(self.nodes[-1])
-                self.open[tag] += 1
+        mark = NEVER if tag in OUTSIDE else HEADER if tag == "header" else CLEAN
+        for name, value in attrs if tag in BLOCKS and tag not in HEADINGS else ():
+            if not value:
+                if name == "hidden":
+                    mark = NEVER
+            elif name == "class" and tag not in ("html", "body", "main"):
+                mark = max(mark, *(mark_of(x) for x in value.split()), CLEAN)
+            elif name == "id" and tag not in ("html", "body", "main"):
+                mark = max(mark, mark_of(value))
+            elif name == "role":
+                mark = max(mark, ROLES.get(value.strip().lower(), CLEAN))
+            elif name == "hidden" or name == "style" and HIDDEN.search(value):
+                mark = NEVER
+        if tag in ("article", "main", "h1") and mark < HEADER:
+            self._wrapped("h1" if tag == "h1" else "article")
+        if mark or tag in CONTAINERS:
+            self.nodes.append(Node(tag, len(self.nodes), self.stack[-1], mark))
+            self.stack.append(self.nodes[-1])
+            self.open[tag] += 1
+
+    def _wrapped(self, kind: str) -> None:
+        """What wraps the first article, or the first title of the page, is no boilerplate, whatever its class says."""
+        if kind not in self.begun and not self.stack[-1].barred:
+            self.begun.add(kind)
+            for x in self.stack:
+                x.saved = True
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -142,57 +186,108 @@ def smooth(values: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(values, kernel)[r : r + len(values)] / np.convolve(np.ones(len(values)), kernel)[r : r + len(values)]
 
 
+def _settle(nodes: list[Node], lines: list[dict]) -> None:
+    """Which containers, and so which lines, are boilerplate by their own or an outer mark; of an article's header, headings stay."""
+    for x in nodes:  # parents come first
+        up = x.parent
+        own = x.mark == NEVER or x.mark >= HEADER and not x.saved and not (x.mark == HEADER and x.article)
+        x.out = own or up is not None and up.out
+        x.titles = x.mark == HEADER and x.article or up is not None and up.titles
+        x.top = up.top if up and up.top else x if own and not x.barred else None
+        x.weak = x if x.mark == MAYBE and not x.saved else up.weak if up else None
+    for line in lines:
+        line["out"] = line["node"].out or line["node"].titles and not line["heading"]
+
+
+def _rescue(nodes: list[Node], lines: list[dict]) -> bool:
+    """If nearly all prose of a page stands in one marked container, the mark is wrong: the container is saved."""
+    prose = lambda x: max(0, len(x["text"]) - x["links"]) if len(x["text"]) >= 60 else 0
+    free = 0
+    for line in lines:
+        if not line["out"]:
+            free += prose(line)
+        elif line["node"].top and not line["node"].barred:
+            line["node"].top.prose += prose(line)
+    best = max(nodes, key=lambda x: x.prose)
+    best.saved = best.prose > 10 * free
+    return best.saved
+
+
+def _ratios(lines: list[dict], sigma: float) -> np.ndarray:
+    """Smoothed characters outside links for each tag; half of it in containers with a weak mark, nothing in boilerplate."""
+    own = [0.0 if x["out"] else max(0, len(x["text"]) - x["links"]) / max(1, x["tags"]) / (2 if x["node"].weak else 1) for x in lines]
+    return smooth(np.array(own), sigma)
+
+
+def _regions(nodes: list[Node], total: float) -> list[Node]:
+    """The outermost article and main elements, if they hold a fair part of the clusters; else the smallest container that holds most."""
+    told = [x for x in nodes if x.tag in ("article", "main") and not x.out and x.weight and not (x.parent and x.parent.article)]
+    if sum(x.weight for x in told) >= 0.3 * total:
+        return told
+    return [max((x for x in nodes if x.weight >= 0.7 * total), key=lambda x: x.id)]
+
+
 def main_text(html: str | None, sigma: float = 1.0, strength: float = 1.0) -> str:
     """The main text of one page, or "" if it has none."""
     lines, nodes = lines_of(html) if html else ([], [])
-    for x in nodes:  # parents come first
-        up = x.parent.flag if x.parent else 0
-        own = x.out and not x.saved
-        x.flag = 1 if up == 1 or own and not (x.tag == "header" and x.article) else 2 if up or own else 0
-    for x in lines:
-        x["out"] = x["node"].flag == 1 or x["node"].flag == 2 and not x["heading"]
-    run: list[dict] = []
-    for x in [*lines, None]:  # runs of list items that are links only
-        if x and x["item"] and x["links"] >= 0.8 * len(x["text"]):
-            run.append(x)
-            continue
-        if len(run) >= 3:
-            for y in run:
-                y["out"] = True
-        run = []
+    _settle(nodes, lines)
+    if lines and _rescue(nodes, lines):
+        _settle(nodes, lines)
     if all(x["out"] for x in lines):
         return ""
-    ratio = smooth(np.array([0.0 if x["out"] else max(0, len(x["text"]) - x["links"]) / max(1, x["tags"]) for x in lines]), sigma)
+    ratio = _ratios(lines, sigma)
     threshold = strength * ratio.std()
-    seeds = [k for k, x in enumerate(lines) if not x["out"] and ratio[k] >= threshold] or [k for k, x in enumerate(lines) if not x["out"]]
+    for k, x in enumerate(lines):  # a weakly marked container stays if it looks like the text around it
+        if (own := x["node"].weak) and not x["out"]:
+            own.ratios, own.count, own.links = own.ratios + ratio[k] * len(x["text"]), own.count + len(x["text"]), own.links + x["links"]
+    for x in lines:
+        own = x["node"].weak
+        x["out"] = x["out"] or own is not None and (own.ratios < threshold * own.count or 2 * own.links > own.count)
+    good = [k for k, x in enumerate(lines) if not x["out"]]
+    seeds = [k for k in good if ratio[k] >= threshold] or good
+    if not seeds:
+        return ""
     for k in seeds:
         lines[k]["node"].weight += len(lines[k]["text"])
     for x in reversed(nodes[1:]):
         x.parent.weight += x.weight
-    total = nodes[0].weight
-    articles = [x for x in nodes if x.tag in ("article", "main") and x.weight >= 0.3 * total]
-    if articles:  # the region that says itself what it is, where the clusters agree
-        root = max(articles, key=lambda x: (x.weight, x.id))
-    else:
-        root = max((x for x in nodes if x.weight >= 0.7 * total), key=lambda x: x.id)
+    regions = _regions(nodes, nodes[0].weight)
+    chosen = {x.id for x in regions}
     for x in nodes:
-        x.inside = x is root or x.parent is not None and x.parent.inside
-    inside = [k for k, x in enumerate(lines) if not x["out"] and x["node"].inside]
-    if root.tag in ("", "html", "body"):  # no region of its own: the clusters, what lies between, and what stands beside them
-        own = [k for k in seeds if lines[k]["node"].inside]
-        beside = {lines[k]["node"].id for k in own}
-        inside = [k for k in inside if own[0] <= k <= own[-1] or lines[k]["node"].id in beside]
+        x.region = x.id in chosen or x.parent is not None and x.parent.region
+    inside = [k for k in good if lines[k]["node"].region]
+    if regions[0].tag in ("", "html", "body"):  # no region of its own: the clusters, what lies between, and what stands beside them
+        beside = {lines[k]["node"].id for k in seeds}
+        inside = [k for k in _unlisted(lines, inside) if seeds[0] <= k <= seeds[-1] or lines[k]["node"].id in beside]
     return "\n\n".join(lines[k]["text"] for k in inside)
 
 
+def _unlisted(lines: list[dict], rows: list[int]) -> list[int]:
+    """rows without runs of three or more list items that are links only: menus of pages that name nothing."""
+    out: list[int] = []
+    run: list[int] = []
+    for k in [*rows, None]:
+        if k is not None and lines[k]["item"] and lines[k]["links"] >= 0.8 * len(lines[k]["text"]):
+            run.append(k)
+            continue
+        out += run if len(run) < 3 else []
+        run = []
+        if k is not None:
+            out.append(k)
+    return out
+
+
 def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",), sigma: float = 1.0, strength: float = 1.0) -> DataFrame:
     """Main text of every page; a map over the rows, with no shuffle.
 
     The standard library's parser streams events; the text between block borders is a line, and its ratio is its
     characters outside links for each of its tags.  Ratios are smoothed by a Gaussian of `sigma` lines; lines at or above
-    `strength` standard deviations are the content cluster.  The region is the article or main element, else the
-    smallest container, that holds most of the cluster; all its lines are returned but those in elements or classes
-    that never are article text (menus, headers, footers, asides, notices, adverts, forms, scripts, comments).
+    `strength` standard deviations are the content clusters.  The region is made of the outermost article and main elements
+    if they hold a fair part of the clusters, else it is the smallest container that holds most of them; all its lines are returned
+    but boilerplate.  Menus, headers, footers, asides, forms, scripts and hidden parts go by their element; notices,
+    adverts, sidebars, comments and the like by a class or id that begins or ends with such a word, but what wraps the article or
+    nearly all prose of a page is never taken for one.  Words that may name a part of an article (discussion, warning, related)
+    only halve the ratios of their container, and it goes only if it falls out of the clusters or is mostly links.  Ids of headings mean nothing.
 
     Returns id_col, the columns of `keep`, text (blocks joined by an empty line; "" if there is none) and n_chars.
     Null or empty html gives "".  Other columns are left out; so a clash of names with `text` is no matter.  Broken

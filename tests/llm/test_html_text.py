@@ -35,6 +35,43 @@ def test_no_article_element():
     assert text == f"Head\n\n{one}\n\ntiny\n\n{one}"
 
 
+def blocks(body):
+    return html_text.main_text(page(body)).split("\n\n")
+
+
+ONE = " ".join(PARAGRAPH.split())
+MENU = "<ul><li><a href=a>Home page</a><li><a href=b>News of today</a><li><a href=c>Contact us</a></ul>"
+
+
+def test_layout_words_are_no_boilerplate():
+    assert blocks(f"<nav>{MENU}</nav><div class='main-content has-sidebar'><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div><footer>f</footer>") == [ONE] * 2
+    assert blocks(f"<div class='content-sidebar-wrap'><div class=text><h2>Head</h2><p>{PARAGRAPH}<p>x</div><div class=sidebar><p>{PARAGRAPH}</div></div>") == ["Head", ONE, "x"]
+    assert blocks(f"<div id=widget-1><p>{PARAGRAPH}</p><p>tiny</p></div>") == [ONE, "tiny"]
+    assert blocks(f"<div class=ad-page><article><h1>T</h1><p>{PARAGRAPH}</article></div>") == ["T", ONE]
+
+
+def test_parts_of_an_article_stay():
+    refs = "<ul>" + "".join(f"<li><a href={k}>Reference number {k}</a></li>" for k in range(3)) + "</ul>"
+    assert blocks(f"<article><h1>T</h1><h2 id=search-results>Results</h2><p>{PARAGRAPH}</p><section id=discussion><h2>Discussion</h2><p>{PARAGRAPH}</p></section>{refs}</article>") == ["T", "Results", ONE, "Discussion", ONE, *(f"Reference number {k}" for k in range(3))]
+    assert blocks(f"{MENU}<div class=text><h2>Head</h2><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><div class=warning><p>Never open the lid while it is hot.</p></div><p>{PARAGRAPH}</p>{refs}</div>") == ["Head", ONE, ONE, "Never open the lid while it is hot.", ONE, *(f"Reference number {k}" for k in range(3))]
+    assert blocks(f"<article><p>{PARAGRAPH}</p><div class='related tags'><a href=x>one</a> <a href=y>two</a></div><div class=newsletter-signup><p>{PARAGRAPH}</p></div><p>{PARAGRAPH}</p></article>") == [ONE, ONE]
+
+
+def test_sibling_articles_and_comments():
+    assert blocks(f"<div><article><p>{PARAGRAPH}</article><div class=ad><p>{PARAGRAPH}</div><article><h2>Two</h2><p>{PARAGRAPH}</article></div>") == [ONE, "Two", ONE]
+    comments = "".join(f"<article class=comment><p>{PARAGRAPH}</article>" for _ in range(9))
+    assert blocks(f"<div class=story><h1>T</h1><p>{PARAGRAPH}</p></div><section id=comments>{comments}</section>") == ["T", ONE]
+    assert html_text.main_text(page(f"<section id=comments>{comments}</section>")) == ""
+
+
+def test_unclosed_marked_blocks_end_with_the_next():
+    assert blocks(f"<article><p class=ad>Buy now<p>{PARAGRAPH}<ul><li class=promo>Cheap<li>point one<li>point two</ul></article>") == [ONE, "point one", "point two"]
+
+
+def test_deep_pages_take_linear_time():
+    html_text.main_text("<div class=ad>" * 20_000 + f"<h1>x</h1><p>{PARAGRAPH}</p>" * 2000)
+
+
 def test_odd_input(spark):
     odd = [None, "", "   ", "plain words", "<![foo bar <p>x</p>", "<p>unclosed <b>bold", "<div>" * 3000 + "deep", "<a" * 2000, "&lt;b&gt; &#x41; &bogus;", "<script>only</script>", "<p>\x00nul</p>"]
     df = spark.createDataFrame([(k, "u", h, 5) for k, h in enumerate(odd)] * 2, "page_id long, url string, html string, n_chars int")
