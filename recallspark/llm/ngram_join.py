@@ -5,8 +5,10 @@ size, from which the frequent class follows.  (2) A second pass sends each shing
 hash; buckets count in how many documents it stands, and send back only shingles that stand in two or more.  (3) Each
 document orders its shingles: those that stand nowhere else, then rare ones by the size class of their count, then frequent ones.  Linked documents
 share something in the first n - ceil(0.75 n) + 1 of them, so a document whose prefix is all its own is done: most are.
-(4) The others are indexed by their prefix: single rare tokens, and pairs of frequent tokens from a prefix that is one
-longer (for long sets, where pairs would be too many, single frequent tokens).  (5) Documents that meet in an index key,
+(4) The others are indexed by their prefix: single rare tokens; and, as frequent tokens come last, combinations of two frequent
+ones where the first token that two sets share is frequent.  For these the prefix is extended by one token for each of g
+classes that frequent tokens are dealt into by a hash: g + 1 shared ones hold two of one class, so only pairs within a class are
+indexed, a few for each token of the prefix however long the set.  (5) Documents that meet in an index key,
 over any path, meet in one task, or key by key where they are too many, and are verified by the counts of their common shingles.
 (6) Links become components.
 """
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +28,15 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from recallspark.llm._common import require, row_key, saved, table
-from recallspark.llm.components import components
+from recallspark.llm.components import components, dealt_join
 from recallspark.llm.shingles import _mix, set_key, shingles_of
 
 #: Counters of the sketch, in CHUNKS parts; a shingle is frequent where its counter reaches FLOOR and LOAD times the mean.
 WIDTH, CHUNKS, FLOOR, LOAD = 1 << 20, 64, 64, 8
-#: Shingles for each bucket of the exact counts, and for each batch that is sent to the buckets.
-BUCKET, BATCH = 1_000_000, 2_000_000
-#: Sets of at most this size use pairs of frequent tokens, those of at least 0.75 of it single ones as well.
-SHORT = 40
+#: Shingles for each bucket of the exact counts, at least; a batch that is sent to the buckets has twice as many.
+BUCKET = 1_000_000
+#: Shingles of a set for each class that frequent tokens are dealt into.
+SPREAD = 16
 #: Documents of one index key that meet in one task; more are dealt into parts, and every two parts meet.
 PART = 2048
 _H48 = np.uint64((1 << 48) - 1)
@@ -102,7 +105,12 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
 
-def exchange(docs: DataFrame, id_col: str, text_col: str, frequent: bytes, buckets: int) -> DataFrame:
+def bucket_size(total: int) -> int:
+    """Shingles of a bucket: beyond some 6e10 shingles they grow with the root of all, as then do the batches, so that messages stay long and few."""
+    return max(BUCKET, 4 * isqrt(total))
+
+
+def exchange(docs: DataFrame, text_col: str, frequent: bytes, buckets: int, most: int) -> DataFrame:
     """Messages of batches of documents: kind 0 to each bucket (shingles and the place of their document), kind 1 for the batch itself."""
     hot = np.unpackbits(np.frombuffer(frequent, np.uint8)).astype(bool)
 
@@ -111,7 +119,7 @@ def exchange(docs: DataFrame, id_col: str, text_col: str, frequent: bytes, bucke
         all_h = np.concatenate([h for _, h in held])
         place = np.repeat(np.arange(len(held), dtype=np.uint16), sizes)
         common = hot[_counter(all_h)]
-        bucket = (all_h >> np.uint64(48)) % np.uint64(buckets)
+        bucket = (all_h >> np.uint64(36)) % np.uint64(buckets)
         token = (bucket << np.uint64(48)) | (all_h & _H48)
         own = [np.array([len(held)], "<u4").tobytes(), b"".join(k for k, _ in held), sizes.astype("<u4").tobytes(), np.bincount(place[common], minlength=len(held)).astype("<u4").tobytes(), token[common].astype("<u8").tobytes()]
         yield _rows([(-1 - batch, batch, 1, b"".join(own))])
@@ -137,7 +145,7 @@ def exchange(docs: DataFrame, id_col: str, text_col: str, frequent: bytes, bucke
                 seen.add(key)
                 held.append((key, h))
                 size += len(h)
-                if size >= BATCH or len(held) == 60_000:
+                if size >= most or len(held) == 60_000:
                     yield from send(held, batch)
                     held, seen, size, batch = [], set(), 0, batch + 1
         if held:
@@ -181,22 +189,26 @@ _MEMBER = T.StructType([T.StructField("set", T.BinaryType()), T.StructField("n",
 def prefix_keys(tokens: np.ndarray, hot: np.ndarray, n: int) -> list[int]:
     """Index keys of a set of n shingles, of which `tokens`, in order, stand in other documents as well.
 
-    Rare tokens of the prefix are single keys.  Frequent ones give pairs from a prefix that is one longer if the set is
-    short, and single keys if it is long; sets between give both, so that any two that can be linked meet.
+    Rare tokens of the prefix are single keys.  If the first token that two linked sets share is frequent, all that they share are.
+    With a prefix that is g tokens longer they share g + 1 of it, and two of these are of one class when frequent
+    tokens are dealt into g classes: pairs of one class are keys.  g follows from the size class (a power of two) of the smaller
+    set, which has 0.75 to 1 times the size of the larger one; so a set gives the pairs of one size class or two.
     """
-    own = n - len(tokens)
-    reach = n - required(n) + 1 - own
-    keys: list[int] = []
-    if 4 * n <= 16 * SHORT // 3:  # small enough to be linked with a set of SHORT
-        wide = max(0, reach + 1)
-        keys += tokens[:wide][~hot[:wide]].tolist()
+    reach = len(tokens) - required(n) + 1
+    base = tokens[: max(0, reach)]
+    keys: list[int] = base[~hot[: len(base)]].tolist()
+    for level in range(required(n).bit_length(), n.bit_length() + 1):
+        classes = max(1, (1 << level) // (2 * SPREAD))
+        wide = max(0, reach + classes)
         often = tokens[:wide][hot[:wide]]
-        for k in range(len(often) - 1):
-            keys += _mix(often[k : k + 1] * np.uint64(0x9E3779B97F4A7C15) + often[k + 1 :]).tolist()
-        if 4 * n >= 3 * SHORT:
-            keys += tokens[: max(0, reach)][hot[: max(0, reach)]].tolist()
-    elif reach > 0:
-        keys += tokens[:reach].tolist()
+        if len(often) < 2:
+            continue
+        kind = _mix(often + np.uint64(level)) % np.uint64(classes)
+        order = np.argsort(kind, kind="stable")
+        kind, own, apart = kind[order], often[order], 1
+        while (same := kind[:-apart] == kind[apart:]).any():
+            keys += _mix(own[:-apart][same] * np.uint64(0x9E3779B97F4A7C15) + own[apart:][same] + np.uint64(level)).tolist()
+            apart += 1
     return [k - (1 << 64) if k >= 1 << 63 else k for k in dict.fromkeys(keys)]
 
 
@@ -305,7 +317,7 @@ def links(members: DataFrame) -> DataFrame:
     candidates = components(places.select(F.col("set").alias("a"), F.col("hub").alias("b")))
     weight = members.select(F.col("set").alias("node"), (F.octet_length("tokens") / 8).alias("w"))
     small = candidates.join(weight, "node").groupBy("root").agg(F.sum("w").alias("w"))
-    own = saved(candidates.join(small, "root").select(F.col("node").alias("set"), F.when(F.col("w") <= TOGETHER, F.xxhash64("root")).alias("place")), "meetings")
+    own = saved(dealt_join(candidates, small, "root", candidates.count()).select(F.col("node").alias("set"), F.when(F.col("w") <= TOGETHER, F.xxhash64("root")).alias("place")), "meetings")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     large = places.join(own.where("place is null").select("set"), "set", "left_semi").withColumn("own", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")).withColumn("other", other)
     by_key = large.select("set", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("place"))
@@ -322,8 +334,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     if not total:
         return own, sets.withColumn("root", F.col("set"))
     frequent = frequent_class(first.where("chunk is not null").select("chunk", "counts"), total)
-    buckets = min(1 << 16, max(1, -(-total // BUCKET)))
-    answers = exchange(docs, id_col, text_col, frequent, buckets).groupBy("key").applyInArrow(count_bucket, _MESSAGE)
+    size = bucket_size(total)
+    answers = exchange(docs, text_col, frequent, max(1, -(-total // size)), 2 * size).groupBy("key").applyInArrow(count_bucket, _MESSAGE)
     members = saved(answers.groupBy("key").applyInArrow(gather_batch, _MEMBER).dropDuplicates(["set"]), "members")
     roots = components(links(members))
     return own, sets.join(roots.withColumnRenamed("node", "set"), "set", "left").select("set", F.coalesce("root", "set").alias("root"))
@@ -339,13 +351,14 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     with the same id count as documents of that id.  Other columns are left out.  Rows are expected from files or a written table,
     so that a task that runs again sees the same rows in the same order.
 
-    Sets are compared by 64-bit hashes of their shingles, of which 54 bits or more tell shingles apart.
+    Sets are compared by hashes of their shingles: a bucket and 48 bits more tell shingles apart.
     """
     require(docs, id_col, text_col)
     own, roots = _classes(docs, id_col, text_col)
     classes = own.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id")).join(roots, "set")
     least = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = own.join(classes.join(least, "root").select("set", "component_id"), "set", "left")
+    classes = dealt_join(classes, least, "root", own.count()).select("set", "component_id")
+    out = own.join(classes, "set", "left")
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

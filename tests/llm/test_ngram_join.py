@@ -1,7 +1,9 @@
 import random
 from collections import defaultdict
 
-from recallspark.llm import ngram_join
+import numpy as np
+
+from recallspark.llm import components, ngram_join
 
 
 def shingles(text):
@@ -87,6 +89,57 @@ def test_made_texts_equal_brute_force(spark, monkeypatch):
         same(ngram_join.ngram_join(ngram_join.saved(df, "made")).collect(), texts)
 
 
+def test_linked_sets_share_an_index_key():
+    """Any two linked sets meet, whatever their size and however many of their tokens are frequent."""
+    r = np.random.default_rng(11)
+    mixed = lambda n: np.unique(r.integers(1, 1 << 62, 2 * n, dtype=np.uint64))[:n]
+    for trial in range(400):
+        n = int(r.integers(2, 60)) if trial % 3 else int(r.integers(60, 2500))
+        common = mixed(n)
+        r.shuffle(common)
+        extra = mixed(n)
+        changed = int(r.integers(1, max(2, n // 7 + 1)))
+        a, b = set(common.tolist()), set(common[changed:].tolist()) | set(extra[: int(r.integers(0, changed + 1))].tolist())
+        if 100 * len(a & b) < 75 * len(a | b):
+            continue
+        hot = np.array([True, False, r.random() < 0.5])[trial % 3] if trial % 2 else None
+        is_hot = {x: bool(hot) if hot is not None else x % 3 > 0 for x in a | b}
+        keys = []
+        for own in (a, b):
+            shared = sorted((x for x in own if x in a & b or is_hot[x] or x % 5 == 0), key=lambda x: (is_hot[x], x))
+            keys.append(ngram_join.prefix_keys(np.array(shared, np.uint64), np.array([is_hot[x] for x in shared], bool), len(own)))
+            assert len(keys[-1]) <= 60 + 4 * len(own)
+        assert set(keys[0]) & set(keys[1]), (len(a), len(b), len(a & b))
+
+
+def test_repeated_and_null_ids(spark):
+    text = "one two three four five six seven"
+    rows = [(5, text), (5, text), (3, text), (None, text), (5, "another text of its own here"), (None, None), (7, text + " eight nine")]
+    got = ngram_join.ngram_join(ngram_join.saved(spark.createDataFrame(rows, "doc_id long, text string"), "made")).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == sorted([("5", 3, "3")] * 2 + [("3", 3, "3"), ("None", 3, "3"), ("5", 2, "5"), ("None", 0, "None"), ("7", 5, "7")])
+
+
+def test_components_of_hubs_and_chains(spark, monkeypatch):
+    monkeypatch.setattr(components, "LEAST", 5)
+    monkeypatch.setattr(components, "HUBS", 20)
+    r = random.Random(8)
+    links = [(1000, k) for k in range(300)] + [(k, k + 1) for k in range(2000, 2200)] + [(r.randint(3000, 3300), r.randint(3000, 3300)) for _ in range(250)] + [(2100, 2100), (None, 4), (9000, 8999)]
+    parent = {}
+
+    def find(a):
+        while parent.setdefault(a, a) != a:
+            a = parent[a]
+        return a
+
+    for a, b in links:
+        if a is not None and a != b:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    got = {x.node: x.root for x in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {k: find(k) for k in parent}
+    assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 def test_empty_tables(spark):
     assert ngram_join.ngram_join(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     rows = ngram_join.ngram_join(spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string")).collect()
