@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,8 @@ SUPPORT, GENERALISE, REMOVE = 3, 0.6, 0.85
 #: Bits of the filters that spare most words the count over the corpus, and most documents the search for copies; they let
 #: some through, and drop none.
 FILTER_BITS = 1 << 22
+#: Letters at the end of a word that name its more general classes, the narrower first.
+CLASS_LETTERS = (3, 1)
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -109,6 +113,18 @@ def words(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[str, int,
     return out
 
 
+def terms_of(text: str | None, taken: list[tuple[int, int, int]]) -> list[str]:
+    """The words of a text outside all patterns, in lower case, in order."""
+    if not text:
+        return []
+    return [w[0] for w in words(text, taken)] if taken else " ".join(_WORD.findall(text)).lower().split()
+
+
+def classes_of(term: str) -> tuple[str, ...]:
+    """More general classes of a word, the narrower one first: all words that end in its last three letters, and in its last one."""
+    return tuple("…" + term[-n:] for n in CLASS_LETTERS)
+
+
 def witness(terms: list[str]) -> bytes:
     """Equal for documents of the same words outside patterns: copies are one witness."""
     return hashlib.sha256(" ".join(terms).encode("utf-8", "surrogatepass")).digest()[:16]
@@ -130,14 +146,17 @@ def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 columns = [[], [], [], []]
                 for text in part.column(1).to_pylist():
                     own, entities, terms = base_spans(text), set(), {}
-                    outside = words(text or "", own)
                     for a, k, b in own:
                         value = text[a:b].lower() if k < 2 else "".join(_DIGIT.findall(text[a:b]))
                         entities.add(hashlib.sha256(f"{KINDS[k]}:{value}".encode()).hexdigest())
                     if entities:
+                        outside = words(text, own)
                         for t, s, e in outside:
                             terms.setdefault(t, []).append({"start": s, "end": e})
-                    row = [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in own], witness([w[0] for w in outside]), sorted(entities), [{"term": t, "at": at} for t, at in terms.items()]
+                        key = witness([w[0] for w in outside])
+                    else:
+                        key = witness(terms_of(text, own))
+                    row = [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in own], key, sorted(entities), [{"term": t, "at": at} for t, at in terms.items()]
                     for column, value in zip(columns, row, strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:], strict=True)]], schema=arrow)
@@ -147,7 +166,7 @@ def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _slot(value: str | bytes) -> int:
     raw = value if isinstance(value, bytes) else value.encode("utf-8", "surrogatepass")
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little") % FILTER_BITS
+    return zlib.crc32(raw) % FILTER_BITS
 
 
 def _filter(values: DataFrame) -> bytes:
@@ -168,23 +187,24 @@ def _filter(values: DataFrame) -> bytes:
 
 
 def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, copied: DataFrame) -> DataFrame:
-    """term and n_term: in how many different documents each of `terms` stands, and few other terms; `copied` holds the witness keys that come more than once.
+    """term and n_term: in how many different documents each of `terms` and each of their classes stands, and few others; `copied` holds the witness keys that come more than once.
 
     Filters of fixed size keep most other words out of the shuffle, and let most documents be counted without their key.
     """
-    packed, packed_keys = _filter(terms.select("term")), _filter(copied.select("key"))
+    classes = F.array(F.col("term"), *[F.concat(F.lit("…"), F.right("term", F.lit(n))) for n in CLASS_LETTERS])
+    packed, packed_keys = _filter(terms.select(F.explode(classes).alias("term")).distinct()), _filter(copied.select("key"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, repeated = (np.unpackbits(np.frombuffer(p, np.uint8)).astype(bool) for p in (packed, packed_keys))
-        known: dict[str, bool] = {}
+        known: dict[str, tuple[str, ...]] = {}
         told: set[bytes] = set()
         for batch in batches:
             seen: dict[str, int] = {}
-            held: list[tuple[bytes, list[str]]] = []
+            held: list[tuple[bytes, set[str]]] = []
             for text in batch.column(0).to_pylist():
-                own = [w[0] for w in words(text or "", base_spans(text))]
+                own = terms_of(text, base_spans(text))
                 key = witness(own)
-                hits = []
+                hits: set[str] = set()
                 if maybe := bool(repeated[_slot(key)]):
                     if key in told:
                         continue
@@ -196,16 +216,15 @@ def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, copied: DataFr
                     if hit is None:
                         if len(known) > 500_000:
                             known.clear()
-                        hit = known[term] = bool(bits[_slot(term)])
-                    if hit:
-                        hits.append(term)
+                        hit = known[term] = tuple(x for x in (term, *classes_of(term)) if bits[_slot(x)])
+                    hits.update(hit)
                 if not maybe:
                     for term in hits:
                         seen[term] = seen.get(term, 0) + 1
                 elif hits:
                     held.append((key, hits))
             if seen or held:
-                rows = [[None] * len(seen) + [k for k, _ in held], [[t] for t in seen] + [h for _, h in held], [*seen.values(), *[1] * len(held)]]
+                rows = [[None] * len(seen) + [k for k, _ in held], [[t] for t in seen] + [list(h) for _, h in held], [*seen.values(), *[1] * len(held)]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.binary(), pa.list_(pa.string()), pa.int64()), strict=True)], names=["key", "terms", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,8 +240,8 @@ def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, copied: DataFr
     return once.select("terms", "n").mapInArrow(add, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, support: int, generalise: float) -> DataFrame:
-    """entity, term and share: the part of an entity's information that a term gives away.
+def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, support: int, generalise: float, remove: float) -> DataFrame:
+    """entity, term, share (the part of an entity's information that a term gives away) and level (of the class to write for it).
 
     share = PMI(term, entity) / IC(entity), with PMI = log(n_both * N / (n_term * n_entity)) and IC = log(N / n_entity).  All
     four numbers count whole documents, of which copies (the same words outside patterns) are one.
@@ -236,21 +255,32 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, support:
     pairs = looked.join(held.select("_row", F.col("terms.term").alias("terms")), "_row").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
     pairs = saved(pairs.join(entities, "entity"), "pairs")
     if not pairs.head(1):
-        return pairs.select("entity", "term", F.lit(0.0).alias("share"))
+        return pairs.select("entity", "term", F.lit(0.0).alias("share"), F.lit(0).alias("level"))
     n = float(max(keys.count(), 2))
-    counted = pairs.join(term_counts(docs, text_col, pairs, keys.where("copies > 1")), "term")
+    told = saved(term_counts(docs, text_col, pairs, keys.where("copies > 1")), "told")
     information = F.greatest(F.log(F.lit(n) / F.col("n_entity")), F.lit(1e-9))
     share = F.log(F.col("n_both") * n / (F.col("n_term") * F.col("n_entity"))) / information
-    return saved(counted.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise), "shares")
+    shares = saved(pairs.join(told, "term").select("entity", "term", "n_entity", share.alias("share")).where(F.col("share") >= generalise), "shares")
+    # The narrowest class of a word that gives away less than `generalise` of the entity; level 0 is the narrowest, none is beyond the last.
+    wide = shares.where(F.col("share") < remove).select("entity", "term", "n_entity", F.posexplode(F.array(*[F.concat(F.lit("…"), F.right("term", F.lit(k))) for k in CLASS_LETTERS])).alias("level", "class"))
+    wide = saved(wide, "classes")
+    held_classes = F.array_distinct(F.flatten(F.array(*[F.transform("terms.term", lambda t, k=k: F.concat(F.lit("…"), F.right(t, F.lit(k)))) for k in CLASS_LETTERS])))
+    own = looked.join(wide.select("entity").distinct(), "entity", "left_semi").join(held.select("_row", held_classes.alias("classes")), "_row").select("entity", F.explode("classes").alias("class"))
+    both = own.join(wide.select("entity", "class").distinct(), ["entity", "class"], "left_semi").groupBy("entity", "class").agg(F.count("*").alias("n_both"))
+    fit = wide.join(both, ["entity", "class"]).join(told.withColumnRenamed("term", "class"), "class").where(share < generalise)
+    level = fit.groupBy("entity", "term").agg(F.min("level").alias("level"))
+    return saved(shares.join(level, ["entity", "term"], "left").select("entity", "term", "share", F.coalesce("level", F.lit(len(CLASS_LETTERS))).alias("level")), "disclosing")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """Spans of personal data in every whole text: the id and spans, an array of (start, end, kind, action) in order.
+    """Spans of personal data in every whole text: the id and spans, an array of (start, end, kind, action, by) in order.
 
     Kinds email, ip, card and phone are the leftmost non-overlapping matches of fixed patterns that pass their checks, and
     are removed.  Kind term marks every occurrence, in a document that holds an entity, of words that reveal the entity: their
     co-occurrence with it in whole documents over the corpus gives away at least `generalise` of its information (from
-    `support` different documents on); from `remove` on they are removed, below that generalised.  Offsets count code
+    `support` different documents on); from `remove` on they are removed, below that generalised: `by` is the narrowest class of
+    the word (all that end in its last three letters, or in its last one) that gives away less than `generalise` of each
+    entity, by the same counts, and WORD where none is wide enough.  Offsets count code
     points, ends are exclusive.
 
     Null and empty texts have no spans; one row comes back for each input row, with the spans of its own text, whatever its
@@ -258,21 +288,21 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
     """
     require(docs, id_col, text_col)
     found = saved(mentions(docs, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()), "mentions")
-    share = disclosing_terms(found, docs, text_col, support, generalise)
+    share = disclosing_terms(found, docs, text_col, support, generalise, remove)
     told = found.where(F.size("entities") > 0).select("_row", "terms", F.explode("entities").alias("entity")).join(share.select("entity").distinct(), "entity", "left_semi")
     places = told.select("_row", "entity", F.explode("terms").alias("t")).select("_row", "entity", "t.term", "t.at").join(share, ["entity", "term"])
-    marked = places.select("_row", "share", F.explode("at").alias("p")).groupBy("_row", "p.start", "p.end").agg(F.max("share").alias("share"))
-    span = lambda x, kind, action: F.struct(x["start"].alias("start"), x["end"].alias("end"), kind.alias("kind"), action.alias("action"))
-    terms = marked.groupBy("_row").agg(F.collect_list(F.struct("start", "end", F.lit("term").alias("kind"), F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"))).alias("_terms"))
-    base = F.transform("base", lambda x: span(x, x["kind"], F.lit("remove")))
+    marked = places.select("_row", "share", "level", "term", F.explode("at").alias("p")).groupBy("_row", "p.start", "p.end", "term").agg(F.max("share").alias("share"), F.max("level").alias("level"))
+    by = F.when(F.col("share") >= remove, "TERM").otherwise(reduce(lambda rest, k: F.when(F.col("level") == k, F.concat(F.lit("…"), F.right("term", F.lit(CLASS_LETTERS[k])))).otherwise(rest), range(len(CLASS_LETTERS)), F.lit("WORD")))
+    terms = marked.groupBy("_row").agg(F.collect_list(F.struct("start", "end", F.lit("term").alias("kind"), F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"), by.alias("by"))).alias("_terms"))
+    base = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), F.lit("remove").alias("action"), F.upper(x["kind"]).alias("by")))
     joined = found.select("_row", id_col, "base").join(terms, "_row", "left").withColumn("base", base)
     order = F.array(*[F.lit(k) for k in (*KINDS, "term")])
-    keyed = F.transform(F.concat("base", F.coalesce("_terms", F.array().cast("array<struct<start:bigint,end:bigint,kind:string,action:string>>"))), lambda x: F.struct(x["start"].alias("a"), F.array_position(order, x["kind"]).alias("b"), x["end"].alias("c"), x.alias("d")))
+    keyed = F.transform(F.concat("base", F.coalesce("_terms", F.array().cast("array<struct<start:bigint,end:bigint,kind:string,action:string,by:string>>"))), lambda x: F.struct(x["start"].alias("a"), F.array_position(order, x["kind"]).alias("b"), x["end"].alias("c"), x.alias("d")))
     return joined.select(id_col, F.transform(F.array_sort(keyed), lambda x: x["d"]).alias("spans"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """docs with its texts sanitised: what a span removes becomes [KIND], what it generalises [WORD].
+    """docs with its texts sanitised: what a span removes becomes [KIND], what it generalises its class, such as […ing].
 
     Overlapping spans are taken as one, named by the first.  Nulls stay null; all columns and rows stay, repeated ids and
     null ids included: spans find their rows by a key of id and text.
@@ -290,7 +320,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
                 parts, at = [], 0
                 for s in own:
                     if s["start"] >= at:
-                        parts += [text[at : s["start"]], "[WORD]" if s["action"] == "generalise" else f"[{s['kind'].upper()}]"]
+                        parts += [text[at : s["start"]], f"[{s['by']}]"]
                     at = max(at, s["end"])
                 text = "".join(parts) + text[at:]
             out.append(text)

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter, defaultdict
 
 from recallspark.llm import pii
 
@@ -53,6 +54,78 @@ def test_query_equals_brute_force(spark):
         assert [rows[d.doc_id][f"n_{k}"] for k in PATTERNS] == [sum(x[1] == i for x in own) for i in range(4)]
 
 
+def brute_find(texts):
+    """All spans with what is written for them, by counts in plain Python over whole texts."""
+    own = []
+    for text in texts:
+        spans, places, entities = brute(text), defaultdict(list), set()
+        for m in re.finditer(r"[^\W\d_]{3,}", text or ""):
+            if not any(a < m.end() and m.start() < b for a, _, b in spans):
+                places[m.group().lower()].append(m.span())
+        for a, k, b in spans:
+            entities.add((k, text[a:b].lower() if k < 2 else re.sub("[^0-9]", "", text[a:b])))
+        order = tuple(w for _, w in sorted((at, w) for w, ats in places.items() for at in ats))
+        own.append((spans, places, entities, order))
+    distinct = {}
+    for _, places, entities, order in own:
+        names = set(places) | {w[-3:].join(["…", ""]) for w in places} | {"…" + w[-1] for w in places}
+        distinct.setdefault(order, [set(), names])[0].update(entities)
+    n, n_term, n_entity, n_both = max(2, len(distinct)), Counter(), Counter(), Counter()
+    for entities, names in distinct.values():
+        n_term.update(names)
+        n_entity.update(entities)
+        n_both.update((e, x) for e in entities for x in names)
+    share = lambda e, x: math.log(n_both[e, x] * n / (n_term[x] * n_entity[e])) / max(math.log(n / n_entity[e]), 1e-9)
+    out = []
+    for spans, places, entities, _ in own:
+        rows = [(a, k, b, list(PATTERNS)[k].upper()) for a, k, b in spans]
+        for word, ats in places.items():
+            told = [(share(e, word), e) for e in entities if n_both[e, word] >= pii.SUPPORT]
+            told = [(x, e) for x, e in told if x >= pii.GENERALISE]
+            if told:
+                by = "TERM"
+                if max(told)[0] < pii.REMOVE:
+                    fits = [[k for k, c in enumerate(("…" + word[-3:], "…" + word[-1])) if share(e, c) < pii.GENERALISE] for _, e in told]
+                    by = ("…" + word[-3:], "…" + word[-1], "WORD")[max(min(f, default=2) for f in fits)]
+                rows += [(a, 4, b, by) for a, b in ats]
+        out.append(sorted(rows))
+    return out
+
+
+def same_as_brute(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kinds = [*PATTERNS, "term"]
+    got = {r.doc_id: [(s.start, kinds.index(s.kind), s.end, s.by) for s in r.spans] for r in pii.find(df).collect()}
+    want = brute_find(texts)
+    assert got == dict(enumerate(want))
+    return [x[3] for rows in want for x in rows]
+
+
+def test_all_spans_equal_brute_force(spark):
+    r = random.Random(9)
+    words = ["".join(r.choice("bcdfglmnrst") + r.choice("aeiou") for _ in range(r.randint(2, 4))) for _ in range(160)]
+    texts = [None, "", "12 ab"]
+    for k in range(500):
+        own = [r.choice(words) for _ in range(r.randint(3, 40))]
+        if k % 5 == 0:
+            e = r.randrange(12)
+            own.insert(r.randrange(len(own)), f"user{e}@mail.com")
+            own += [f"secret{words[e]}"] * r.randint(0, 2) + [words[e * 3]] * (r.random() < 0.8)
+        elif k % 11 == 0:
+            own.append(words[3 * r.randrange(12)])
+        texts += [" ".join(own).title() if k % 7 == 0 else " ".join(own)] * (3 if k % 13 == 0 else 1)
+    by = same_as_brute(spark, texts)
+    assert by.count("TERM") > 20 and sum(x.startswith("…") for x in by) > 5, Counter(by)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
+    same_as_brute(spark, [d.text for d in docs])
+
+
+def test_many_mentions_in_one_text_take_linear_time(spark):
+    text = " ".join(f"word{chr(97 + k % 26)} someone{k}@mail.com" for k in range(100_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert len(pii.find(df).first().spans) == 100_000
+
+
 def test_terms_that_reveal_an_entity(spark):
     noise = [f"plain common words number{chr(97 + k % 26)}{chr(97 + k // 26)} stand here" for k in range(300)]
     told = [f"{w} common zorblax wrote from boss@corp.com about {w} words" for w in ("alpha", "bravo", "charlie", "delta")]
