@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
+from recallspark.sources.scratch import scratch_path
+
 # How much of an activation each kind of relation carries.
 RELATION_FACTORS = {"CO_OCCUR": 1.0, "DERIVED": 0.8, "CAUSAL": 2.0, "TEMPORAL": 1.2, "CONTRADICT": -1.0, "REFINES": 0.6, "SUPERSEDES": 0.0}
 SIGNAL_FACTORS = {0: 0.7, 1: 1.0, 2: 1.5}
@@ -18,35 +26,72 @@ def _top(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame
     return df.withColumn("rank", F.row_number().over(W.Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def usable(vec: str | Column) -> Column:
+    """A vector that has components, none of them null, infinite or undefined."""
+    v = F.col(vec) if isinstance(vec, str) else vec
+    good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce((F.size(v) > 0) & good, F.lit(False))
+
+
+def _vectors(df: DataFrame, key: str) -> DataFrame:
+    own = df.select(F.col(key).alias("key"), F.col("vec").cast("array<double>").alias("vec"))
+    return own.where(F.col("key").isNotNull() & usable("vec"))
+
+
+def _blocked(df: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """df with _b, the block of its key, and the number of blocks of about so many rows."""
+    n = max(1, -(-df.count() // rows))
+    return df.withColumn("_b", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")), n
+
+
+def _matrices(part: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each dimension: the rows of a block that have it, in the order of their keys, and their vectors as a matrix."""
+    order = pc.sort_indices(part["key"])
+    column = part["vec"].combine_chunks().take(order)
+    lists = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    sizes, rows = np.diff(offsets), order.to_numpy()
+    return {int(d): (rows[sizes == d], values[np.add.outer(offsets[:-1][sizes == d], np.arange(d))]) for d in np.unique(sizes)}
+
+
+def _gathered(left: pa.Table, right: pa.Table, names: tuple[str, str], found: list[tuple[np.ndarray, ...]]) -> pa.Table:
+    a, b, score = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return pa.table({names[0]: left["key"].take(pa.array(a)), names[1]: right["key"].take(pa.array(b)), "score": pa.array(score)})
+
+
+def _pair_schema(names: tuple[str, str], left: DataFrame, right: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField(names[0], left.schema["key"].dataType), T.StructField(names[1], right.schema["key"].dataType), T.StructField("score", T.DoubleType())])
+
+
 def vector_topk(queries: DataFrame, items: DataFrame, k: int = 20, least: float | None = None, query_rows: int = 2048, item_rows: int = 16_384) -> DataFrame:
     """qid, id, score, rank: the k items of the largest dot product with each query, among all items but its own id.
 
     queries: qid, vec; items: id, vec.  Query blocks of about query_rows rows meet blocks of about item_rows items in tasks that
-    multiply matrices and return k rows for each query; neither side is collected or broadcast.
+    multiply matrices and return k rows for each query; neither side is collected or broadcast.  Vectors that are null, empty
+    or hold anything null or not finite take no part, and vectors of different lengths do not meet; ties go to the smaller id.
     """
-    n_q = max(1, -(-queries.count() // query_rows))
-    item_blocks = max(1, -(-items.count() // item_rows))
-    q = queries.select("qid", F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("qid"), F.lit(n_q)).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))).alias("_i"))
-    i = items.select("id", F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("id"), F.lit(item_blocks)).alias("_i"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("_q"))
-    i = i.select("id", "vec", F.col("_i").cast("int"), F.col("_q").cast("long"))
-    q = q.select("qid", "vec", F.col("_i").cast("int"), F.col("_q").cast("long"))
-    schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("id", items.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    (q, n_q), (i, n_i) = _blocked(_vectors(queries, "qid"), query_rows), _blocked(_vectors(items, "id"), item_rows)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a, b = q.select("key", "vec", F.col("_b").alias("_q"), every(n_i).alias("_i")), i.select("key", "vec", every(n_q).alias("_q"), F.col("_b").alias("_i"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
+        found: list[tuple[np.ndarray, ...]] = []
         if left.num_rows and right.num_rows:
-            a, b = np.array(left["vec"].to_pylist()), np.array(right["vec"].to_pylist())
-            scores, qids, ids = np.round(a @ b.T, 9), left["qid"].to_pylist(), right["id"].to_pylist()
-            own = np.array(ids)
-            for row, qid in zip(scores, qids, strict=True):
-                order = np.lexsort((own, -row))[: k + 1]
-                best = [j for j in order.tolist() if ids[j] != qid and (least is None or row[j] > least)][:k]
-                out[0].extend([qid] * len(best))
-                out[1].extend(ids[j] for j in best)
-                out[2].extend(row[best].tolist())
-        return pa.table({"qid": out[0], "id": out[1], "score": out[2]}).cast(pa.schema([("qid", left.schema.field("qid").type), ("id", right.schema.field("id").type), ("score", pa.float64())]))
-
-    found = q.groupBy("_q", "_i").cogroup(i.groupBy("_q", "_i")).applyInArrow(meet, schema)
+            codes = pd.factorize(np.concatenate([left["key"].to_numpy(), right["key"].to_numpy()]))[0]
+            asked, known = _matrices(left), _matrices(right)
+            for dim in asked.keys() & known.keys():
+                (rows, x), (own, y) = asked[dim], known[dim]
+                for at in range(0, len(rows), 256):
+                    scores = np.round(x[at : at + 256] @ y.T, 9)
+                    scores[codes[rows[at : at + 256], None] == codes[None, left.num_rows + own]] = -np.inf
+                    for row, at_row in zip(scores, rows[at : at + 256], strict=True):
+                        floor = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+                        good = np.flatnonzero((row >= floor) & (row > (-np.inf if least is None else least)))
+                        good = good[np.argsort(-row[good], kind="stable")][:k]
+                        found.append((np.full(len(good), at_row), own[good], row[good]))
+        return _gathered(left, right, ("qid", "id"), found)
+
+    found = a.groupBy("_q", "_i").cogroup(b.groupBy("_q", "_i")).applyInArrow(meet, _pair_schema(("qid", "id"), q, i))
     return _top(found, ["qid"], [F.desc("score"), F.asc("id")], k)
 
 
@@ -57,37 +102,98 @@ def candidate_topk(queries: DataFrame, items: DataFrame, candidates: DataFrame,
     return _top(joined.select("qid", "id", dot.alias("score")), ["qid"], [F.desc("score"), F.asc("id")], k)
 
 
-def similar_pairs(items: DataFrame, least: float, k: int = 10) -> DataFrame:
-    """a < b, score: pairs above a similarity, where one is among the k nearest of the other; each pair once."""
-    found = vector_topk(items.select(F.col("id").alias("qid"), "vec"), items, k, least)
-    return found.select(F.least("qid", "id").alias("a"), F.greatest("qid", "id").alias("b"), "score").groupBy("a", "b").agg(F.max("score").alias("score"))
+def vector_classes(items: DataFrame) -> DataFrame:
+    """id, class_id: items with equal vectors are one class, named by its smallest id; unusable vectors are left out."""
+    own = _vectors(items, "id")
+    first = own.groupBy("vec").agg(F.min("key").alias("class_id"))
+    return own.join(first, "vec").select(F.col("key").alias("id"), "class_id")
 
 
-def tokens(c: str | Column) -> Column:
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 0)
+def similar_pairs(items: DataFrame, least: float, rows: int = 8192) -> DataFrame:
+    """a < b, score: all pairs of different vectors whose dot product is above `least`, each once and none left out.
 
+    Equal vectors stand as one, their smallest id (vector_classes gives the members).  Blocks of about `rows` vectors meet each
+    other once in tasks that multiply matrices, so the work grows with the square of the number of different vectors;
+    near_pairs_by_lsh finds most of the pairs of a high similarity for less.
+    """
+    first = _vectors(items, "id").groupBy("vec").agg(F.min("key").alias("key"))
+    path = scratch_path(items.sparkSession, "vectors")
+    first.select("key", "vec").write.parquet(path)
+    (x, n), (y, _) = (_blocked(items.sparkSession.read.schema(first.select("key", "vec").schema).parquet(path), rows) for _ in range(2))
+    a = x.select("key", "vec", F.col("_b").alias("_q"), F.explode(F.sequence(F.col("_b"), F.lit(n - 1))).alias("_i"))
+    b = y.select("key", "vec", F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_q"), F.col("_b").alias("_i"))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, ...]] = []
+        if left.num_rows and right.num_rows:
+            codes = pd.factorize(np.concatenate([left["key"].to_numpy(), right["key"].to_numpy()]), sort=True)[0]
+            same = left["_q"][0].as_py() == left["_i"][0].as_py()
+            one, two = _matrices(left), _matrices(right)
+            for dim in one.keys() & two.keys():
+                (mine, p), (other, q) = one[dim], two[dim]
+                for at in range(0, len(mine), 256):
+                    scores = np.round(p[at : at + 256] @ q.T, 9)
+                    if same:
+                        scores[codes[mine[at : at + 256], None] >= codes[None, left.num_rows + other]] = -np.inf
+                    i, j = np.nonzero(scores > least)
+                    found.append((mine[at : at + 256][i], other[j], scores[i, j]))
+        return _gathered(left, right, ("x", "y"), found)
+
+    pairs = a.groupBy("_q", "_i").cogroup(b.groupBy("_q", "_i")).applyInArrow(meet, _pair_schema(("x", "y"), x, y))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
+
+
+def near_pairs_by_lsh(items: DataFrame, least: float = 0.92, tables: int = 16, width: float = 1.0, seed: int = 7) -> DataFrame:
+    """As similar_pairs for unit vectors of one length, but only pairs that share a bucket of a random projection are compared.
+
+    What is returned is checked exactly; a pair at the threshold is missed if all `tables` projections part it.  More tables and a larger
+    `width` (of a bucket, in distances at the threshold) find more and compare more.
+    """
+    first = _vectors(items, "id").groupBy("vec").agg(F.min("key").alias("key"))
+    own = first.select("key", "vec", array_to_vector("vec").alias("features"))
+    distance = float(np.sqrt(max(1e-12, 2 - 2 * least)))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width * distance, numHashTables=tables, seed=seed).fit(own)
+    near = model.approxSimilarityJoin(own, own, distance * 1.000001 + 1e-6).where("datasetA.key < datasetB.key")
+    dot = F.round(F.aggregate(F.zip_with("datasetA.vec", "datasetB.vec", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x), 9)
+    return near.select(F.col("datasetA.key").alias("a"), F.col("datasetB.key").alias("b"), dot.alias("score")).where(F.col("score") > least)
+
+
+def near_duplicates(memories: DataFrame, least: float = 0.92) -> DataFrame:
+    """Pairs of different live vectors (id, vec, is_superseded) so near that they say the same."""
+    return similar_pairs(memories.where(~F.col("is_superseded")), least)
+
+
+def conflict_candidates(memories: DataFrame, least: float = 0.75) -> DataFrame:
+    """Pairs of different live vectors (id, vec, is_superseded) near enough to contradict each other."""
+    return similar_pairs(memories.where(~F.col("is_superseded")), least)
 
-def bm25_postings(docs: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
-    """term, id, tf, size of every document."""
-    own = docs.select(F.col(id_col).alias("id"), tokens(text).alias("t"))
-    return own.select("id", F.size("t").alias("size"), F.explode("t").alias("term")).groupBy("term", "id", "size").agg(F.count("*").alias("tf"))
 
+def conflicts_of(new: DataFrame, memories: DataFrame, k: int = 5, least: float = 0.5) -> DataFrame:
+    """For single memories (id, vec): the k nearest live ones above a similarity, as a list to look at."""
+    return vector_topk(new.select(F.col("id").alias("qid"), "vec"), memories.where(~F.col("is_superseded")).select("id", "vec"), k, least)
 
-def bm25_search(queries: DataFrame, docs: DataFrame, id_col: str = "id", text: str = "text", k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """qid, id, score, rank: documents that hold all terms of a query (qid, text), by BM25.
 
-    Only postings of query terms are kept before anything is scored; document counts and the mean length cover all.
+def tokens(c: str | Column) -> Column:
+    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 0)
+
+
+def bm25_search(queries: DataFrame, docs: DataFrame, id_col: str = "id", text: str | list[str] = "text", k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """qid, id, score, rank: documents that hold all terms of a query (qid, text), by BM25 over one text column or some together.
+
+    Only postings of query terms are kept before anything is shuffled or scored; document counts and the mean length cover all, and
+    words are only counted for these.
     """
+    body = F.concat_ws("\n", *([text] if isinstance(text, str) else text))
     terms = queries.select("qid", F.explode(F.array_distinct(tokens("text"))).alias("term"))
     need = terms.groupBy("qid").agg(F.count("*").alias("need"))
-    own = docs.select(F.col(id_col).alias("id"), tokens(text).alias("t"))
-    stats = own.agg(F.count("*").alias("docs"), F.avg(F.size("t")).alias("mean"))
+    stats = docs.agg(F.count("*").alias("docs"), F.avg(F.regexp_count(F.lower(body), F.lit(r"[\p{L}\p{N}]+"))).alias("mean"))
+    own = docs.select(F.col(id_col).alias("id"), tokens(body).alias("t"))
     wanted = terms.select("term").distinct()
     postings = own.select("id", F.size("t").alias("size"), F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "id", "size").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
-    hit = terms.join(postings, "term").join(df, "term").join(F.broadcast(stats))
+    hit = terms.join(postings, "term").join(df, "term").join(F.broadcast(stats))  # stats: one row
     score = hit.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("n")).join(need, "qid").where("n = need").select("qid", "id", "score")
     return _top(score, ["qid"], [F.desc("score"), F.asc("id")], k)
 
@@ -161,7 +267,7 @@ def rerank(fused: DataFrame, memories: DataFrame, reviews: DataFrame, queries: D
     """
     own = fused.where(F.col("rank") <= pool) if pool else fused
     own = own.select("qid", "id", "score").join(memories, "id").join(reviews.select(F.col("memory_id").alias("id"), "recall_policy", "quality_score"), "id", "left")
-    own = own.join(queries.select("qid", F.col("space_id").alias("qp")), "qid")
+    own = own.join(queries.select("qid", F.col("space_id").alias("qp"), *[F.col(c).alias("qs") for c in queries.columns if c == "session_id"]), "qid")
     own = own.where(~F.col("is_superseded") & ~F.col("status").isin("wrong", "muted", "deleted")).withColumn("q", quality_factor(F.col("recall_policy"), F.col("quality_score"))).where("q is not null")
     inside = F.coalesce(F.col("space_id") == F.col("qp"), F.lit(False))
     if mode == "within":
@@ -170,5 +276,53 @@ def rerank(fused: DataFrame, memories: DataFrame, reviews: DataFrame, queries: D
     signal = F.coalesce(F.create_map(*[F.lit(x) for kv in SIGNAL_FACTORS.items() for x in kv])[F.col("signal_level")], F.lit(1.0))
     space = F.when(inside & (mode == "boost"), 1.25 * F.when(F.col("memory_type") == "DECISION", 1.08).otherwise(1.0)).otherwise(1.0)
     score = F.col("score") * signal * F.col("user_weight") * F.when(expired, 0.25).otherwise(1.0) * F.when(F.col("pinned"), 1.25).otherwise(1.0) * space * F.col("q")
-    why = F.array_compact(F.array(F.when(F.col("pinned"), "pinned"), F.when(expired, "expired"), F.when(inside, "space"), F.when(F.col("signal_level") == 2, "strong signal"), F.when(F.col("recall_policy") == "downrank", "downranked")))
+    here = F.coalesce(F.col("session_id") == F.col("qs"), F.lit(False)) if "session_id" in memories.columns and "session_id" in queries.columns else F.lit(False)
+    why = F.array_compact(F.array(F.when(F.col("pinned"), "pinned"), F.when(expired, "expired"), F.when(inside, "space"), F.when(here, "session"), F.when(F.col("signal_level") == 2, "strong signal"), F.when(F.col("user_weight") > 1, "raised").when(F.col("user_weight") < 1, "lowered"), F.when(F.col("recall_policy") == "downrank", "downranked")))
     return _top(own.select("qid", "id", F.round(score, 9).alias("score"), why.alias("reasons")), ["qid"], [F.desc("score"), F.asc("id")], k)
+
+
+def recall(
+    queries: DataFrame,
+    memories: DataFrame,
+    mentions: DataFrame,
+    tags: DataFrame,
+    neighbors: DataFrame,
+    space_memories: DataFrame,
+    reviews: DataFrame,
+    as_of: Column,
+    k: int = 5,
+    depth: int = 20,
+    mode: str = "boost",
+    pool: int | None = None,
+    text: str | list[str] = "text",
+    n_tags: int = 5,
+) -> DataFrame:
+    """End-to-end batch recall: qid, id, score, rank, raw_score, channels, tags and reasons of the k best memories of each query.
+
+    queries: qid, text, vec, session_id, space_id; memories: id, vec, the text columns, session_id and what rerank looks at; mentions: memory_id,
+    tag, relevance; tags: name, vec, is_dormant; neighbors as spread takes them; space_memories: space_id, memory_id; reviews: memory_id,
+    recall_policy, quality_score.  Three channels of `depth` memories each, by vectors, by words and by activation that spreads from seed tags and the
+    priors of the query's space, are fused by reciprocal ranks and re-ranked under governance.  Queries in a space have a pool of max(5 k, 30), or
+    `pool`; others have k, so what governance drops makes their answers shorter.  channels names those that found a memory.
+    """
+    q = queries.select("qid", "vec")
+    by_vector = vector_topk(q, memories.select("id", "vec"), depth)
+    by_words = bm25_search(queries.select("qid", "text"), memories, "id", text, depth)
+    named = tags.where(~F.col("is_dormant")).select(F.concat(F.lit("tag:"), F.col("name")).alias("id"), "vec")
+    near = vector_topk(q, memories.select(F.concat(F.lit("memory:"), F.col("id").cast("string")).alias("id"), "vec").union(named), 5)
+    near = near.select("qid", F.regexp_replace("id", "^(memory|tag):", "").alias("id"), "score", F.substring_index("id", ":", 1).alias("kind"))
+    seeds = with_priors(seed_tags(near), queries, space_priors(space_memories, mentions, tags))
+    by_graph = landing(spread(seeds, neighbors), mentions, memories, queries, depth)
+    channels = {"vector": by_vector, "words": by_words, "graph": by_graph}
+    ranked = reduce(DataFrame.union, [c.select("qid", "id", "rank", F.lit(name).alias("channel")) for name, c in channels.items()])
+    fused = ranked.groupBy("qid", "id").agg(F.round(F.sum(1 / (60 + F.col("rank"))), 9).alias("raw_score"), F.sort_array(F.collect_set("channel")).alias("channels"))
+    wide = F.when(F.col("space_id").isNull(), k).otherwise(pool or max(5 * k, 30))
+    fused = fused.withColumn("rank", F.row_number().over(W.Window.partitionBy("qid").orderBy(F.desc("raw_score"), "id")))
+    fused = fused.join(queries.select("qid", wide.alias("_wide")), "qid").where(F.col("rank") <= F.col("_wide")).drop("_wide")
+    best = rerank(fused.withColumn("score", F.col("raw_score")), memories, reviews, queries, as_of, k, mode)
+    first = W.Window.partitionBy("memory_id").orderBy(F.desc("relevance"), "tag")
+    wanted = best.select(F.col("id").alias("memory_id")).distinct()
+    words = mentions.join(wanted, "memory_id", "left_semi").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= n_tags)
+    words = words.groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct("_r", "tag"))).alias("_t")).select(F.col("memory_id").alias("id"), F.transform("_t", lambda x: x["tag"]).alias("tags"))
+    out = best.join(fused.select("qid", "id", "raw_score", "channels"), ["qid", "id"]).join(words, "id", "left")
+    return out.select("qid", "id", "score", "rank", "raw_score", "channels", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "reasons")

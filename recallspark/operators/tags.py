@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
+from recallspark.sources.scratch import saved
+
 CATEGORIES = ("PERSON", "PROJECT", "TOOL", "CONCEPT", "EVENT", "PLACE", "EMOTION", "DECISION")
 RATE, FLOOR = 0.05, 0.1
 
@@ -40,30 +43,45 @@ def explicit_relations(memories: DataFrame) -> DataFrame:
     return r.select("memory_id", F.col("_r.from").alias("source_tag"), F.col("_r.to").alias("target_tag"), F.upper("_r.type").alias("relation_type"), F.coalesce("_r.sim", F.lit(0.5)).alias("sim"))
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list[str], carry: str) -> DataFrame:
+    """rows with k, their number in the order of their key, and before, `carry` of the row before; a key may hold any share of all rows.
+
+    Rows are dealt by ranges of key and order, so that a hot key spreads; each range numbers its own rows, and what the
+    ranges before hold of a key is added from one row for each range and key.
+    """
+    at = [*keys, *order]
+    own = saved(rows.repartitionByRange(*at).withColumn("_range", F.spark_partition_id()), "ranges")
+    inner, outer = W.Window.partitionBy("_range", *keys).orderBy(*order), W.Window.partitionBy(*keys).orderBy("_range")
+    parts = own.groupBy("_range", *keys).agg(F.count("*").alias("_n"), F.max_by(carry, F.struct(*order)).alias("_last"))
+    parts = parts.select("_range", *keys, F.coalesce(F.sum("_n").over(outer.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"), F.lag("_last").over(outer).alias("_carried"))
+    own = own.withColumns({"_k": F.row_number().over(inner), "before": F.lag(carry).over(inner)})
+    out = own.join(parts, ["_range", *keys])
+    return out.withColumn("before", F.when(F.col("_k") == 1, F.col("_carried")).otherwise(F.col("before"))).withColumn("k", F.col("_k") + F.col("_start")).drop("_range", "_k", "_start", "_carried")
+
+
 def hebbian(events: DataFrame, edges: DataFrame | None = None, keys: tuple[str, ...] = ("source_tag", "target_tag", "relation_type")) -> DataFrame:
     """Edge weights after co-activation events (keys, ts, id, session_id, sim), in the closed form of the step-by-step rule.
 
     The first event sets 0.05 * max(sim, 0.1); the k-th adds 0.05 * (1 - w) * max(sim, 0.1) * min(k / 10, 2) * b, where b is
     1 + 0.5 * min(k / 5, 1) if the event before was of the same session.  So 1 - w is a product, which is pre-aggregated
-    for each edge.  edges (keys, hebbian_weight, co_activation_count, last_session_id) are continued.
+    for each edge, and numbers of events come from ranges, so an edge with very many events is no task's own.  contexts are the
+    ids of its first three events.  edges (keys, hebbian_weight, co_activation_count, last_session_id, contexts) are continued.
     """
-    own = events.select(*keys, "ts", "id", "session_id", F.greatest("sim", F.lit(FLOOR)).alias("s"))
+    own = numbered(events.select(*keys, "ts", "id", F.col("session_id").cast("string").alias("session"), "session_id", F.greatest("sim", F.lit(FLOOR)).alias("s")), list(keys), ["ts", "id"], "session")
     if edges is None:
-        own = own.withColumns({"w0": F.lit(None).cast("double"), "k0": F.lit(0), "before": F.lit(None).cast("string")})
+        own = own.withColumns({"w0": F.lit(None).cast("double"), "k0": F.lit(0), "s0": F.lit(None).cast("string"), "c0": F.array().cast(T.ArrayType(events.schema["id"].dataType))})
     else:
-        old = edges.select(*keys, F.col("hebbian_weight").alias("w0"), F.col("co_activation_count").alias("k0"), F.col("last_session_id").cast("string").alias("before"))
-        own = own.join(old, list(keys), "left").fillna(0, ["k0"])
-    order = W.Window.partitionBy(*keys).orderBy("ts", "id")
-    k = F.row_number().over(order) + F.col("k0")
-    session = F.col("session_id").cast("string")
-    last = F.coalesce(F.lag(session).over(order), F.col("before"))
-    own = own.select("*", k.alias("k"), ((session != "") & (session == last)).alias("same"))
+        old = edges.select(*keys, F.col("hebbian_weight").alias("w0"), F.col("co_activation_count").alias("k0"), F.col("last_session_id").cast("string").alias("s0"), F.col("contexts").alias("c0"))
+        own = own.join(old, list(keys), "left").fillna(0, ["k0"]).withColumn("c0", F.coalesce("c0", F.array().cast(T.ArrayType(events.schema["id"].dataType))))
+    last = F.when(F.col("k") == 1, F.col("s0")).otherwise(F.col("before"))
+    own = own.withColumn("same", (F.col("session") != "") & (F.col("session") == last)).withColumn("k", F.col("k") + F.col("k0"))
     bonus = F.when(F.coalesce("same", F.lit(False)), 1 + 0.5 * F.least(F.col("k") / 5, F.lit(1.0))).otherwise(1.0)
     gain = F.when(F.col("k") == 1, RATE * F.col("s")).otherwise(RATE * F.col("s") * F.least(F.col("k") / 10, F.lit(2.0)) * bonus)
-    left = F.first("w0")
+    first = F.array_sort(F.array_compact(F.collect_list(F.when(F.col("k") <= 3, F.struct("k", "id")))))
     return own.withColumn("f", 1 - gain).groupBy(*keys).agg(
-        F.least(F.lit(1.0), 1 - (1 - F.coalesce(left, F.lit(0.0))) * F.product("f")).alias("hebbian_weight"),
+        F.least(F.lit(1.0), 1 - (1 - F.coalesce(F.first("w0"), F.lit(0.0))) * F.product("f")).alias("hebbian_weight"),
         F.max("k").cast("long").alias("co_activation_count"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.max_by("session_id", F.struct("ts", "id")).alias("last_session_id"),
+        F.concat(F.first("c0"), F.transform(first, lambda x: x["id"])).alias("contexts"),
     )
 
 
@@ -101,6 +119,26 @@ def neighbors(edges: DataFrame, tags: DataFrame, least: float = 0.05) -> DataFra
     return both.join(tags.where(~F.col("is_dormant")).select(F.col("name").alias("neighbor")), "neighbor").select("tag", "neighbor", "relation_type", "hebbian_weight")
 
 
+def activity(tags: DataFrame) -> DataFrame:
+    """How many tags are active, dormant, and there at all."""
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return tags.agg(count(~F.col("is_dormant")).alias("active"), count(F.col("is_dormant")).alias("dormant"), F.count("*").alias("total"))
+
+
+def export_nodes(tags: DataFrame, edges: DataFrame, mentions: DataFrame, memories: DataFrame, least: float = 0.005, n: int = 8) -> DataFrame:
+    """name, heat, degree, n_mentions and titles of every tag: its neighbours by edges that are strong enough, and its newest n memories (memory_id, title, created_at)."""
+    strong = edges.where(F.col("hebbian_weight") >= least)
+    ends = strong.select(F.col("source_tag").alias("name"), F.col("target_tag").alias("other")).union(strong.select("target_tag", "source_tag"))
+    degree = ends.groupBy("name").agg(F.count_distinct("other").alias("degree"))
+    own = mentions.select(F.col("tag").alias("name"), "memory_id")
+    total = own.groupBy("name").agg(F.count("*").alias("n_mentions"))
+    newest = W.Window.partitionBy("name").orderBy(F.desc("created_at"), F.desc("memory_id"))
+    told = own.join(memories, "memory_id").withColumn("r", F.row_number().over(newest)).where(F.col("r") <= n)
+    titles = told.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("r", "title"))).alias("t")).select("name", F.transform("t", lambda x: x["title"]).alias("titles"))
+    out = tags.select("name", (F.col("storage_strength") * F.col("retrieval_strength")).alias("heat")).join(degree, "name", "left").join(total, "name", "left").join(titles, "name", "left")
+    return out.fillna(0, ["degree", "n_mentions"]).withColumn("titles", F.coalesce("titles", F.array().cast("array<string>")))
+
+
 def export_edges(edges: DataFrame, least: float = 0.005, n: int = 200) -> DataFrame:
     """The n heaviest edges, one for each pair of tags."""
     pair = edges.where(F.col("hebbian_weight") >= least).select(F.least("source_tag", "target_tag").alias("a"), F.greatest("source_tag", "target_tag").alias("b"), "relation_type", "hebbian_weight")
@@ -108,9 +146,9 @@ def export_edges(edges: DataFrame, least: float = 0.005, n: int = 200) -> DataFr
     return best.orderBy(F.desc("weight"), "a", "b").limit(n)
 
 
-def keyword_tags(docs: DataFrame, id_col: str = "id", text: str = "text", n: int = 6, least: float = 0.2, limit: int = 2000, stop: tuple[str, ...] = ()) -> DataFrame:
-    """The n keywords of each document with the largest TF-IDF (tf / words * ln(N / df)) in its first `limit` characters."""
-    words = F.split(F.lower(F.substring(text, 1, limit)), r"[^\p{L}\p{N}]+")
+def keyword_tags(docs: DataFrame, id_col: str = "id", text: str = "text", n: int = 6, least: float = 0.2, stop: tuple[str, ...] = ()) -> DataFrame:
+    """The n keywords of each document with the largest TF-IDF (tf / words * ln(N / df)) in its whole text."""
+    words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
     own = docs.select(F.col(id_col).alias("doc"), F.explode(words).alias("term")).where((F.length("term") > 1) & ~F.col("term").isin(*stop))
     tf = own.groupBy("doc", "term").agg(F.count("*").alias("tf"))
     size = tf.groupBy("doc").agg(F.sum("tf").alias("size"))
@@ -138,3 +176,9 @@ def merge_chains(memories: DataFrame, mentions: DataFrame, refines: DataFrame, l
     own = own.withColumn("island", island)
     last = own.groupBy("session_id", "island").agg(F.max_by("memory_id", F.struct("created_at", "memory_id")).alias("superseded_by"), F.count("*").alias("_m")).where("_m > 1")
     return own.join(last, ["session_id", "island"]).where("memory_id <> superseded_by").select("memory_id", "superseded_by")
+
+
+def copied_tags(merged: DataFrame, mentions: DataFrame, relevance: float = 0.6) -> DataFrame:
+    """memory_id, tag, relevance: tags of memories that gave way (merged: memory_id, superseded_by) which the newest of their chain lacks."""
+    old = merged.join(mentions.select("memory_id", "tag"), "memory_id").select(F.col("superseded_by").alias("memory_id"), "tag").distinct()
+    return old.join(mentions.select("memory_id", "tag"), ["memory_id", "tag"], "left_anti").withColumn("relevance", F.lit(relevance))

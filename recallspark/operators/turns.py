@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from recallspark.functions.text import compact, compact_display_title, is_memory_subject_text, text_of
+from recallspark.operators.reports import any_contains
 
 
 def pair(turns: DataFrame, least: int = 30, limit: int = 5000) -> DataFrame:
@@ -89,26 +90,86 @@ def turn_counts(turns: DataFrame) -> DataFrame:
     return turns.groupBy("session_id").agg(F.count("*").alias("n_all"), F.sum(good).alias("n_reviewable"), F.sum(1 - good).alias("n_internal"))
 
 
-def turn_page(turns: DataFrame, view: str, offset: int, limit: int) -> DataFrame:
-    """A page of turns: view is reviewable, internal or all."""
-    keep = {"reviewable": reviewable(turns), "internal": ~reviewable(turns), "all": F.lit(True)}[view]
-    return turns.where(keep).orderBy("session_id", "turn_index").offset(offset).limit(limit)
+def turn_page(turns: DataFrame, view: str, offset: int, limit: int, reviews: DataFrame | None = None, session: Column | None = None) -> DataFrame:
+    """A page of turns (view: reviewable, internal or all), of one session where `session` names it, with the three counts of its session.
 
+    reviews (session_id, turn_index, review_status, review_note) lie over the turns; those without are active.
+    """
+    own = turns if session is None else turns.where(F.col("session_id") == session)
+    keep = {"reviewable": reviewable(own), "internal": ~reviewable(own), "all": F.lit(True)}[view]
+    rows = own.where(keep).orderBy("session_id", "turn_index").offset(offset).limit(limit)
+    rows = rows.join(turn_counts(own), "session_id")
+    if reviews is None:
+        return rows.withColumns({"review_status": F.lit("active"), "review_note": F.lit("")})
+    over = reviews.select("session_id", "turn_index", "review_status", "review_note")
+    return rows.join(over, ["session_id", "turn_index"], "left").fillna({"review_status": "active", "review_note": ""})
 
-def import_report(turns: DataFrame, agent: str = "agent") -> DataFrame:
-    """What an import would bring, per source: sessions, turns, episodes, low-value turns; nothing is written."""
+
+def import_report(turns: DataFrame, sessions: DataFrame | None = None, agent: str = "agent") -> DataFrame:
+    """What an import would bring, per source; nothing is written.
+
+    Sessions, turns, estimated episodes and memories (one for each episode), user turns, tool calls and results, turns that are no talk, and
+    short turns; with sessions (agent, session_id, title_source): those with a title of their own, those without, and how many there are of each
+    source of titles.
+    """
     subject = (F.col("role") == "user") & is_memory_subject_text("content")
-    low = F.col("role").isin("user", "assistant") & (F.length(F.trim(text_of("content"))) < 30)
+    call, result = _flag(turns, "is_tool_call", F.lit(False)), _flag(turns, "is_tool_result", F.lit(False))
+    low = F.length(F.trim(text_of("content"))) < 30
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    return turns.groupBy(agent).agg(F.count_distinct("session_id").alias("sessions"), F.count("*").alias("turns"), count(subject).alias("episodes"), count(low).alias("low_value"), count(F.col("role") == "user").alias("user_turns"))
+    out = turns.groupBy(agent).agg(
+        F.count_distinct("session_id").alias("sessions"), F.count("*").alias("turns"), count(subject).alias("episodes"), count(subject).alias("memories"), count(F.col("role") == "user").alias("user_turns"),
+        count(call).alias("tool_calls"), count(result).alias("tool_results"), count(call | result | ~F.col("role").isin("user", "assistant")).alias("process_turns"), count(low & ~call & ~result).alias("low_value"),
+    )
+    if sessions is None:
+        return out
+    kinds = sessions.groupBy(agent, "title_source").agg(F.count("*").alias("n"))
+    missing = F.sum(F.when(F.col("title_source") == "missing", F.col("n")).otherwise(0))
+    titles = kinds.groupBy(agent).agg((F.sum("n") - missing).alias("titled"), missing.alias("missing_titles"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("title_source", "n")))).alias("title_sources"))
+    return out.join(titles, agent, "left")
 
 
-def coverage(turns: DataFrame, found: DataFrame, memories: DataFrame, links: DataFrame) -> DataFrame:
-    """The coverage board: each fact is counted by session first and joined then, so that nothing fans out."""
-    board = turn_counts(turns)
+def coverage(turns: DataFrame, found: DataFrame, memories: DataFrame, links: DataFrame, reviews: DataFrame | None = None, states: DataFrame | None = None) -> DataFrame:
+    """The coverage board: each fact is counted by session first and joined then, so that nothing fans out.
+
+    turns may have content_length, the length of contents that are not stored: such turns are pending.  reviews (id, retention_class,
+    needs_llm) are classes of memories; states (session_id, review_status) what reviewers decided, which goes before the status that follows from the classes.
+    """
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    told = F.col("role").isin("user", "assistant") & (F.length(F.trim(text_of("content"))) > 0)
+    pending = F.col("role").isin("user", "assistant") & ~told & (F.col("content_length") > 0) if "content_length" in turns.columns else F.lit(False)
+    board = turns.groupBy("session_id").agg(
+        F.count("*").alias("turns"), count(told).alias("reviewable"), count(pending).alias("pending"), count(~told).alias("internal"),
+        count(_flag(turns, "is_tool_call", F.lit(False))).alias("tool_calls"), count(_flag(turns, "is_tool_result", F.lit(False))).alias("tool_results"),
+    )
     board = board.join(found.groupBy("session_id").agg(F.count("*").alias("episodes")), "session_id", "left")
-    board = board.join(memories.groupBy("session_id").agg(F.count("*").alias("memories")), "session_id", "left")
-    board = board.join(links.groupBy("session_id").agg(F.count_distinct("memory_id", "turn_index").alias("evidence")), "session_id", "left")
-    pending = reviewable(turns) & (F.length(text_of("content")) < 30)
-    board = board.join(turns.groupBy("session_id").agg(F.sum(F.when(pending, 1).otherwise(0)).alias("pending")), "session_id", "left")
-    return board.fillna(0, ["episodes", "memories", "evidence", "pending"])
+    board = board.join(links.groupBy("session_id").agg(F.count_distinct("memory_id", "turn_index", "evidence_role").alias("evidence")), "session_id", "left")
+    classes = ("long_term", "temporary_task", "noise", "project_state")
+    own = memories.select("session_id", "memory_id")
+    own = own.join(reviews.select(F.col("id").alias("memory_id"), "retention_class", "needs_llm"), "memory_id", "left") if reviews is not None else own.withColumns({"retention_class": F.lit(""), "needs_llm": F.lit(False)})
+    facts = own.groupBy("session_id").agg(F.count("*").alias("memories"), *[count(F.col("retention_class") == c).alias(c) for c in classes], count(F.col("needs_llm")).alias("needs_llm"))
+    board = board.join(facts, "session_id", "left").fillna(0, ["episodes", "evidence", "memories", *classes, "needs_llm"])
+    follows = F.when(F.col("memories") <= 0, "rule_processed").when(F.col("needs_llm") > 0, "needs_llm").when(F.col("noise") + F.col("temporary_task") + F.col("project_state") > 0, "needs_review").otherwise("rule_processed")
+    if states is None:
+        return board.withColumn("review_status", follows)
+    board = board.join(states.select("session_id", F.nullif(F.col("review_status"), F.lit("")).alias("_s")), "session_id", "left")
+    return board.withColumn("review_status", F.coalesce("_s", follows)).drop("_s")
+
+
+def board_order(sort: str) -> list[Column]:
+    """Orders of the board: the newest first (also for unknown names), most turns, most turns to review, or least covered first."""
+    newest, turns_ = F.desc("updated_at"), F.desc("turns")
+    orders = {"turns_desc": [turns_, newest], "reviewable_desc": [F.desc("reviewable"), turns_], "coverage_asc": [F.asc(F.col("reviewable") / F.col("turns")), turns_]}
+    return [*orders.get(sort, [newest]), F.asc("session_id")]
+
+
+def board_page(board: DataFrame, sessions: DataFrame, word: str = "", mode: str = "sessions", sort: str = "updated_desc", offset: int = 0, limit: int = 20) -> DataFrame:
+    """A page of the board with what is known of its sessions (session_id, agent, original_title, display_title, title_source, display_title_source, updated_at) and the total.
+
+    word is looked for in titles, agent and session; mode missing_titles keeps sessions whose title is not the agent's own.
+    """
+    own = sessions.join(board, "session_id", "left")
+    if mode == "missing_titles":
+        own = own.where((F.coalesce("title_source", F.lit("")) == "missing") | (F.coalesce("display_title_source", F.lit("")) != "agent_original"))
+    own = own.where(any_contains(word, ["display_title", "original_title", "agent", "session_id"])) if word else own
+    total = own.agg(F.count("*").alias("total"))
+    return own.orderBy(*board_order(sort)).offset(offset).limit(limit).join(F.broadcast(total))  # total: one row

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recallspark.functions import text as X
-from recallspark.operators import reports, turns
+from recallspark.operators import quality, reports, turns
 from recallspark.plans import views as V
+from recallspark.sources.scratch import saved, scratch_path
+from recallspark.streaming import ingest
 
 
 def _chain(s, d):
@@ -17,10 +19,38 @@ def _chain(s, d):
     return t, linked, found, memories, turns.evidence(memories)
 
 
+def _states(s, d):
+    """What reviewers decided about some sessions."""
+    k = F.col("session_id")
+    return V.source_sessions(s, d).where(k % 6 == 0).select("session_id", F.when(k % 12 == 0, "").otherwise("manual_done").alias("review_status"))
+
+
+def _turn_reviews(s, d):
+    k = F.col("session_id") + F.col("turn_index")
+    return V.turns(s, d).where(k % 3 == 0).select("session_id", "turn_index", F.when(k % 2 == 0, "deleted").otherwise("approved").alias("review_status"), F.concat(F.lit("n"), k.cast("string")).alias("review_note"))
+
+
 def flagship(s, d):
-    """Conversations to episodes, memories and evidence, and the coverage board over them."""
-    t, _, found, memories, links = _chain(s, d)
-    return turns.coverage(t, found, memories, links)
+    """Conversations to episodes, memories and evidence, their quality classes, and the coverage board over them."""
+    t = V.sourced_turns(s, d)
+    linked = turns.episode_turns(t)
+    found = saved(turns.episodes(linked), "episodes")
+    memories = saved(turns.extract(t, found), "memories")
+    links = turns.evidence(memories)
+    proof = links.where("evidence_role = 'support'").select(F.col("memory_id").alias("id"))
+    reviews = quality.rules(memories.select(F.col("memory_id").alias("id"), "title", "summary"), proof)
+    return turns.coverage(t, found, memories, links, reviews, _states(s, d))
+
+
+def _watched(s, d):
+    """Turns as a stream that comes in two parts, each a micro-batch of its own."""
+    source, out, check = (scratch_path(s, x) for x in ("stream", "watched", "state"))
+    t = V.turns(s, d)
+    schema = t.select("session_id", "turn_index", "role", "content").schema
+    for part in (F.col("turn_index") < 3, F.col("turn_index") >= 3):
+        t.where(part).select("session_id", "turn_index", "role", "content").write.mode("append").parquet(source)
+        ingest.run_once(ingest.watched(s.readStream.schema(schema).parquet(source)), out, check).awaitTermination()
+    return s.read.parquet(out)
 
 
 QUERIES = {
@@ -32,9 +62,14 @@ QUERIES = {
     "j1_evidence_chain": lambda s, d: turns.evidence_chain(_chain(s, d)[4], _chain(s, d)[3], V.turns(s, d)).select("memory_id", "session_id", "turn_index", "evidence_role", "role", F.length("evidence").alias("n_chars")),
     "a8_context_before": lambda s, d: turns.context_before(V.turns(s, d), 3, 40).select("session_id", "turn_index", F.array_join("context", "|").alias("context")),
     "a5_turn_counts": lambda s, d: turns.turn_counts(V.turns(s, d)),
-    "a5_turn_page": lambda s, d: turns.turn_page(V.turns(s, d), "reviewable", 20, 50).select("session_id", "turn_index", "role"),
-    "r4_import_report": lambda s, d: turns.import_report(V.turns(s, d)),
+    "a5_turn_page": lambda s, d: turns.turn_page(V.sourced_turns(s, d), "reviewable", 20, 50, _turn_reviews(s, d)).select("session_id", "turn_index", "role", "review_status", "review_note", "n_all", "n_reviewable", "n_internal"),
+    "a5_internal_page": lambda s, d: turns.turn_page(V.sourced_turns(s, d), "internal", 0, 10, None, F.lit(7)).select("session_id", "turn_index", "role", "review_status", "n_all", "n_reviewable", "n_internal"),
+    "r4_import_report": lambda s, d: turns.import_report(V.sourced_turns(s, d).withColumn("agent", F.concat(F.lit("agent "), F.col("agent").cast("string"))), V.source_sessions(s, d)).withColumn("title_sources", F.array_join(F.transform(F.map_entries("title_sources"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")),
     "r7_coverage": flagship,
+    "r7_board_turns": lambda s, d: turns.board_page(flagship(s, d), V.source_sessions(s, d), "talk", "sessions", "turns_desc", 3, 15).select("session_id", "turns", "reviewable", "updated_at", "total"),
+    "r7_board_coverage": lambda s, d: turns.board_page(flagship(s, d), V.source_sessions(s, d), "", "missing_titles", "coverage_asc", 0, 20).select("session_id", "turns", "reviewable", "display_title_source", "total"),
+    "r7_board_newest": lambda s, d: turns.board_page(flagship(s, d), V.source_sessions(s, d), "agent 1").select("session_id", "display_title", "review_status", "total"),
+    "x1_watched": _watched,
     "r8_source_stats": lambda s, d: reports.source_stats(V.turns(s, d), "agent"),
     "t7_display_titles": lambda s, d: V.turns(s, d).select("session_id", "turn_index", X.compact_display_title("content", F.col("role"))["title"].alias("title"), X.is_memory_subject_text("content").alias("subject")),
     "t9_value_gate": lambda s, d: V.turns(s, d).select("session_id", "turn_index", X.value_gate("content").alias("g")).select("session_id", "turn_index", "g.total", "g.verdict", "g.reason"),
@@ -49,6 +84,16 @@ _EP = f"""WITH {V.TURNS}, marked AS (SELECT *, role = 'user' AND {V.subject_sql(
     left(q, 240) || CASE WHEN length(q) > 240 THEN '...' ELSE '' END AS summary, start_turn AS source_turn, answer_turn AS support_turn FROM mems0),
   ev AS (SELECT memory_id, session_id, source_turn AS turn_index, 'source' AS evidence_role, 1.0::DOUBLE AS weight FROM mems UNION ALL SELECT memory_id, session_id, support_turn, 'support', 0.5::DOUBLE FROM mems WHERE support_turn IS NOT NULL)"""
 _GOOD = "(role IN ('user', 'assistant') AND length(trim(coalesce(content, ''))) > 0)"
+_COUNTED = f"""WITH {V.SOURCED}, g AS (SELECT *, {_GOOD} AND NOT is_tool_call AND NOT is_tool_result AS good FROM turns),
+  c AS (SELECT *, count(*) OVER (PARTITION BY session_id) AS n_all, count(*) FILTER (good) OVER (PARTITION BY session_id) AS n_reviewable, count(*) FILTER (NOT good) OVER (PARTITION BY session_id) AS n_internal FROM g)"""
+_BOARD = f"""{_EP.replace(V.TURNS, V.SOURCED).replace("WHEN role = 'assistant' THEN 'final_answer'", "WHEN role = 'assistant' THEN 'final_answer' WHEN is_tool_call OR is_tool_result THEN 'tool_support'")},
+  tk AS (SELECT *, left(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]', '', 'g'), 80) AS k FROM mems), tc AS (SELECT k, count(*) AS n FROM tk WHERE k <> '' GROUP BY k),
+  cl AS (SELECT session_id, memory_id, CASE WHEN {" OR ".join(f"contains(lower(title || chr(10) || summary), '{t}')" for t in X.POLLUTION)} THEN 1 WHEN {" OR ".join(f"contains(lower(title || chr(10) || summary), '{t}')" for t in X.TEMPORARY)} THEN 2 WHEN support_turn IS NULL THEN 3 WHEN coalesce(n, 1) > 1 THEN 4 ELSE 5 END AS c FROM tk LEFT JOIN tc USING (k)),
+  mc AS (SELECT session_id, count(*) AS memories, count(*) FILTER (c = 5) AS long_term, count(*) FILTER (c = 2) AS temporary_task, count(*) FILTER (c = 1) AS noise, count(*) FILTER (c = 4) AS project_state, count(*) FILTER (c >= 3) AS needs_llm FROM cl GROUP BY session_id),
+  ec AS (SELECT session_id, count(*) AS episodes FROM eps2 GROUP BY 1), vc AS (SELECT session_id, count(*) AS evidence FROM (SELECT DISTINCT session_id, memory_id, turn_index, evidence_role FROM ev) GROUP BY 1),
+  tn AS (SELECT session_id, count(*) AS turns, count(*) FILTER ({_GOOD}) AS reviewable, count(*) FILTER (role IN ('user', 'assistant') AND NOT {_GOOD} AND content_length > 0) AS pending, count(*) FILTER (NOT {_GOOD}) AS internal, count(*) FILTER (is_tool_call) AS tool_calls, count(*) FILTER (is_tool_result) AS tool_results FROM turns GROUP BY session_id),
+  bd AS (SELECT tn.*, coalesce(episodes, 0) AS episodes, coalesce(evidence, 0) AS evidence, coalesce(memories, 0) AS memories, coalesce(long_term, 0) AS long_term, coalesce(temporary_task, 0) AS temporary_task, coalesce(noise, 0) AS noise, coalesce(project_state, 0) AS project_state, coalesce(needs_llm, 0) AS needs_llm FROM tn LEFT JOIN ec USING (session_id) LEFT JOIN vc USING (session_id) LEFT JOIN mc USING (session_id)),
+  board AS (SELECT *, CASE WHEN session_id % 6 = 0 AND session_id % 12 <> 0 THEN 'manual_done' WHEN memories <= 0 THEN 'rule_processed' WHEN needs_llm > 0 THEN 'needs_llm' WHEN noise + temporary_task + project_state > 0 THEN 'needs_review' ELSE 'rule_processed' END AS review_status FROM bd)"""
 ORACLES = {
     "r1_turn_pairs": f"""WITH {V.TURNS}, said AS (SELECT session_id, turn_index, role, trim(coalesce(content, '')) AS c FROM turns WHERE length(trim(coalesce(content, ''))) >= 30 AND role IN ('user', 'assistant')),
         n AS (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY turn_index) AS BIGINT) AS pair_no FROM said)
@@ -60,11 +105,23 @@ ORACLES = {
     "j1_evidence_chain": f"{_EP} SELECT ev.memory_id, ev.session_id, ev.turn_index, evidence_role, t.role, CAST(length(t.content) AS INT) AS n_chars FROM ev JOIN mems USING (memory_id) JOIN turns t ON t.session_id = ev.session_id AND t.turn_index = ev.turn_index",
     "a8_context_before": f"WITH {V.TURNS} SELECT session_id, turn_index, coalesce(array_to_string(list(left(content, 40)) OVER (PARTITION BY session_id ORDER BY turn_index ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '|'), '') AS context FROM turns",
     "a5_turn_counts": f"WITH {V.TURNS} SELECT session_id, count(*) AS n_all, count(*) FILTER ({_GOOD}) AS n_reviewable, count(*) FILTER (NOT {_GOOD}) AS n_internal FROM turns GROUP BY session_id",
-    "a5_turn_page": f"WITH {V.TURNS} SELECT session_id, turn_index, role FROM turns WHERE {_GOOD} ORDER BY session_id, turn_index LIMIT 50 OFFSET 20",
-    "r4_import_report": f"WITH {V.TURNS} SELECT agent, count(DISTINCT session_id) AS sessions, count(*) AS turns, count(*) FILTER (role = 'user' AND {V.subject_sql('content')}) AS episodes, count(*) FILTER (role IN ('user', 'assistant') AND length(trim(coalesce(content, ''))) < 30) AS low_value, count(*) FILTER (role = 'user') AS user_turns FROM turns GROUP BY agent",
-    "r7_coverage": f"""{_EP}, c AS (SELECT session_id, count(*) AS n_all, count(*) FILTER ({_GOOD}) AS n_reviewable, count(*) FILTER (NOT {_GOOD}) AS n_internal, count(*) FILTER ({_GOOD} AND length(coalesce(content, '')) < 30) AS pending FROM turns GROUP BY session_id)
-        SELECT c.session_id, n_all, n_reviewable, n_internal, coalesce((SELECT count(*) FROM eps2 e WHERE e.session_id = c.session_id), 0) AS episodes, coalesce((SELECT count(*) FROM mems m WHERE m.session_id = c.session_id), 0) AS memories,
-        coalesce((SELECT count(DISTINCT (memory_id, turn_index)) FROM ev WHERE ev.session_id = c.session_id), 0) AS evidence, pending FROM c""",
+    "a5_turn_page": f"""{_COUNTED}, o AS (SELECT * FROM c WHERE good ORDER BY session_id, turn_index LIMIT 50 OFFSET 20) SELECT session_id, turn_index, role, CASE WHEN (session_id + turn_index) % 6 = 0 THEN 'deleted' WHEN (session_id + turn_index) % 3 = 0 THEN 'approved' ELSE 'active' END AS review_status,
+        CASE WHEN (session_id + turn_index) % 3 = 0 THEN 'n' || (session_id + turn_index)::VARCHAR ELSE '' END AS review_note, n_all, n_reviewable, n_internal FROM o""",
+    "a5_internal_page": f"{_COUNTED} SELECT session_id, turn_index, role, 'active' AS review_status, n_all, n_reviewable, n_internal FROM c WHERE session_id = 7 AND NOT good ORDER BY turn_index LIMIT 10",
+    "r4_import_report": f"""WITH {V.SOURCED}, {V.SESSIONS}, r AS (SELECT 'agent ' || agent::VARCHAR AS agent, count(DISTINCT session_id) AS sessions, count(*) AS turns, count(*) FILTER (role = 'user' AND {V.subject_sql("content")}) AS episodes, count(*) FILTER (role = 'user') AS user_turns, count(*) FILTER (is_tool_call) AS tool_calls, count(*) FILTER (is_tool_result) AS tool_results,
+        count(*) FILTER (is_tool_call OR is_tool_result OR role NOT IN ('user', 'assistant')) AS process_turns, count(*) FILTER (length(trim(content)) < 30 AND NOT is_tool_call AND NOT is_tool_result) AS low_value FROM turns GROUP BY 1),
+        k AS (SELECT agent, title_source, count(*) AS n FROM src GROUP BY ALL), t AS (SELECT agent, CAST(coalesce(sum(n) FILTER (title_source <> 'missing'), 0) AS BIGINT) AS titled, CAST(coalesce(sum(n) FILTER (title_source = 'missing'), 0) AS BIGINT) AS missing_titles, string_agg(title_source || '=' || n::VARCHAR, ',' ORDER BY title_source) AS title_sources FROM k GROUP BY agent)
+        SELECT r.*, episodes AS memories, titled, missing_titles, title_sources FROM r JOIN t USING (agent)""",
+    "r7_coverage": f"{_BOARD} SELECT * FROM board",
+    "r7_board_turns": f"{_BOARD}, {V.SESSIONS}, o AS (SELECT *, count(*) OVER () AS total FROM src LEFT JOIN board USING (session_id) WHERE contains(lower(display_title), 'talk')) SELECT session_id, turns, reviewable, updated_at, total FROM o ORDER BY turns DESC, updated_at DESC, session_id LIMIT 15 OFFSET 3",
+    "r7_board_coverage": f"{_BOARD}, {V.SESSIONS}, o AS (SELECT *, count(*) OVER () AS total FROM src LEFT JOIN board USING (session_id) WHERE title_source = 'missing' OR display_title_source <> 'agent_original') SELECT session_id, turns, reviewable, display_title_source, total FROM o ORDER BY reviewable / turns::DOUBLE, turns DESC, session_id LIMIT 20",
+    "r7_board_newest": f"{_BOARD}, {V.SESSIONS}, o AS (SELECT *, count(*) OVER () AS total FROM src LEFT JOIN board USING (session_id) WHERE agent = 'agent 1') SELECT session_id, display_title, review_status, total FROM o ORDER BY updated_at DESC, session_id LIMIT 20",
+    "x1_watched": f"""WITH {V.TURNS}, m AS (SELECT session_id, turn_index, role, trim(coalesce(content, '')) AS c FROM turns WHERE role IN ('user', 'assistant')), b AS (SELECT * FROM (VALUES (0, 3), (1, 1000000000)) AS v(b, until)),
+        w AS (SELECT m.*, b FROM m JOIN b ON turn_index < until QUALIFY row_number() OVER (PARTITION BY session_id, b ORDER BY turn_index DESC) <= 10),
+        a AS (SELECT session_id, b FROM m JOIN b ON (turn_index >= 3) = (b = 1) WHERE role = 'assistant' AND length(c) >= 30 GROUP BY ALL),
+        l AS (SELECT session_id, b, max(turn_index) AS turn_index, list('User: ' || c ORDER BY turn_index) FILTER (role = 'user' AND length(c) >= 30) AS u, list('Assistant: ' || c ORDER BY turn_index) FILTER (role = 'assistant' AND length(c) >= 30) AS v FROM w JOIN a USING (session_id, b) GROUP BY ALL),
+        n AS (SELECT *, greatest(coalesce(len(u), 0), coalesce(len(v), 0)) AS n FROM l)
+        SELECT session_id, turn_index, concat_ws(chr(10), u[n - 1], v[n - 1], u[n], v[n]) AS conversation FROM n WHERE n > 1 UNION ALL SELECT session_id, turn_index, concat_ws(chr(10), u[n], v[n]) FROM n WHERE n = 1""",
     "r8_source_stats": f"WITH {V.TURNS} SELECT agent, count(*) AS turns, count(DISTINCT session_id) AS sessions, round(avg(CASE WHEN role = 'user' THEN 1.0 ELSE 0.0 END), 6) AS user_share FROM turns GROUP BY agent ORDER BY turns DESC, agent LIMIT 12",
     "t7_display_titles": f"""WITH {V.TURNS}, q AS (SELECT *, trim(regexp_replace(content, '[\\s\\p{{Z}}]+', ' ', 'g')) AS q FROM turns)
         SELECT session_id, turn_index, CASE WHEN q <> '' THEN left(q, 36) || CASE WHEN length(q) > 36 THEN '…' ELSE '' END ELSE role END AS title, {V.subject_sql("content")} AS subject FROM q""",

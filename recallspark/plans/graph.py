@@ -6,20 +6,29 @@ from pyspark.sql import functions as F
 
 from recallspark.operators import retrieval, tags
 from recallspark.plans import views as V
+from recallspark.sources.scratch import saved
 
 
 def _awake_edges(s, d):
-    return tags.neighbors(V.edges(s, d), V.tags(s, d))
+    return tags.neighbors(V.typed_edges(s, d), V.tags(s, d))
+
+
+def _askers(s, d):
+    """Suppliers whose key is divisible by 50, as queries of their own session and space."""
+    u = V.read(s, d, "supplier").where("s_suppkey % 50 = 0")
+    return u.select(F.col("s_suppkey").alias("qid"), F.col("s_suppkey").alias("session_id"), F.col("s_nationkey").cast("long").alias("space_id"))
 
 
 def _seeds(s, d):
+    """The brands of the three parts from an asker's number on."""
     t = V.tags(s, d).where(~F.col("is_dormant")).select("name", "tag_id")
-    q = s.createDataFrame([(k,) for k in range(5)], "qid long")
-    return q.join(t, F.pmod(F.col("tag_id") + F.col("qid"), F.lit(5)) == 0).select("qid", F.col("name").alias("tag"), (0.4 + F.pmod("tag_id", F.lit(6)) / 10.0).alias("activation"))
+    p = V.read(s, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("name"))
+    q = _askers(s, d).select("qid", F.explode(F.array(F.col("qid"), F.col("qid") + 1, F.col("qid") + 2)).alias("k"))
+    return q.join(p, "k").select("qid", "name").distinct().join(t, "name").select("qid", F.col("name").alias("tag"), (0.4 + F.pmod("tag_id", F.lit(6)) / 10.0).alias("activation"))
 
 
 def _active(s, d):
-    return retrieval.spread(_seeds(s, d), _awake_edges(s, d))
+    return retrieval.spread(_seeds(s, d), saved(_awake_edges(s, d), "neighbors"))
 
 
 def _mentions(s, d):
@@ -28,17 +37,22 @@ def _mentions(s, d):
 
 def _landed(s, d, k=10):
     m = V.baskets(s, d).select(F.col("memory_id").alias("id"), "session_id", (F.col("session_id") % 25).alias("space_id"))
-    q = s.createDataFrame([(k, k, k) for k in range(5)], "qid long, session_id long, space_id long")
-    return retrieval.landing(_active(s, d), _mentions(s, d), m, q, k)
+    return retrieval.landing(_active(s, d), _mentions(s, d), m, _askers(s, d), k)
 
 
 def _vector_queries(s, d):
+    return V.vectors(s, d).where("id % 50 = 0").select(F.col("id").alias("qid"), "vec")
+
+
+def _candidates(s, d):
+    """Candidates of a query: the vectors of the two labels behind its own."""
     v = V.vectors(s, d)
-    return v.where("id < 20").select(F.col("id").alias("qid"), "vec")
+    q = v.where("id % 50 = 0").select(F.col("id").alias("qid"), F.explode(F.array((F.col("label") + 1) % 10, (F.col("label") + 2) % 10)).alias("label"))
+    return q.join(v.select("id", "label"), "label").select("qid", "id")
 
 
 def _recall(s, d):
-    """Two vector channels and a label channel, fused and re-ranked under governance."""
+    """Two vector channels, fused."""
     v = V.vectors(s, d)
     a = retrieval.vector_topk(_vector_queries(s, d), v, 20)
     b = retrieval.vector_topk(_vector_queries(s, d), v.where("label < 5"), 20)
@@ -48,89 +62,157 @@ def _recall(s, d):
 def _reranked(s, d):
     v = V.vectors(s, d)
     k = F.col("id")
-    m = v.select("id", (k % 23 == 0).alias("is_superseded"), F.when(k % 17 == 0, "muted").otherwise("active").alias("status"), (k % 3).cast("int").alias("signal_level"), (1.0 + (k % 3) / 10.0).alias("user_weight"), (k % 31 == 0).alias("pinned"), F.when(k % 7 == 0, F.lit("2024-01-01").cast("timestamp")).alias("valid_until"), F.col("label").cast("long").alias("space_id"), F.when(k % 2 == 0, "DECISION").otherwise("FACT").alias("memory_type"))
-    r = v.where("id % 4 <> 0").select(k.alias("memory_id"), F.when(k % 4 == 1, "include").when(k % 8 == 2, "exclude").otherwise("downrank").alias("recall_policy"), ((k % 10) / 10.0).alias("quality_score"))
-    q = v.where("id < 20").select(k.alias("qid"), F.col("label").cast("long").alias("space_id"))
+    m = v.select("id", (k % 23 == 0).alias("is_superseded"), F.when(k % 17 == 0, "muted").otherwise("active").alias("status"), (k % 3).cast("int").alias("signal_level"), (0.9 + (k % 3) / 10.0).alias("user_weight"), (k % 31 == 0).alias("pinned"), F.when(k % 7 == 0, F.lit("2024-01-01").cast("timestamp")).alias("valid_until"), F.col("label").cast("long").alias("space_id"), F.when(k % 2 == 0, "DECISION").otherwise("FACT").alias("memory_type"))
+    r = _reviewed(v, 4)
+    q = v.where("id % 50 = 0").select(k.alias("qid"), F.col("label").cast("long").alias("space_id"))
     return retrieval.rerank(_recall(s, d), m, r, q, F.lit("2024-06-01").cast("timestamp"), 5)
 
 
+def _reviewed(v, n):
+    """Reviews of all ids but every fourth."""
+    k = F.col("id")
+    return v.where(k % n != 0).select(k.alias("memory_id"), F.when(k % 4 == 1, "include").when(k % 8 == 2, "exclude").otherwise("downrank").alias("recall_policy"), ((k % 10) / 10.0).alias("quality_score"))
+
+
+def _recalled(s, d):
+    """Recall over documents with vectors, words and a graph of their tags; every document whose id is divisible by 50 asks."""
+    m = V.remembered(s, d)
+    k = F.col("id")
+    space = F.when(k % 100 == 0, F.col("space_id"))
+    q = m.where(k % 50 == 0).select(k.alias("qid"), F.array_join(F.slice(retrieval.tokens("raw_text"), 1, 2), " ").alias("text"), "vec", "session_id", space.alias("space_id"))
+    mentions = saved(m.select(k.alias("memory_id"), F.explode("tags").alias("tag")).withColumn("relevance", 0.5 + F.pmod("memory_id", F.lit(5)) / 10.0), "mentions")
+    named = m.where("vec is not null").select("id", "vec", F.explode("tags").alias("name")).groupBy("name").agg(F.min_by("vec", "id").alias("vec")).withColumn("is_dormant", F.col("name") == "topic 3")
+    events = tags.cooccurrences(m.select(k.alias("memory_id"), "id", "session_id", F.col("created_at").alias("ts"), "tags")).withColumns({"relation_type": F.lit("CO_OCCUR"), "sim": (F.lit(3) + k % 7) / 10.0})
+    edges = saved(tags.neighbors(tags.hebbian(events), named), "neighbors")
+    bound = m.where("space_id is not null").select("space_id", k.alias("memory_id"))
+    return retrieval.recall(q, m, mentions, saved(named, "tags"), edges, bound, _reviewed(m, 4), F.lit("2024-02-15").cast("timestamp"), text="raw_text")
+
+
 def _activation_events(s, d):
     b = V.baskets(s, d).select("ts", F.explode("tags").alias("name"), (F.col("memory_id") % 3 == 0).alias("manual"))
     return b.join(V.tags(s, d).select("name", "tag_id"), "name").select("tag_id", "ts", "manual")
 
 
 def _chains(s, d):
+    """Edges between brands whose numbers follow each other refine."""
     b = V.baskets(s, d)
     m = b.select("memory_id", "session_id", F.col("ts").alias("created_at"))
     n = b.select("memory_id", F.explode(F.array_distinct("tags")).alias("tag"))
-    r = V.edges(s, d).where("hebbian_weight >= 0.05 and (source_tag = 'Brand#7' or target_tag = 'Brand#11')").select("source_tag", "target_tag")
-    return tags.merge_chains(m, n, r, 5)
+    number = lambda c: F.substring(c, 7, 9).cast("int")
+    r = V.edges(s, d).where((F.col("hebbian_weight") >= 0.05) & (number("target_tag") - number("source_tag") == 1)).select("source_tag", "target_tag")
+    return m, n, r
 
 
 QUERIES = {
     "g1_activate": lambda s, d: tags.activate(V.tags(s, d), _activation_events(s, d)).select("tag_id", F.round("storage_strength", 6).alias("storage_strength"), F.round("retrieval_strength", 6).alias("retrieval_strength"), "total_activations", "last_activated_at", "cooldown_days", "is_dormant"),
-    "g2_hebbian": lambda s, d: V.edges(s, d).withColumn("hebbian_weight", F.round("hebbian_weight", 6)),
+    "g2_hebbian": lambda s, d: V.edges(s, d).withColumn("hebbian_weight", F.round("hebbian_weight", 6)).withColumn("contexts", F.array_join(F.transform("contexts", lambda x: x.cast("string")), ",")),
     "g3_cooccurrence": lambda s, d: V.pairs(s, d).groupBy("source_tag", "target_tag").agg(F.count("*").alias("n")),
     "g6_forget": lambda s, d: tags.forget(V.tags(s, d), V.tags(s, d).where("tag_id % 4 = 0"), F.lit(V.AS_OF).cast("timestamp"), 3).select("tag_id", F.round("retrieval_strength", 6).alias("retrieval_strength"), "cooldown_days", "is_dormant"),
+    "g6_tag_totals": lambda s, d: tags.activity(tags.forget(V.tags(s, d), V.tags(s, d).where("tag_id % 4 = 0"), F.lit(V.AS_OF).cast("timestamp"), 3)),
     "g7_hot_tags": lambda s, d: tags.hot(V.tags(s, d), 7).select("name", F.round("heat", 6).alias("heat")),
     "g8_neighbors": lambda s, d: _awake_edges(s, d).withColumn("hebbian_weight", F.round("hebbian_weight", 6)),
     "g9_export_edges": lambda s, d: tags.export_edges(V.edges(s, d).withColumn("hebbian_weight", F.round("hebbian_weight", 9)), 0.005, 100).select("a", "b", F.round("weight", 6).alias("weight")),
+    "g9_export_nodes": lambda s, d: tags.export_nodes(V.tags(s, d), V.typed_edges(s, d), _mentions(s, d), V.baskets(s, d).select("memory_id", F.concat(F.lit("Order "), F.col("memory_id").cast("string")).alias("title"), F.col("ts").alias("created_at"))).select("name", "degree", "n_mentions", F.round("heat", 6).alias("heat"), F.array_join("titles", "|").alias("titles")),
     "v1_vector_topk": lambda s, d: retrieval.vector_topk(_vector_queries(s, d), V.vectors(s, d), 10).select("qid", "id", "rank", F.round("score", 6).alias("score")),
-    "v2_candidate_topk": lambda s, d: retrieval.candidate_topk(_vector_queries(s, d), V.vectors(s, d), _vector_queries(s, d).select("qid").crossJoin(F.broadcast(_few(s))).join(V.vectors(s, d).select("id", "label"), "label").where("id <> qid").select("qid", "id"), 5).select("qid", "id", "rank", F.round("score", 6).alias("score")),
-    "v3_similar_pairs": lambda s, d: retrieval.similar_pairs(V.vectors(s, d), 0.3, 10).select("a", "b", F.round("score", 6).alias("score")),
+    "v2_candidate_topk": lambda s, d: retrieval.candidate_topk(_vector_queries(s, d), V.vectors(s, d), _candidates(s, d), 5).select("qid", "id", "rank", F.round("score", 6).alias("score")),
+    "v3_similar_pairs": lambda s, d: retrieval.similar_pairs(V.vectors(s, d), 0.3).withColumn("score", F.round("score", 6)),
+    "v3_vector_classes": lambda s, d: retrieval.vector_classes(V.near_vectors(s, d)),
+    "d7_near_duplicates": lambda s, d: retrieval.near_duplicates(V.near_vectors(s, d)).withColumn("score", F.round("score", 6)),
+    "d8_conflict_candidates": lambda s, d: retrieval.conflict_candidates(V.near_vectors(s, d)).withColumn("score", F.round("score", 6)),
+    "d8_conflicts_of": lambda s, d: retrieval.conflicts_of(V.near_vectors(s, d).where("id % 50 = 0"), V.near_vectors(s, d)).select("qid", "id", "rank", F.round("score", 6).alias("score")),
     "v6_space_priors": lambda s, d: retrieval.space_priors(V.baskets(s, d).select((F.col("session_id") % 25).alias("space_id"), "memory_id"), _mentions(s, d), V.tags(s, d), 5).withColumn("prior", F.round("prior", 6)),
     "v7_spread": lambda s, d: _active(s, d).withColumn("activation", F.round("activation", 6)),
     "v8_landing": lambda s, d: _landed(s, d).withColumn("score", F.round("score", 6)),
     "v9_rrf": lambda s, d: _recall(s, d).select("qid", "id", "rank", F.round("score", 6).alias("score"), "channels"),
     "v10_rerank": lambda s, d: _reranked(s, d).select("qid", "id", "rank", F.round("score", 6).alias("score"), F.array_join("reasons", ",").alias("reasons")),
-    "g10_merge_chains": _chains,
+    "v12_recall": lambda s, d: _recalled(s, d).select("qid", "id", "rank", F.round("score", 6).alias("score"), F.array_join("channels", ",").alias("channels"), F.array_join("tags", ",").alias("tags"), F.array_join("reasons", ",").alias("reasons")),
+    "g10_merge_chains": lambda s, d: tags.merge_chains(*_chains(s, d), 5),
+    "g10_copied_tags": lambda s, d: tags.copied_tags(tags.merge_chains(*_chains(s, d), 5), _chains(s, d)[1]),
 }
 
 
-def _few(s):
-    return s.createDataFrame([(1,), (2,)], "label int")
-
-
-_NB = f"""{V.EDGES}, {V.TAGS}, strong AS (SELECT * FROM edges WHERE hebbian_weight >= 0.05), nb AS (SELECT x.tag, x.neighbor, relation_type, hebbian_weight FROM
+_FACTOR = "CASE relation_type " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in retrieval.RELATION_FACTORS.items()) + " ELSE 1.0::DOUBLE END"
+_BOTH = """strong AS (SELECT * FROM {edges} WHERE hebbian_weight >= 0.05), nb AS (SELECT x.tag, x.neighbor, relation_type, hebbian_weight FROM
   (SELECT source_tag AS tag, target_tag AS neighbor, relation_type, hebbian_weight FROM strong UNION ALL SELECT target_tag, source_tag, relation_type, hebbian_weight FROM strong) x JOIN tags t ON t.name = x.neighbor AND NOT t.is_dormant)"""
-_HOP = """f{n} AS (SELECT qid, neighbor AS tag, max(activation * hebbian_weight * 0.5) AS most, sum(activation * hebbian_weight * 0.5) AS sm FROM s{p} JOIN nb USING (tag) GROUP BY ALL),
+_NB = f"{V.EDGES}, {V.TAGS}, {V.TYPED}, {_BOTH.format(edges='typed')}"
+_HOP = """f{n} AS (SELECT qid, neighbor AS tag, max(activation * carry) AS most, sum(activation * carry) AS sm FROM s{p} JOIN carries USING (tag) GROUP BY ALL),
   s{n} AS (SELECT coalesce(s.qid, f.qid) AS qid, coalesce(s.tag, f.tag) AS tag, CASE WHEN s.activation IS NULL THEN f.most ELSE s.activation + 0.3 * coalesce(f.sm, 0) END AS activation FROM s{p} s FULL JOIN f{n} f ON s.qid = f.qid AND s.tag = f.tag)"""
-_SPREAD = f"""WITH {_NB}, s0 AS (SELECT q.qid, name AS tag, 0.4::DOUBLE + (tag_id % 6) / 10.0::DOUBLE AS activation FROM tags JOIN (SELECT unnest(range(5)) AS qid) q ON (tag_id + q.qid) % 5 = 0 WHERE NOT is_dormant),
-  {", ".join(_HOP.format(n=n, p=n - 1) for n in (1, 2, 3))}, act AS (SELECT qid, tag, activation / max(activation) OVER (PARTITION BY qid) AS activation FROM s3)"""
+_HOPS = f"""carries AS (SELECT tag, neighbor, hebbian_weight * 0.5 * {_FACTOR} AS carry FROM nb WHERE {_FACTOR} > 0), {", ".join(_HOP.format(n=n, p=n - 1) for n in (1, 2, 3))},
+  act AS (SELECT qid, tag, activation / max(activation) OVER (PARTITION BY qid) AS activation FROM s3)"""
+_SPREAD = f"""WITH {_NB}, askers AS (SELECT s_suppkey AS qid, s_nationkey AS space FROM supplier WHERE s_suppkey % 50 = 0),
+  s0 AS (SELECT DISTINCT qid, name AS tag, 0.4::DOUBLE + (tag_id % 6) / 10.0::DOUBLE AS activation FROM askers JOIN part ON p_partkey BETWEEN qid AND qid + 2 JOIN tags ON name = p_brand WHERE NOT is_dormant), {_HOPS}"""
 _MENT = "ment AS (SELECT memory_id, session_id, unnest(list_distinct(tags)) AS tag, 0.5::DOUBLE + (memory_id % 5) / 10.0::DOUBLE AS relevance FROM baskets)"
 _DOT = "round(list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])), 9)"
-_V = f"e AS (SELECT vec_id AS id, embedding AS vec, label FROM embeddings), dots AS (SELECT q.id AS qid, i.id, i.label, {_DOT.format(a='q.vec', b='i.vec')} AS score FROM e q JOIN e i ON q.id < 20 AND i.id <> q.id)"
+_V = f"e AS (SELECT vec_id AS id, embedding AS vec, label FROM embeddings), dots AS (SELECT q.id AS qid, i.id, i.label, q.label AS own, {_DOT.format(a='q.vec', b='i.vec')} AS score FROM e q JOIN e i ON q.id % 50 = 0 AND i.id <> q.id)"
 _RRF = f"""WITH {_V}, a AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM dots QUALIFY rank <= 20), b AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM dots WHERE label < 5 QUALIFY rank <= 20),
   fused AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, count(*) AS channels FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY qid, id), top AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank FROM fused QUALIFY rank <= 20)"""
+_FORGET = f"""WITH {V.TAGS}, f AS (SELECT *, is_dormant OR tag_id % 4 = 0 AS idle, greatest(retrieval_strength * (1 - 0.02::DOUBLE * greatest(cooldown_days + 1, 1)), 0.01) AS r1 FROM tags), g AS (SELECT *, greatest(r1 * (1 - 0.02::DOUBLE * greatest(cooldown_days + 2, 1)), 0.01) AS r2 FROM f), h AS (SELECT *, CASE WHEN idle THEN retrieval_strength ELSE greatest(r2 * (1 - 0.02::DOUBLE * greatest(cooldown_days + 3, 1)), 0.01) END AS r3 FROM g),
+        k AS (SELECT *, is_dormant OR (NOT idle AND storage_strength * r3 < 0.05 AND (last_activated_at IS NULL OR last_activated_at < TIMESTAMP '{V.AS_OF}' - INTERVAL 90 DAY) AND total_activations < 2) AS dormant FROM h)"""
+_CHAIN = f"""WITH {V.EDGES}, r0 AS (SELECT source_tag AS a, target_tag AS b FROM edges WHERE hebbian_weight >= 0.05 AND CAST(substr(target_tag, 7) AS INT) - CAST(substr(source_tag, 7) AS INT) = 1), r AS (SELECT a, b FROM r0 UNION SELECT b, a FROM r0),
+        m AS (SELECT memory_id, session_id, ts, lag(memory_id) OVER (PARTITION BY session_id ORDER BY ts, memory_id) AS before, count(*) OVER (PARTITION BY session_id) AS c FROM baskets QUALIFY c >= 5),
+        n AS (SELECT memory_id, unnest(list_distinct(tags)) AS tag FROM baskets), j AS (SELECT DISTINCT m.memory_id FROM m JOIN n x ON x.memory_id = m.memory_id JOIN r ON r.a = x.tag JOIN n y ON y.memory_id = m.before AND y.tag = r.b),
+        i AS (SELECT m.*, sum(CASE WHEN j.memory_id IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts, m.memory_id) AS island FROM m LEFT JOIN j USING (memory_id)),
+        l AS (SELECT *, last_value(memory_id) OVER (PARTITION BY session_id, island ORDER BY ts, memory_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS superseded_by FROM i)"""
+_MEMORY_GRAPH = f"""{V.REMEMBERED}, ment AS (SELECT id AS memory_id, unnest(list_distinct(tags)) AS tag, 0.5::DOUBLE + (id % 5) / 10.0::DOUBLE AS relevance FROM rem),
+  tags AS (SELECT tag AS name, arg_min(vec, id) AS vec, tag = 'topic 3' AS is_dormant FROM (SELECT id, vec, unnest(tags) AS tag FROM rem WHERE vec IS NOT NULL) GROUP BY tag),
+  pairs AS (SELECT id AS memory_id, session_id, created_at AS ts, tags[i] AS source_tag, tags[j] AS target_tag FROM rem, unnest(range(1, len(tags) + 1)) AS a(i), unnest(range(1, len(tags) + 1)) AS b(j) WHERE i < j),
+  {V.STEPS}, {_BOTH.format(edges="edges")}"""
+_TOKENS = "list_filter(regexp_split_to_array(lower(raw_text), '[^\\p{L}\\p{N}]+'), lambda t: length(t) > 0)"
+_RECALL = f"""WITH {_MEMORY_GRAPH}, q AS (SELECT id AS qid, vec, {_TOKENS}[1:2] AS words, session_id, CASE WHEN id % 100 = 0 THEN space_id END AS space FROM rem WHERE id % 50 = 0),
+  items AS (SELECT 'memory' AS kind, id::VARCHAR AS id, vec FROM rem WHERE vec IS NOT NULL UNION ALL SELECT 'tag', name, vec FROM tags WHERE NOT is_dormant),
+  sims AS (SELECT qid, kind, items.id, {_DOT.format(a="q.vec", b="items.vec")} AS score FROM q, items WHERE q.vec IS NOT NULL),
+  c1 AS (SELECT qid, id, 'vector' AS channel, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT qid, CAST(id AS BIGINT) AS id, score FROM sims WHERE kind = 'memory' AND id <> qid::VARCHAR) QUALIFY rank <= 20),
+  d AS (SELECT id, {_TOKENS} AS t FROM rem), st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d), w AS (SELECT DISTINCT qid, unnest(words) AS term FROM q), need AS (SELECT qid, count(*) AS need FROM w GROUP BY qid),
+  p AS (SELECT term, id, size, count(*) AS tf FROM (SELECT id, len(t) AS size, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM w) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+  b AS (SELECT qid, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score, count(*) AS c FROM w JOIN p USING (term) JOIN df USING (term), st GROUP BY qid, id),
+  c2 AS (SELECT qid, id, 'words' AS channel, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM b JOIN need USING (qid) WHERE c = need QUALIFY rank <= 20),
+  five AS (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, kind || ':' || id) <= 5),
+  seeds AS (SELECT qid, id AS tag, score AS activation FROM five WHERE kind = 'tag' AND score > 0.4 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 3),
+  sums AS (SELECT space_id, tag, sum(relevance) AS s, count(*) AS c FROM rem JOIN ment ON memory_id = id JOIN tags ON name = tag AND NOT is_dormant WHERE space_id IS NOT NULL GROUP BY ALL),
+  prior AS (SELECT space_id, tag, s / max(s) OVER (PARTITION BY space_id) AS prior FROM (SELECT * FROM sums QUALIFY row_number() OVER (PARTITION BY space_id ORDER BY round(s, 9) DESC, c DESC, tag) <= 20)),
+  s0 AS (SELECT qid, tag, max(activation) AS activation FROM (SELECT * FROM seeds UNION ALL SELECT qid, tag, least(prior * 0.35, 0.85) FROM q JOIN prior ON space_id = space) GROUP BY ALL), {_HOPS},
+  land AS (SELECT qid, memory_id AS id, sum(activation * relevance) AS s FROM act JOIN ment USING (tag) GROUP BY ALL),
+  c3 AS (SELECT qid, id, 'graph' AS channel, row_number() OVER (PARTITION BY qid ORDER BY sc DESC, id) AS rank FROM (SELECT qid, land.id, round(s * CASE WHEN rem.session_id = q.session_id THEN 1.2 ELSE 1.0 END * CASE WHEN rem.space_id = space THEN 1.35 ELSE 1.0 END, 9) AS sc FROM land JOIN rem USING (id) JOIN q USING (qid)) QUALIFY rank <= 20),
+  fused AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS raw, list_sort(list(channel)) AS channels FROM (SELECT qid, id, channel, rank FROM c1 UNION ALL SELECT qid, id, channel, rank FROM c2 UNION ALL SELECT qid, id, channel, rank FROM c3) GROUP BY qid, id),
+  pool AS (SELECT fused.*, q.session_id AS qs, space FROM fused JOIN q USING (qid) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY raw DESC, id) <= CASE WHEN space IS NULL THEN 5 ELSE 30 END),
+  m AS (SELECT pool.*, rem.* EXCLUDE (id), coalesce(rem.space_id = space, false) AS inside, coalesce(rem.session_id = qs, false) AS here, coalesce(valid_until <= TIMESTAMP '2024-02-15', false) AS expired, CASE WHEN rem.id % 4 = 0 THEN NULL WHEN rem.id % 4 = 1 THEN 'include' WHEN rem.id % 8 = 2 THEN 'exclude' ELSE 'downrank' END AS policy,
+    least(greatest(0.5 + (rem.id % 10) / 10.0::DOUBLE, 0.25), 1.2) AS f FROM pool JOIN rem USING (id) WHERE NOT is_superseded AND status NOT IN ('wrong', 'muted', 'deleted')),
+  n AS (SELECT *, round(raw * [0.7::DOUBLE, 1.0::DOUBLE, 1.5::DOUBLE][signal_level + 1] * user_weight * CASE WHEN expired THEN 0.25 ELSE 1.0 END * CASE WHEN pinned THEN 1.25 ELSE 1.0 END * CASE WHEN inside THEN 1.25::DOUBLE * CASE WHEN memory_type = 'DECISION' THEN 1.08::DOUBLE ELSE 1.0::DOUBLE END ELSE 1.0 END * CASE WHEN policy IS NULL THEN 1.0 WHEN policy = 'downrank' THEN 0.45 * f ELSE f END, 9) AS sc FROM m WHERE policy IS NULL OR policy <> 'exclude'),
+  best AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY sc DESC, id) AS INT) AS rank FROM n QUALIFY rank <= 5)
+  SELECT qid, id, rank, round(sc, 6) AS score, array_to_string(channels, ',') AS channels, coalesce((SELECT string_agg(tag, ',' ORDER BY tag) FROM ment WHERE memory_id = best.id), '') AS tags,
+    array_to_string(list_filter([CASE WHEN pinned THEN 'pinned' END, CASE WHEN expired THEN 'expired' END, CASE WHEN inside THEN 'space' END, CASE WHEN here THEN 'session' END, CASE WHEN signal_level = 2 THEN 'strong signal' END, CASE WHEN user_weight > 1 THEN 'raised' END, CASE WHEN policy = 'downrank' THEN 'downranked' END], lambda x: x IS NOT NULL), ',') AS reasons FROM best"""
 ORACLES = {
     "g1_activate": f"""WITH {V.BASKETS}, {V.TAGS}, ev AS (SELECT t.tag_id, count(*) AS n, sum(CASE WHEN b.memory_id % 3 = 0 THEN 0.02::DOUBLE ELSE 0.01::DOUBLE END) AS s, max(b.ts) AS t FROM (SELECT memory_id, ts, unnest(tags) AS name FROM baskets) b JOIN tags t USING (name) GROUP BY t.tag_id)
         SELECT tag_id, round(CASE WHEN n IS NULL THEN storage_strength ELSE least(storage_strength + s, 1.0) END, 6) AS storage_strength, round(CASE WHEN n IS NULL THEN retrieval_strength ELSE 1 - (1 - retrieval_strength) * pow(0.9::DOUBLE, n) END, 6) AS retrieval_strength,
         total_activations + coalesce(n, 0) AS total_activations, greatest(last_activated_at, t) AS last_activated_at, CASE WHEN n IS NULL THEN cooldown_days ELSE 0 END AS cooldown_days, CASE WHEN n IS NULL THEN is_dormant ELSE false END AS is_dormant FROM tags LEFT JOIN ev USING (tag_id)""",
-    "g2_hebbian": f"WITH {V.EDGES} SELECT source_tag, target_tag, relation_type, round(hebbian_weight, 6) AS hebbian_weight, co_activation_count, first_at, last_at, last_session_id FROM edges",
+    "g2_hebbian": f"WITH {V.EDGES} SELECT source_tag, target_tag, relation_type, round(hebbian_weight, 6) AS hebbian_weight, co_activation_count, first_at, last_at, last_session_id, array_to_string(contexts, ',') AS contexts FROM edges",
     "g3_cooccurrence": f"WITH {V.BASKETS} SELECT source_tag, target_tag, count(*) AS n FROM pairs GROUP BY ALL",
-    "g6_forget": f"""WITH {V.TAGS}, f AS (SELECT *, is_dormant OR tag_id % 4 = 0 AS idle, greatest(retrieval_strength * (1 - 0.02::DOUBLE * greatest(cooldown_days + 1, 1)), 0.01) AS r1 FROM tags), g AS (SELECT *, greatest(r1 * (1 - 0.02::DOUBLE * greatest(cooldown_days + 2, 1)), 0.01) AS r2 FROM f), h AS (SELECT *, CASE WHEN idle THEN retrieval_strength ELSE greatest(r2 * (1 - 0.02::DOUBLE * greatest(cooldown_days + 3, 1)), 0.01) END AS r3 FROM g)
-        SELECT tag_id, round(r3, 6) AS retrieval_strength, CASE WHEN idle THEN cooldown_days ELSE cooldown_days + 3 END AS cooldown_days, is_dormant OR (NOT idle AND storage_strength * r3 < 0.05 AND (last_activated_at IS NULL OR last_activated_at < TIMESTAMP '{V.AS_OF}' - INTERVAL 90 DAY) AND total_activations < 2) AS is_dormant FROM h""",
+    "g6_forget": f"""{_FORGET} SELECT tag_id, round(r3, 6) AS retrieval_strength, CASE WHEN idle THEN cooldown_days ELSE cooldown_days + 3 END AS cooldown_days, dormant AS is_dormant FROM k""",
+    "g6_tag_totals": f"{_FORGET} SELECT count(*) FILTER (NOT dormant) AS active, count(*) FILTER (dormant) AS dormant, count(*) AS total FROM k",
     "g7_hot_tags": f"WITH {V.TAGS} SELECT name, round(storage_strength * retrieval_strength, 6) AS heat FROM tags WHERE NOT is_dormant ORDER BY storage_strength * retrieval_strength DESC, name LIMIT 7",
     "g8_neighbors": f"WITH {_NB} SELECT tag, neighbor, relation_type, round(hebbian_weight, 6) AS hebbian_weight FROM nb",
     "g9_export_edges": f"WITH {V.EDGES}, x AS (SELECT least(source_tag, target_tag) AS a, greatest(source_tag, target_tag) AS b, max(round(hebbian_weight, 9)) AS weight FROM edges WHERE round(hebbian_weight, 9) >= 0.005 GROUP BY ALL) SELECT a, b, round(weight, 6) AS weight FROM x ORDER BY x.weight DESC, a, b LIMIT 100",
     "v1_vector_topk": f"WITH {_V} SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank, round(score, 6) AS score FROM dots QUALIFY rank <= 10",
-    "v2_candidate_topk": f"WITH {_V} SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY dots.score DESC, id) AS INT) AS rank, round(score, 6) AS score FROM dots WHERE label IN (1, 2) QUALIFY rank <= 5",
-    "v3_similar_pairs": f"""WITH e AS (SELECT vec_id AS id, embedding AS vec FROM embeddings), p AS (SELECT q.id AS qid, i.id, {_DOT.format(a="q.vec", b="i.vec")} AS score FROM e q JOIN e i ON i.id <> q.id), t AS (SELECT * FROM p WHERE score > 0.3 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 10)
-        SELECT least(qid, id) AS a, greatest(qid, id) AS b, round(max(score), 6) AS score FROM t GROUP BY 1, 2""",
+    "v2_candidate_topk": f"WITH {_V} SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY dots.score DESC, id) AS INT) AS rank, round(score, 6) AS score FROM dots WHERE label IN ((own + 1) % 10, (own + 2) % 10) QUALIFY rank <= 5",
+    "v3_similar_pairs": f"""WITH e AS (SELECT min(vec_id) AS id, embedding AS vec FROM embeddings GROUP BY embedding), p AS (SELECT a.id AS a, b.id AS b, {_DOT.format(a="a.vec", b="b.vec")} AS score FROM e a JOIN e b ON a.id < b.id) SELECT a, b, round(score, 6) AS score FROM p WHERE score > 0.3""",
+    "v3_vector_classes": f"WITH {V.NEAR.replace('WHERE vec_id % 23 <> 0', '')} SELECT id, min(id) OVER (PARTITION BY vec) AS class_id FROM near",
+    "d7_near_duplicates": f"WITH {V.NEAR}, e AS (SELECT min(id) AS id, vec FROM near GROUP BY vec), p AS (SELECT a.id AS a, b.id AS b, {_DOT.format(a='a.vec', b='b.vec')} AS score FROM e a JOIN e b ON a.id < b.id) SELECT a, b, round(score, 6) AS score FROM p WHERE score > 0.92",
+    "d8_conflict_candidates": f"WITH {V.NEAR}, e AS (SELECT min(id) AS id, vec FROM near GROUP BY vec), p AS (SELECT a.id AS a, b.id AS b, {_DOT.format(a='a.vec', b='b.vec')} AS score FROM e a JOIN e b ON a.id < b.id) SELECT a, b, round(score, 6) AS score FROM p WHERE score > 0.75",
+    "d8_conflicts_of": f"WITH {V.NEAR}, q AS ({V.NEAR.split('AS (', 1)[1].replace('WHERE vec_id % 23 <> 0', 'WHERE (vec_id + 1000000 * k) % 50 = 0')}, p AS (SELECT q.id AS qid, i.id, {_DOT.format(a='q.vec', b='i.vec')} AS score FROM q JOIN near i ON i.id <> q.id) SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank, round(score, 6) AS score FROM p WHERE score > 0.5 QUALIFY rank <= 5",
     "v6_space_priors": f"""WITH {V.BASKETS}, {V.TAGS}, {_MENT}, x AS (SELECT session_id % 25 AS space_id, tag, sum(relevance) AS s, count(*) AS c FROM ment JOIN tags t ON t.name = tag AND NOT is_dormant GROUP BY ALL), y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY space_id ORDER BY round(s, 9) DESC, c DESC, tag) <= 5)
         SELECT space_id, tag, round(s / max(s) OVER (PARTITION BY space_id), 6) AS prior FROM y""",
     "v7_spread": f"{_SPREAD} SELECT qid, tag, round(activation, 6) AS activation FROM act",
-    "v8_landing": f"""{_SPREAD}, {_MENT}, l AS (SELECT qid, memory_id, any_value(session_id) AS sid, sum(activation * relevance) AS s FROM act JOIN ment USING (tag) GROUP BY qid, memory_id), z AS (SELECT qid, memory_id AS id, round(s * CASE WHEN sid = qid THEN 1.2 ELSE 1.0 END * CASE WHEN sid % 25 = qid THEN 1.35 ELSE 1.0 END, 9) AS sc FROM l)
+    "v8_landing": f"""{_SPREAD}, {_MENT}, l AS (SELECT qid, memory_id, any_value(session_id) AS sid, sum(activation * relevance) AS s FROM act JOIN ment USING (tag) GROUP BY qid, memory_id), z AS (SELECT qid, memory_id AS id, round(s * CASE WHEN sid = qid THEN 1.2 ELSE 1.0 END * CASE WHEN sid % 25 = space THEN 1.35 ELSE 1.0 END, 9) AS sc FROM l JOIN askers USING (qid))
         SELECT qid, id, round(sc, 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY sc DESC, id) AS INT) AS rank FROM z QUALIFY rank <= 10""",
+    "v12_recall": _RECALL,
+    "g9_export_nodes": f"""WITH {V.EDGES}, {V.TAGS}, {_MENT}, x AS (SELECT source_tag AS name, target_tag AS o FROM edges WHERE hebbian_weight >= 0.005 UNION SELECT target_tag, source_tag FROM edges WHERE hebbian_weight >= 0.005), dg AS (SELECT name, count(*) AS degree FROM x GROUP BY name),
+        r AS (SELECT tag AS name, count(*) AS n_mentions FROM ment GROUP BY tag), l AS (SELECT tag AS name, string_agg('Order ' || memory_id::VARCHAR, '|' ORDER BY rn) AS titles FROM (SELECT tag, memory_id, row_number() OVER (PARTITION BY tag ORDER BY ts DESC, memory_id DESC) AS rn FROM ment JOIN baskets USING (memory_id) QUALIFY rn <= 8) GROUP BY tag)
+        SELECT name, coalesce(degree, 0) AS degree, coalesce(n_mentions, 0) AS n_mentions, round(storage_strength * retrieval_strength, 6) AS heat, coalesce(titles, '') AS titles FROM tags LEFT JOIN dg USING (name) LEFT JOIN r USING (name) LEFT JOIN l USING (name)""",
     "v9_rrf": f"{_RRF} SELECT qid, id, rank, round(score, 6) AS score, channels FROM top",
     "v10_rerank": f"""{_RRF}, m AS (SELECT t.qid, t.id, t.score, i.label = q.label AS inside, t.id % 31 = 0 AS pinned, t.id % 7 = 0 AS expired, t.id % 3 AS sig, CASE WHEN t.id % 4 = 0 THEN NULL WHEN t.id % 4 = 1 THEN 'include' WHEN t.id % 8 = 2 THEN 'exclude' ELSE 'downrank' END AS policy,
           least(greatest(0.5 + (t.id % 10) / 10.0::DOUBLE, 0.25), 1.2) AS f FROM top t JOIN e i ON i.id = t.id JOIN e q ON q.id = t.qid WHERE t.id % 23 <> 0 AND t.id % 17 <> 0),
-        n AS (SELECT *, round(score * [0.7::DOUBLE, 1.0::DOUBLE, 1.5::DOUBLE][sig + 1] * (1.0::DOUBLE + sig / 10.0::DOUBLE) * CASE WHEN expired THEN 0.25 ELSE 1.0 END * CASE WHEN pinned THEN 1.25 ELSE 1.0 END * CASE WHEN inside THEN 1.25::DOUBLE * CASE WHEN id % 2 = 0 THEN 1.08::DOUBLE ELSE 1.0::DOUBLE END ELSE 1.0 END * CASE WHEN policy IS NULL THEN 1.0 WHEN policy = 'downrank' THEN 0.45 * f ELSE f END, 9) AS sc FROM m WHERE policy IS NULL OR policy <> 'exclude')
-        SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY sc DESC, id) AS INT) AS rank, round(sc, 6) AS score, array_to_string(list_filter([CASE WHEN pinned THEN 'pinned' END, CASE WHEN expired THEN 'expired' END, CASE WHEN inside THEN 'space' END, CASE WHEN sig = 2 THEN 'strong signal' END, CASE WHEN policy = 'downrank' THEN 'downranked' END], lambda x: x IS NOT NULL), ',') AS reasons FROM n QUALIFY rank <= 5""",
-    "g10_merge_chains": f"""WITH {V.EDGES}, r0 AS (SELECT source_tag AS a, target_tag AS b FROM edges WHERE hebbian_weight >= 0.05 AND (source_tag = 'Brand#7' OR target_tag = 'Brand#11')), r AS (SELECT a, b FROM r0 UNION SELECT b, a FROM r0),
-        m AS (SELECT memory_id, session_id, ts, lag(memory_id) OVER (PARTITION BY session_id ORDER BY ts, memory_id) AS before, count(*) OVER (PARTITION BY session_id) AS c FROM baskets QUALIFY c >= 5),
-        n AS (SELECT memory_id, unnest(list_distinct(tags)) AS tag FROM baskets), j AS (SELECT DISTINCT m.memory_id FROM m JOIN n x ON x.memory_id = m.memory_id JOIN r ON r.a = x.tag JOIN n y ON y.memory_id = m.before AND y.tag = r.b),
-        i AS (SELECT m.*, sum(CASE WHEN j.memory_id IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts, m.memory_id) AS island FROM m LEFT JOIN j USING (memory_id)),
-        l AS (SELECT *, last_value(memory_id) OVER (PARTITION BY session_id, island ORDER BY ts, memory_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS superseded_by FROM i)
-        SELECT memory_id, superseded_by FROM l WHERE memory_id <> superseded_by""",
+        n AS (SELECT *, round(score * [0.7::DOUBLE, 1.0::DOUBLE, 1.5::DOUBLE][sig + 1] * (0.9::DOUBLE + sig / 10.0::DOUBLE) * CASE WHEN expired THEN 0.25 ELSE 1.0 END * CASE WHEN pinned THEN 1.25 ELSE 1.0 END * CASE WHEN inside THEN 1.25::DOUBLE * CASE WHEN id % 2 = 0 THEN 1.08::DOUBLE ELSE 1.0::DOUBLE END ELSE 1.0 END * CASE WHEN policy IS NULL THEN 1.0 WHEN policy = 'downrank' THEN 0.45 * f ELSE f END, 9) AS sc FROM m WHERE policy IS NULL OR policy <> 'exclude')
+        SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY sc DESC, id) AS INT) AS rank, round(sc, 6) AS score, array_to_string(list_filter([CASE WHEN pinned THEN 'pinned' END, CASE WHEN expired THEN 'expired' END, CASE WHEN inside THEN 'space' END, CASE WHEN sig = 2 THEN 'strong signal' END, CASE sig WHEN 2 THEN 'raised' WHEN 0 THEN 'lowered' END, CASE WHEN policy = 'downrank' THEN 'downranked' END], lambda x: x IS NOT NULL), ',') AS reasons FROM n QUALIFY rank <= 5""",
+    "g10_merge_chains": f"""{_CHAIN} SELECT memory_id, superseded_by FROM l WHERE memory_id <> superseded_by""",
+    "g10_copied_tags": f"""{_CHAIN} SELECT DISTINCT l.superseded_by AS memory_id, x.tag, 0.6::DOUBLE AS relevance FROM l JOIN n x USING (memory_id) WHERE l.memory_id <> l.superseded_by AND NOT EXISTS (SELECT 1 FROM n y WHERE y.memory_id = l.superseded_by AND y.tag = x.tag)""",
 }

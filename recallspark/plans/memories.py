@@ -122,7 +122,7 @@ ORACLES = {
         j AS (SELECT st.*, t.role AS r, t.content AS c FROM st LEFT JOIN turns t USING (session_id, turn_index))
         SELECT agent, CASE WHEN c IS NULL THEN 'missing_text' WHEN NOT (role = r AND (content_hash = '' OR content_hash = sha256(c))) THEN 'mismatched' WHEN trim(content) <> '' THEN 'has_content' ELSE 'fillable' END AS state, count(*) AS n FROM j GROUP BY 1, 2""",
     "j5_pending_imports": "SELECT conv_id % 3 AS source, CASE WHEN conv_id % 4 = 0 THEN 'new' WHEN conv_id % 5 = 0 THEN 'changed' ELSE 'unchanged' END AS state, count(DISTINCT conv_id) AS n FROM conversations GROUP BY 1, 2",
-    "g11_keyword_tags": """WITH w AS (SELECT doc_id AS doc, unnest(regexp_split_to_array(lower(left(text, 2000)), '[^\\p{L}\\p{N}]+')) AS term FROM documents), tf AS (SELECT doc, term, count(*) AS tf FROM w WHERE length(term) > 1 GROUP BY ALL),
+    "g11_keyword_tags": """WITH w AS (SELECT doc_id AS doc, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS term FROM documents), tf AS (SELECT doc, term, count(*) AS tf FROM w WHERE length(term) > 1 GROUP BY ALL),
         df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), sz AS (SELECT doc, sum(tf) AS size FROM tf GROUP BY doc),
         x AS (SELECT doc, term, tf / size::DOUBLE * ln((SELECT count(*) FROM documents) / df::DOUBLE) AS weight FROM tf JOIN df USING (term) JOIN sz USING (doc))
         SELECT doc, term, round(weight, 6) AS weight FROM x WHERE weight > 0.05 QUALIFY row_number() OVER (PARTITION BY doc ORDER BY round(weight, 9) DESC, term) <= 6""",

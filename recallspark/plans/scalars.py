@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recallspark.functions import text as X
-from recallspark.operators import dedupe, quality, reports, retrieval
+from recallspark.operators import dedupe, quality, reports
 from recallspark.plans import views as V
 from recallspark.plans.memories import _REVIEWS, _reviews
 
@@ -28,12 +28,6 @@ def _titles(s, d):
     return reports.resolve_titles(files, by_path, by_name, by_range)
 
 
-def _candidates(s, d):
-    """Pairs of live vectors that are near enough to contradict each other."""
-    v = V.vectors(s, d).where("id % 23 <> 0")
-    return retrieval.similar_pairs(v, 0.35, 10).select("a", "b", F.round("score", 6).alias("score"))
-
-
 QUERIES = {
     "t3_compact_keys": lambda s, d: M(s, d).select("id", X.compact_key("raw_text", 40).alias("key"), X.title_summary_key("title", "summary").alias("ts_key")),
     "t5_predicates": lambda s, d: M(s, d).select("id", X.is_structured_operational(F.col("raw_text")).alias("operational"), X.is_persona_relevant("raw_text", "title", "summary", F.col("memory_type"), F.col("signal_level")).alias("persona")),
@@ -47,7 +41,6 @@ QUERIES = {
     "r14_reviews": lambda s, d: quality.set_review(_reviews(s, d).select("id", "review_status"), V.read(s, d, "labels").select((F.col("doc_id") * 2).alias("id")), M(s, d), "approved")[0].groupBy("review_status").agg(F.count("*").alias("n")),
     "r14_missing": lambda s, d: quality.set_review(_reviews(s, d).select("id", "review_status"), V.read(s, d, "labels").select((F.col("doc_id") * 2).alias("id")), M(s, d), "approved")[1],
     "j3_titles": _titles,
-    "d8_conflict_candidates": _candidates,
     "a2_live": lambda s, d: dedupe.newest_of_type(M(s, d).where("status = 'active' and not is_superseded"), 3).select("memory_type", "id", "rank"),
 }
 ORACLES = {
@@ -65,7 +58,5 @@ ORACLES = {
     "r14_missing": "SELECT DISTINCT doc_id * 2 AS id FROM labels WHERE doc_id * 2 NOT IN (SELECT doc_id FROM documents)",
     "j3_titles": """WITH c AS (SELECT c_custkey AS k, c_name AS n FROM customer), x AS (SELECT k AS file_id, n, CASE WHEN k % 5 = 0 THEN 'P' || k::VARCHAR WHEN k % 3 = 0 THEN 'N' || k::VARCHAR WHEN k % 2 = 0 THEN 'R' || k::VARCHAR END AS original_title, CASE WHEN k % 5 = 0 THEN 'path' WHEN k % 3 = 0 THEN 'name' WHEN k % 2 = 0 THEN 'range' ELSE 'missing' END AS title_source FROM c)
         SELECT file_id, original_title, title_source, coalesce(original_title, CASE WHEN file_id % 4 <> 0 THEN 'turn ' || file_id::VARCHAR END, n) AS display_title FROM x""",
-    "d8_conflict_candidates": """WITH e AS (SELECT vec_id AS id, embedding AS vec FROM embeddings WHERE vec_id % 23 <> 0), p AS (SELECT q.id AS qid, i.id, round(list_dot_product(CAST(q.vec AS DOUBLE[]), CAST(i.vec AS DOUBLE[])), 9) AS score FROM e q JOIN e i ON i.id <> q.id), t AS (SELECT * FROM p WHERE score > 0.35 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 10)
-        SELECT least(qid, id) AS a, greatest(qid, id) AS b, round(max(score), 6) AS score FROM t GROUP BY 1, 2""",
     "a2_live": f"WITH {V.MEMORIES} SELECT memory_type, id, CAST(row_number() OVER (PARTITION BY memory_type ORDER BY created_at DESC, id DESC) AS INT) AS rank FROM mem WHERE valid_until IS NULL AND status = 'active' AND NOT is_superseded QUALIFY rank <= 3",
 }

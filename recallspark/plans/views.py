@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallspark.functions import text as X
+from recallspark.sources.scratch import saved
 
 TYPES = ("FACT", "EVENT", "DECISION", "PREFERENCE", "REASONING")
 AS_OF = "2001-06-01 12:00:00"
@@ -24,6 +25,29 @@ def turns(spark, sf) -> DataFrame:
 TURNS = "turns AS (SELECT conv_id AS session_id, turn AS turn_index, role, text AS content, conv_id % 3 AS agent FROM conversations)"
 
 
+def sourced_turns(spark, sf) -> DataFrame:
+    """turns of which some are tool calls and results, and some have no content stored but its length."""
+    t, k = turns(spark, sf), F.col("session_id") + F.col("turn_index")
+    answer = F.col("role") == "assistant"
+    return t.withColumns({"content_length": F.length("content"), "is_tool_call": answer & (k % 7 == 0), "is_tool_result": answer & (k % 7 == 1), "content": F.when(k % 11 == 0, "").otherwise(F.col("content"))})
+
+
+SOURCED = """turns AS (SELECT conv_id AS session_id, turn AS turn_index, role, CASE WHEN (conv_id + turn) % 11 = 0 THEN '' ELSE text END AS content, conv_id % 3 AS agent, CAST(length(text) AS INT) AS content_length,
+  role = 'assistant' AND (conv_id + turn) % 7 = 0 AS is_tool_call, role = 'assistant' AND (conv_id + turn) % 7 = 1 AS is_tool_result FROM conversations)"""
+
+
+def source_sessions(spark, sf) -> DataFrame:
+    """Sessions of the turns, some of which have no title of their own."""
+    k = F.col("session_id")
+    t = turns(spark, sf).groupBy("session_id", "agent").agg(F.max("turn_index").alias("_last"))
+    return t.select("session_id", F.concat(F.lit("agent "), F.col("agent").cast("string")).alias("agent"), F.when(k % 4 != 0, F.concat(F.lit("Talk "), k.cast("string"))).alias("original_title"), F.when(k % 4 != 0, F.concat(F.lit("Talk "), k.cast("string"))).otherwise(F.concat(F.lit("file "), k.cast("string"))).alias("display_title"), F.when(k % 4 == 0, "missing").when(k % 2 == 0, "index").otherwise("agent").alias("title_source"), F.when(k % 4 == 0, "file_name").when(k % 5 == 0, "first_user_turn").otherwise("agent_original").alias("display_title_source"), F.timestamp_seconds(F.lit(1704067200) + (k % 50) * 3600 + F.col("_last")).alias("updated_at"))
+
+
+SESSIONS = """src AS (SELECT conv_id AS session_id, 'agent ' || (conv_id % 3)::VARCHAR AS agent, CASE WHEN conv_id % 4 <> 0 THEN 'Talk ' || conv_id::VARCHAR END AS original_title, CASE WHEN conv_id % 4 <> 0 THEN 'Talk ' ELSE 'file ' END || conv_id::VARCHAR AS display_title,
+  CASE WHEN conv_id % 4 = 0 THEN 'missing' WHEN conv_id % 2 = 0 THEN 'index' ELSE 'agent' END AS title_source, CASE WHEN conv_id % 4 = 0 THEN 'file_name' WHEN conv_id % 5 = 0 THEN 'first_user_turn' ELSE 'agent_original' END AS display_title_source,
+  TIMESTAMP '2024-01-01' + to_hours(conv_id % 50) + to_seconds(max(turn)) AS updated_at FROM conversations GROUP BY conv_id)"""
+
+
 def memories(spark, sf) -> DataFrame:
     d, k = read(spark, sf, "documents"), F.col("doc_id")
     at = F.timestamp_seconds(F.lit(1704067200) + k * 60)
@@ -105,16 +129,24 @@ def edges(spark, sf) -> DataFrame:
     return hebbian(pairs(spark, sf))
 
 
-EDGES = (
-    BASKETS
-    + """,
-steps AS (SELECT source_tag, target_tag, memory_id, session_id, ts, greatest((3 + memory_id % 7) / 10.0::DOUBLE, 0.1) AS s,
+RELATIONS = ("CO_OCCUR", "DERIVED", "CAUSAL", "TEMPORAL", "CONTRADICT", "REFINES", "SUPERSEDES", "OTHER")
+
+
+def typed_edges(spark, sf) -> DataFrame:
+    """edges, of all kinds of relations in turn by their counts; written once, as a query looks at them more than once."""
+    own = edges(spark, sf)
+    kinds = F.array(*[F.lit(r) for r in RELATIONS])
+    return saved(own.withColumn("relation_type", F.element_at(kinds, (F.col("co_activation_count") % len(RELATIONS) + 1).cast("int"))), "edges")
+
+
+TYPED = f"typed AS (SELECT * REPLACE ({list(RELATIONS)}[co_activation_count % {len(RELATIONS)} + 1] AS relation_type) FROM edges)"
+STEPS = """steps AS (SELECT source_tag, target_tag, memory_id, session_id, ts, greatest((3 + memory_id % 7) / 10.0::DOUBLE, 0.1) AS s,
   row_number() OVER w AS k, session_id = lag(session_id) OVER w AS same FROM pairs WINDOW w AS (PARTITION BY source_tag, target_tag ORDER BY ts, memory_id)),
 edges AS (SELECT source_tag, target_tag, 'CO_OCCUR' AS relation_type,
   least(1.0, 1 - product(1 - CASE WHEN k = 1 THEN 0.05 * s ELSE 0.05 * s * least(k / 10.0::DOUBLE, 2.0) * CASE WHEN coalesce(same, false) THEN 1 + 0.5 * least(k / 5.0::DOUBLE, 1.0) ELSE 1.0 END END)) AS hebbian_weight,
-  count(*) AS co_activation_count, min(ts) AS first_at, max(ts) AS last_at, arg_max(session_id, (ts, memory_id)) AS last_session_id
+  count(*) AS co_activation_count, min(ts) AS first_at, max(ts) AS last_at, arg_max(session_id, (ts, memory_id)) AS last_session_id, list(memory_id ORDER BY k) FILTER (k <= 3) AS contexts
   FROM steps GROUP BY source_tag, target_tag)"""
-)
+EDGES = f"{BASKETS},\n{STEPS}"
 
 
 def tags(spark, sf) -> DataFrame:
@@ -152,3 +184,25 @@ TASKS = """tasks AS (SELECT o_orderkey AS id, 'Order ' || (o_orderkey % 997)::VA
 
 def vectors(spark, sf) -> DataFrame:
     return read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+
+
+def near_vectors(spark, sf) -> DataFrame:
+    """Every vector and two damped ones of it: without its first component, and without its first twelve."""
+    v = vectors(spark, sf).select("id", "vec", (F.col("id") % 23 == 0).alias("is_superseded"))
+    damped = lambda n: F.concat(F.array_repeat(F.lit(0.0).cast("float"), n), F.slice("vec", n + 1, F.size("vec")))
+    copies = [v.select((F.col("id") + 1_000_000 * k).alias("id"), damped(n).alias("vec"), "is_superseded") for k, n in ((1, 1), (2, 12))]
+    return v.union(copies[0]).union(copies[1])
+
+
+NEAR = """near AS (SELECT vec_id + 1000000 * k AS id, CASE k WHEN 0 THEN embedding WHEN 1 THEN list_concat([0.0::FLOAT], embedding[2:]) ELSE list_concat([0.0::FLOAT for x in range(12)], embedding[13:]) END AS vec
+  FROM embeddings, range(3) AS t(k) WHERE vec_id % 23 <> 0)"""
+
+
+def remembered(spark, sf) -> DataFrame:
+    """memories with their vector, where there is one, and their tags in order."""
+    m, k = memories(spark, sf), F.col("id")
+    tags = F.array_compact(F.array(F.col("session_id"), F.concat(F.lit("type "), F.col("memory_type")), F.concat(F.lit("topic "), (k % 9).cast("string"))))
+    return m.join(vectors(spark, sf).select("id", "vec"), "id", "left").withColumn("tags", tags)
+
+
+REMEMBERED = f"""{MEMORIES}, rem AS (SELECT mem.*, embedding AS vec, list_filter([session_id, 'type ' || memory_type, 'topic ' || (id % 9)::VARCHAR], lambda x: x IS NOT NULL) AS tags FROM mem LEFT JOIN embeddings ON vec_id = id)"""

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import zip_longest
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from recallspark.functions.text import normalize_conversation, value_gate
-from recallspark.operators.turns import pair
 from recallspark.sources.readers import BRIDGE
 
 
@@ -25,16 +28,52 @@ def gated(stream: DataFrame, text: str = "conversation", at: str | None = None,
     return own.withWatermark(at, delay).dropDuplicatesWithinWatermark(["conversation_hash"])
 
 
-def watch(turns: DataFrame, write: Callable[[DataFrame], None], checkpoint: str, last: int = 2, seconds: int = 5):
-    """Follow a stream of turns: where a session gets an assistant's turn, hand its last pairs to `write`, in each micro-batch."""
+_SEEN = T.StructType([T.StructField("turns", T.ArrayType(T.LongType())), T.StructField("roles", T.ArrayType(T.StringType())), T.StructField("texts", T.ArrayType(T.StringType()))])
 
-    def batch(df: DataFrame, _: int) -> None:
-        answered = df.where("role = 'assistant'").select("session_id").distinct()
-        pairs = pair(df.join(answered, "session_id", "left_semi"))
-        newest = pairs.groupBy("session_id").agg(F.max("pair_no").alias("_m"))
-        write(pairs.join(newest, "session_id").where(F.col("pair_no") > F.col("_m") - last).drop("_m"))
 
-    return turns.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+def watched(turns: DataFrame, window: int = 10, last: int = 2, least: int = 30) -> DataFrame:
+    """session_id, turn_index, conversation: where a session gets an answer, its last pairs, as a stream of turns comes in.
+
+    turns: session_id, turn_index, role, content.  The state of a session is its last `window` messages of users and assistants, so a question and its answer
+    may come in different micro-batches.  Texts under `least` characters do not count; the i-th question of the window goes with the
+    i-th answer, and the last `last` of these are the conversation.  turn_index is that of the newest message.  Within a
+    micro-batch messages go by turn_index; what comes later is taken as newer unless its turn_index says otherwise.
+    """
+    session = turns.schema["session_id"]
+    out = T.StructType([session, T.StructField("turn_index", T.LongType()), T.StructField("conversation", T.StringType())])
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = list(zip(*state.get, strict=True)) if state.exists else []
+        answered = False
+        for frame in frames:
+            texts = frame["content"].fillna("").str.strip()
+            answered |= bool(((frame["role"] == "assistant") & (texts.str.len() >= least)).any())
+            kept += zip(frame["turn_index"].astype("int64").tolist(), frame["role"].tolist(), texts.tolist(), strict=True)
+            kept = sorted(kept, key=lambda x: x[0])[-window:]
+        state.update(tuple(map(list, zip(*kept, strict=True))))
+        if answered:
+            said = {who: [f"{who.capitalize()}: {text}" for _, role, text in kept if role == who and len(text) >= least] for who in ("user", "assistant")}
+            pairs = ["\n".join(x for x in pair if x) for pair in zip_longest(said["user"], said["assistant"])]
+            if pairs:
+                yield pd.DataFrame({session.name: [key[0]], "turn_index": [kept[-1][0]], "conversation": ["\n".join(pairs[-last:])]})
+
+    talk = turns.where(F.col("role").isin("user", "assistant")).select("session_id", F.col("turn_index").cast("long"), "role", "content")
+    return talk.groupBy("session_id").applyInPandasWithState(step, out, _SEEN, "append", GroupStateTimeout.NoTimeout)
+
+
+def watch(turns: DataFrame, write: Callable[[DataFrame], None], checkpoint: str, seconds: int = 5, **settings):
+    """Follow a stream of turns and hand what `watched` gives to `write`, in each micro-batch."""
+    return watched(turns, **settings).writeStream.foreachBatch(lambda df, _: write(df)).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+
+
+def due_jobs(last_runs: DataFrame, as_of: Column) -> DataFrame:
+    """job, due: whether periodic work (job, last_run, every: seconds; hour: from when on in a day, may be null) is to run at a time.
+
+    A job with an hour runs once a day from that hour on; others when `every` seconds have passed; what never ran is due.
+    """
+    passed = F.unix_micros(as_of) - F.unix_micros("last_run") >= F.col("every") * 1_000_000
+    daily = (F.hour(as_of) >= F.col("hour")) & (F.col("last_run").isNull() | (F.to_date("last_run") < F.to_date(as_of)))
+    return last_runs.select("job", F.when(F.col("hour").isNotNull(), daily).otherwise(F.col("last_run").isNull() | passed).alias("due"))
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str):

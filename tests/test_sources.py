@@ -70,12 +70,32 @@ def test_inbox_in_batch_and_as_a_stream(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "out")).count() == want
 
 
-def test_watching_turns(spark, tmp_path):
+def test_watching_turns_over_batches(spark, tmp_path):
     seen = []
-    schema = "session_id string, turn_index int, role string, content string"
-    rows = [("s", k, "user" if k % 2 == 0 else "assistant", f"message number {k} that is long enough to count") for k in range(8)] + [("q", 0, "user", "a question that nobody answered so far")]
-    spark.createDataFrame(rows, schema).write.json(str(tmp_path / "turns"))
-    q = ingest.watch(spark.readStream.schema(schema).json(str(tmp_path / "turns")), lambda df: seen.extend(df.collect()), str(tmp_path / "c"), seconds=1)
+    schema = "session_id string, turn_index long, role string, content string"
+    said = lambda k: f"message number {k} that is long enough to count"
+    source, put = str(tmp_path / "turns"), lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / "turns"))
+    put([("s", 0, "user", said(0)), ("q", 0, "user", said(9)), ("x", 0, "assistant", "short")])
+    q = ingest.watch(spark.readStream.schema(schema).json(source), lambda df: seen.extend(df.collect()), str(tmp_path / "c"), seconds=1)
+    q.processAllAvailable()
+    assert seen == []  # questions alone give nothing
+    put([("s", 1, "assistant", said(1)), ("s", 2, "system", said(2)), ("s", 3, "user", said(3))])
+    q.processAllAvailable()
+    put([("s", 4, "assistant", said(4)), ("s", 5, "user", "tiny"), ("s", 6, "user", said(6)), ("s", 7, "assistant", said(7)), ("x", 1, "assistant", None)])
     q.processAllAvailable()
     q.stop()
-    assert sorted((r.session_id, r.pair_no) for r in seen) == [("s", 3), ("s", 4)]
+    assert sorted((r.session_id, r.turn_index, r.conversation) for r in seen) == [
+        ("s", 3, f"User: {said(0)}\nAssistant: {said(1)}\nUser: {said(3)}"),
+        ("s", 7, f"User: {said(3)}\nAssistant: {said(4)}\nUser: {said(6)}\nAssistant: {said(7)}"),
+    ]
+
+
+def test_due_jobs(spark):
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    at = lambda day, hour: datetime(2024, 1, day, hour)
+    rows = [("refresh", at(2, 0), 43200, None), ("late", at(1, 23), 43200, None), ("never", None, 5, None), ("risk", at(1, 23), 0, 10), ("risk done", at(2, 10), 0, 10), ("risk later", at(1, 9), 0, 13)]
+    got = {r.job: r.due for r in ingest.due_jobs(spark.createDataFrame(rows, "job string, last_run timestamp, every long, hour int"), F.lit("2024-01-02 11:30:00").cast("timestamp")).collect()}
+    assert got == {"refresh": False, "late": True, "never": True, "risk": True, "risk done": False, "risk later": False}
