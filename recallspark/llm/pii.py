@@ -5,12 +5,12 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -125,6 +125,11 @@ def classes_of(term: str) -> tuple[str, ...]:
     return tuple("…" + term[-n:] for n in CLASS_LETTERS)
 
 
+def _ending(letters: int) -> Callable[[Column], Column]:
+    """classes_of as a column: the class of words that end in so many letters of a word."""
+    return lambda term: F.concat(F.lit("…"), F.right(term, F.lit(letters)))
+
+
 def witness(terms: list[str]) -> bytes:
     """Equal for documents of the same words outside patterns: copies are one witness."""
     return hashlib.sha256(" ".join(terms).encode("utf-8", "surrogatepass")).digest()[:16]
@@ -191,7 +196,7 @@ def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, copied: DataFr
 
     Filters of fixed size keep most other words out of the shuffle, and let most documents be counted without their key.
     """
-    classes = F.array(F.col("term"), *[F.concat(F.lit("…"), F.right("term", F.lit(n))) for n in CLASS_LETTERS])
+    classes = F.array(F.col("term"), *[_ending(k)(F.col("term")) for k in CLASS_LETTERS])
     packed, packed_keys = _filter(terms.select(F.explode(classes).alias("term")).distinct()), _filter(copied.select("key"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,9 +267,9 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, support:
     share = F.log(F.col("n_both") * n / (F.col("n_term") * F.col("n_entity"))) / information
     shares = saved(pairs.join(told, "term").select("entity", "term", "n_entity", share.alias("share")).where(F.col("share") >= generalise), "shares")
     # The narrowest class of a word that gives away less than `generalise` of the entity; level 0 is the narrowest, none is beyond the last.
-    wide = shares.where(F.col("share") < remove).select("entity", "term", "n_entity", F.posexplode(F.array(*[F.concat(F.lit("…"), F.right("term", F.lit(k))) for k in CLASS_LETTERS])).alias("level", "class"))
+    wide = shares.where(F.col("share") < remove).select("entity", "term", "n_entity", F.posexplode(F.array(*[_ending(k)(F.col("term")) for k in CLASS_LETTERS])).alias("level", "class"))
     wide = saved(wide, "classes")
-    held_classes = F.array_distinct(F.flatten(F.array(*[F.transform("terms.term", lambda t, k=k: F.concat(F.lit("…"), F.right(t, F.lit(k)))) for k in CLASS_LETTERS])))
+    held_classes = F.array_distinct(F.flatten(F.array(*[F.transform("terms.term", _ending(k)) for k in CLASS_LETTERS])))
     own = looked.join(wide.select("entity").distinct(), "entity", "left_semi").join(held.select("_row", held_classes.alias("classes")), "_row").select("entity", F.explode("classes").alias("class"))
     both = own.join(wide.select("entity", "class").distinct(), ["entity", "class"], "left_semi").groupBy("entity", "class").agg(F.count("*").alias("n_both"))
     fit = wide.join(both, ["entity", "class"]).join(told.withColumnRenamed("term", "class"), "class").where(share < generalise)
@@ -292,7 +297,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
     told = found.where(F.size("entities") > 0).select("_row", "terms", F.explode("entities").alias("entity")).join(share.select("entity").distinct(), "entity", "left_semi")
     places = told.select("_row", "entity", F.explode("terms").alias("t")).select("_row", "entity", "t.term", "t.at").join(share, ["entity", "term"])
     marked = places.select("_row", "share", "level", "term", F.explode("at").alias("p")).groupBy("_row", "p.start", "p.end", "term").agg(F.max("share").alias("share"), F.max("level").alias("level"))
-    by = F.when(F.col("share") >= remove, "TERM").otherwise(reduce(lambda rest, k: F.when(F.col("level") == k, F.concat(F.lit("…"), F.right("term", F.lit(CLASS_LETTERS[k])))).otherwise(rest), range(len(CLASS_LETTERS)), F.lit("WORD")))
+    by = F.when(F.col("share") >= remove, "TERM").otherwise(reduce(lambda rest, k: F.when(F.col("level") == k, _ending(CLASS_LETTERS[k])(F.col("term"))).otherwise(rest), range(len(CLASS_LETTERS)), F.lit("WORD")))
     terms = marked.groupBy("_row").agg(F.collect_list(F.struct("start", "end", F.lit("term").alias("kind"), F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"), by.alias("by"))).alias("_terms"))
     base = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), F.lit("remove").alias("action"), F.upper(x["kind"]).alias("by")))
     joined = found.select("_row", id_col, "base").join(terms, "_row", "left").withColumn("base", base)
