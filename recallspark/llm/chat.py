@@ -107,7 +107,7 @@ _PIECE = T.StructType(
     ]
 )
 _TABLE = T.StructType([T.StructField("seg", T.IntegerType()), T.StructField("conv_id", T.LongType()), T.StructField("least", T.ArrayType(T.LongType()))])
-_PLAN = T.StructType([T.StructField("seg", T.IntegerType()), T.StructField("conv_id", T.LongType()), T.StructField("entry", T.IntegerType()), T.StructField("exit", T.IntegerType())])
+_PLAN = T.StructType([*[T.StructField(c, T.LongType() if c == "conv_id" else T.IntegerType()) for c in ("seg", "conv_id", "entry", "exit")], T.StructField("first", T.BooleanType()), T.StructField("last", T.BooleanType())])
 
 
 def _runs(ids: list) -> list[tuple[int, int]]:
@@ -126,7 +126,7 @@ def segment_costs(part: pa.Table) -> pa.Table:
 
 
 def join_segments(part: pa.Table) -> pa.Table:
-    """For one conversation in many segments: the states between which each segment is to be solved."""
+    """For one conversation in many segments: the states between which each segment is to be solved, and which are its first and last."""
     part = part.sort_by("seg")
     tables = [np.array(x, np.int64).reshape(4, 4) for x in part["least"].to_pylist()]
     after = [np.array(END_COST, np.int64)]
@@ -136,7 +136,7 @@ def join_segments(part: pa.Table) -> pa.Table:
     state, rows = START, []
     for k, (seg, conv) in enumerate(zip(part["seg"].to_pylist(), part["conv_id"].to_pylist(), strict=True)):
         nxt = int((tables[k][state] + after[k + 1]).argmin())
-        rows.append((seg, conv, state, nxt))
+        rows.append((seg, conv, state, nxt, k == 0, k == len(tables) - 1))
         state = nxt
     return _table(rows, _PLAN)
 
@@ -152,20 +152,21 @@ def render_segment(turns: pa.Table, plan: pa.Table) -> pa.Table:
     if not turns.num_rows:
         return _table([], _PIECE)
     turns = turns.sort_by("pos")
-    ids, numbers, roles, texts, firsts, lasts, places = (turns[c].to_pylist() for c in ("conv_id", "turn", "role", "text", "first", "last", "pos"))
-    planned = {r["conv_id"]: (r["entry"], r["exit"]) for r in plan.to_pylist()}
+    ids, numbers, roles, texts, places = (turns[c].to_pylist() for c in ("conv_id", "turn", "role", "text", "pos"))
+    planned = {r["conv_id"]: r for r in plan.to_pylist()}
     rows: list[tuple] = []
     for a, b in _runs(ids):
-        entry, exit_ = planned.get(ids[a], (START, None))
-        final = END_COST if exit_ is None else [0 if s == exit_ else INF for s in range(4)]
+        own = planned.get(ids[a], {"entry": START, "exit": None, "first": True, "last": True})
+        entry = own["entry"]
+        final = END_COST if own["exit"] is None else [0 if s == own["exit"] else INF for s in range(4)]
         steps = solve(roles[a:b], entry, final)
         for k, (role, put, merged) in enumerate(steps, a):
-            piece = "" if firsts[k] else "\n" if merged else "<|im_end|>\n"
+            piece = "" if k == a and own["first"] else "\n" if merged else "<|im_end|>\n"
             piece += "".join(block(q, "") for q in put)
             piece += ("" if merged else f"<|im_start|>{role}\n") + (texts[k] or "")
             cost = INSERT * len(put) + MERGE * merged + (0 if role == known_role(roles[k]) else NAME if known_role(roles[k]) is None else RELABEL)
             action = "+".join([*(["insert"] * bool(put)), "merge" if merged else "keep" if role == known_role(roles[k]) else "relabel", *(["relabel"] * (merged and role != known_role(roles[k])))])
-            if lasts[k]:
+            if k == b - 1 and own["last"]:
                 ending, extra = ENDINGS[{"system": SYSTEM, "user": USER, "assistant": ASSISTANT}[role]]
                 piece += "<|im_end|>\n" + "".join(block(q, "") for q in ending)
                 cost, action = cost + extra, action + "+close" * bool(ending)
@@ -173,6 +174,15 @@ def render_segment(turns: pa.Table, plan: pa.Table) -> pa.Table:
     return _table(rows, _PIECE)
 
 
+def segments(turns: DataFrame, segment: int) -> DataFrame:
+    """The turns with seg, a run of about `segment` of them in the order of the whole table, and pos, their place in it."""
+    own = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    parts = max(1, -(-own.count() // segment))
+    order = ["conv_id", "turn", "role", "_head", "_hash", "_row"]
+    keyed = own.withColumns({"_head": F.substring("text", 1, 64), "_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
+    return keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("conv_id", "turn", "role", "text", F.spark_partition_id().alias("seg"), F.monotonically_increasing_id().alias("pos"))
+
+
 def format_turns(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Repair and render conversations (conv_id, turn, role, text); one row for each turn.
 
@@ -181,23 +191,17 @@ def format_turns(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     of the rendered text: the pieces of a conversation put together by place, their order in the whole table, are the
     conversation.
 
-    Turns are ordered by number, then role, then text, nulls first; repeated rows are turns of their own.  A null text is
+    Turns are ordered by number, then role, then the first 64 characters of the text, nulls first, then a hash of the text and the
+    place in the table; so repeated rows, which are turns of their own, can be parted as well.  A null text is
     empty; a null or unknown role may become any; turns with a null conv_id are one conversation.  Rows of one conversation
     may be any number: no task holds more than about `segment` turns.  Other columns are left out; an empty table gives no rows.
     """
     require(turns, "conv_id", "turn", "role", "text")
-    own = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    parts = max(1, -(-own.count() // segment))
-    order = ["conv_id", "turn", "role", "text"]
-    placed = own.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("seg"), F.monotonically_increasing_id().alias("pos"))
-    placed = saved(placed, "turns")
-    ends = placed.groupBy("conv_id").agg(F.min("pos").alias("low"), F.max("pos").alias("high"), F.min("seg").alias("a"), F.max("seg").alias("b"))
-    wide = ends.where("a < b").select(F.col("conv_id").alias("_c"))
+    placed = saved(segments(turns, segment), "turns")
+    wide = placed.groupBy("conv_id").agg(F.min("seg").alias("a"), F.max("seg").alias("b")).where("a < b").select(F.col("conv_id").alias("_c"))
     tables = placed.select("seg", "pos", "conv_id", "role").groupBy("seg").applyInArrow(segment_costs, _TABLE)
     plan = tables.join(wide, F.col("conv_id").eqNullSafe(F.col("_c")), "left_semi").groupBy("conv_id").applyInArrow(join_segments, _PLAN)
-    edge = ends.select(F.col("conv_id").alias("_c"), "low", "high")
-    ready = placed.join(edge, F.col("conv_id").eqNullSafe(F.col("_c"))).select("seg", "pos", *order, (F.col("pos") == F.col("low")).alias("first"), (F.col("pos") == F.col("high")).alias("last"))
-    return ready.groupBy("seg").cogroup(plan.groupBy("seg")).applyInArrow(render_segment, _PIECE)
+    return placed.groupBy("seg").cogroup(plan.groupBy("seg")).applyInArrow(render_segment, _PIECE)
 
 
 def conversations(pieces: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@ import re
 from collections import defaultdict
 from functools import lru_cache
 
+from pyspark.sql import functions as F
+
 from recallspark.llm import chat
 
 BLOCK = re.compile(r"<\|im_start\|>(system|user|assistant)\n(.*?)<\|im_end\|>\n", re.S)
@@ -81,3 +83,14 @@ def test_query(spark):
 
 def test_empty_table(spark):
     assert chat.format_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+
+
+def test_equal_rows_of_one_conversation_spread_over_segments(spark):
+    n = 40_000
+    df = spark.range(0, n, 1, 8).selectExpr("5L AS conv_id", "1L AS turn", "'user' AS role", "'the same' AS text")
+    df = chat.saved(df, "equal")
+    assert chat.segments(df, 1000).groupBy("seg").count().agg(F.max("count")).first()[0] < 4000
+    rows = chat.format_turns(df, segment=1000)
+    assert rows.count() == n and rows.where("action like '%close'").count() == 1
+    text = chat.conversations(rows).first().text
+    assert text.startswith("<|im_start|>user\nthe same") and text.endswith("<|im_end|>\n") and text.count("the same") == n
