@@ -15,10 +15,12 @@ from recallspark.llm.blocks import blocked_search, rows_of, usable
 from recallspark.llm._common import map_batches, require, table
 
 #: Rows of a block, and queries that visit it together.
-BLOCK_ROWS, QUERY_ROWS = 16_384, 4096
+BLOCK_ROWS, QUERY_ROWS = 8192, 4096
 #: Width of the error bound in standard deviations of an estimate; bits of a rotated query's components.
 WIDTH, QUERY_BITS, SEED = 1.9, 6, 20_240
 _SCHEMA = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
+#: Components up to which the rotation is a matrix.
+DENSE = 2048
 _rotations: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -30,19 +32,40 @@ def rotation(dim: int, seed: int = SEED) -> np.ndarray:
     return _rotations[dim, seed]
 
 
+def turn(vectors: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """Randomly rotated rows.  Up to DENSE components by a matrix; longer ones are padded to a power of two, and three rounds of random signs and a
+    Hadamard transform turn them in memory of their own size."""
+    n, dim = vectors.shape
+    if dim <= DENSE:
+        return vectors @ rotation(dim, seed)
+    wide = 1 << (dim - 1).bit_length()
+    out = np.zeros((n, wide))
+    out[:, :dim] = vectors
+    signs = np.random.default_rng([seed, dim])
+    for _ in range(3):
+        out *= signs.choice(np.array([-1.0, 1.0]), wide)
+        half = 1
+        while half < wide:
+            pairs = out.reshape(n, wide // (2 * half), 2, half)
+            out = np.concatenate([pairs[:, :, :1] + pairs[:, :, 1:], pairs[:, :, :1] - pairs[:, :, 1:]], axis=2).reshape(n, wide)
+            half *= 2
+        out /= np.sqrt(wide)
+    return out
+
+
 def encode(vectors: np.ndarray, centre: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed sign bits of the rotated unit residuals, the residuals' norms, and the inner products of code and residual."""
     rest = vectors - centre
     norm = np.linalg.norm(rest, axis=1)
-    turned = (rest / np.where(norm > 0, norm, 1)[:, None]) @ rotation(vectors.shape[1], seed)
-    return np.packbits(turned >= 0, axis=1), norm, np.abs(turned).sum(1) / np.sqrt(vectors.shape[1])
+    turned = turn(rest / np.where(norm > 0, norm, 1)[:, None], seed)
+    return np.packbits(turned >= 0, axis=1), norm, np.abs(turned).sum(1) / np.sqrt(turned.shape[1])
 
 
 class Codes:
     """One block of coded vectors of one dimension."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, norm: np.ndarray, fit: np.ndarray, width: float):
-        self.ids, self.vectors, self.norm, self.dim = ids, vectors, norm, vectors.shape[1]
+        self.ids, self.vectors, self.norm, self.dim = ids, vectors, norm, vectors.shape[1] if vectors.shape[1] <= DENSE else 1 << (vectors.shape[1] - 1).bit_length()
         wide = -(-codes.shape[1] // 8) * 8
         self.codes = np.ascontiguousarray(np.pad(codes, ((0, 0), (0, wide - codes.shape[1])))).view(np.uint64)
         self.ones = np.bitwise_count(self.codes).sum(1).astype(float)
@@ -53,7 +76,7 @@ class Codes:
         """Lower and upper bounds of the squared distances, from the packed bits and the stored scalars alone."""
         rest = query - centre
         length = np.linalg.norm(rest)
-        turned = (rest / length if length else rest) @ rotation(self.dim, seed)
+        turned = turn((rest / length if length else rest)[None], seed)[0]
         low = turned.min()
         step = (turned.max() - low) / ((1 << QUERY_BITS) - 1) or 1.0
         levels = np.rint((turned - low) / step).astype(np.int64)
@@ -91,14 +114,25 @@ class Codes:
 
 
 def centres(items: DataFrame) -> dict[int, np.ndarray]:
-    """The mean vector of each dimension that occurs, over all items; one row a component comes to the driver."""
-    parts = items.select(F.size("v").alias("dim"), F.posexplode("v").alias("at", "x")).groupBy("dim", "at").agg(F.avg("x").alias("x"))
-    out: dict[int, np.ndarray] = {}
-    for dim, at, x in parts.collect():
-        out.setdefault(dim, np.zeros(dim))[at] = x
+    """The mean vector of each dimension that at least a hundredth of all items has; others are coded from the origin.
+
+    At most a hundred dimensions count, and one row for each of their components comes to the driver.
+    """
+    sizes = items.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"))
+    counts = sizes.orderBy(F.desc("n"), "dim").limit(100).collect()
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    out = {r.dim: np.zeros(r.dim) for r in counts if 100 * r.n >= total}
+    if out:
+        parts = items.where(F.size("v").isin(*out)).select(F.size("v").alias("dim"), F.posexplode("v").alias("at", "x")).groupBy("dim", "at").agg(F.avg("x").alias("x"))
+        for dim, at, x in parts.collect():
+            out[dim][at] = x
     return out
 
 
+def centre_of(means: dict[int, np.ndarray], dim: int) -> np.ndarray:
+    return means[dim] if dim in means else np.zeros(dim)
+
+
 def index(items: DataFrame, means: dict[int, np.ndarray], seed: int = SEED) -> DataFrame:
     """The index table: id, v, code (packed bits), norm and fit of every item."""
     schema = T.StructType([*items.schema.fields, T.StructField("code", T.BinaryType()), T.StructField("norm", T.DoubleType()), T.StructField("fit", T.DoubleType())])
@@ -109,7 +143,7 @@ def index(items: DataFrame, means: dict[int, np.ndarray], seed: int = SEED) -> D
         norm, fit = np.zeros(len(rows)), np.zeros(len(rows))
         for dim in {len(r) for r in rows}:
             at = [k for k, r in enumerate(rows) if len(r) == dim]
-            bits, norm[at], fit[at] = encode(np.array([rows[k] for k in at]), means[dim], seed)
+            bits, norm[at], fit[at] = encode(np.array([rows[k] for k in at], float), centre_of(means, dim), seed)
             for k, b in zip(at, bits, strict=True):
                 code[k] = b.tobytes()
         yield {"id": batch.column(0), "v": batch.column(1), "code": code, "norm": norm, "fit": fit}
@@ -132,7 +166,8 @@ def nearest(queries: DataFrame, items: DataFrame, k: int = 10, id_col: str = "ve
     """
     require(queries, id_col, vec_col)
     require(items, id_col, vec_col)
-    own = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable("v")).where(F.exists("v", lambda x: x != 0))
+    kind = "array<float>" if all(x.schema[vec_col].dataType.simpleString() == "array<float>" for x in (queries, items)) else "array<double>"
+    own = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("v")).where(F.col("id").isNotNull() & usable("v")).where(F.exists("v", lambda x: x != 0))
     clean = own(items)
     means = centres(clean)
     arrow = to_arrow_schema(_SCHEMA)
@@ -146,10 +181,10 @@ def nearest(queries: DataFrame, items: DataFrame, k: int = 10, id_col: str = "ve
                 at = np.flatnonzero(lengths == dim)
                 code = right["code"].to_pylist()
                 bits = np.frombuffer(b"".join(code[a] for a in at), np.uint8).reshape(len(at), -1)
-                block = Codes(ids[at], np.array([rows[a] for a in at]), bits, right["norm"].to_numpy()[at], right["fit"].to_numpy()[at], width)
+                block = Codes(ids[at], np.array([rows[a] for a in at], float), bits, right["norm"].to_numpy()[at], right["fit"].to_numpy()[at], width)
                 for query, vec in zip(query_ids, asked, strict=True):
                     if len(vec) == dim:
-                        found, score = block.search(query, vec, means[dim], k, seed)
+                        found, score = block.search(query, vec.astype(float), centre_of(means, dim), k, seed)
                         out.append((np.full(len(found), query), block.ids[found], score))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)

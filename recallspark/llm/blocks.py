@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 
+#: Components of a row up to which only rows count for the size of a block.
+WIDE = 1024
+
+
 def usable(vec: str) -> F.Column:
     """A vector that is there, and holds no null and nothing infinite or undefined; one without components is usable."""
     good = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -29,16 +33,19 @@ def blocked_search(
 ) -> DataFrame:
     """The k best items of each query.
 
-    Both sides have a column id; rows are dealt by a hash of it into blocks of about query_rows and item_rows rows, so that
-    repeated vectors spread.  Each block of queries meets each block of items in a task of bounded size, which
+    Both sides have a column id and a vector v; rows are dealt by a hash of the id into blocks of about query_rows and item_rows rows, and
+    of no more than WIDE components a row on average, so that repeated and long vectors spread.  Each block of queries meets each block of items in a task of bounded size, which
     returns only its k best of each query (`local`, with the columns query_id and vec_id); these are merged by `order`.
     """
-    blocks = [max(1, -(-side.count() // rows)) for side, rows in ((queries, query_rows), (items, item_rows))]
+    blocks = []
+    for side, rows in ((queries, query_rows), (items, item_rows)):
+        n, components = side.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+        blocks.append(max(1, -(-n // rows), -(-components // (rows * WIDE))))
     own = lambda side, n: side.withColumn("_own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = own(queries, blocks[0]).select(F.col("_own").alias("_q"), every(blocks[1]).alias("_i"), *queries.columns)
     right = own(items, blocks[1]).select(every(blocks[0]).alias("_q"), F.col("_own").alias("_i"), *items.columns)
-    tasks = min(blocks[0] * blocks[1], 100_000)
+    tasks = min(2 * blocks[0] * blocks[1], 100_000)
     left, right = (x.repartition(tasks, "_q", "_i") for x in (left, right))
     found = left.groupBy("_q", "_i").cogroup(right.groupBy("_q", "_i")).applyInArrow(local, schema)
     best = W.Window.partitionBy("query_id").orderBy(*order)

@@ -13,7 +13,7 @@ from recallspark.llm.blocks import blocked_search, rows_of, usable
 from recallspark.llm._common import require, table
 
 #: Rows of a shard, and queries that visit it together.
-SHARD_ROWS, QUERY_ROWS = 16_384, 4096
+SHARD_ROWS, QUERY_ROWS = 8192, 4096
 #: Rows at the head of each posting list that give the first threshold; postings that are probed between two prunings.
 HEAD, PROBE = 32, 4
 _SCHEMA = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
@@ -88,8 +88,8 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 5, id_col: str = "vec_i
     Returns query_id, rank (from 1), vec_id, score; a query is not compared with items of its own id, equal scores go by
     the smaller id, and there are fewer rows where there are fewer items.  A missing component counts as 0, so a
     vector without components scores 0; rows that are null or hold nulls take no part; a query id that comes twice is asked once; repeated items each count.
-    Items are dealt into shards by a hash of the id; each shard returns k rows for each query, and the shards are
-    merged.  Other columns are left out.
+    Items are dealt into shards by a hash of the id; in a shard, rows of like lengths share posting lists, so one long vector costs
+    its own length only.  Each shard returns k rows for each query, and the shards are merged.  Other columns are left out.
     """
     require(queries, id_col, vec_col)
     require(items, id_col, vec_col)
@@ -99,10 +99,14 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 5, id_col: str = "vec_i
     def local(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = []
         if left.num_rows and right.num_rows:
-            shard = Shard(right["id"].to_numpy(), rows_of(right["v"]))
-            for query, vec in zip(left["id"].to_pylist(), rows_of(left["v"]), strict=True):
-                rows, score = shard.search(query, vec, k)
-                out.append((np.full(len(rows), query), shard.ids[rows], score))
+            ids, own_rows = right["id"].to_numpy(), rows_of(right["v"])
+            bands = np.array([len(r).bit_length() for r in own_rows])  # rows of like lengths share postings, so few are padded
+            for band in np.unique(bands):
+                at = np.flatnonzero(bands == band)
+                shard = Shard(ids[at], [own_rows[a] for a in at])
+                for query, vec in zip(left["id"].to_pylist(), rows_of(left["v"]), strict=True):
+                    rows, score = shard.search(query, vec, k)
+                    out.append((np.full(len(rows), query), shard.ids[rows], score))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.zeros(0, np.int64)] * 3
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=arrow)
 

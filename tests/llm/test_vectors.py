@@ -84,3 +84,30 @@ def test_maxscore_edge_cases(spark):
     assert sorted((r.rank, r.vec_id, r.score) for r in top) == [(1, 19, 81 * 10**16), (2, 18, 77 * 10**16)]
     assert maxscore.top_k(items.limit(0), items).count() == maxscore.top_k(items, items.limit(0)).count() == 0
     assert items.where(F.col("vec_id") == 2001).count() == 1
+
+
+def test_one_very_long_vector_and_many_lengths(spark):
+    r = random.Random(3)
+    rows = [(k, [r.gauss(0, 1) for _ in range(1 + k % 40)]) for k in range(200)] + [(999, [1.0] * 1_000_000)]
+    df = frame(spark, rows)
+    near = ann.nearest(df.where("vec_id % 50 = 0"), df, k=3, width=6.0)
+    got = {(x.query_id, x.rank): (x.vec_id, round(x.score, 9)) for x in near.collect()}
+    for q in (0, 50, 100, 150):
+        v = np.array(rows[q][1])
+        best = sorted((round(float(np.sqrt(((np.array(x) - v) ** 2).sum())), 9), k) for k, x in rows[:200] if k != q and len(x) == len(v))[:3]
+        assert [got[q, i + 1] for i in range(len(best))] == [(k, d) for d, k in best]
+    items = maxscore.quantised(df)
+    top = {(x.query_id, x.rank): (x.vec_id, x.score) for x in maxscore.top_k(items.where("vec_id % 50 = 0"), items, k=4).collect()}
+    whole = {k: [math.floor(256 * x) for x in v] for k, v in rows}
+    for q in (0, 50, 100, 150):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], whole[k])), k) for k in whole if k != q)[:4]
+        assert [top[q, i + 1] for i in range(4)] == [(k, -s) for s, k in best]
+
+
+def test_repeated_ids_are_asked_once_and_found_each(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (2, [1.0, 0.1]), (3, [0.0, -1.0])]
+    df = frame(spark, rows)
+    near = ann.nearest(df.where("vec_id = 3"), df, k=10)
+    assert sorted((x.rank, x.vec_id) for x in near.collect()) == [(1, 1), (2, 2), (3, 2), (4, 1)]
+    items = maxscore.quantised(df)
+    assert [x.vec_id for x in maxscore.top_k(items.where("vec_id = 3"), items, k=10).orderBy("rank").collect()] == [1, 2, 2, 1]
