@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 
 from recallspark.llm._common import fold, map_batches, require, slices, table
 
-#: At most so many labelled documents of each class make the dictionaries, and so many more calibrate the score.
-DICTIONARY_ROWS, CALIBRATION_ROWS = 1500, 8000
+#: At most so many labelled documents of each class, and so many pieces of them, make the dictionaries; and so many more documents calibrate the score.
+DICTIONARY_ROWS, DICTIONARY_PIECES, CALIBRATION_ROWS = 1500, 6000, 8000
 #: Bytes of a dictionary, and of the pieces that a text is compressed in (a long text must not learn from itself).
 DICTIONARY_BYTES, PIECE = 112_640, 512
 LEVEL = 3
@@ -36,10 +36,9 @@ class Model:
 
 
 def dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary, or the texts' own bytes where they are too few to train one."""
-    pieces = [t[k : k + 4 * PIECE] for t in texts for k in range(0, len(t), 4 * PIECE)]
+    """A dictionary trained on pieces of text, or their own bytes where they are too few to train one."""
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
     except zstandard.ZstdError:
         return b"".join(texts)[-DICTIONARY_BYTES:]
 
@@ -88,9 +87,20 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[tuple, tuple, tuple]:
     return tuple(map(float, mean)), tuple(map(float, scale)), tuple(map(float, w))
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Pieces of whole texts, each with a hash of its document and place."""
+    for y, h, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        data = (text or "").encode()
+        own = [data[k : k + 4 * PIECE] for k in range(0, max(1, len(data)), 4 * PIECE)]
+        yield {"y": [y] * len(own), "h": [int.from_bytes(hashlib.blake2b(f"{h}:{k}".encode(), digest_size=7).digest(), "big") for k in range(len(own))], "piece": own}
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", dictionary_rows: int = DICTIONARY_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
     """Learn from a bounded sample of labelled rows: the first by a hash of their id, other rows for each purpose.
 
+    The dictionaries are trained on pieces of 2048 bytes from anywhere in the whole texts of their rows, at most DICTIONARY_PIECES
+    of a class, the first by a hash of id and place; so what comes to the driver is bounded however long texts are.
+
     Labels other than 0 and 1 and ids with contradicting labels are left out.  Where a class is missing, the model
     gives the other class's value for every text, and 0.5 where there are no labels at all.
     """
@@ -101,8 +111,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     half = F.col("_h").bitwiseAND(F.lit(1))
     one = lambda y: own.where((half == 0) & (F.col("_y") == y)).orderBy("_h", "_id").limit(dictionary_rows)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    rows = texts.join(F.broadcast(one(1).unionByName(one(0))), "_id").orderBy("_h", "_id").collect()  # at most 2 x dictionary_rows
-    by = {y: [(r._text or "").encode() for r in rows if r._y == y] for y in (0, 1)}
+    chosen = texts.join(F.broadcast(one(1).unionByName(one(0))), "_id").select("_y", "_h", "_text")  # at most 2 x dictionary_rows
+    pieces = map_batches(chosen, _pieces, T.StructType([T.StructField("y", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("piece", T.BinaryType())]))
+    by = {y: [bytes(r.piece) for r in pieces.where(F.col("y") == y).orderBy("h", "piece").limit(DICTIONARY_PIECES).collect()] for y in (0, 1)}
     if not all(by.values()):
         return Model(constant=1.0 if by[1] else 0.0 if by[0] else 0.5)
     good, bad = dictionary(by[1]), dictionary(by[0])
@@ -115,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     got = np.array(map_batches(sample, run, schema).collect(), dtype=float).reshape(-1, 6)  # at most calibration_rows
     if not len(got):
-        got = np.array([(y, *features(t.decode(), good, bad)) for y in (0, 1) for t in by[y]])
+        got = np.array([(y, *features(t.decode("utf-8", "ignore"), good, bad)) for y in (0, 1) for t in by[y]])
     order = np.lexsort(got.T)  # the sums do not depend on the order of arrival
     return Model(good, bad, *calibrate(got[order, 1:], got[order, 0]))
 
