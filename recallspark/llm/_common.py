@@ -25,6 +25,13 @@ def require(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns {missing}; the input has {df.columns}")
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """name, or the first longer one that no column has."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = "_" + name
+    return name
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: T.StructType) -> DataFrame:
     """mapInArrow where fn turns one record batch into dicts of columns in the order of schema."""
     arrow = to_arrow_schema(schema)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recallspark.llm._common import map_batches, require, slices, table
+from recallspark.llm._common import fresh, map_batches, require, slices, table
 
 #: Elements whose start and end break a line.  Each set below holds names of the HTML standard.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul video".split())
@@ -302,7 +302,7 @@ def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", keep
             texts = [main_text(x, sigma, strength) for x in part.column(len(kept)).to_pylist()]
             yield {c: part.column(k) for k, c in enumerate(kept)} | {"text": texts, "n_chars": [len(x) for x in texts]}
 
-    return map_batches(df.select(*kept, F.col(html_col).cast("string").alias("_html")), run, schema)
+    return map_batches(df.select(*kept, F.col(html_col).cast("string").alias(fresh(kept, "_html"))), run, schema)
 
 
 def op4_html_main_text(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from recallspark.llm._common import fold, map_batches, require, slices, table
+from recallspark.llm._common import fold, fresh, map_batches, require, slices, table
 
 #: Hashed n-grams of 1 to ORDER characters.
 BITS, ORDER = 15, 3
@@ -198,7 +198,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             got = [one(x) for x in part.column(len(kept)).to_pylist()]
             yield {c: part.column(k) for k, c in enumerate(kept)} | {"lang_pred": [x[0] for x in got], "score": [x[1] for x in got]}
 
-    return map_batches(docs.select(*kept, F.col(text_col).cast("string").alias("_text")), run, schema)
+    return map_batches(docs.select(*kept, F.col(text_col).cast("string").alias(fresh(kept, "_text"))), run, schema)
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recallspark.llm._common import fold, map_batches, require, slices, table
+from recallspark.llm._common import fold, fresh, map_batches, require, slices, table
 
 #: At most so many labelled documents of each class, and so many pieces of them, make the dictionaries; and so many more documents calibrate the score.
 DICTIONARY_ROWS, DICTIONARY_PIECES, CALIBRATION_ROWS = 1500, 6000, 8000
@@ -73,16 +73,33 @@ def expand(x: np.ndarray, mean, scale) -> np.ndarray:
     return np.hstack([np.ones((len(z), 1)), z, *[z[:, [i]] * z[:, [j]] for i in range(k) for j in range(i, k)]])
 
 
+#: Weight of the squared weights against the summed log loss.
+RIDGE = 0.1
+
+
+def loss(w: np.ndarray, a: np.ndarray, y: np.ndarray) -> float:
+    """Summed log loss of the labels, and the ridge."""
+    z = a @ w
+    return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * RIDGE * (w * w).sum())
+
+
 def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[tuple, tuple, tuple]:
-    """Logistic regression of the labels on the features and their products, by Newton's method."""
+    """Logistic regression of the labels on the features and their products, by Newton's method with steps that are halved until the loss falls.
+
+    The loss is convex, so this ends at its only minimum, also where the classes can be parted without an error.
+    """
     mean, scale = x.mean(0), x.std(0) + 1e-9
     a = expand(x, mean, scale)
     w = np.zeros(a.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p) + 1e-6)[:, None]).T @ a + 0.1 * np.eye(len(w)), a.T @ (p - y) + 0.1 * w)
-        w -= step
-        if np.abs(step).max() < 1e-8:
+    now = loss(w, a, y)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + RIDGE * np.eye(len(w)), a.T @ (p - y) + RIDGE * w)
+        size = 1.0
+        while (new := loss(w - size * step, a, y)) > now and size > 1e-10:
+            size /= 2
+        w, gain, now = w - size * step, now - new, min(now, new)
+        if gain < 1e-9:
             break
     return tuple(map(float, mean)), tuple(map(float, scale)), tuple(map(float, w))
 
@@ -151,7 +168,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 p = np.full(len(texts), model.constant)
             yield {c: part.column(k) for k, c in enumerate(kept)} | {"score": p, "predicted": (p >= 0.5).astype("int32")}
 
-    return map_batches(docs.select(*kept, F.col(text_col).cast("string").alias("_text")), run, schema)
+    return map_batches(docs.select(*kept, F.col(text_col).cast("string").alias(fresh(kept, "_text"))), run, schema)
 
 
 def op5_compression_quality(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,10 @@
 """Quality and language: held-out accuracy and edge cases."""
 
+import math
+from collections import defaultdict
+
+import numpy as np
+import zstandard
 from pyspark.sql import functions as F
 
 from recallspark.llm import language, quality
@@ -33,6 +38,104 @@ def test_quality_edge_cases(spark):
     assert quality.score(odd(spark).limit(0), few).collect() == []
 
 
+def plain_features(text, good, bad):
+    """The features as they are defined, with compressors of their own."""
+    def size(data, dictionary):
+        own = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        return len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False).compress(data))
+
+    data = (text or "").encode()
+    pieces = [data[k : k + quality.PIECE] for k in range(0, max(1, len(data)), quality.PIECE)]
+    g, b = (sum(size(x, d) - 4 for x in pieces) for d in (good, bad))
+    n = len(data) + 8
+    return [(b - g) / max(1, min(b, g)), *(math.log((x + 4) / n) for x in (g, b, size(data, b""))), math.log(n)]
+
+
+def test_scores_equal_a_plain_version(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.train(docs, labels, dictionary_rows=100, calibration_rows=200)
+    some = docs.where("doc_id < 60").unionByName(odd(spark).select("doc_id", "text"), allowMissingColumns=True)
+    texts = [r.text for r in some.select("doc_id", "text").collect()]
+    got = sorted(r.score for r in quality.score(some, model).collect())
+    want = []
+    for t in texts:
+        z = [max(-6, min(6, (x - m) / s)) for x, m, s in zip(plain_features(t, model.good, model.bad), model.mean, model.scale, strict=True)]
+        terms = [1.0, *z, *(z[i] * z[j] for i in range(5) for j in range(i, 5))]
+        want.append(1 / (1 + math.exp(-max(-30, min(30, sum(w * x for w, x in zip(model.weights, terms, strict=True)))))))
+    assert np.allclose(got, sorted(want), atol=1e-6)
+
+
+def test_calibration_ends_at_the_minimum():
+    r = np.random.default_rng(4)
+    for parted in (False, True):
+        x = r.standard_normal((900, 5))
+        y = (x[:, 0] > 0).astype(float) if parted else (x[:, 0] + r.standard_normal(900) > 0).astype(float)
+        mean, scale, w = quality.calibrate(x, y)
+        a = quality.expand(x, mean, scale)
+        best = quality.loss(np.array(w), a, y)
+        for k in range(len(w)):
+            for step in (-0.05, 0.05):
+                other = np.array(w)
+                other[k] += step
+                assert quality.loss(other, a, y) > best
+        p = 1 / (1 + np.exp(-a @ np.array(w)))
+        assert ((p > 0.5) == y).mean() > (0.97 if parted else 0.7) and np.abs(w).max() < 100
+
+
+def test_quality_of_a_larger_table(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = quality.op5_compression_quality(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    for label in (0, 1):
+        own = [r.predicted == label for r in rows if r.quality == label]
+        assert sum(own) >= 0.95 * len(own)
+
+
+def plain_weights(rows, target, k):
+    """FTRL on dicts, weight by weight."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i, c):
+        if abs(z[i, c]) <= language.L1:
+            return 0.0
+        return -math.copysign(abs(z[i, c]) - language.L1, z[i, c]) / ((language.BETA + math.sqrt(n[i, c])) / language.ALPHA + language.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(language.EPOCHS):
+        for r in order.permutation(len(rows)):
+            own = {**dict(zip(rows[r][0].tolist(), rows[r][1].tolist(), strict=True)), language.SIZE: 1.0}
+            w = {(i, c): weight(i, c) for i in own for c in range(k)}
+            logits = [sum(v * w[i, c] for i, v in own.items()) for c in range(k)]
+            e = [math.exp(x - max(logits)) for x in logits]
+            for c in range(k):
+                p = e[c] / sum(e) - (c == target[r])
+                for i, v in own.items():
+                    g = v * p
+                    sigma = (math.sqrt(n[i, c] + g * g) - math.sqrt(n[i, c])) / language.ALPHA
+                    z[i, c] += g - sigma * w[i, c]
+                    n[i, c] += g * g
+    return {x: weight(*x) for x in z}
+
+
+def test_ftrl_equals_a_plain_version():
+    texts = ["the cat and the dog", "der hund und die katze", "the house", "das haus und der garten", "a dog", "ein hund"]
+    idf = np.ones(language.SIZE)
+    rows = [language.vector(t, idf) for t in texts]
+    target = np.array([0, 1, 0, 1, 0, 1])
+    got = language.follow_the_leader(rows, target, 2)
+    want = plain_weights(rows, target.tolist(), 2)
+    assert np.count_nonzero(got) == sum(w != 0 for w in want.values()) > 0
+    for (i, c), w in want.items():
+        assert abs(got[i, c] - w) < 1e-9
+
+
+def test_language_ties_and_repeated_rows(spark):
+    model = language.Model(("aa", "bb"), np.ones(language.SIZE, np.float32), np.zeros((language.SIZE + 1, 2), np.float32), 1.0)
+    df = spark.createDataFrame([(1, "some text", "x"), (1, "some text", "x"), (None, "some text", "y")], "doc_id long, text string, lang_pred string")
+    assert sorted((str(r.doc_id), r.lang_pred, r.score) for r in language.predict(df, model).collect()) == [("1", "aa", 0.5), ("1", "aa", 0.5), ("None", "aa", 0.5)]
+    kept = language.predict(df.withColumn("_text", F.lit("clash")), model, keep=("_text",)).collect()
+    assert {r["_text"] for r in kept} == {"clash"} and {r.lang_pred for r in kept} == {"aa"}
+
+
 def test_language_on_held_out_rows(spark):
     rows = language.op8_language_id(spark, SF)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
