@@ -24,8 +24,8 @@ from recallspark.llm._common import require, table
 TIERS = (512, 1024, 2048, 4096)
 #: Tokens that a task holds back per tier before it forms sequences of them.
 HOLD = 1 << 18
-#: Words whose ids a Python worker remembers; the memory is emptied when it is full.
-WORDS = 1_000_000
+#: Words whose ids a task remembers; the memory is emptied when it is full.
+WORDS = 600_000
 #: Bytes of text, and rows, whose words are looked up together.
 RUN_BYTES, RUN_ROWS = 8 << 20, 8192
 #: Sequences of a tier that one step takes, and the ranks that share them.
@@ -54,9 +54,10 @@ class WordIds:
 
     @staticmethod
     def of(path: str) -> WordIds:
-        """One for each Python worker, so that what a task has learnt serves the next one."""
+        """The tokenizer is read once in each Python worker; words are forgotten from task to task, as other work follows in the worker."""
         if path not in _encoders:
             _encoders[path] = WordIds(path)
+        _encoders[path].known = {}
         return _encoders[path]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -298,6 +299,7 @@ def pack(
                 packer.out.clear()
                 if dealt:
                     yield rows(dealt)
+        coder.known = {}
         packer.finish()
         dealt = []
         for tier, pieces in packer.out:

@@ -24,6 +24,8 @@ SUPPORT, GENERALISE, REMOVE = 3, 0.6, 0.85
 #: Bits of the filters that spare most words the count over the corpus, and most documents the search for copies; they let
 #: some through, and drop none.
 FILTER_BITS = 1 << 22
+#: Words, and witness keys, that a task remembers; the memory is emptied when it is full.
+KNOWN = 200_000
 #: Letters at the end of a word that name its more general classes, the narrower first.
 CLASS_LETTERS = (3, 1)
 
@@ -213,13 +215,13 @@ def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, copied: DataFr
                 if maybe := bool(repeated[_slot(key)]):
                     if key in told:
                         continue
-                    if len(told) > 500_000:
+                    if len(told) > KNOWN:
                         told.clear()
                     told.add(key)
                 for term in set(own):
                     hit = known.get(term)
                     if hit is None:
-                        if len(known) > 500_000:
+                        if len(known) > KNOWN:
                             known.clear()
                         hit = known[term] = tuple(x for x in (term, *classes_of(term)) if bits[_slot(x)])
                     hits.update(hit)
