@@ -28,6 +28,8 @@ ACTIONS = [
     ("space_activate", r"(激活|切换).{0,12}(space|空间)|space_activate"),
     ("memory_govern", r"(标记|置顶|删除|恢复).{0,12}记忆|memory_govern"),
 ]
+QUOTED = r"[“\"]([^”\"]{3,80})[”\"]"
+SPACE_NAME = r"(?:空间|space)[：: ]*([\w\u4e00-\u9fff\- ]{2,60})"
 OPERATIONAL = r"(测试|创建成功|添加成功|已添加|拉取完成|构建通过|验证通过|npm run build|test\.bat|git pull|git push)"
 PERSONA = r"(偏好|习惯|价值观|反感|喜欢|倾向|决定|决策|沟通风格|审美|工作方式|适合|情绪|敏感|底线|认为)"
 MARKDOWN = r"[`*_#>\-]+"
@@ -47,6 +49,13 @@ POLLUTION = (
     "the following is the codex agent history",
 )
 TEMPORARY = ("帮我安装", "打开", "访问", "检查一下", "跑一下", "修一下", "这个路径", "这个文件", "当前这个项目")
+# The weights of the four scores, and the texts that explain why a memory takes part.
+WEIGHTS = (0.30, 0.30, 0.25, 0.15)
+EXPLAINED = {
+    "tags": "它和这些关键词相关：", "judgement": "它记录的是判断、偏好或推理，比普通流水信息更适合作为参考", "pinned": "你已经把它标为重要，所以系统会更优先保留它", "active": "它当前处于可引用状态",
+    "expired": "它已被标记为过期，仍可参考，但会被明显降权", "wrong": "它已被标记为错误，默认不会再参与召回", "muted": "它已被设置为不再引用，默认不会参与召回", "deleted": "它已被软删除，默认不会参与召回",
+    "raised": "你提高过它的权重，因此它会更容易被想起", "lowered": "你降低过它的权重，因此它只会谨慎参与参考", "plain": "它目前没有特殊治理标记，按普通长期记忆处理",
+}
 GREETINGS = ("嗯", "好的", "好", "ok", "OK", "行", "可以", "对", "是的", "谢谢", "不客气", "再见", "拜拜", "bye", "hi", "hello", "你好", "收到", "明白", "知道了", "了解")
 
 
@@ -66,7 +75,8 @@ def squeeze(c: Column) -> Column:
 
 def iso_dates(c: Column) -> Column:
     """2026年7月1日, 2026/7/1, 2026.07.01 and the like become 2026-07-01 where that day exists; others stay as they are."""
-    day31, day30, day29, day28 = "3[01]|[12][0-9]|0?[1-9]", "30|[12][0-9]|0?[1-9]", "[12][0-9]|0?[1-9]", "1[0-9]|2[0-8]|0?[1-9]"
+    one = "0[1-9]|[1-9](?![0-9])"  # a day has two digits where two are there, as the reading is greedy
+    day31, day30, day29, day28 = f"3[01]|[12][0-9]|{one}", f"30|[12][0-9]|{one}", f"[12][0-9]|{one}", f"1[0-9]|2[0-8]|{one}"
     leap = "20(?:[02468][048]|[13579][26])"
     rules = [
         ("20[0-9]{2}", "1[02]|0?[13578]", day31),
@@ -75,7 +85,7 @@ def iso_dates(c: Column) -> Column:
         ("20[0-9]{2}", "0?2", day28),
     ]
     for year, month, day in rules:
-        c = F.regexp_replace(c, f"({year})[年/\\-.]({month})[月/\\-.]({day})(?![0-9])日?", "$1-\u0001$2-\u0001$3\u0002")
+        c = F.regexp_replace(c, f"({year})[年/\\-.]({month})[月/\\-.]({day})日?", "$1-\u0001$2-\u0001$3\u0002")
     c = F.regexp_replace(c, "\u0001([0-9])(?![0-9])", "0$1")
     return F.regexp_replace(c, "[\u0001\u0002]", "")
 
@@ -129,8 +139,8 @@ def action_keys(text: Column | str, title: Column | str | None = None, summary:
     def entity(x: Column) -> Column:
         joined, action = x["joined"], x["action"]
         uuid = F.lower(F.regexp_extract(joined, "(?i)" + UUID, 0))
-        quoted = F.regexp_extract(joined, "[“\"]([^”\"]{3,80})[”\"]", 1)
-        named = F.regexp_extract(joined, r"(?iU)(?:空间|space)[：: ]*([\w\-\u4e00-\u9fff ]{2,60})", 1)
+        quoted = F.regexp_extract(joined, QUOTED, 1)
+        named = F.regexp_extract(joined, "(?iU)" + SPACE_NAME, 1)
         name = F.when(action.startswith("todo"), quoted).when(action.startswith("space"), named).otherwise("")
         own = F.when(name != "", normalize_conversation(name)).otherwise(F.substring(x["norm"], 1, 80))
         return F.when(uuid != "", uuid).when(action.startswith("todo") | action.startswith("space"), own).otherwise("")
@@ -224,16 +234,24 @@ def embed_text(title: Column | str, summary: Column | str, raw: Column | str) ->
     return F.concat_ws(" ", text_of(title), text_of(summary), F.substring(text_of(raw), 1, 500))
 
 
-def value_gate(c: Column | str) -> Column:
-    """Struct of total, verdict (write, gray or skip) and reason of the rules that decide whether a text is worth keeping."""
+def value_gate(c: Column | str, scores: Column | None = None) -> Column:
+    """Struct of total, verdict (write, gray or skip) and reason of the rules that decide whether a text is worth keeping.
+
+    scores, where it is not null, is an array of four external scores, clipped to 1..5, which stand in for those of the length.
+    """
     s = F.regexp_replace(text_of(c), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
     n = F.length(s)
     reason = F.when(n < 30, "short").when(s.isin(*GREETINGS), "greeting").when(s.rlike("^https?://") & (n < 80), "url").when(s.startswith("toolCall") | s.startswith("toolResult") | s.startswith("thinking"), "process").otherwise("length")
     bands = [(500, (4, 3, 3, 3)), (200, (3, 2, 2, 2)), (100, (2, 2, 2, 2)), (-1, (2, 1, 1, 1))]
-    score = lambda b: round(0.30 * b[0] + 0.30 * b[1] + 0.25 * b[2] + 0.15 * b[3], 2)
+    score = lambda b: round(sum(w * x for w, x in zip(WEIGHTS, b, strict=True)), 2)
     total = reduce(lambda rest, b: F.when(n > b[0], score(b[1])).otherwise(rest), reversed(bands), F.lit(0.0))
-    total = F.when(reason == "length", total).otherwise(0.0)
-    verdict = F.when(reason != "length", "skip").when(total >= 3.0, "write").when(total >= 2.5, "gray").otherwise("skip")
+    if scores is not None:
+        given = reduce(lambda a, b: a + b, [w * F.least(F.greatest(F.coalesce(F.get(scores, F.lit(k)).cast("double"), F.lit(1.0)), F.lit(1.0)), F.lit(5.0)) for k, w in enumerate(WEIGHTS)])
+        total = F.when(scores.isNull(), total).otherwise(F.round(given, 2))
+        reason = F.when((reason == "length") & scores.isNotNull(), "scored").otherwise(reason)
+    rated = reason.isin("length", "scored")
+    total = F.when(rated, total).otherwise(0.0)
+    verdict = F.when(~rated, "skip").when(total >= 3.0, "write").when(total >= 2.5, "gray").otherwise("skip")
     return F.struct(total.alias("total"), verdict.alias("verdict"), reason.alias("reason"))
 
 
@@ -245,3 +263,17 @@ def derived_fields(verdict: Column, total: Column, manual: Column) -> Column:
 def reasons(**tests: Column) -> Column:
     """The texts of the tests that hold, in order."""
     return F.array_compact(F.array(*[F.when(test, name) for name, test in tests.items()]))
+
+
+def explanation(tags: Column, memory_type: Column, pinned: Column, status: Column, user_weight: Column) -> Column:
+    """Why a memory takes part or not, as an ordered list of texts; tags is an array of names, of which the first five are told."""
+    state = F.coalesce(F.nullif(status, F.lit("")), F.lit("active"))
+    takes_part, weight = ~state.isin("wrong", "muted", "deleted"), F.coalesce(user_weight, F.lit(1.0))
+    own = reasons(**{
+        "judgement": F.upper(F.coalesce(memory_type, F.lit(""))).isin("DECISION", "PREFERENCE", "REASONING"), "pinned": F.coalesce(pinned, F.lit(False)),
+        **{s: state == s for s in ("active", "expired", "wrong", "muted", "deleted")}, "raised": weight > 1.05, "lowered": (weight < 0.95) & takes_part,
+    })
+    told = F.transform(own, lambda k: F.create_map(*[F.lit(x) for kv in EXPLAINED.items() for x in kv])[k])
+    tagged = F.when(F.size(tags) > 0, F.array(F.concat(F.lit(EXPLAINED["tags"]), F.array_join(F.slice(tags, 1, 5), "、"))))
+    out = F.concat(F.coalesce(tagged, F.array().cast("array<string>")), told)
+    return F.when(F.size(out) > 0, out).otherwise(F.array(F.lit(EXPLAINED["plain"])))

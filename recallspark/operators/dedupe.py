@@ -5,12 +5,15 @@ Hot keys: groups are pre-aggregated, and the windowed scan is one pass in time o
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from recallspark.functions.text import action_keys, let, normalize_conversation, title_key, title_summary_key
-from recallspark.sources.scratch import scratch_path
+from recallspark.sources.scratch import saved
 
 TYPE_RANK = ("DECISION", "PREFERENCE", "FACT", "REASONING", "EVENT")
 
@@ -47,48 +50,89 @@ def exact(memories: DataFrame, text: str = "raw_text", at: str = "created_at", k
 def windowed(rows: DataFrame, key: str, at: str = "ts", id_col: str = "id", minutes: int = 10) -> DataFrame:
     """rows with kept: false if a kept row of the same key came at most `minutes` before; skipped rows never block later ones.
 
-    The kept rows of a key depend on each other in time order, so each key is one scan; it carries (time, id) only.  Rows
-    further from the row before than the window start anew, so keys are first cut there into runs, and only a run is one task's array.
-    Null and empty keys are always kept.
+    Rows further from the row before than the window start anew, so keys are cut there into runs.  Rows that are a run alone are kept; the kept
+    rows of a longer run depend on each other in time order, so a run is one scan, over (time, id) only.  Null and empty keys are always kept.
     """
-    keyed = rows.where(F.col(key).isNotNull() & (F.col(key) != ""))
-    order = W.Window.partitionBy(key).orderBy(at, id_col)
-    gap = F.unix_micros(at) - F.lag(F.unix_micros(at)).over(order) > minutes * 60_000_000
-    run = F.sum(F.when(gap, 1).otherwise(0)).over(order.rowsBetween(W.Window.unboundedPreceding, 0))
-    runs = keyed.select(key, id_col, F.unix_micros(at).alias("_t"), run.alias("_run")).groupBy(key, "_run").agg(F.array_sort(F.collect_list(F.struct("_t", id_col))).alias("_a"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{rows.schema[id_col].dataType.simpleString()}>").alias("ids"))
-    late = lambda s, x: s["last"].isNull() | (x["_t"] - s["last"] > minutes * 60_000_000)
-    step = lambda s, x: F.when(late(s, x), F.struct(x["_t"].alias("last"), F.concat(s["ids"], F.array(x[id_col])).alias("ids"))).otherwise(s)
-    kept = runs.select(F.explode(F.aggregate("_a", start, step)["ids"]).alias(id_col)).withColumn("_kept", F.lit(True))
+    window = minutes * 60_000_000
+    keyed = rows.where(F.col(key).isNotNull() & (F.col(key) != "")).select(F.col(key).alias("_key"), F.unix_micros(at).alias("_t"), F.col(id_col).alias("_id"))
+    order = W.Window.partitionBy("_key").orderBy("_t", "_id")
+    starts = F.coalesce(F.col("_t") - F.lag("_t").over(order) > window, F.lit(True))
+    own = keyed.withColumn("_starts", starts)
+    own = own.withColumns({"_run": F.sum(F.col("_starts").cast("long")).over(order.rowsBetween(W.Window.unboundedPreceding, 0)), "_alone": F.col("_starts") & F.coalesce(F.lead("_starts").over(order), F.lit(True))})
+    alone = own.where("_alone").select(F.col("_id").alias(id_col))
+
+    def scan(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("_t", "ascending"), ("_id", "ascending")])
+        times = part["_t"].to_numpy()
+        kept, at_row = [], 0
+        while at_row < len(times):
+            kept.append(at_row)
+            at_row = int(np.searchsorted(times, times[at_row] + window, "right"))
+        return pa.table({id_col: part["_id"].take(pa.array(kept, pa.int64()))})
+
+    chained = own.where("not _alone").select("_key", "_run", "_t", "_id").groupBy("_key", "_run").applyInArrow(scan, T.StructType([T.StructField(id_col, rows.schema[id_col].dataType)]))
+    kept = alone.union(chained).withColumn("_kept", F.lit(True))
     free = F.col(key).isNull() | (F.col(key) == "")
     return rows.join(kept, id_col, "left").withColumn("kept", F.coalesce("_kept", free)).drop("_kept")
 
 
-def source_groups(memories: DataFrame) -> DataFrame:
-    """Groups of memories with the same normalised text: canonical member, members, types, statuses, times.
+def keyed_memories(memories: DataFrame) -> DataFrame:
+    """id, group_key (a hash of the normalised text) and what ranks a memory, of all that are not deleted; written once, so texts are normalised once.
 
-    Texts that are empty after normalisation form no group: they are counted as 0 rather than filtered, as a filter would
+    Texts that are empty after normalisation have no key: they are dropped after the write, as a filter before would
     normalise every text a second time.
     """
     key = let(normalize_conversation("raw_text"), lambda norm: F.when(norm != "", F.sha2(norm, 256)))
-    own = memories.where(F.col("status") != "deleted").withColumn("group_key", key)
-    there = F.col("group_key").isNotNull()
-    rank = F.coalesce(F.array_position(F.array(*[F.lit(t) for t in TYPE_RANK]), F.col("memory_type")), F.lit(0))
-    order = F.struct((F.col("status") != "active").alias("a"), F.when(rank == 0, 99).otherwise(rank).alias("b"), (-F.col("confidence")).alias("c"), F.col("created_at").alias("d"), F.col("id").alias("e"))
-    out = own.groupBy("group_key").agg(
-        F.count("group_key").alias("n"), F.min_by("id", order).alias("canonical_id"), F.sort_array(F.collect_list(F.when(there, F.col("id")))).alias("members"),
+    own = memories.where(F.col("status") != "deleted").select("id", key.alias("group_key"), "status", "memory_type", "confidence", "created_at")
+    return saved(own, "keys").where("group_key is not null")
+
+
+#: Ranks of statuses: active before all others, or each for itself as merging wants it.
+ACTIVE_FIRST = {"active": 0}
+BY_STATUS = {"active": 0, "expired": 1, "wrong": 2, "muted": 3, "deleted": 9}
+
+
+def _canonical(statuses: dict[str, int]) -> Column:
+    """The order in which members stand for their group."""
+    status = F.coalesce(F.create_map(*[F.lit(x) for kv in statuses.items() for x in kv])[F.col("status")], F.lit(5))
+    kind = F.array_position(F.array(*[F.lit(t) for t in TYPE_RANK]), F.upper("memory_type"))
+    return F.struct(status.alias("a"), F.when(F.coalesce(kind, F.lit(0)) == 0, 99).otherwise(kind).alias("b"), (-F.col("confidence")).alias("c"), F.col("created_at").alias("d"), F.col("id").alias("e"))
+
+
+def source_groups(keyed: DataFrame, statuses: dict[str, int] = ACTIVE_FIRST) -> DataFrame:
+    """Groups of keyed memories with the same normalised text: their size, canonical member, types, statuses and times; group_members gives the members."""
+    out = keyed.groupBy("group_key").agg(
+        F.count("*").alias("n"), F.min_by("id", _canonical(statuses)).alias("canonical_id"),
         F.sort_array(F.collect_set("memory_type")).alias("types"), F.sort_array(F.collect_set("status")).alias("statuses"),
         F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"),
     )
     return out.where("n > 1")
 
 
-def merges(groups: DataFrame, links: DataFrame | None = None) -> DataFrame:
+def group_members(keyed: DataFrame, groups: DataFrame) -> DataFrame:
+    """group_key, id, canonical_id: a row for each member of a group, so that a large group needs no large row."""
+    return keyed.select("group_key", "id").join(groups.select("group_key", "canonical_id"), "group_key")
+
+
+def merges(members: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """Links MERGED_INTO from every other member to the canonical one, but those that exist."""
-    out = groups.select(F.explode("members").alias("source_id"), F.col("canonical_id").alias("target_id")).where("source_id <> target_id").withColumn("relation_type", F.lit("MERGED_INTO"))
+    out = members.where("id <> canonical_id").select(F.col("id").alias("source_id"), F.col("canonical_id").alias("target_id")).withColumn("relation_type", F.lit("MERGED_INTO"))
     return out if links is None else out.join(links.select("source_id", "target_id", "relation_type"), ["source_id", "target_id", "relation_type"], "left_anti")
 
 
+def backfill_merges(memories: DataFrame, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The links that merge copies into their canonical memory, by the ranks of all statuses, and memories with the merged ones muted."""
+    keyed = keyed_memories(memories)
+    new = saved(merges(group_members(keyed, source_groups(keyed, BY_STATUS)), links), "merges")
+    return new, mute_merged(memories, new)
+
+
+def mute_merged(memories: DataFrame, links: DataFrame) -> DataFrame:
+    """memories where the source of a new MERGED_INTO link is muted."""
+    gone = links.where(F.upper("relation_type") == "MERGED_INTO").select(F.col("source_id").alias("id")).distinct().withColumn("_gone", F.lit(True))
+    return memories.join(gone, "id", "left").withColumn("status", F.when(F.col("_gone"), "muted").otherwise(F.col("status"))).drop("_gone")
+
+
 def title_groups(memories: DataFrame) -> DataFrame:
     """Titles that come more than once, by letters and digits alone."""
     return memories.select("id", title_key("title").alias("title_key")).where("title_key <> ''").groupBy("title_key").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")
@@ -100,6 +144,14 @@ def newest_of_type(memories: DataFrame, n: int = 5) -> DataFrame:
     return memories.where(F.col("valid_until").isNull()).withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= n)
 
 
+def open_candidates(new: DataFrame, memories: DataFrame, n: int = 5) -> DataFrame:
+    """id, other_id, rank: for each new memory the n newest open ones of its type that are not itself."""
+    others = newest_of_type(memories, n + 1).select("memory_type", F.col("id").alias("other_id"), "rank")
+    order = W.Window.partitionBy("id").orderBy("rank")
+    near = new.select("id", "memory_type").join(others, "memory_type").where("id <> other_id")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("id", "other_id", "rank")
+
+
 def records(memories: DataFrame, minutes: int = 10) -> DataFrame:
     """The fingerprint log: id, decision (created or skipped) and reason of every memory.
 
@@ -108,9 +160,7 @@ def records(memories: DataFrame, minutes: int = 10) -> DataFrame:
     """
     keyed = memories.withColumn("_k", action_keys("raw_text", "title", "summary"))
     keyed = keyed.select("id", F.col("created_at").alias("ts"), normalized_hash("raw_text", "id").alias("h"), F.col("_k.action_key").alias("action_key"), F.col("_k.fact_key").alias("fact_key"), title_summary_key("title", "summary").alias("title_summary_key"))
-    path = scratch_path(memories.sparkSession, "fingerprints")  # four stages look at the keys; texts are normalised once
-    keyed.write.parquet(path)
-    keyed = memories.sparkSession.read.schema(keyed.schema).parquet(path)
+    keyed = saved(keyed, "fingerprints")  # four stages look at the keys; texts are normalised once
     first = keyed.groupBy("h").agg(F.min_by("id", F.struct("ts", "id")).alias("kept_id"))
     alive = keyed.join(first.select("h", F.col("kept_id").alias("id")), ["h", "id"], "left_semi")
     log = keyed.select("id").join(alive.select("id", F.lit(True).alias("_first")), "id", "left").select("id", F.when(F.col("_first").isNull(), "normalized_duplicate").alias("reason"))

@@ -9,10 +9,6 @@ from pyspark.sql import window as W
 ACTIONS = ("pin", "unpin", "mark_wrong", "mark_expired", "mute", "delete", "restore", "update")
 
 
-def _ordered(events: DataFrame, key: str) -> Column:
-    return F.array_sort(F.collect_list(F.struct("ts", "event_id", "action", "weight", "note")))
-
-
 def apply_events(units: DataFrame, events: DataFrame, key: str = "id") -> DataFrame:
     """units (key, status, user_weight, pinned, valid_until, note) after events (key, ts, event_id, action, weight, note).
 
@@ -68,15 +64,44 @@ def link_neighbors(links: DataFrame) -> DataFrame:
     return links.select(F.col("source_id").alias("id"), F.col("target_id").alias("other_id"), "relation_type", F.lit("out").alias("direction")).union(links.select("target_id", "source_id", "relation_type", F.lit("in")))
 
 
-def task_states(tasks: DataFrame, events: DataFrame, key: str = "id") -> DataFrame:
-    """Tasks after close and reopen events: the last one decides; closing a done task and reopening an open one change nothing."""
+def task_history(tasks: DataFrame, events: DataFrame, key: str = "id") -> DataFrame:
+    """What each event (key, ts, event_id, action, status) did to its task: old and new status, whether it took effect, and why not.
+
+    close makes an open task done, reopen a done one open, update sets the status it names; closing what is done or cancelled and reopening what is not
+    done change nothing.  Between updates the status follows from the event before and from whether anything was closed since, so
+    no event needs the outcome of another.
+    """
     order = W.Window.partitionBy(key).orderBy("ts", "event_id")
-    own = events.where(F.col("action").isin("close", "reopen")).join(tasks.select(key, F.col("status").alias("_s")), key)
-    before = F.coalesce(F.lag("action").over(order), F.when(F.col("_s") == "done", "close").otherwise("reopen"))
-    own = own.withColumn("effective", F.col("action") != before)
-    done = own.where("effective").groupBy(key).agg(
-        F.max_by("action", F.struct("ts", "event_id")).alias("_last"), F.max(F.when(F.col("action") == "close", F.col("ts"))).alias("completed_at"),
-        F.max(F.when(F.col("action") == "reopen", F.col("ts"))).alias("reopened_at"), F.count("*").alias("history_rows"),
+    upto = order.rowsBetween(W.Window.unboundedPreceding, -1)
+    own = events.where(F.col("action").isin("close", "reopen", "update")).join(tasks.select(key, F.col("status").alias("_s")), key)
+    sets = F.when((F.col("action") == "update") & F.col("status").isNotNull(), F.col("status"))
+    own = own.withColumns({"_sets": sets, "_base": F.coalesce(F.last(sets, ignorenulls=True).over(upto), F.col("_s")), "_part": F.coalesce(F.count(sets).over(upto), F.lit(0)), "_prev": F.lag("action").over(order)})
+    within = W.Window.partitionBy(key, "_part").orderBy("ts", "event_id").rowsBetween(W.Window.unboundedPreceding, -1)
+    acts = F.col("action").isin("close", "reopen")
+    own = own.withColumns({"_closed": F.coalesce(F.max(F.when(acts, F.col("action") == "close")).over(within), F.lit(False)), "_last": F.last(F.when(acts, F.col("action")), ignorenulls=True).over(within)})
+    base = F.col("_base")
+    old = F.when(base == "cancelled", base).when(F.col("_last") == "close", "done").when(F.col("_last") == "reopen", F.when((base == "done") | F.col("_closed"), "todo").otherwise(base)).otherwise(base)
+    own = own.withColumn("old_status", old)
+    done = F.col("old_status").isin("done", "cancelled")
+    act = F.col("action")
+    reason = F.when((act == "close") & done, F.concat(F.lit("already "), F.col("old_status"))).when((act == "reopen") & (F.col("old_status") != "done"), F.concat(F.lit("is "), F.col("old_status"))).when((act == "update") & (F.col("_sets").isNull() | (F.col("_sets") == F.col("old_status"))), "no change")
+    new = F.when(reason.isNotNull(), F.col("old_status")).when(act == "close", "done").when(act == "reopen", "todo").otherwise(F.col("_sets"))
+    return own.select(key, "ts", "event_id", "action", "old_status", new.alias("new_status"), reason.isNull().alias("effective"), reason.alias("reason"))
+
+
+def task_states(tasks: DataFrame, history: DataFrame, key: str = "id") -> DataFrame:
+    """Tasks after their history: the status, when it was last completed and reopened, and how many events took effect."""
+    own = history.where("effective")
+    to_done, from_done = F.col("new_status") == "done", F.col("old_status") == "done"
+    last = own.groupBy(key).agg(
+        F.max_by("new_status", F.struct("ts", "event_id")).alias("_last"), F.max(F.when(to_done, F.col("ts"))).alias("_done"),
+        F.max(F.when(from_done, F.col("ts"))).alias("reopened_at"), F.count("*").alias("history_rows"),
     )
-    out = tasks.join(done, key, "left")
-    return out.withColumn("status", F.when(F.col("_last") == "close", "done").when(F.col("_last") == "reopen", "todo").otherwise(F.col("status"))).withColumn("history_rows", F.coalesce("history_rows", F.lit(0))).drop("_last")
+    out = tasks.join(last, key, "left").withColumn("status", F.coalesce("_last", "status"))
+    return out.withColumn("completed_at", F.when(F.col("status") == "done", F.col("_done"))).withColumn("history_rows", F.coalesce("history_rows", F.lit(0))).drop("_last", "_done")
+
+
+def skipped(tasks: DataFrame, history: DataFrame, events: DataFrame, key: str = "id") -> DataFrame:
+    """Events that changed nothing, with the reason; those of unknown tasks are not found."""
+    lost = events.join(tasks.select(key), key, "left_anti").select(key, "event_id", F.lit("not found").alias("reason"))
+    return history.where("not effective").select(key, "event_id", "reason").union(lost)

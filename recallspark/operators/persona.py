@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from recallspark.functions.text import is_persona_relevant, text_of
+from recallspark.operators.ranges import numbered
 from recallspark.operators.retrieval import vector_topk
 
 # Similarity to the profile from which a question is answered by it, by level of intrusion.
@@ -14,24 +16,40 @@ THRESHOLDS = (0.15, 0.30, 0.50, 0.65, 0.80)
 
 
 def baseline_sample(memories: DataFrame, share: float = 0.2) -> DataFrame:
-    """All memories of signal levels 1 and 2, and the most confident share (at least one) of level 0."""
-    order = W.Window.partitionBy("signal_level").orderBy(F.desc("confidence"), "id")
-    count = memories.groupBy("signal_level").agg(F.count("*").alias("_n"))
-    own = memories.withColumn("_r", F.row_number().over(order)).join(F.broadcast(count.where("signal_level is not null")), "signal_level")
-    return own.where((F.col("signal_level") > 0) | (F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share)))).drop("_r", "_n")
+    """All memories of signal levels 1 and 2, and the most confident share (at least one) of level 0, which is ranked by ranges, not in one task."""
+    low = memories.where("signal_level = 0").select("id", "confidence", F.lit(0).alias("_level"))
+    ranked = numbered(low, ["_level"], [F.desc("confidence"), F.asc("id")], "id")
+    n = low.count()
+    chosen = ranked.where(F.col("k") <= max(1, int(n * share + 1e-9))).select("id")
+    return memories.where("signal_level > 0").unionByName(memories.where("signal_level = 0").join(chosen, "id", "left_semi"))
 
 
-def prefilter(memories: DataFrame, cursor: Column, least: int = 50) -> DataFrame:
-    """id, state of memories newer than the cursor: short, irrelevant or checked."""
+def prefilter(memories: DataFrame, cursor: Column | None = None, least: int = 50, newest: int = 50) -> DataFrame:
+    """id, state of live memories newer than the cursor, or of the newest ones where there is none: short, irrelevant or checked."""
     relevant = is_persona_relevant("raw_text", "title", "summary", F.col("memory_type"), F.col("signal_level"))
-    state = F.when(F.length(F.trim(text_of("raw_text"))) < least, "short").when(~relevant, "irrelevant").otherwise("checked")
-    return memories.where((F.col("created_at") > cursor) & ~F.col("is_superseded")).select("id", state.alias("state"))
+    text = F.coalesce(F.nullif(F.col("raw_text"), F.lit("")), text_of("summary"))
+    state = F.when(F.length(F.trim(text)) < least, "short").when(~relevant, "irrelevant").otherwise("checked")
+    live = memories.where(~F.col("is_superseded"))
+    own = live.where(F.col("created_at") > cursor) if cursor is not None else live.orderBy(F.desc("created_at"), F.desc("id")).limit(newest)
+    return own.select("id", state.alias("state"))
 
 
 def assertion_pairs(memories: DataFrame, assertions: DataFrame, k: int = 8, least: float = 0.12) -> DataFrame:
-    """qid, id, score: the unlocked assertions that are nearest to each memory."""
+    """qid, id, score: the unlocked assertions that are nearest to each memory, if near enough."""
     own = assertions.where(~F.col("locked") & ~F.col("is_superseded"))
-    return vector_topk(memories.select(F.col("id").alias("qid"), "vec"), own.select("id", "vec"), k, least)
+    found = vector_topk(memories.select(F.col("id").alias("qid"), "vec"), own.select("id", "vec"), k)
+    return found.where(F.col("score") >= least)
+
+
+def prefilter_counts(states: DataFrame, pairs: DataFrame, assertions: DataFrame) -> DataFrame:
+    """One row: memories, those skipped (short, irrelevant, or without a near assertion), checks, and the checks that were spared against all with all."""
+    checked = pairs.select(F.col("qid").alias("id")).distinct().withColumn("_near", F.lit(True))
+    own = states.join(checked, "id", "left")
+    told = (F.col("state") == "checked") & F.coalesce("_near", F.lit(False))
+    one = own.agg(F.count("*").alias("memories"), F.sum(F.when(told, 0).otherwise(1)).alias("skipped"))
+    checks, all_ = pairs.agg(F.count("*").alias("checks")), assertions.where(~F.col("locked") & ~F.col("is_superseded")).agg(F.count("*").alias("_n"))
+    joined = one.join(F.broadcast(checks)).join(F.broadcast(all_))  # one row each
+    return joined.select("memories", "skipped", "checks", (F.col("memories") * F.col("_n") - F.col("checks")).alias("saved"))
 
 
 def apply_verdicts(assertions: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -61,13 +79,24 @@ def active_profile(assertions: DataFrame, n: int = 2) -> DataFrame:
     return assertions.where(~F.col("is_superseded")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def route(questions: DataFrame, assertions: DataFrame, level: int = 2, k: int = 5) -> DataFrame:
-    """qid, mean, best, route, deviates: whether a question is answered from the profile, from experience or both."""
-    found = vector_topk(questions.select("qid", "vec"), assertions.select("id", "vec"), k)
+def route(questions: DataFrame, assertions: DataFrame, level: int = 2, k: int = 5, cited: int = 3) -> DataFrame:
+    """qid, mean, best, route, deviates, citations and confidence: whether a question is answered from the profile, from experience or both.
+
+    The mean of the k nearest assertions decides; citations are the nearest ones, unless experience answers, and confidence is their mean
+    confidence where the profile does, else 0.  assertions: id, vec, confidence.
+    """
+    found = vector_topk(questions.select("qid", "vec"), assertions.select("id", "vec"), max(k, cited))
     clipped = F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))
-    own = found.groupBy("qid").agg(F.round(F.avg(clipped), 6).alias("mean"), F.round(F.max(clipped), 6).alias("best"))
+    first = F.col("rank") <= cited
+    told = found.join(assertions.select("id", "confidence"), "id")
+    own = told.groupBy("qid").agg(
+        F.round(F.avg(F.when(F.col("rank") <= k, clipped)), 6).alias("mean"), F.round(F.max(clipped), 6).alias("best"),
+        F.array_sort(F.array_compact(F.collect_list(F.when(first, F.struct("rank", "id"))))).alias("_c"), F.round(F.avg(F.when(first, F.col("confidence"))), 2).alias("_m"),
+    )
     way = F.when(F.col("mean") < 0.15, "experience").when(F.col("mean") >= THRESHOLDS[level], "persona").otherwise("mixed")
-    return own.withColumn("route", way).withColumn("deviates", (F.col("best") >= 0.2) & (F.col("best") < 0.4))
+    own = own.withColumn("route", way).withColumn("deviates", (F.col("best") >= 0.2) & (F.col("best") < 0.4))
+    ids = F.transform("_c", lambda x: x["id"])
+    return own.select("qid", "mean", "best", "route", "deviates", F.when(F.col("route") == "experience", F.array().cast(T.ArrayType(assertions.schema["id"].dataType))).otherwise(ids).alias("citations"), F.when(F.col("route") == "persona", F.col("_m")).otherwise(0.0).alias("confidence"))
 
 
 def merge_assertions(assertions: DataFrame, new: DataFrame, least: float = 0.88) -> tuple[DataFrame, DataFrame]:
@@ -100,3 +129,23 @@ def edit(assertions: DataFrame, events: DataFrame) -> DataFrame:
     )
     new = {"assertion": F.coalesce("_t", "assertion"), "confidence": F.coalesce("_c", "confidence"), "locked": F.coalesce("_l", "locked"), "is_superseded": F.coalesce("_x", "is_superseded")}
     return assertions.join(step, "id", "left").withColumns(new).drop("_t", "_c", "_l", "_x")
+
+
+def edit_audit(assertions: DataFrame, events: DataFrame) -> DataFrame:
+    """id, ts, event_id, action, old, new: a row for each field that an event changes; edits to an equal value leave none, locks and deletes always do."""
+    clip = F.least(F.greatest("confidence", F.lit(0.0)), F.lit(1.0))
+    start = assertions.select("id", F.col("assertion").alias("_t"), F.col("confidence").alias("_c"), F.col("locked").alias("_l"))
+    own = events.where(F.col("action").isin("edit", "lock", "unlock", "delete", "restore")).select("id", "ts", "event_id", "action", "text", clip.alias("confidence")).join(start, "id")
+    upto = W.Window.partitionBy("id").orderBy("ts", "event_id").rowsBetween(W.Window.unboundedPreceding, -1)
+    act, edit_ = F.col("action"), F.col("action") == "edit"
+    before = lambda value, first: F.coalesce(F.last(value, ignorenulls=True).over(upto), first)
+    text, sure = F.when(edit_ & (F.col("text") != ""), F.col("text")), F.when(edit_, F.col("confidence"))
+    lock = F.when(act.isin("lock", "unlock"), act == "lock")
+    own = own.withColumns({"_ot": before(text, F.col("_t")), "_oc": before(sure, F.col("_c")), "_ol": before(lock, F.col("_l"))})
+    row = lambda name, old, new: F.struct(F.lit(name).alias("action"), old.cast("string").alias("old"), new.cast("string").alias("new"))
+    rows = F.array_compact(F.array(
+        F.when(text.isNotNull() & (text != F.col("_ot")), row("edit_assertion", F.col("_ot"), text)), F.when(sure.isNotNull() & (sure != F.col("_oc")), row("edit_confidence", F.col("_oc"), sure)),
+        F.when(act == "lock", row("lock", F.col("_ol").cast("int"), F.lit(1))), F.when(act == "unlock", row("unlock", F.col("_ol").cast("int"), F.lit(0))),
+        F.when(act == "delete", row("delete", F.lit("active"), F.lit("superseded"))), F.when(act == "restore", row("restore", F.lit("superseded"), F.lit("active"))),
+    ))
+    return own.select("id", "ts", "event_id", F.inline(rows))

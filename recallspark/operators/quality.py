@@ -38,10 +38,12 @@ def rules(memories: DataFrame, links: DataFrame) -> DataFrame:
     return own.withColumn("_r", case).select("id", "flags", "duplicate_count", *[F.col(f"_r.{f}").alias(f) for f in FIELDS])
 
 
-def audit(reviews: DataFrame, samples: int = 3) -> DataFrame:
-    """Counts by status, class and policy, and of each flag, with the smallest ids as samples."""
+def audit(reviews: DataFrame, samples: int = 3, sessions: DataFrame | None = None) -> DataFrame:
+    """Counts by status, class and policy, and of each flag, with the smallest ids as samples; and of sessions (session_id, agent, title_source) without a title, by agent."""
     kinds = F.explode(F.concat(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in FIELDS[:3]]), F.transform("flags", lambda f: F.struct(F.lit("flag").alias("kind"), f.alias("value")))))
     own = reviews.select("id", kinds.alias("x")).select("id", "x.kind", "x.value")
+    if sessions is not None:
+        own = own.union(sessions.where("title_source = 'missing'").select(F.col("session_id").cast(reviews.schema["id"].dataType), F.lit("missing_title"), "agent"))
     first = W.Window.partitionBy("kind", "value").orderBy("id")
     picked = own.withColumn("r", F.row_number().over(first)).where(F.col("r") <= samples).groupBy("kind", "value").agg(F.sort_array(F.collect_list("id")).alias("samples"))
     return own.groupBy("kind", "value").agg(F.count("*").alias("n")).join(picked, ["kind", "value"])

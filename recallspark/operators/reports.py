@@ -8,18 +8,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from recallspark.operators.ranges import numbered
+
 
 def any_contains(word: str, columns: list[str]) -> Column:
     """True where any of the columns holds the word, whatever its case."""
     return reduce(lambda a, b: a | b, [F.contains(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(word.lower())) for c in columns])
 
 
-def memory_list(memories: DataFrame, word: str = "", status: str | None = None, offset: int = 0, limit: int = 20) -> DataFrame:
-    """A page of live memories, pinned ones first, then the newest."""
-    own = memories.where(~F.col("is_superseded"))
-    own = own.where(F.col("status") == status) if status else own
+def memory_list(memories: DataFrame, sessions: DataFrame | None = None, word: str = "", status: str | None = None, agent: str | None = None, session: Column | None = None, offset: int = 0, limit: int = 20) -> DataFrame:
+    """A page of live memories, pinned ones first, then the newest, with the total of all that match.
+
+    sessions (session_id, agent, display_title, title_source) tell where memories come from; word is looked for in title, summary and text.
+    Deleted memories are shown only if `status` asks for them.
+    """
+    own = memories.where(~F.col("is_superseded") & (F.coalesce("status", F.lit("active")) == status if status else F.coalesce("status", F.lit("active")) != "deleted"))
+    if sessions is not None:
+        own = own.join(sessions.select("session_id", "agent", "display_title", "title_source"), "session_id", "left")
+    own = own.where(F.col("agent") == agent) if agent else own
+    own = own.where(F.col("session_id") == session) if session is not None else own
     own = own.where(any_contains(word, ["title", "summary", "raw_text"])) if word else own
-    return own.orderBy(F.desc("pinned"), F.desc("created_at"), "id").offset(offset).limit(limit)
+    total = own.agg(F.count("*").alias("total"))
+    return own.orderBy(F.desc("pinned"), F.desc("created_at"), "id").offset(offset).limit(limit).join(F.broadcast(total))  # total: one row
 
 
 def status_breakdown(memories: DataFrame) -> DataFrame:
@@ -39,10 +49,23 @@ def valid_at(memories: DataFrame, at: Column) -> DataFrame:
     return memories.where((F.col("valid_from") <= at) & (F.col("valid_until").isNull() | (F.col("valid_until") > at)))
 
 
-def source_stats(turns: DataFrame, by: str, n: int = 12) -> DataFrame:
-    """The largest groups of turns with their share of user turns."""
-    share = F.round(F.avg(F.when(F.col("role") == "user", 1.0).otherwise(0.0)), 6)
-    return turns.groupBy(by).agg(F.count("*").alias("turns"), F.count_distinct("session_id").alias("sessions"), share.alias("user_share")).orderBy(F.desc("turns"), by).limit(n)
+def source_stats(sessions: DataFrame, turns: DataFrame, links: DataFrame, n: int = 12) -> DataFrame:
+    """dimension, value, n: totals, and how many sessions (agent, title_source, display_title_source) there are of each kind, by one grouping.
+
+    Totals are source_sessions, missing_titles, memories_with_evidence (of links: memory_id), turns and tool_turns (is_tool_call, is_tool_result); of agents
+    the n largest are listed.
+    """
+    kinds = ("agent", "title_source", "display_title_source")
+    sets = sessions.select(F.explode(F.array(*[F.struct(F.lit(k).alias("dimension"), F.col(k).alias("value")) for k in kinds])).alias("x")).groupBy("x.dimension", "x.value").agg(F.count("*").alias("n"))
+    order = W.Window.partitionBy("dimension").orderBy(F.desc("n"), "value")
+    sets = sets.withColumn("r", F.row_number().over(order)).where((F.col("dimension") != "agent") | (F.col("r") <= n)).drop("r")
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    one = [
+        sessions.agg(F.count("*").alias("source_sessions"), count(F.col("title_source") == "missing").alias("missing_titles")),
+        links.agg(F.count_distinct("memory_id").alias("memories_with_evidence")), turns.agg(F.count("*").alias("turns"), count(F.col("is_tool_call") | F.col("is_tool_result")).alias("tool_turns")),
+    ]
+    rows = [df.select(F.inline(F.array(*[F.struct(F.lit("total").alias("dimension"), F.lit(c).alias("value"), F.col(c).alias("n")) for c in df.columns]))) for df in one]
+    return reduce(DataFrame.union, rows, sets)
 
 
 def totals(**tables: DataFrame) -> DataFrame:
@@ -51,6 +74,13 @@ def totals(**tables: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def store_stats(tags: DataFrame, top: int = 10, **tables: DataFrame) -> DataFrame:
+    """kind, name, value: the size of each table, and the heat of the hottest tags."""
+    sizes = totals(**tables).select(F.lit("table").alias("kind"), "name", F.col("n").cast("double").alias("value"))
+    heat = F.col("storage_strength") * F.col("retrieval_strength")
+    return sizes.union(tags.where(~F.col("is_dormant")).select(F.lit("tag"), "name", heat.alias("value")).orderBy(F.desc("value"), "name").limit(top))
+
+
 def snapshot(memories: DataFrame, hot_tags: DataFrame, history: DataFrame | None, at: Column, least_new: int = 50, least_days: int = 7, keep: int = 10) -> DataFrame:
     """The history of snapshots (taken_at, n_memories, hot_tags) with a new one if enough is new or enough time is past; the newest stay."""
     tags = hot_tags.agg(F.array_sort(F.collect_list(F.struct((-F.col("heat")).alias("h"), F.col("name")))).alias("t")).select(F.transform("t", lambda x: x["name"]).alias("hot_tags"))
@@ -134,8 +164,25 @@ def session_detail(found: DataFrame, linked: DataFrame, memories: DataFrame, lin
     return found.select(*keys, "episode_id", "title").join(n_turns, keys, "left").join(n_memories, "episode_id", "left").fillna(0, ["turns", "memories", "evidence"])
 
 
-def source_backfill(memories: DataFrame, known: DataFrame) -> DataFrame:
-    """Source rows of sessions that have none: session_id, message_count, content_hash over their ids, first and last time."""
-    new = memories.join(known.select("session_id").distinct(), "session_id", "left_anti")
-    ids = F.array_sort(F.collect_list(F.struct("created_at", F.col("id").cast("string").alias("id"))))
-    return new.groupBy("session_id").agg(F.count("*").alias("message_count"), F.sha2(F.array_join(F.transform(ids, lambda x: x["id"]), "|"), 256).alias("content_hash"), F.min("created_at").alias("started_at"), F.max("created_at").alias("ended_at"))
+def source_backfill(memories: DataFrame, known: DataFrame, chunk: int = 10_000) -> DataFrame:
+    """Source rows of sessions that have none: session_id, message_count, content_hash over their ids in order, first and last time.
+
+    Ids are numbered by ranges and hashed in chunks of `chunk`, and the hashes of a session's chunks are hashed again; so no row holds all
+    ids of a session.
+    """
+    new = memories.join(known.select("session_id").distinct(), "session_id", "left_anti").select("session_id", "created_at", "id")
+    ids = numbered(new, ["session_id"], ["created_at", "id"], "id").withColumn("_c", F.floor((F.col("k") - 1) / chunk))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*c))), lambda x: x["v"]), "|")
+    chunks = ids.groupBy("session_id", "_c").agg(F.sha2(joined(["k", F.col("id").cast("string").alias("v")]), 256).alias("h"), F.count("*").alias("n"), F.min("created_at").alias("a"), F.max("created_at").alias("b"))
+    return chunks.groupBy("session_id").agg(F.sum("n").alias("message_count"), F.sha2(joined(["_c", F.col("h").alias("v")]), 256).alias("content_hash"), F.min("a").alias("started_at"), F.max("b").alias("ended_at"))
+
+
+def source_memories(memories: DataFrame, sources: DataFrame) -> DataFrame:
+    """session_id, memory_id of memories in sessions that have a source row: the link table of a backfill."""
+    return memories.join(sources.select("session_id"), "session_id", "left_semi").select("session_id", F.col("id").alias("memory_id"))
+
+
+def uncovered(sessions: DataFrame, memories: DataFrame, candidate_sources: DataFrame, least: int = 1) -> DataFrame:
+    """session_id, n_memories of sessions with enough live memories that no candidate (candidate_sources: session_id) names."""
+    n = memories.where(~F.col("status").isin("deleted", "wrong", "muted")).groupBy("session_id").agg(F.count("*").alias("n_memories")).where(F.col("n_memories") >= least)
+    return sessions.select("session_id").join(n, "session_id").join(candidate_sources.select("session_id"), "session_id", "left_anti")

@@ -198,6 +198,15 @@ def bm25_search(queries: DataFrame, docs: DataFrame, id_col: str = "id", text: s
     return _top(score, ["qid"], [F.desc("score"), F.asc("id")], k)
 
 
+def _united(parts: list[DataFrame], *keys: str) -> DataFrame:
+    """The union of parts, dealt by keys.
+
+    Parts that are partitioned alike would keep that partitioning in their union, while adaptive execution may read the partitions of each part
+    differently; rows of one key could then stand in two partitions.
+    """
+    return reduce(DataFrame.union, parts).repartition(*keys)
+
+
 def seed_tags(found: DataFrame, least: float = 0.4, n: int = 3) -> DataFrame:
     """Of the nearest vectors of each query (kind memory or tag), the tags above a score: qid, tag, activation."""
     own = found.where((F.col("kind") == "tag") & (F.col("score") > least))
@@ -215,7 +224,7 @@ def space_priors(space_memories: DataFrame, mentions: DataFrame, tags: DataFrame
 def with_priors(seeds: DataFrame, queries: DataFrame, priors: DataFrame) -> DataFrame:
     """Seeds joined with the priors of the query's space, at 0.35 of their value and 0.85 at most."""
     more = queries.where(F.col("space_id").isNotNull()).join(priors, "space_id").select("qid", "tag", F.least(F.col("prior") * 0.35, F.lit(0.85)).alias("activation"))
-    return seeds.select("qid", "tag", "activation").union(more).groupBy("qid", "tag").agg(F.max("activation").alias("activation"))
+    return _united([seeds.select("qid", "tag", "activation"), more], "qid", "tag").groupBy("qid", "tag").agg(F.max("activation").alias("activation"))
 
 
 def spread(seeds: DataFrame, neighbors: DataFrame, hops: int = 3, decay: float = 0.5) -> DataFrame:
@@ -246,10 +255,7 @@ def landing(active: DataFrame, mentions: DataFrame, memories: DataFrame, queries
 
 def rrf(channels: list[DataFrame], k: int = 20, constant: int = 60) -> DataFrame:
     """Reciprocal rank fusion of channels (qid, id, rank): the sum of 1 / (constant + rank)."""
-    union = channels[0].select("qid", "id", "rank")
-    for c in channels[1:]:
-        union = union.union(c.select("qid", "id", "rank"))
-    fused = union.groupBy("qid", "id").agg(F.round(F.sum(1 / (constant + F.col("rank"))), 9).alias("score"), F.count("*").alias("channels"))
+    fused = _united([c.select("qid", "id", "rank") for c in channels], "qid", "id").groupBy("qid", "id").agg(F.round(F.sum(1 / (constant + F.col("rank"))), 9).alias("score"), F.count("*").alias("channels"))
     return _top(fused, ["qid"], [F.desc("score"), F.asc("id")], k)
 
 
@@ -314,7 +320,7 @@ def recall(
     seeds = with_priors(seed_tags(near), queries, space_priors(space_memories, mentions, tags))
     by_graph = landing(spread(seeds, neighbors), mentions, memories, queries, depth)
     channels = {"vector": by_vector, "words": by_words, "graph": by_graph}
-    ranked = reduce(DataFrame.union, [c.select("qid", "id", "rank", F.lit(name).alias("channel")) for name, c in channels.items()])
+    ranked = _united([c.select("qid", "id", "rank", F.lit(name).alias("channel")) for name, c in channels.items()], "qid", "id")
     fused = ranked.groupBy("qid", "id").agg(F.round(F.sum(1 / (60 + F.col("rank"))), 9).alias("raw_score"), F.sort_array(F.collect_set("channel")).alias("channels"))
     wide = F.when(F.col("space_id").isNull(), k).otherwise(pool or max(5 * k, 30))
     fused = fused.withColumn("rank", F.row_number().over(W.Window.partitionBy("qid").orderBy(F.desc("raw_score"), "id")))

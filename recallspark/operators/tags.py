@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from recallspark.sources.scratch import saved
+from recallspark.operators.ranges import numbered
 
 CATEGORIES = ("PERSON", "PROJECT", "TOOL", "CONCEPT", "EVENT", "PLACE", "EMOTION", "DECISION")
 RATE, FLOOR = 0.05, 0.1
@@ -43,22 +43,6 @@ def explicit_relations(memories: DataFrame) -> DataFrame:
     return r.select("memory_id", F.col("_r.from").alias("source_tag"), F.col("_r.to").alias("target_tag"), F.upper("_r.type").alias("relation_type"), F.coalesce("_r.sim", F.lit(0.5)).alias("sim"))
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list[str], carry: str) -> DataFrame:
-    """rows with k, their number in the order of their key, and before, `carry` of the row before; a key may hold any share of all rows.
-
-    Rows are dealt by ranges of key and order, so that a hot key spreads; each range numbers its own rows, and what the
-    ranges before hold of a key is added from one row for each range and key.
-    """
-    at = [*keys, *order]
-    own = saved(rows.repartitionByRange(*at).withColumn("_range", F.spark_partition_id()), "ranges")
-    inner, outer = W.Window.partitionBy("_range", *keys).orderBy(*order), W.Window.partitionBy(*keys).orderBy("_range")
-    parts = own.groupBy("_range", *keys).agg(F.count("*").alias("_n"), F.max_by(carry, F.struct(*order)).alias("_last"))
-    parts = parts.select("_range", *keys, F.coalesce(F.sum("_n").over(outer.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"), F.lag("_last").over(outer).alias("_carried"))
-    own = own.withColumns({"_k": F.row_number().over(inner), "before": F.lag(carry).over(inner)})
-    out = own.join(parts, ["_range", *keys])
-    return out.withColumn("before", F.when(F.col("_k") == 1, F.col("_carried")).otherwise(F.col("before"))).withColumn("k", F.col("_k") + F.col("_start")).drop("_range", "_k", "_start", "_carried")
-
-
 def hebbian(events: DataFrame, edges: DataFrame | None = None, keys: tuple[str, ...] = ("source_tag", "target_tag", "relation_type")) -> DataFrame:
     """Edge weights after co-activation events (keys, ts, id, session_id, sim), in the closed form of the step-by-step rule.
 

@@ -70,7 +70,7 @@ QUERIES = {
     "r7_board_coverage": lambda s, d: turns.board_page(flagship(s, d), V.source_sessions(s, d), "", "missing_titles", "coverage_asc", 0, 20).select("session_id", "turns", "reviewable", "display_title_source", "total"),
     "r7_board_newest": lambda s, d: turns.board_page(flagship(s, d), V.source_sessions(s, d), "agent 1").select("session_id", "display_title", "review_status", "total"),
     "x1_watched": _watched,
-    "r8_source_stats": lambda s, d: reports.source_stats(V.turns(s, d), "agent"),
+    "r8_source_stats": lambda s, d: reports.source_stats(V.source_sessions(s, d), V.sourced_turns(s, d), _chain(s, d)[4], 2),
     "t7_display_titles": lambda s, d: V.turns(s, d).select("session_id", "turn_index", X.compact_display_title("content", F.col("role"))["title"].alias("title"), X.is_memory_subject_text("content").alias("subject")),
     "t9_value_gate": lambda s, d: V.turns(s, d).select("session_id", "turn_index", X.value_gate("content").alias("g")).select("session_id", "turn_index", "g.total", "g.verdict", "g.reason"),
 }
@@ -122,7 +122,9 @@ ORACLES = {
         l AS (SELECT session_id, b, max(turn_index) AS turn_index, list('User: ' || c ORDER BY turn_index) FILTER (role = 'user' AND length(c) >= 30) AS u, list('Assistant: ' || c ORDER BY turn_index) FILTER (role = 'assistant' AND length(c) >= 30) AS v FROM w JOIN a USING (session_id, b) GROUP BY ALL),
         n AS (SELECT *, greatest(coalesce(len(u), 0), coalesce(len(v), 0)) AS n FROM l)
         SELECT session_id, turn_index, concat_ws(chr(10), u[n - 1], v[n - 1], u[n], v[n]) AS conversation FROM n WHERE n > 1 UNION ALL SELECT session_id, turn_index, concat_ws(chr(10), u[n], v[n]) FROM n WHERE n = 1""",
-    "r8_source_stats": f"WITH {V.TURNS} SELECT agent, count(*) AS turns, count(DISTINCT session_id) AS sessions, round(avg(CASE WHEN role = 'user' THEN 1.0 ELSE 0.0 END), 6) AS user_share FROM turns GROUP BY agent ORDER BY turns DESC, agent LIMIT 12",
+    "r8_source_stats": f"""{_EP}, {V.SESSIONS}, k AS (SELECT 'agent' AS dimension, agent AS value, count(*) AS n FROM src GROUP BY 2 UNION ALL SELECT 'title_source', title_source, count(*) FROM src GROUP BY 2 UNION ALL SELECT 'display_title_source', display_title_source, count(*) FROM src GROUP BY 2)
+        SELECT * FROM k WHERE dimension <> 'agent' UNION ALL (SELECT * FROM k WHERE dimension = 'agent' ORDER BY n DESC, value LIMIT 2) UNION ALL SELECT 'total', 'source_sessions', count(*) FROM src UNION ALL SELECT 'total', 'missing_titles', count(*) FROM src WHERE title_source = 'missing' UNION ALL SELECT 'total', 'memories_with_evidence', count(DISTINCT memory_id) FROM ev
+        UNION ALL SELECT 'total', 'turns', count(*) FROM conversations UNION ALL SELECT 'total', 'tool_turns', count(*) FROM conversations WHERE role = 'assistant' AND (conv_id + turn) % 7 <= 1""",
     "t7_display_titles": f"""WITH {V.TURNS}, q AS (SELECT *, trim(regexp_replace(content, '[\\s\\p{{Z}}]+', ' ', 'g')) AS q FROM turns)
         SELECT session_id, turn_index, CASE WHEN q <> '' THEN left(q, 36) || CASE WHEN length(q) > 36 THEN '…' ELSE '' END ELSE role END AS title, {V.subject_sql("content")} AS subject FROM q""",
     "t9_value_gate": f"""WITH {V.TURNS}, q AS (SELECT *, regexp_replace(content, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS s FROM turns),

@@ -10,23 +10,84 @@ from recallspark.sources.scratch import scratch_path
 from recallspark.streaming import ingest
 
 
-def _transcripts(s, d):
-    """Conversations as JSON lines, a file for each."""
-    path = scratch_path(s, "transcripts")
-    t = V.turns(s, d)
-    line = F.to_json(F.struct(F.lit("message").alias("type"), F.when(F.col("role") == "user", "human").otherwise(F.col("role")).alias("role"), F.col("content"), F.concat(F.lit("s"), F.col("session_id").cast("string")).alias("session_id")))
-    own = t.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn_index", line.alias("l")))), lambda x: x["l"]), "\n").alias("value"))
-    own.withColumn("file", F.col("session_id")).select("value", "file").write.partitionBy("file").text(path)
+def _written(s, d, line, kind="transcripts"):
+    """A file for each conversation, with a line for each turn."""
+    path = scratch_path(s, kind)
+    own = V.turns(s, d).withColumn("value", line).where("value is not null")
+    # Turns of one conversation meet in one task and are written in order, a file for each.
+    own.select("value", "turn_index", F.col("session_id").alias("file")).repartition("file").sortWithinPartitions("file", "turn_index").select("value", "file").write.partitionBy("file").text(path)
     return f"{path}/*/*"
 
 
+_K = F.col("turn_index")
+_STAMP = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("session_id") * 3600 + F.col("turn_index") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+_NAME = F.concat(F.lit("s"), F.col("session_id").cast("string"))
+
+
+def _json(**fields):
+    return F.to_json(F.struct(*[(F.lit(v) if isinstance(v, str) else v).alias(k) for k, v in fields.items()]))
+
+
+def _transcripts(s, d):
+    """Lines of the generic shape; those of the system are not JSON."""
+    line = _json(type="message", role=F.when(F.col("role") == "user", "human").otherwise(F.col("role")), content=F.col("content"), session_id=_NAME)
+    return _written(s, d, F.when(F.col("role") == "system", F.concat(F.lit("{broken "), F.substring(F.regexp_replace("content", "\\s+", " "), 1, 20))).otherwise(line))
+
+
+def _parts(*extra):
+    """Content as a list of parts: the text, then what else is there."""
+    return F.array(F.struct(F.lit("text").alias("type"), F.col("content").alias("text"), F.lit(None).cast("string").alias("name")), *extra)
+
+
+def _session_lines(s, d):
+    """The first line names the session, answers are lists of parts with a tool call, others strings."""
+    call = F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), F.lit("shell").alias("name"))
+    said = F.when(F.col("role") == "assistant", _json(type="message", message=F.struct(F.col("role"), _parts(call).alias("content")), timestamp=_STAMP)).otherwise(_json(type="message", message=F.struct(F.when(F.col("role") == "system", "toolResult").otherwise(F.col("role")).alias("role"), F.col("content").alias("content")), timestamp=_STAMP))
+    head = _json(type="session", id=F.concat(F.lit("x"), F.col("session_id").cast("string")))
+    return readers.read_session_jsonl(s, _written(s, d, F.when(_K == 0, F.concat(head, F.lit("\n"), said)).otherwise(said)))
+
+
+def _nested_lines(s, d):
+    """Content at the top of users' lines and in message of others; the system's come as snapshots."""
+    said = F.when(F.col("role") == "user", _json(type="message", role=F.col("role"), content=F.col("content"), sessionId=_NAME)).when(F.col("role") == "assistant", _json(type="reasoning", message=F.struct(F.col("content")), sessionId=_NAME)).otherwise(_json(type="file-snapshot", content=F.col("content"), sessionId=_NAME))
+    return readers.read_nested_jsonl(s, _written(s, d, said))
+
+
+def _payload_lines(s, d):
+    """Events of users, messages of assistants, and outputs of tools in payloads, behind a line that names the session."""
+    user = _json(timestamp=_STAMP, type="event_msg", payload=F.struct(F.lit("user_message").alias("type"), F.col("content").alias("message")))
+    answer = _json(timestamp=_STAMP, type="response_item", payload=F.struct(F.lit("message").alias("type"), F.lit("assistant").alias("role"), F.array(F.struct(F.lit("output_text").alias("type"), F.col("content").alias("text"))).alias("content")))
+    tool = _json(timestamp=_STAMP, type="response_item", payload=F.struct(F.lit("function_call_output").alias("type"), F.col("content").alias("output")))
+    said = F.when(F.col("role") == "user", user).when(F.col("role") == "assistant", answer).otherwise(tool)
+    head = _json(timestamp=_STAMP, type="session_meta", payload=F.struct(_NAME.alias("id")))
+    return readers.read_payload_jsonl(s, _written(s, d, F.when(_K == 0, F.concat(head, F.lit("\n"), said)).otherwise(said)))
+
+
+def _plain_lines(s, d):
+    """Prefixes start a turn; texts go on over lines."""
+    who = F.when(F.col("role") == "user", F.when(_K % 2 == 0, "User: ").otherwise("human：")).when(F.col("role") == "assistant", F.when(_K % 2 == 0, "AI: ").otherwise("Assistant:")).otherwise("Tool: ")
+    return readers.read_plain(s, _written(s, d, F.concat(who, F.col("content"))))
+
+
+def _told(turns):
+    """What the readers found, without paths."""
+    return turns.select("session_id", F.col("turn_index").cast("long"), "role", F.sha2("content", 256).alias("h"), "is_tool_call", "is_tool_result", "is_final_answer", "tool_name", "ts")
+
+
+def _newest(s, d):
+    """The ten files of the largest conversations, as all were written at one time."""
+    path = _written(s, d, F.col("content"), "plain")
+    found = readers.newest_files(s, path, 10**6)
+    return found.agg(F.count("*").alias("files"), F.sum("length").cast("long").alias("bytes"))
+
+
 def _generic(s, d):
-    return readers.read_generic_jsonl(s, _transcripts(s, d)).select("session_id", F.col("turn_index").cast("long"), "role", F.sha2("content", 256).alias("h"), "is_tool_call")
+    return _told(readers.read_generic_jsonl(s, _transcripts(s, d))).drop("ts", "tool_name", "is_tool_result")
 
 
 def _profile(s, d):
     p = readers.profile_jsonl(s, _transcripts(s, d))
-    return p.select("valid", "invalid", F.coalesce(F.col("types")["message"], F.lit(0)).alias("messages"), F.coalesce(F.col("roles")["human"], F.lit(0)).alias("humans"))
+    return p.select(F.regexp_extract("path", "file=([0-9]+)", 1).cast("long").alias("session_id"), "valid", "invalid", F.coalesce(F.col("types")["message"], F.lit(0)).alias("messages"), F.coalesce(F.col("roles")["human"], F.lit(0)).alias("humans"))
 
 
 def _inbox(s, d):
@@ -47,11 +108,30 @@ def _streamed(s, d):
     return s.read.parquet(out).groupBy("gate").agg(F.count("*").alias("n"), F.count_distinct("conversation").alias("texts"))
 
 
-QUERIES = {"s4_generic_jsonl": _generic, "s8_profile_jsonl": _profile, "s10_bridge": _bridge, "x3_gated_stream": _streamed}
+QUERIES = {
+    "s1_session_jsonl": lambda s, d: _told(_session_lines(s, d)),
+    "s2_nested_jsonl": lambda s, d: _told(_nested_lines(s, d)).drop("ts"),
+    "s3_payload_jsonl": lambda s, d: _told(_payload_lines(s, d)),
+    "s5_plain": lambda s, d: _plain_lines(s, d).select(F.regexp_extract("path", "file=([0-9]+)", 1).cast("long").alias("session_id"), F.col("turn_index").cast("long"), "role", F.sha2("content", 256).alias("h")),
+    "s7_newest_files": _newest,
+    "j4_time_ranges": lambda s, d: readers.time_ranges(_payload_lines(s, d)).select(F.regexp_extract("path", "file=([0-9]+)", 1).cast("long").alias("session_id"), "n", "start", "end"),
+    "s4_generic_jsonl": _generic, "s8_profile_jsonl": _profile, "s10_bridge": _bridge, "x3_gated_stream": _streamed,
+}
 _GATE = "CASE WHEN length(trim(text)) > 500 THEN 'write' ELSE 'skip' END"
+_FILES = "WITH t AS (SELECT * FROM conversations)"
+_FINAL = """n AS (SELECT *, row_number() OVER w - 1 AS turn_index, lead(role) OVER w AS nxt FROM {rows} WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+  l AS (SELECT *, max(turn_index) FILTER (role = 'assistant' AND trim(text) <> '') OVER (PARTITION BY conv_id) AS last FROM n),
+  fin AS (SELECT *, role = 'assistant' AND trim(text) <> '' AND (nxt IS NULL OR nxt = 'user' OR (nxt = 'tool' AND last = turn_index)) AS is_final_answer FROM l)"""
+_AT = "TIMESTAMP '2024-01-01' + to_hours(conv_id) + to_minutes(turn)"
 ORACLES = {
-    "s4_generic_jsonl": "SELECT 's' || conv_id::VARCHAR AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_index, role, sha256(trim(text)) AS h, false AS is_tool_call FROM conversations",
-    "s8_profile_jsonl": "SELECT count(*) AS valid, 0::BIGINT AS invalid, count(*) AS messages, count(*) FILTER (role = 'user') AS humans FROM conversations GROUP BY conv_id",
+    "s4_generic_jsonl": f"{_FILES}, g AS (SELECT * REPLACE (CASE role WHEN 'human' THEN 'user' ELSE role END AS role) FROM t WHERE role <> 'system'), {_FINAL.format(rows='g')} SELECT 's' || conv_id::VARCHAR AS session_id, turn_index, role, sha256(trim(text)) AS h, false AS is_tool_call, is_final_answer FROM fin",
+    "s8_profile_jsonl": "SELECT conv_id AS session_id, count(*) FILTER (role <> 'system') AS valid, count(*) FILTER (role = 'system') AS invalid, count(*) FILTER (role <> 'system') AS messages, count(*) FILTER (role = 'user') AS humans FROM conversations GROUP BY conv_id",
+    "s1_session_jsonl": f"{_FILES}, g AS (SELECT * REPLACE (CASE role WHEN 'system' THEN 'tool' ELSE role END AS role) FROM t), {_FINAL.format(rows='g')} SELECT CASE WHEN conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0) THEN 'x' || conv_id::VARCHAR ELSE '?' END AS session_id, turn_index, role, sha256(trim(text)) AS h, role = 'assistant' AS is_tool_call, false AS is_tool_result, is_final_answer, CASE role WHEN 'assistant' THEN 'shell' ELSE '' END AS tool_name, {_AT} AS ts FROM fin",
+    "s2_nested_jsonl": f"{_FILES}, {_FINAL.format(rows='t')} SELECT 's' || conv_id::VARCHAR AS session_id, turn_index, role, sha256(trim(text)) AS h, false AS is_tool_call, false AS is_tool_result, is_final_answer, '' AS tool_name FROM fin",
+    "s3_payload_jsonl": f"{_FILES}, g AS (SELECT * REPLACE (CASE role WHEN 'system' THEN 'tool' ELSE role END AS role) FROM t), {_FINAL.format(rows='g')} SELECT 's' || conv_id::VARCHAR AS session_id, turn_index, role, sha256(trim(text)) AS h, false AS is_tool_call, false AS is_tool_result, is_final_answer, '' AS tool_name, {_AT} AS ts FROM fin",
+    "s5_plain": f"{_FILES} SELECT conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_index, CASE role WHEN 'system' THEN 'tool' ELSE role END AS role, sha256(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))) AS h FROM t",
+    "s7_newest_files": "SELECT count(DISTINCT conv_id) AS files, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM conversations",
+    "j4_time_ranges": "SELECT conv_id AS session_id, count(*) AS n, 1704067200 + conv_id * 3600 + min(turn) * 60 AS start, 1704067200 + conv_id * 3600 + max(turn) * 60 AS end FROM conversations GROUP BY conv_id",
     "s10_bridge": "SELECT 'a' || (conv_id % 3)::VARCHAR AS agent, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations WHERE length(trim(text)) >= 30 GROUP BY 1",
     "x3_gated_stream": f"WITH n AS (SELECT text, {V.normalized_sql('text')} AS t FROM conversations WHERE {_GATE} = 'write') SELECT 'write' AS gate, count(DISTINCT t) AS n, count(DISTINCT t) AS texts FROM n",
 }

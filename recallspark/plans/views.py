@@ -93,6 +93,26 @@ def normalized_sql(c: str) -> str:
     return f"lower(trim({out}))"
 
 
+#: Texts that say what was done, by the last digit of an id; {} stands for the id.
+SAID = [
+    "添加了一个测试待办“买牛奶 {} 号”。", "已完成 待办 {}，npm run build 通过。", "创建 space 空间：工作台 {} 号，", "标记这条记忆 123e4567-e89b-12d3-a456-426614174000 为重要。", "更新待办 项目 {}; 状态: done",
+    "<mood>calm</mood>2026年7月1日 ID: `abcdef12-3456` 我喜欢 {} 这种方式", "git push origin; see `1a2b3c4d...` {}", "激活 空间 研究 {}", "提取方式: llm 冲突: 3 条 {}", "",
+]
+DATED = "replace({}, '2026年7月1日', '2026-07-01')"
+SPACE_SQL = r"(?:空间|space)[：: ]*([\p{L}\p{M}\p{N}_\- ]{2,60})"
+ACTION_SQL = "CASE " + " ".join(f"WHEN regexp_matches(joined, '{pattern}', 'i') THEN '{name}'" for name, pattern in X.ACTIONS) + " ELSE '' END"
+
+
+def operational(spark, sf) -> DataFrame:
+    """memories whose texts begin with something that was done."""
+    m, k = memories(spark, sf), F.col("id").cast("string")
+    said = [F.concat(*[x for part in t.split("{}") for x in (F.lit(part), k)][:-1]) for t in SAID]
+    return m.withColumn("raw_text", F.concat(F.element_at(F.array(*said), (F.col("id") % len(SAID) + 1).cast("int")), F.coalesce("raw_text", F.lit(""))))
+
+
+OPERATIONAL = f"""{MEMORIES}, oper AS (SELECT * REPLACE (replace({SAID}[id % {len(SAID)} + 1], '{{}}', id::VARCHAR) || coalesce(raw_text, '') AS raw_text) FROM mem)"""
+
+
 def subject_sql(c: str) -> str:
     squeezed = rf"trim(regexp_replace(coalesce({c},''), '[\s\p{{Z}}]+', ' ', 'g'))"
     head = f"lower(left({squeezed}, 240))"

@@ -26,12 +26,17 @@ _KINDS = ("pin", "unpin", "mark_wrong", "mark_expired", "mute", "delete", "resto
 
 def _actions(s, d):
     e, k = V.read(s, d, "events"), F.col("event_id")
-    return e.where(k % 11 == 0).select(F.col("user_id").alias("id"), "ts", "event_id", F.element_at(F.array(*[F.lit(x) for x in _KINDS]), (k % 9 + 1).cast("int")).alias("action"), F.when(k % 4 == 0, F.round(F.col("value") / 10, 3)).alias("weight"), F.when(k % 9 == 7, F.concat(F.lit("note "), k.cast("string"))).alias("note"))
+    return e.select(F.col("user_id").alias("id"), "ts", "event_id", F.element_at(F.array(*[F.lit(x) for x in _KINDS]), (k % 9 + 1).cast("int")).alias("action"), F.when(k % 4 == 0, F.round(F.col("value") / 10, 3)).alias("weight"), F.when(k % 9 == 7, F.concat(F.lit("note "), k.cast("string"))).alias("note"))
 
 
 def _task_events(s, d):
     e, k = V.read(s, d, "events"), F.col("event_id")
-    return e.select((k % 400).alias("id"), "ts", "event_id", F.when(k % 3 == 0, "reopen").otherwise("close").alias("action"))
+    act = F.when(k % 7 == 0, "update").when(k % 3 == 0, "reopen").otherwise("close")
+    return e.select((k % 400).alias("id"), "ts", "event_id", act.alias("action"), F.when(k % 7 == 0, F.element_at(F.array(*[F.lit(x) for x in ("todo", "doing", "done", "cancelled")]), (F.floor(k / 7) % 4 + 1).cast("int"))).alias("status"))
+
+
+def _history(s, d):
+    return governance.task_history(V.tasks(s, d), _task_events(s, d))
 
 
 def _spaces(s, d):
@@ -46,11 +51,6 @@ def _texts(s, d):
     return V.read(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
 
 
-def _persona_rows(s, d):
-    m = V.memories(s, d)
-    return persona.baseline_sample(m).select("id", "signal_level")
-
-
 def _assertions(s, d):
     return V.vectors(s, d).select("id", (F.col("label") % 4).cast("string").alias("dimension"), F.concat(F.lit("likes "), F.col("id").cast("string")).alias("assertion"), (0.3 + F.col("id") % 5 / 10.0).alias("confidence"), F.array(F.lit("e")).alias("evidences"), (F.col("id") % 13 == 0).alias("is_superseded"))
 
@@ -60,6 +60,59 @@ def _verdicts(s, d):
     return e.select((k % 300).alias("id"), "ts", k.cast("string").alias("memory_id"), F.when(k % 50 == 0, "supersede").when(k % 20 == 0, "refine").when(k % 3 == 0, "confirm").otherwise("none").alias("verdict"), F.lit(0.05).cast("double").alias("delta"), F.when(k % 20 == 0, F.concat(F.lit("new "), (k % 7).cast("string"))).alias("new_text"))
 
 
+def _persona_memories(s, d):
+    return V.remembered(s, d).where("vec is not null")
+
+
+def _held(s, d):
+    """Assertions with vectors, some of them locked."""
+    return V.vectors(s, d).where("id % 2 = 1").select("id", "vec", (F.col("label") % 3).cast("string").alias("dimension"), (F.col("id") % 7 == 0).alias("locked"), (F.col("id") % 13 == 0).alias("is_superseded"), (0.3 + F.col("id") % 5 / 10.0).alias("confidence"), F.array(F.concat(F.lit("e"), F.col("id").cast("string"))).alias("evidences"))
+
+
+def _persona_states(s, d):
+    m = _persona_memories(s, d)
+    states = persona.prefilter(m, F.lit("2024-01-01 01:00:00").cast("timestamp"))
+    checked = m.join(states.where("state = 'checked'"), "id", "left_semi")
+    return states, persona.assertion_pairs(checked, _held(s, d))
+
+
+def _merged(s, d):
+    """New assertions: damped vectors of old ones, the last of another dimension."""
+    new = V.near_vectors(s, d).where("id >= 1000000").select("id", "vec", ((F.col("id") % 5).cast("string")).alias("dimension"), F.lit(0.6).cast("double").alias("confidence"), F.array(F.concat(F.lit("n"), F.col("id").cast("string"))).alias("evidences"))
+    return persona.merge_assertions(_held(s, d).where("not is_superseded"), new)
+
+
+def _home_spaces(s, d):
+    n = V.read(s, d, "nation")
+    return n.select(F.col("n_nationkey").cast("long").alias("space_id"), F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("goal "), F.col("n_name"))).alias("goal"))
+
+
+def _profile(s, d, mode):
+    k = F.col("id")
+    m = V.memories(s, d).withColumn("space_id", k % 25)
+    own = V.tasks(s, d).where("space_id % 3 <> 0")
+    words = m.select("space_id", F.explode(F.array_compact(F.array("session_id", "memory_type"))).alias("tag"))
+    return spaces.profile(_home_spaces(s, d), m, own, words, mode).withColumns({c: F.array_join(F.slice(c, 1, 4), "|") for c in ("memories", "decisions", "todos", "tags")})
+
+
+def _candidate_parts(s, d):
+    m = V.memories(s, d).where("session_id is not null and not is_superseded")
+    words = m.select(F.col("id").alias("memory_id"), F.explode(F.array_compact(F.array("memory_type", "space_id"))).alias("tag"), F.col("confidence").alias("relevance"))
+    homes = m.groupBy("session_id").agg(F.min("id").alias("k"))
+    own = V.tasks(s, d).join(homes.select((F.col("k") % 25).alias("space_id"), "session_id").groupBy("space_id").agg(F.min("session_id").alias("session_id")), "space_id")
+    titles = homes.select("session_id", F.when(F.col("k") % 3 == 0, F.col("session_id")).when(F.col("k") % 3 == 1, F.concat(F.lit("Work on "), (F.col("k") % 4).cast("string"))).alias("title"))
+    return m, words, own, titles
+
+
+def _decided(s, d, part):
+    m, words, own, titles = _candidate_parts(s, d)
+    found, sources = spaces.candidates(m, words, own, titles)
+    n = F.length("candidate_key") % 4
+    decisions = found.select("candidate_key", F.when(n == 0, "accept").when(n == 1, "merge").when(n == 2, "new_space").otherwise("reject").alias("decision"), F.length("candidate_key").alias("space_id"))
+    sessions = m.groupBy("session_id").agg(F.when(F.min("id") % 5 == 0, 999).alias("space_id"))
+    return spaces.decide(found, sources, decisions, m, own.select("id", "session_id", F.col("space_id").cast("int").alias("space_id")), sessions)[part]
+
+
 def _upserted(s, d):
     c = V.read(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
     o = V.read(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.when(F.col("o_orderkey") % 2 == 0, "").otherwise(F.concat(F.lit("Name "), F.col("o_orderkey").cast("string"))).alias("c_name"), F.col("o_orderkey").alias("updated"))
@@ -68,40 +121,96 @@ def _upserted(s, d):
 
 QUERIES = {
     "w1_task_risk": lambda s, d: tasks.risk(V.tasks(s, d), _as_of()),
+    "w1_risk_summary": lambda s, d: tasks.risk_summary(tasks.risk(V.tasks(s, d), _as_of()), V.tasks(s, d)).withColumn("warned", F.array_join(F.transform("warned", lambda x: x.cast("string")), ",")),
     "w3_task_stats": lambda s, d: tasks.stats(V.tasks(s, d)),
     "w4_due_counts": lambda s, d: tasks.due_counts(V.tasks(s, d), _as_of()),
     "a4_task_search": lambda s, d: tasks.search(V.tasks(s, d), word="order 1", limit=100).select("id", "priority", "due"),
+    "a4_task_page": lambda s, d: tasks.search(V.tasks(s, d), ("todo", "doing", "done"), "", 30, "high", F.lit(7), 10).select("id", "priority", "due"),
     "d12_task_duplicates": lambda s, d: tasks.duplicates(V.tasks(s, d)),
     "t15_task_titles": lambda s, d: V.tasks(s, d).select("id", X.todo_title("title").alias("norm")),
     "t14_due_dates": lambda s, d: V.read(s, d, "events").select("event_id", X.due_date(F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm")).when(F.col("event_id") % 3 == 1, F.date_format("ts", "yyyy-MM-dd")).otherwise("")).alias("x")).select("event_id", "x.value", "x.ok"),
     "m1_governance": lambda s, d: governance.apply_events(_units(s, d), _actions(s, d)).withColumn("user_weight", F.round("user_weight", 6)),
     "m1_audit": lambda s, d: governance.audit(_units(s, d), _actions(s, d)).groupBy("field", "action").agg(F.count("*").alias("n")),
     "m1_rejects": lambda s, d: governance.rejects(_units(s, d), _actions(s, d)).groupBy("reason").agg(F.count("*").alias("n")),
-    "w2_task_states": lambda s, d: governance.task_states(V.tasks(s, d), _task_events(s, d)).select("id", "status", "completed_at", "reopened_at", "history_rows"),
+    "w2_task_states": lambda s, d: governance.task_states(V.tasks(s, d), _history(s, d)).select("id", "status", "completed_at", "reopened_at", "history_rows"),
+    "w2_task_history": lambda s, d: _history(s, d),
+    "w2_skipped": lambda s, d: governance.skipped(V.tasks(s, d), _history(s, d), _task_events(s, d).withColumn("id", F.when(F.col("event_id") % 50 == 0, -F.col("id") - 1).otherwise(F.col("id")))).where("reason = 'not found' or event_id % 50 <> 0"),
     "p1_space_detect": lambda s, d: spaces.detect(_texts(s, d), _spaces(s, d), 3),
     "p2_space_bind": lambda s, d: spaces.bind(spaces.detect(_texts(s, d), _spaces(s, d), 3), _texts(s, d).where("id % 3 = 0")),
+    "p1_space_similarity": lambda s, d: spaces.detect(_texts(s, d), _spaces(s, d), 2, _texts(s, d).select("id", (F.col("id") % 25).alias("space_id"), (F.col("id") % 11 / 10.0).alias("sim"))),
+    "p2_pending": lambda s, d: spaces.pending(_texts(s, d).where("id % 2 = 0").select("id", (F.col("id") % 25).alias("space_id"), F.lit(0.3).alias("score")), spaces.bind(spaces.detect(_texts(s, d), _spaces(s, d), 3), _texts(s, d).where("id < 0"))),
+    "p3_nearest_space": lambda s, d: spaces.nearest_space(V.vectors(s, d).select("id", "vec", _kind("label").alias("type")), V.near_vectors(s, d).where("id >= 1000000").select(F.col("id").alias("qid"), "vec", _kind("id").alias("type")), 0.75, _KINDS3).withColumn("score", F.round("score", 6)),
     "p3_space_duplicates": lambda s, d: spaces.duplicates(_spaces(s, d), _texts(s, d).select(F.col("text").alias("name")).distinct()),
     "p4_space_counts": lambda s, d: spaces.counts(_spaces(s, d).select("space_id", "name"), tasks=V.tasks(s, d), customers=V.read(s, d, "customer").select(F.col("c_nationkey").cast("long").alias("space_id"))),
-    "p5_space_profile": lambda s, d: spaces.profile(V.tasks(s, d), 6),
-    "p6_space_candidates": lambda s, d: spaces.candidates(V.memories(s, d), V.memories(s, d).select(F.col("id").alias("memory_id"), F.explode(F.array("memory_type", "space_id")).alias("tag"), F.col("confidence").alias("relevance"))),
+    **{f"p5_{mode}": (lambda s, d, mode=mode: _profile(s, d, mode)) for mode in ("brief", "risk", "handoff", "weekly")},
+    "p6_space_candidates": lambda s, d: spaces.candidates(*_candidate_parts(s, d))[0].withColumn("aliases", F.array_join("aliases", ",")),
+    "p6_candidate_sources": lambda s, d: spaces.candidates(*_candidate_parts(s, d))[1],
+    **{f"p9_{part}": (lambda s, d, part=part: _decided(s, d, part)) for part in ("spaces", "bindings", "tasks", "sessions", "aliases", "statuses")},
     "j13_resolve": lambda s, d: spaces.resolve(V.read(s, d, "part").select(F.split("p_name", " ")[1].alias("ref")).distinct(), _spaces(s, d).withColumn("space_id", F.col("space_id").cast("string"))),
     "j10_prefix": lambda s, d: spaces.lookup_prefix(V.read(s, d, "labels").select(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 8).alias("prefix")), V.read(s, d, "documents").select(F.sha2(F.col("doc_id").cast("string"), 256).alias("id"))),
-    "u1_baseline_sample": _persona_rows,
+    "u1_baseline_sample": lambda s, d: persona.baseline_sample(V.memories(s, d)).select("id", "signal_level"),
+    "u2_newest": lambda s, d: persona.prefilter(V.memories(s, d)),
+    "u2_counts": lambda s, d: persona.prefilter_counts(*_persona_states(s, d), _held(s, d)),
+    "u2_pairs": lambda s, d: _persona_states(s, d)[1].select("qid", "id", "rank", F.round("score", 6).alias("score")),
+    "u4_merged": lambda s, d: _merged(s, d)[0].select("id", F.round("confidence", 6).alias("confidence"), F.array_join("evidences", ",").alias("evidences")),
+    "u4_inserted": lambda s, d: _merged(s, d)[1].select("id", "dimension"),
     "u2_prefilter": lambda s, d: persona.prefilter(V.memories(s, d), F.lit("2024-01-01 05:00:00").cast("timestamp")),
     "u3_verdicts": lambda s, d: persona.apply_verdicts(_assertions(s, d), _verdicts(s, d)).select("id", "dimension", "assertion", F.round("confidence", 6).alias("confidence"), F.size("evidences").alias("n_evidences"), "is_superseded"),
-    "u5_route": lambda s, d: persona.route(V.vectors(s, d).where("id < 40").select(F.col("id").alias("qid"), "vec"), V.vectors(s, d).where("id % 2 = 1")),
+    "u5_route": lambda s, d: persona.route(V.near_vectors(s, d).where("id % 50 = 0").select(F.col("id").alias("qid"), "vec"), V.vectors(s, d).withColumn("confidence", 0.3 + F.col("id") % 5 / 10.0), 1).withColumn("citations", F.array_join(F.transform("citations", lambda x: x.cast("string")), ",")),
     "a6_profile": lambda s, d: persona.active_profile(_assertions(s, d)).select("dimension", "id", "rank"),
     "s11_upsert": _upserted,
     "s12_insert_ignore": lambda s, d: sinks.insert_ignore(V.read(s, d, "customer").where("c_custkey % 2 = 0").select("c_custkey", "c_name"), V.read(s, d, "customer").select("c_custkey", F.lit("new").alias("c_name")), ["c_custkey"]),
-    "m2_links": lambda s, d: governance.link_neighbors(governance.link(dedupe.merges(dedupe.source_groups(V.memories(s, d))).where("source_id % 2 = 0"), dedupe.merges(dedupe.source_groups(V.memories(s, d))))),
+    "m2_links": lambda s, d: governance.link_neighbors(governance.link(_merge_links(s, d).where("source_id % 2 = 0"), _merge_links(s, d))),
 }
 
-_ACT = """act AS (SELECT user_id AS id, ts, event_id, ['pin','unpin','mark_wrong','mark_expired','mute','delete','restore','update','explode'][event_id % 9 + 1] AS action, CASE WHEN event_id % 4 = 0 THEN round(value / 10, 3) END AS weight, CASE WHEN event_id % 9 = 7 THEN 'note ' || event_id::VARCHAR END AS note FROM events WHERE event_id % 11 = 0)"""
+
+def _merge_links(s, d):
+    keyed = dedupe.keyed_memories(V.memories(s, d))
+    return dedupe.merges(dedupe.group_members(keyed, dedupe.source_groups(keyed)))
+
+
+_KINDS3 = ("project", "person", "place")
+
+
+def _kind(c):
+    return F.element_at(F.array(*[F.lit(x) for x in _KINDS3]), (F.col(c) % 3 + 1).cast("int"))
+
+
+_ACT = """act AS (SELECT user_id AS id, ts, event_id, ['pin','unpin','mark_wrong','mark_expired','mute','delete','restore','update','explode'][event_id % 9 + 1] AS action, CASE WHEN event_id % 4 = 0 THEN round(value / 10, 3) END AS weight, CASE WHEN event_id % 9 = 7 THEN 'note ' || event_id::VARCHAR END AS note FROM events)"""
 _SP = """sp AS (SELECT n_nationkey::BIGINT AS space_id, ['red','small','blue','large','green'][n_nationkey % 5 + 1] || ' ' || ['ring','widget','bolt'][n_nationkey % 3 + 1] AS name, [['ring','widget','bolt'][(n_nationkey + 1) % 3 + 1]] AS aliases FROM nation)"""
 _DET = f"""WITH {_SP}, h AS (SELECT p_partkey AS id, space_id, CASE WHEN contains(lower(p_name), name) THEN 0.45::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN contains(lower(p_name), aliases[1]) THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END AS sc FROM part, sp),
   det AS (SELECT id, space_id, round(least(sc, 1.0), 3) AS score, CAST(row_number() OVER (PARTITION BY id ORDER BY round(least(sc, 1.0), 3) DESC, space_id) AS INT) AS rank FROM h WHERE sc > 0 QUALIFY rank <= 3)"""
 _SPACE_GROUPS = f"""WITH {V.MEMORIES}, n AS (SELECT *, {V.normalized_sql("raw_text")} AS norm FROM mem WHERE status <> 'deleted'), k AS (SELECT *, sha256(norm) AS g, list_position(['DECISION','PREFERENCE','FACT','REASONING','EVENT'], memory_type) AS r FROM n WHERE norm <> ''),
   grp AS (SELECT g, arg_min(id, (CASE WHEN status <> 'active' THEN 1 ELSE 0 END, r, -confidence, created_at, id)) AS c, list(id) AS members FROM k GROUP BY g HAVING count(*) > 1), links AS (SELECT m AS s, c AS t FROM (SELECT unnest(members) AS m, c FROM grp) WHERE m <> c)"""
+_HIST = f"""WITH RECURSIVE {V.TASKS}, ev AS (SELECT event_id % 400 AS id, ts, event_id, CASE WHEN event_id % 7 = 0 THEN 'update' WHEN event_id % 3 = 0 THEN 'reopen' ELSE 'close' END AS action, CASE WHEN event_id % 7 = 0 THEN ['todo', 'doing', 'done', 'cancelled'][(event_id // 7) % 4 + 1] END AS status FROM events),
+  o AS (SELECT ev.*, t.status AS start, row_number() OVER (PARTITION BY ev.id ORDER BY ts, event_id) AS rn FROM ev JOIN tasks t USING (id)),
+  st AS (SELECT id, ts, event_id, action, rn, start AS old_status, CASE WHEN action = 'update' THEN status WHEN action = 'close' AND start NOT IN ('done', 'cancelled') THEN 'done' WHEN action = 'reopen' AND start = 'done' THEN 'todo' ELSE start END AS new_status FROM o WHERE rn = 1
+    UNION ALL SELECT o.id, o.ts, o.event_id, o.action, o.rn, st.new_status, CASE WHEN o.action = 'update' THEN o.status WHEN o.action = 'close' AND st.new_status NOT IN ('done', 'cancelled') THEN 'done' WHEN o.action = 'reopen' AND st.new_status = 'done' THEN 'todo' ELSE st.new_status END FROM st JOIN o ON o.id = st.id AND o.rn = st.rn + 1),
+  hist AS (SELECT id, ts, event_id, action, old_status, new_status, old_status <> new_status AS effective, CASE WHEN old_status <> new_status THEN NULL WHEN action = 'close' THEN 'already ' || old_status WHEN action = 'reopen' THEN 'is ' || old_status ELSE 'no change' END AS reason FROM st)"""
+_PROFILE = f"""WITH {V.MEMORIES}, {V.TASKS}, mm AS (SELECT * REPLACE (id % 25 AS space_id) FROM mem), a AS (SELECT space_id, count(*) AS n, list(title ORDER BY created_at DESC, id DESC)[1:12] AS m FROM mm WHERE NOT is_superseded AND status NOT IN ('wrong', 'deleted', 'muted') GROUP BY space_id),
+  b AS (SELECT space_id, list(title ORDER BY created_at DESC, id DESC)[1:6] AS dc FROM mm WHERE NOT is_superseded AND memory_type = 'DECISION' GROUP BY space_id),
+  c AS (SELECT space_id, list({{'t': title, 'p': priority, 'd': due IS NOT NULL}} ORDER BY CASE priority WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, due NULLS FIRST, id)[1:10] AS td FROM tasks WHERE status IN ('todo', 'doing') AND space_id % 3 <> 0 GROUP BY space_id),
+  w AS (SELECT space_id, unnest(list_filter([session_id, memory_type], lambda x: x IS NOT NULL)) AS tag FROM mm), e AS (SELECT space_id, list(tag ORDER BY n DESC, tag)[1:10] AS tg FROM (SELECT space_id, tag, count(*) AS n FROM w GROUP BY ALL) GROUP BY space_id),
+  x AS (SELECT n_nationkey::BIGINT AS space_id, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'goal ' || n_name END AS goal, coalesce(n, 0) AS n_memories, coalesce(m, []) AS m, coalesce(dc, []) AS dc, coalesce(td, []) AS td, coalesce(tg, []) AS tg FROM nation LEFT JOIN a ON a.space_id = n_nationkey LEFT JOIN b ON b.space_id = n_nationkey LEFT JOIN c ON c.space_id = n_nationkey LEFT JOIN e ON e.space_id = n_nationkey),
+  y AS (SELECT *, list_transform(td, lambda z: z.t) AS tt, list_transform(list_filter(td, lambda z: z.p = 'high' OR z.d), lambda z: z.t) AS risky FROM x)
+  SELECT space_id, n_memories, array_to_string(m[1:4], '|') AS memories, array_to_string(dc[1:4], '|') AS decisions, array_to_string(tt[1:4], '|') AS todos, array_to_string(tg[1:4], '|') AS tags,
+    concat_ws(chr(10), name || ' · @mode 简报', '目标：' || goal, CASE WHEN len(tg) > 0 THEN '关键词：' || array_to_string(tg[1:6], '、') END, CASE WHEN len(dc) > 0 THEN '近期决策：' || array_to_string(dc[1:3], '；') END, CASE WHEN len(td) > 0 THEN '待办：' || len(td)::VARCHAR || ' 项进行中，其中高优 ' || len(list_filter(td, lambda z: z.p = 'high'))::VARCHAR || ' 项。' END,
+      CASE WHEN len(td) > 0 THEN '下一步：' || array_to_string(tt[1:3], '；') WHEN len(m) > 0 THEN '下一步：暂无 Space 待办，可根据最近记忆补充行动项。' ELSE '当前空间资料较少，建议先绑定相关记忆或建立待办。' END, @more) AS digest FROM y"""
+_CANDIDATES = f"""WITH {V.MEMORIES}, {V.TASKS}, m AS (SELECT * FROM mem WHERE session_id IS NOT NULL AND NOT is_superseded), homes AS (SELECT session_id, min(id) AS k FROM m GROUP BY session_id), hs AS (SELECT k % 25 AS space_id, min(session_id) AS session_id FROM homes GROUP BY 1), tk AS (SELECT tasks.*, hs.session_id FROM tasks JOIN hs USING (space_id)),
+  tg0 AS (SELECT session_id, unnest(list_filter([memory_type, space_id], lambda x: x IS NOT NULL)) AS tag, confidence FROM m), tg1 AS (SELECT session_id, tag, count(*) AS c, max(confidence) AS x FROM tg0 GROUP BY ALL), tg AS (SELECT session_id, list(tag ORDER BY c DESC, x DESC, tag)[1:8] AS tags FROM tg1 GROUP BY session_id),
+  per0 AS (SELECT session_id, count(*) AS n, arg_max(nullif(trim(title), ''), (created_at, id)) FILTER (nullif(trim(title), '') IS NOT NULL) AS mt FROM m GROUP BY session_id HAVING count(*) >= 2),
+  per1 AS (SELECT p.*, coalesce(tags, []) AS tags, coalesce(t.n, 0) AS nt, CASE WHEN k % 3 = 1 THEN 'Work on ' || (k % 4)::VARCHAR END AS own FROM per0 p JOIN homes USING (session_id) LEFT JOIN tg USING (session_id) LEFT JOIN (SELECT session_id, count(*) AS n FROM tk GROUP BY 1) t USING (session_id)),
+  per2 AS (SELECT *, coalesce(own, mt, array_to_string(tags[1:3], ' ')) AS name FROM per1), per AS (SELECT *, regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS candidate_key FROM per2),
+  al AS (SELECT candidate_key, list_sort(list(DISTINCT a)) AS al FROM (SELECT candidate_key, unnest(list_concat([name], tags[1:6])) AS a FROM per) GROUP BY 1),
+  cand AS (SELECT candidate_key, min(name) AS name, arg_min('memories: ' || n::VARCHAR || CASE WHEN len(tags) > 0 THEN '; tags: ' || array_to_string(tags[1:5], ', ') ELSE '' END, session_id) AS description, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS n_memories, CAST(sum(nt) AS BIGINT) AS n_tasks,
+    round(max(least(0.92::DOUBLE, 0.48::DOUBLE + 0.04::DOUBLE * n + 0.08::DOUBLE * nt + 0.02::DOUBLE * len(tags))), 6) AS confidence, any_value(array_to_string(al, ',')) AS aliases, any_value(al) AS al FROM per JOIN al USING (candidate_key) GROUP BY candidate_key)"""
+_DECIDED = f"""{_CANDIDATES}, dec AS (SELECT *, ['accept', 'merge', 'new_space', 'reject'][length(candidate_key) % 4 + 1] AS decision, CAST(length(candidate_key) AS INT) AS space_id FROM cand),
+  bs AS (SELECT session_id, space_id, max(confidence) AS relevance FROM per JOIN dec USING (candidate_key) WHERE decision <> 'reject' GROUP BY ALL), f AS (SELECT session_id, min(space_id) AS s FROM bs GROUP BY 1)"""
+_HELD = "held AS (SELECT vec_id AS id, embedding AS vec, (label % 3)::VARCHAR AS dim, vec_id % 7 = 0 AS locked, vec_id % 13 = 0 AS sup, 0.3::DOUBLE + vec_id % 5 / 10.0::DOUBLE AS c FROM embeddings WHERE vec_id % 2 = 1)"
+_NEARBY = f"""WITH {V.REMEMBERED}, {_HELD}, free AS (SELECT * FROM held WHERE NOT locked AND NOT sup), states AS (SELECT id, vec, CASE WHEN length(trim(coalesce(nullif(raw_text, ''), summary))) < 50 THEN 'short' WHEN memory_type IN ('PREFERENCE', 'DECISION', 'REASONING') THEN 'checked' ELSE 'irrelevant' END AS state FROM rem WHERE vec IS NOT NULL AND created_at > TIMESTAMP '2024-01-01 01:00:00' AND NOT is_superseded),
+  near8 AS (SELECT * FROM (SELECT q.id AS qid, i.id, round(list_dot_product(CAST(q.vec AS DOUBLE[]), CAST(i.vec AS DOUBLE[])), 9) AS s, row_number() OVER (PARTITION BY q.id ORDER BY round(list_dot_product(CAST(q.vec AS DOUBLE[]), CAST(i.vec AS DOUBLE[])), 9) DESC, i.id) AS rank FROM states q JOIN free i ON q.id <> i.id WHERE q.state = 'checked') WHERE rank <= 8 AND s >= 0.12)"""
+_MERGE = f"""WITH {_HELD.replace("WHERE vec_id % 2 = 1", "WHERE vec_id % 2 = 1 AND vec_id % 13 <> 0")}, {V.NEAR.replace("WHERE vec_id % 23 <> 0", "")}, fresh AS (SELECT * FROM near WHERE id >= 1000000),
+  best AS (SELECT qid, target FROM (SELECT n.id AS qid, h.id AS target, round(list_dot_product(CAST(n.vec AS DOUBLE[]), CAST(h.vec AS DOUBLE[])), 9) AS s FROM fresh n JOIN held h ON NOT h.locked AND h.dim = (n.id % 5)::VARCHAR) WHERE s > 0.88 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, target::VARCHAR DESC) = 1)"""
 ORACLES = {
     "w1_task_risk": f"""WITH {V.TASKS}, x AS (SELECT id, priority, (epoch_us(due) - epoch_us(TIMESTAMP '{V.AS_OF}')) / 86400000000.0::DOUBLE AS days, floor((epoch_us(TIMESTAMP '{V.AS_OF}') - epoch_us(created_at)) / 86400000000.0::DOUBLE) AS idle FROM tasks WHERE status IN ('todo', 'doing')),
         r AS (SELECT id, priority, CASE WHEN days < 0 THEN 'overdue' WHEN days <= 1 AND priority = 'high' THEN 'urgent' WHEN days <= 3 THEN 'due_soon' WHEN priority = 'high' AND idle >= 3 THEN 'idle_high' WHEN idle >= 7 THEN 'idle' END AS risk FROM x)
@@ -120,29 +229,56 @@ ORACLES = {
         SELECT u.id, coalesce(st, 'active') AS status, round(uw, 6) AS user_weight, coalesce(pn, false) AS pinned, vu AS valid_until, nt AS note, coalesce(n, 0) AS n_events FROM u LEFT JOIN a USING (id) JOIN fin USING (id)""",
     "m1_audit": f"""WITH {_ACT}, x AS (SELECT action, unnest(CASE action WHEN 'pin' THEN ['pinned', 'user_weight', 'updated_at'] WHEN 'unpin' THEN ['pinned', 'updated_at'] WHEN 'mark_expired' THEN ['valid_until', 'updated_at'] WHEN 'update' THEN ['note', 'user_weight', 'updated_at'] ELSE ['status', 'updated_at'] END) AS field FROM act WHERE action <> 'explode') SELECT field, action, count(*) AS n FROM x GROUP BY ALL""",
     "m1_rejects": f"WITH {_ACT} SELECT 'unknown_action' AS reason, count(*) AS n FROM act WHERE action = 'explode'",
-    "w2_task_states": f"""WITH {V.TASKS}, ev AS (SELECT event_id % 400 AS id, ts, event_id, CASE WHEN event_id % 3 = 0 THEN 'reopen' ELSE 'close' END AS action FROM events),
-        x AS (SELECT ev.*, coalesce(lag(action) OVER (PARTITION BY ev.id ORDER BY ts, event_id), CASE WHEN t.status = 'done' THEN 'close' ELSE 'reopen' END) AS before FROM ev JOIN tasks t USING (id)),
-        g AS (SELECT id, arg_max(action, (ts, event_id)) AS last, max(ts) FILTER (action = 'close') AS completed_at, max(ts) FILTER (action = 'reopen') AS reopened_at, count(*) AS h FROM x WHERE action <> before GROUP BY id)
-        SELECT t.id, CASE last WHEN 'close' THEN 'done' WHEN 'reopen' THEN 'todo' ELSE status END AS status, completed_at, reopened_at, coalesce(h, 0) AS history_rows FROM tasks t LEFT JOIN g USING (id)""",
+    "w2_task_states": f"""{_HIST}, g AS (SELECT id, arg_max(new_status, (ts, event_id)) AS last, max(ts) FILTER (new_status = 'done') AS done, max(ts) FILTER (old_status = 'done') AS reopened_at, count(*) AS h FROM hist WHERE effective GROUP BY id)
+        SELECT t.id, coalesce(last, status) AS status, CASE WHEN coalesce(last, status) = 'done' THEN done END AS completed_at, reopened_at, coalesce(h, 0) AS history_rows FROM tasks t LEFT JOIN g USING (id)""",
+    "w2_task_history": f"{_HIST} SELECT * FROM hist",
+    "w2_skipped": f"{_HIST} SELECT id, event_id, reason FROM hist WHERE NOT effective AND event_id % 50 <> 0 UNION ALL SELECT -(event_id % 400) - 1, event_id, 'not found' FROM events WHERE event_id % 50 = 0",
+    "w1_risk_summary": f"""WITH {V.TASKS}, x AS (SELECT id, priority, due, (epoch_us(due) - epoch_us(TIMESTAMP '{V.AS_OF}')) / 86400000000.0::DOUBLE AS days, floor((epoch_us(TIMESTAMP '{V.AS_OF}') - epoch_us(created_at)) / 86400000000.0::DOUBLE) AS idle FROM tasks WHERE status IN ('todo', 'doing')),
+        r AS (SELECT id, due, CASE WHEN days < 0 THEN 'overdue' WHEN days <= 1 AND priority = 'high' THEN 'urgent' WHEN days <= 3 THEN 'due_soon' WHEN priority = 'high' AND idle >= 3 THEN 'idle_high' WHEN idle >= 7 THEN 'idle' END AS risk FROM x)
+        SELECT count(*) FILTER (risk = 'urgent') AS urgent, count(*) FILTER (risk = 'overdue') AS overdue, count(*) FILTER (risk NOT IN ('urgent', 'overdue')) AS warnings, (SELECT coalesce(string_agg(id::VARCHAR, ',' ORDER BY due NULLS LAST, id), '') FROM (SELECT id, due FROM r WHERE risk NOT IN ('urgent', 'overdue') ORDER BY due NULLS LAST, id LIMIT 5)) AS warned FROM r""",
+    "a4_task_page": f"WITH {V.TASKS} SELECT id, priority, due FROM tasks WHERE priority = 'high' AND space_id = 7 ORDER BY due NULLS FIRST, created_at DESC, id LIMIT 30 OFFSET 10",
+    "d12_task_duplicates": f"""WITH {V.TASKS}, o AS (SELECT id, created_at, hash(space_id, priority, due) AS b, space_id, priority, due, replace(lower(title), ' ', '') AS t FROM tasks WHERE status IN ('todo', 'doing')),
+        q AS (SELECT x.id, y.id AS y, y.created_at AS yc, x.t = y.t AS same, contains(x.t, y.t) OR contains(y.t, x.t) AS inside, CASE WHEN length(x.t) < length(y.t) THEN x.t ELSE y.t END AS a, CASE WHEN length(x.t) < length(y.t) THEN y.t ELSE x.t END AS b
+          FROM o x JOIN o y ON x.space_id = y.space_id AND x.priority = y.priority AND x.due IS NOT DISTINCT FROM y.due AND (y.created_at, y.id) < (x.created_at, x.id)),
+        p AS (SELECT id, y, yc, CASE WHEN same THEN 1.0::DOUBLE WHEN inside AND length(a) >= 0.72 * length(b) THEN 0.94::DOUBLE WHEN length(b) = length(a) + 1 AND list_contains([left(b, i - 1) || substr(b, i + 1) for i in range(1, length(b) + 1)], a) THEN 2.0::DOUBLE * length(a) / (length(a) + length(b)) END AS similarity FROM q WHERE similarity >= 0.92)
+        SELECT id, y AS duplicate_of, similarity FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY yc DESC, y DESC) = 1""",
     "p1_space_detect": f"{_DET} SELECT id, space_id, score, rank FROM det",
     "p2_space_bind": f"{_DET} SELECT id, space_id, score, CASE WHEN score >= 0.8 THEN 'bind' ELSE 'queue' END AS decision FROM det WHERE rank <= 2 AND score >= 0.25 AND id % 3 <> 0",
     "p3_space_duplicates": f"WITH {_SP}, h AS (SELECT space_id, name AS n FROM sp UNION ALL SELECT space_id, unnest(aliases) FROM sp) SELECT DISTINCT p_name AS new_name, space_id FROM part JOIN h ON replace(lower(p_name), ' ', '') = replace(n, ' ', '')",
     "p4_space_counts": f"WITH {_SP}, {V.TASKS} SELECT space_id, name, (SELECT count(*) FROM tasks t WHERE t.space_id = sp.space_id) AS tasks, (SELECT count(*) FROM customer WHERE c_nationkey = sp.space_id) AS customers FROM sp",
-    "p5_space_profile": f"WITH {V.TASKS}, x AS (SELECT *, row_number() OVER (PARTITION BY space_id ORDER BY created_at DESC, id DESC) AS r FROM tasks QUALIFY r <= 6) SELECT space_id, count(*) AS n, string_agg(title, '; ' ORDER BY r) AS digest FROM x GROUP BY space_id",
-    "p6_space_candidates": f"""WITH {V.MEMORIES}, o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, id DESC) AS r FROM mem QUALIFY r <= 18), per AS (SELECT session_id, count(*) AS m, arg_min(title, r) AS name FROM o GROUP BY session_id HAVING count(*) >= 2),
-        t AS (SELECT DISTINCT session_id, unnest([memory_type, space_id]) AS tag FROM o), g AS (SELECT session_id, least(count(*), 8) AS g FROM t GROUP BY session_id), k AS (SELECT per.*, g, regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS candidate_key FROM per JOIN g USING (session_id))
-        SELECT candidate_key, min(name) AS name, count(*) AS sessions, CAST(sum(m) AS BIGINT) AS n_memories, round(max(least(0.92::DOUBLE, 0.48::DOUBLE + 0.04::DOUBLE * m + 0.02::DOUBLE * g)), 6) AS confidence FROM k GROUP BY candidate_key""",
+    **{f"p5_{mode}": _PROFILE.replace("@mode", mode).replace("@more", more) for mode, more in (("brief", "NULL"), ("risk", "'风险关注：' || CASE WHEN len(risky) > 0 THEN array_to_string(risky[1:4], '；') ELSE '暂无明显高优/截止日期风险。' END"), ("handoff", "'交接要点：先看近期决策，再处理高优待办，最后补齐缺失背景。'"), ("weekly", "'本周脉络：最近记录 ' || len(m)::VARCHAR || ' 条，决策 ' || len(dc)::VARCHAR || ' 条。'"))},
+    "p6_space_candidates": f"""{_CANDIDATES} SELECT c.candidate_key, name, description, sessions, n_memories, n_tasks, confidence, aliases FROM cand c""",
+    "p6_candidate_sources": f"{_CANDIDATES} SELECT candidate_key, session_id FROM per",
+    "p9_spaces": f"{_DECIDED} SELECT DISTINCT space_id, name FROM dec WHERE decision IN ('accept', 'new_space')",
+    "p9_bindings": f"{_DECIDED} SELECT m.id AS memory_id, bs.space_id, relevance FROM m JOIN bs USING (session_id)",
+    "p9_tasks": f"{_DECIDED} SELECT session_id, id, coalesce(f.s, CAST(tk.space_id AS INT)) AS space_id FROM tk LEFT JOIN f USING (session_id)",
+    "p9_sessions": f"{_DECIDED} SELECT session_id, coalesce(CASE WHEN k % 5 = 0 THEN 999 END, f.s) AS space_id FROM homes LEFT JOIN f USING (session_id)",
+    "p9_aliases": f"{_DECIDED} SELECT DISTINCT space_id, unnest(CASE WHEN decision = 'merge' THEN [name] ELSE al END) AS alias FROM dec WHERE decision <> 'reject'",
+    "p9_statuses": f"{_DECIDED} SELECT candidate_key, CASE decision WHEN 'merge' THEN 'merged_to_existing' WHEN 'reject' THEN 'ignored' ELSE 'accepted' END AS status FROM dec",
+    "p1_space_similarity": f"""WITH {_SP}, h AS (SELECT p_partkey AS id, space_id, CASE WHEN contains(lower(p_name), name) THEN 0.45::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN contains(lower(p_name), aliases[1]) THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN p_partkey % 25 = space_id THEN least(greatest((p_partkey % 11 / 10.0::DOUBLE - 0.35) * 0.7, 0.0), 0.35) ELSE 0.0::DOUBLE END AS sc FROM part, sp)
+        SELECT id, space_id, round(least(sc, 1.0), 3) AS score, CAST(row_number() OVER (PARTITION BY id ORDER BY round(least(sc, 1.0), 3) DESC, space_id) AS INT) AS rank FROM h WHERE sc > 0 QUALIFY rank <= 2""",
+    "p2_pending": f"{_DET}, q AS (SELECT p_partkey AS id, p_partkey % 25 AS space_id, 0.3::DOUBLE AS score FROM part WHERE p_partkey % 2 = 0) SELECT * FROM q UNION ALL SELECT id, space_id, score FROM det WHERE rank <= 2 AND score >= 0.25 AND score < 0.8 AND (id, space_id) NOT IN (SELECT (id, space_id) FROM q)",
+    "p3_nearest_space": f"""WITH {V.NEAR.replace("WHERE vec_id % 23 <> 0", "")}, p AS (SELECT n.id AS qid, e.vec_id AS id, round(list_dot_product(CAST(n.vec AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) + CASE WHEN n.id % 3 = e.label % 3 THEN 0.2::DOUBLE * 0.2::DOUBLE ELSE 0.0 END, 9) AS s FROM near n JOIN embeddings e ON n.id >= 1000000 AND e.vec_id <> n.id)
+        SELECT qid, id, round(s, 6) AS score FROM p QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) = 1 AND s >= 0.75""",
     "j13_resolve": f"WITH {_SP}, r AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS ref FROM part) SELECT ref, coalesce((SELECT min(space_id::VARCHAR) FROM sp WHERE name = lower(ref)), (SELECT min(space_id::VARCHAR) FROM sp WHERE aliases[1] = lower(ref))) AS space_id FROM r",
     "j10_prefix": "SELECT left(sha256(l.doc_id::VARCHAR), 8) AS prefix, sha256(d.doc_id::VARCHAR) AS id FROM labels l JOIN documents d ON left(sha256(l.doc_id::VARCHAR), 8) = left(sha256(d.doc_id::VARCHAR), 8)",
     "u1_baseline_sample": f"WITH {V.MEMORIES} SELECT id, signal_level FROM (SELECT *, row_number() OVER (PARTITION BY signal_level ORDER BY confidence DESC, id) AS r, count(*) OVER (PARTITION BY signal_level) AS n FROM mem) WHERE signal_level > 0 OR r <= greatest(1, floor(n * 0.2))",
-    "u2_prefilter": f"WITH {V.MEMORIES} SELECT id, CASE WHEN length(trim(raw_text)) < 50 THEN 'short' WHEN memory_type IN ('PREFERENCE', 'DECISION', 'REASONING') THEN 'checked' ELSE 'irrelevant' END AS state FROM mem WHERE created_at > TIMESTAMP '2024-01-01 05:00:00' AND NOT is_superseded",
+    "u2_prefilter": f"WITH {V.MEMORIES} SELECT id, CASE WHEN length(trim(coalesce(nullif(raw_text, ''), summary))) < 50 THEN 'short' WHEN memory_type IN ('PREFERENCE', 'DECISION', 'REASONING') THEN 'checked' ELSE 'irrelevant' END AS state FROM mem WHERE created_at > TIMESTAMP '2024-01-01 05:00:00' AND NOT is_superseded",
     "u3_verdicts": """WITH a AS (SELECT vec_id AS id, (label % 4)::VARCHAR AS dimension, 'likes ' || vec_id::VARCHAR AS assertion, 0.3::DOUBLE + vec_id % 5 / 10.0::DOUBLE AS confidence, vec_id % 13 = 0 AS sup FROM embeddings),
         v AS (SELECT event_id % 300 AS id, event_id::VARCHAR AS memory_id, CASE WHEN event_id % 50 = 0 THEN 'supersede' WHEN event_id % 20 = 0 THEN 'refine' WHEN event_id % 3 = 0 THEN 'confirm' ELSE 'none' END AS verdict, CASE WHEN event_id % 20 = 0 THEN 'new ' || (event_id % 7)::VARCHAR END AS new_text FROM events),
         s AS (SELECT id, 0.05::DOUBLE * count(*) FILTER (verdict = 'confirm') AS d, count(DISTINCT memory_id) FILTER (verdict = 'confirm') AS e, bool_or(verdict = 'supersede') AS x FROM v WHERE verdict <> 'none' GROUP BY id)
         SELECT a.id::VARCHAR AS id, dimension, assertion, round(least(1.0, confidence + coalesce(d, 0.0)), 6) AS confidence, CAST(1 + coalesce(e, 0) AS INT) AS n_evidences, sup OR coalesce(x, false) AS is_superseded FROM a LEFT JOIN s USING (id)
         UNION ALL SELECT DISTINCT 'pa_' || left(sha256(v.id::VARCHAR || '|' || new_text), 24), dimension, new_text, 0.6::DOUBLE, 1, false FROM v JOIN a ON a.id = v.id WHERE verdict IN ('refine', 'supersede') AND new_text IS NOT NULL""",
-    "u5_route": """WITH p AS (SELECT q.vec_id AS qid, i.vec_id AS id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])), 9) AS s FROM embeddings q JOIN embeddings i ON q.vec_id < 40 AND i.vec_id % 2 = 1 AND q.vec_id <> i.vec_id), t AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) <= 5),
-        g AS (SELECT qid, round(avg(least(greatest(s, 0.0), 1.0)), 6) AS mean, round(max(least(greatest(s, 0.0), 1.0)), 6) AS best FROM t GROUP BY qid) SELECT qid, mean, best, CASE WHEN mean < 0.15 THEN 'experience' WHEN mean >= 0.5 THEN 'persona' ELSE 'mixed' END AS route, best >= 0.2 AND best < 0.4 AS deviates FROM g""",
+    "u5_route": f"""WITH q AS ({V.NEAR.split('AS (', 1)[1].replace('WHERE vec_id % 23 <> 0', 'WHERE (vec_id + 1000000 * k) % 50 = 0')}, p AS (SELECT q.id AS qid, i.vec_id AS id, round(list_dot_product(CAST(q.vec AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])), 9) AS s, 0.3::DOUBLE + i.vec_id % 5 / 10.0::DOUBLE AS c FROM q JOIN embeddings i ON q.id <> i.vec_id),
+        t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS r FROM p QUALIFY r <= 5),
+        g AS (SELECT qid, round(avg(least(greatest(s, 0.0), 1.0)), 6) AS mean, round(max(least(greatest(s, 0.0), 1.0)), 6) AS best, string_agg(id::VARCHAR, ',' ORDER BY r) FILTER (r <= 3) AS ids, round(avg(c) FILTER (r <= 3), 2) AS c FROM t GROUP BY qid),
+        w AS (SELECT *, CASE WHEN mean < 0.15 THEN 'experience' WHEN mean >= 0.3 THEN 'persona' ELSE 'mixed' END AS route FROM g)
+        SELECT qid, mean, best, route, best >= 0.2 AND best < 0.4 AS deviates, CASE WHEN route = 'experience' THEN '' ELSE ids END AS citations, CASE WHEN route = 'persona' THEN c ELSE 0.0 END::DOUBLE AS confidence FROM w""",
+    "u2_newest": f"WITH {V.MEMORIES} SELECT id, CASE WHEN length(trim(coalesce(nullif(raw_text, ''), summary))) < 50 THEN 'short' WHEN memory_type IN ('PREFERENCE', 'DECISION', 'REASONING') THEN 'checked' ELSE 'irrelevant' END AS state FROM mem WHERE NOT is_superseded ORDER BY created_at DESC, id DESC LIMIT 50",
+    "u2_pairs": f"{_NEARBY} SELECT qid, id, CAST(rank AS INT) AS rank, round(s, 6) AS score FROM near8",
+    "u2_counts": f"{_NEARBY} SELECT (SELECT count(*) FROM states) AS memories, (SELECT count(*) FROM states WHERE state <> 'checked' OR id NOT IN (SELECT qid FROM near8)) AS skipped, (SELECT count(*) FROM near8) AS checks, (SELECT count(*) FROM states) * (SELECT count(*) FROM free) - (SELECT count(*) FROM near8) AS saved",
+    "u4_merged": f"{_MERGE} SELECT h.id, round(CASE WHEN n IS NULL THEN h.c ELSE least(1.0, greatest(h.c, 0.6) + 0.03) END, 6) AS confidence, array_to_string(list_sort(list_concat(['e' || h.id::VARCHAR], coalesce(ev, []))), ',') AS evidences FROM held h LEFT JOIN (SELECT target, list('n' || qid::VARCHAR) AS ev, count(*) AS n FROM best GROUP BY target) b ON b.target = h.id",
+    "u4_inserted": f"{_MERGE} SELECT id, (id % 5)::VARCHAR AS dimension FROM fresh WHERE id NOT IN (SELECT qid FROM best)",
     "a6_profile": "SELECT (label % 4)::VARCHAR AS dimension, vec_id AS id, CAST(row_number() OVER (PARTITION BY label % 4 ORDER BY 0.3::DOUBLE + vec_id % 5 / 10.0::DOUBLE DESC, vec_id) AS INT) AS rank FROM embeddings WHERE vec_id % 13 <> 0 QUALIFY rank <= 2",
     "s11_upsert": "WITH u AS (SELECT o_custkey, max(o_orderkey) AS k FROM orders GROUP BY o_custkey) SELECT coalesce(c_custkey, o_custkey) AS c_custkey, CASE WHEN k % 2 = 1 THEN 'Name ' || k::VARCHAR ELSE coalesce(c_name, CASE WHEN k IS NOT NULL THEN '' END) END AS c_name, c_mktsegment, k AS updated FROM customer FULL JOIN u ON c_custkey = o_custkey",
     "s12_insert_ignore": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'new' END AS c_name FROM customer",
