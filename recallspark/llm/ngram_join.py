@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from recallspark.llm._common import require, row_key, saved, table
+from recallspark.llm._common import fresh, require, row_key, saved, table
 from recallspark.llm.components import components, dealt_join
 from recallspark.llm.shingles import _mix, set_key, shingles_of
 
@@ -374,8 +374,9 @@ def first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sets = own.where("set is not null").groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "_n")).alias("x"))
     linked = sets.join(roots, "set").groupBy("root").agg(F.min("x").alias("x")).select("x.row", "x._n")
     kept = saved(linked.union(own.where("set is null").select("row", "_n")), "kept")
-    joined = docs.withColumn("_row_key", row_key(id_col, text_col)).join(kept.withColumnRenamed("row", "_row_key"), "_row_key")
-    return joined.where("_n = 1").union(joined.where("_n > 1").dropDuplicates(["_row_key"])).select(*docs.columns)
+    key, n = fresh(docs.columns, "_row_key"), fresh(docs.columns, "_n")
+    joined = docs.withColumn(key, row_key(id_col, text_col)).join(kept.select(F.col("row").alias(key), F.col("_n").alias(n)), key)
+    return joined.where(F.col(n) == 1).union(joined.where(F.col(n) > 1).dropDuplicates([key])).select(*docs.columns)
 
 
 def op3_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from recallspark.llm._common import require, row_key, saved, slices, table
+from recallspark.llm._common import fresh, require, row_key, saved, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: A term is looked at from so many different documents of an entity; it is generalised where it gives away this share of the
@@ -294,18 +294,19 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
     id.  Only documents with entities send their terms, once each; texts are never shuffled.  Other columns are left out.
     """
     require(docs, id_col, text_col)
-    found = saved(mentions(docs, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()), "mentions")
-    share = disclosing_terms(found, docs, text_col, support, generalise, remove)
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    found = saved(mentions(own, "_id", "_text").withColumn("_row", F.monotonically_increasing_id()), "mentions")
+    share = disclosing_terms(found, own, "_text", support, generalise, remove)
     told = found.where(F.size("entities") > 0).select("_row", "terms", F.explode("entities").alias("entity")).join(share.select("entity").distinct(), "entity", "left_semi")
     places = told.select("_row", "entity", F.explode("terms").alias("t")).select("_row", "entity", "t.term", "t.at").join(share, ["entity", "term"])
     marked = places.select("_row", "share", "level", "term", F.explode("at").alias("p")).groupBy("_row", "p.start", "p.end", "term").agg(F.max("share").alias("share"), F.max("level").alias("level"))
     by = F.when(F.col("share") >= remove, "TERM").otherwise(reduce(lambda rest, k: F.when(F.col("level") == k, _ending(CLASS_LETTERS[k])(F.col("term"))).otherwise(rest), range(len(CLASS_LETTERS)), F.lit("WORD")))
     terms = marked.groupBy("_row").agg(F.collect_list(F.struct("start", "end", F.lit("term").alias("kind"), F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"), by.alias("by"))).alias("_terms"))
     base = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), F.lit("remove").alias("action"), F.upper(x["kind"]).alias("by")))
-    joined = found.select("_row", id_col, "base").join(terms, "_row", "left").withColumn("base", base)
+    joined = found.select("_row", "_id", "base").join(terms, "_row", "left").withColumn("base", base)
     order = F.array(*[F.lit(k) for k in (*KINDS, "term")])
     keyed = F.transform(F.concat("base", F.coalesce("_terms", F.array().cast("array<struct<start:bigint,end:bigint,kind:string,action:string,by:string>>"))), lambda x: F.struct(x["start"].alias("a"), F.array_position(order, x["kind"]).alias("b"), x["end"].alias("c"), x.alias("d")))
-    return joined.select(id_col, F.transform(F.array_sort(keyed), lambda x: x["d"]).alias("spans"))
+    return joined.select(F.col("_id").alias(id_col), F.transform(F.array_sort(keyed), lambda x: x["d"]).alias("spans"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
@@ -315,8 +316,9 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     null ids included: spans find their rows by a key of id and text.
     """
     require(docs, id_col, text_col)
-    keyed = docs.withColumn("_row_key", row_key(id_col, text_col))
-    spans = find(keyed, "_row_key", text_col, **settings).where(F.size("spans") > 0).withColumnRenamed("spans", "_spans").dropDuplicates(["_row_key"])
+    key, own_spans = fresh(docs.columns, "_row_key"), fresh(docs.columns, "_spans")
+    keyed = docs.withColumn(key, row_key(id_col, text_col))
+    spans = find(keyed.select(key, text_col), key, text_col, **settings).where(F.size("spans") > 0).withColumnRenamed("spans", own_spans).dropDuplicates([key])
 
     def clean(texts, lists):
         import pandas as pd
@@ -333,8 +335,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
             out.append(text)
         return pd.Series(out, dtype="object")
 
-    joined = keyed.join(spans, "_row_key", "left")
-    new = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.pandas_udf(clean, "string")(F.col(text_col), F.col("_spans")))
+    joined = keyed.join(spans, key, "left")
+    new = F.when(F.col(own_spans).isNull(), F.col(text_col)).otherwise(F.pandas_udf(clean, "string")(F.col(text_col), F.col(own_spans)))
     return joined.select(*[new.alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 

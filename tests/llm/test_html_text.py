@@ -80,3 +80,8 @@ def test_odd_input(spark):
     got = {r.page_id: r.text for r in rows}
     assert got[0] == got[1] == got[2] == got[9] == "" and got[3] == "plain words" and got[5] == "unclosed bold" and got[6] == "deep" and got[8] == "<b> A &bogus;"
     assert html_text.extract(df.limit(0)).collect() == []
+
+
+def test_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "u", "<p>words of a page</p>", "kept")], "page_id int, url string, html string, _html string")
+    assert [tuple(r) for r in html_text.extract(df, keep=("url", "_html")).collect()] == [(1, "u", "kept", "words of a page", 15)]

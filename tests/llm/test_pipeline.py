@@ -51,3 +51,15 @@ def test_null_and_repeated_ids(spark):
     clean = corpus_pipeline.remove_personal_data(spark, twice, SF).collect()
     wanted = [(i, t and re.sub(r"[a-z]@[a-z]\.[a-z]+", "[EMAIL]", t), o) for i, t, o in rows * 2]
     assert sorted(str((r.doc_id, r.text, r.other)) for r in clean) == sorted(map(str, wanted))
+
+
+def test_columns_with_clashing_names(spark):
+    rows = [(1, "one two three four five six mail a@b.com", 7, "n", "s"), (1, "one two three four five six mail a@b.com", 7, "n", "s"), (2, "other words stand here", None, "m", "t")]
+    df = corpus_pipeline.saved(spark.createDataFrame(rows, "doc_id long, text string, _row_key int, _n string, _spans string"), "clash")
+    kept = corpus_pipeline.drop_near_copies(spark, df, SF)
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, set(rows)))
+    clean = pii.sanitise(df)
+    assert clean.columns == df.columns
+    assert sorted(map(str, map(tuple, clean.collect()))) == sorted(str((i, t.replace("a@b.com", "[EMAIL]"), *x)) for i, t, *x in rows)
+    found = pii.find(df.withColumnRenamed("doc_id", "key"), "key")
+    assert found.columns == ["key", "spans"] and found.count() == 3
