@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from recallspark.sources.scratch import scratch_path
+from recallspark.sources.scratch import saved, scratch_path
 
 # How much of an activation each kind of relation carries.
 RELATION_FACTORS = {"CO_OCCUR": 1.0, "DERIVED": 0.8, "CAUSAL": 2.0, "TEMPORAL": 1.2, "CONTRADICT": -1.0, "REFINES": 0.6, "SUPERSEDES": 0.0}
@@ -312,14 +312,15 @@ def recall(
     `pool`; others have k, so what governance drops makes their answers shorter.  channels names those that found a memory.
     """
     q = queries.select("qid", "vec")
-    by_vector = vector_topk(q, memories.select("id", "vec"), depth)
+    by_vector = saved(vector_topk(q, memories.select("id", "vec"), max(depth, 5)), "nearest")
     by_words = bm25_search(queries.select("qid", "text"), memories, "id", text, depth)
-    named = tags.where(~F.col("is_dormant")).select(F.concat(F.lit("tag:"), F.col("name")).alias("id"), "vec")
-    near = vector_topk(q, memories.select(F.concat(F.lit("memory:"), F.col("id").cast("string")).alias("id"), "vec").union(named), 5)
-    near = near.select("qid", F.regexp_replace("id", "^(memory|tag):", "").alias("id"), "score", F.substring_index("id", ":", 1).alias("kind"))
+    named = vector_topk(q, tags.where(~F.col("is_dormant")).select(F.col("name").alias("id"), "vec"), 5)
+    # The five nearest of memories and tags together are among the five nearest of each, so memories are searched once.
+    both = _united([by_vector.where("rank <= 5").select("qid", F.col("id").cast("string").alias("id"), "score", "rank", F.lit("memory").alias("kind")), named.select("qid", "id", "score", "rank", F.lit("tag"))], "qid")
+    near = _top(both.withColumnRenamed("rank", "_r"), ["qid"], [F.desc("score"), F.asc("kind"), F.asc("_r")], 5).drop("_r")
     seeds = with_priors(seed_tags(near), queries, space_priors(space_memories, mentions, tags))
     by_graph = landing(spread(seeds, neighbors), mentions, memories, queries, depth)
-    channels = {"vector": by_vector, "words": by_words, "graph": by_graph}
+    channels = {"vector": by_vector.where(F.col("rank") <= depth), "words": by_words, "graph": by_graph}
     ranked = _united([c.select("qid", "id", "rank", F.lit(name).alias("channel")) for name, c in channels.items()], "qid", "id")
     fused = ranked.groupBy("qid", "id").agg(F.round(F.sum(1 / (60 + F.col("rank"))), 9).alias("raw_score"), F.sort_array(F.collect_set("channel")).alias("channels"))
     wide = F.when(F.col("space_id").isNull(), k).otherwise(pool or max(5 * k, 30))

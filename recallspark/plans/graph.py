@@ -166,7 +166,7 @@ _RECALL = f"""WITH {_MEMORY_GRAPH}, q AS (SELECT id AS qid, vec, {_TOKENS}[1:2]
   p AS (SELECT term, id, size, count(*) AS tf FROM (SELECT id, len(t) AS size, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM w) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
   b AS (SELECT qid, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score, count(*) AS c FROM w JOIN p USING (term) JOIN df USING (term), st GROUP BY qid, id),
   c2 AS (SELECT qid, id, 'words' AS channel, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM b JOIN need USING (qid) WHERE c = need QUALIFY rank <= 20),
-  five AS (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, kind || ':' || id) <= 5),
+  five AS (SELECT * FROM sims WHERE kind = 'tag' OR id <> qid::VARCHAR QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, kind, CASE kind WHEN 'memory' THEN lpad(id, 20, '0') ELSE id END) <= 5),
   seeds AS (SELECT qid, id AS tag, score AS activation FROM five WHERE kind = 'tag' AND score > 0.4 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 3),
   sums AS (SELECT space_id, tag, sum(relevance) AS s, count(*) AS c FROM rem JOIN ment ON memory_id = id JOIN tags ON name = tag AND NOT is_dormant WHERE space_id IS NOT NULL GROUP BY ALL),
   prior AS (SELECT space_id, tag, s / max(s) OVER (PARTITION BY space_id) AS prior FROM (SELECT * FROM sums QUALIFY row_number() OVER (PARTITION BY space_id ORDER BY round(s, 9) DESC, c DESC, tag) <= 20)),

@@ -98,7 +98,7 @@ def _stored(s, d):
 
 
 def _sessions(s, d):
-    t = V.turns(s, d).groupBy("session_id", F.col("agent").alias("source")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn_index", "content"))), lambda x: x["content"]), "|"), 256).alias("content_hash"))
+    t = V.turns(s, d).groupBy("session_id", F.col("agent").alias("source")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn_index", F.sha2("content", 256).alias("h")))), lambda x: x["h"]), "|"), 256).alias("content_hash"))
     return t
 
 

@@ -8,6 +8,7 @@ from recallspark.functions import text as X
 from recallspark.operators import dedupe, governance, persona, spaces, tasks
 from recallspark.plans import views as V
 from recallspark.sources import sinks
+from recallspark.streaming import ingest
 
 
 
@@ -113,6 +114,13 @@ def _decided(s, d, part):
     return spaces.decide(found, sources, decisions, m, own.select("id", "session_id", F.col("space_id").cast("int").alias("space_id")), sessions)[part]
 
 
+def _jobs(s, d):
+    """Customers as jobs that last ran with their last order."""
+    k = F.col("c_custkey")
+    last = V.read(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("last_run"))
+    return V.read(s, d, "customer").select("c_custkey").join(last, "c_custkey", "left").select(k.alias("job"), "last_run", ((k % 900) * 86400).alias("every"), F.when(k % 3 == 0, k % 24).alias("hour"))
+
+
 def _upserted(s, d):
     c = V.read(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
     o = V.read(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.when(F.col("o_orderkey") % 2 == 0, "").otherwise(F.concat(F.lit("Name "), F.col("o_orderkey").cast("string"))).alias("c_name"), F.col("o_orderkey").alias("updated"))
@@ -158,6 +166,7 @@ QUERIES = {
     "u3_verdicts": lambda s, d: persona.apply_verdicts(_assertions(s, d), _verdicts(s, d)).select("id", "dimension", "assertion", F.round("confidence", 6).alias("confidence"), F.size("evidences").alias("n_evidences"), "is_superseded"),
     "u5_route": lambda s, d: persona.route(V.near_vectors(s, d).where("id % 50 = 0").select(F.col("id").alias("qid"), "vec"), V.vectors(s, d).withColumn("confidence", 0.3 + F.col("id") % 5 / 10.0), 1).withColumn("citations", F.array_join(F.transform("citations", lambda x: x.cast("string")), ",")),
     "a6_profile": lambda s, d: persona.active_profile(_assertions(s, d)).select("dimension", "id", "rank"),
+    "x4_due_jobs": lambda s, d: ingest.due_jobs(_jobs(s, d), _as_of()),
     "s11_upsert": _upserted,
     "s12_insert_ignore": lambda s, d: sinks.insert_ignore(V.read(s, d, "customer").where("c_custkey % 2 = 0").select("c_custkey", "c_name"), V.read(s, d, "customer").select("c_custkey", F.lit("new").alias("c_name")), ["c_custkey"]),
     "m2_links": lambda s, d: governance.link_neighbors(governance.link(_merge_links(s, d).where("source_id % 2 = 0"), _merge_links(s, d))),
@@ -280,6 +289,7 @@ ORACLES = {
     "u4_merged": f"{_MERGE} SELECT h.id, round(CASE WHEN n IS NULL THEN h.c ELSE least(1.0, greatest(h.c, 0.6) + 0.03) END, 6) AS confidence, array_to_string(list_sort(list_concat(['e' || h.id::VARCHAR], coalesce(ev, []))), ',') AS evidences FROM held h LEFT JOIN (SELECT target, list('n' || qid::VARCHAR) AS ev, count(*) AS n FROM best GROUP BY target) b ON b.target = h.id",
     "u4_inserted": f"{_MERGE} SELECT id, (id % 5)::VARCHAR AS dimension FROM fresh WHERE id NOT IN (SELECT qid FROM best)",
     "a6_profile": "SELECT (label % 4)::VARCHAR AS dimension, vec_id AS id, CAST(row_number() OVER (PARTITION BY label % 4 ORDER BY 0.3::DOUBLE + vec_id % 5 / 10.0::DOUBLE DESC, vec_id) AS INT) AS rank FROM embeddings WHERE vec_id % 13 <> 0 QUALIFY rank <= 2",
+    "x4_due_jobs": f"WITH j AS (SELECT c_custkey AS job, max(o_orderdate) AS last_run FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey) SELECT job, CASE WHEN job % 3 = 0 THEN 12 >= job % 24 AND (last_run IS NULL OR last_run::DATE < DATE '2001-06-01') ELSE last_run IS NULL OR epoch_us(TIMESTAMP '{V.AS_OF}') - epoch_us(last_run) >= (job % 900) * 86400000000 END AS due FROM j",
     "s11_upsert": "WITH u AS (SELECT o_custkey, max(o_orderkey) AS k FROM orders GROUP BY o_custkey) SELECT coalesce(c_custkey, o_custkey) AS c_custkey, CASE WHEN k % 2 = 1 THEN 'Name ' || k::VARCHAR ELSE coalesce(c_name, CASE WHEN k IS NOT NULL THEN '' END) END AS c_name, c_mktsegment, k AS updated FROM customer FULL JOIN u ON c_custkey = o_custkey",
     "s12_insert_ignore": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'new' END AS c_name FROM customer",
     "m2_links": f"{_SPACE_GROUPS} SELECT s AS id, t AS other_id, 'MERGED_INTO' AS relation_type, 'out' AS direction FROM links UNION ALL SELECT t, s, 'MERGED_INTO', 'in' FROM links",
