@@ -10,6 +10,7 @@ from pyspark.sql import window as W
 from recallspark.functions.text import is_persona_relevant, text_of
 from recallspark.operators.ranges import numbered
 from recallspark.operators.retrieval import vector_topk
+from recallspark.sources.scratch import saved
 
 # Similarity to the profile from which a question is answered by it, by level of intrusion.
 THRESHOLDS = (0.15, 0.30, 0.50, 0.65, 0.80)
@@ -100,20 +101,43 @@ def route(questions: DataFrame, assertions: DataFrame, level: int = 2, k: int =
 
 
 def merge_assertions(assertions: DataFrame, new: DataFrame, least: float = 0.88) -> tuple[DataFrame, DataFrame]:
-    """Assertions with the evidence of new ones that say the same, and the new ones that say something else.
+    """Assertions (id, dimension, confidence, evidences, locked, is_superseded, vec) after new ones (id, dimension, confidence, evidences, vec), and the new ones that say something else.
 
-    A new assertion joins the nearest unlocked one of its dimension from a similarity on: evidences are united, confidence is the larger of the two plus
-    0.03.  New ones are compared with those that exist, not with each other; run a batch again to merge within it.
+    New ones come in the order of their ids.  Each joins the nearest live, unlocked assertion of its dimension above a similarity, among those that
+    exist and the new ones before it that joined none; what joins brings its evidences, and sets the confidence to the larger of both plus 0.03.
+    All pairs above the similarity are found first; who joins none is settled in rounds, each of which decides all new ones whose
+    earlier neighbours are decided.
     """
-    own = assertions.where(~F.col("locked"))
-    found = vector_topk(new.select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("qid"), "vec"), own.select(F.col("id").cast("string").alias("id"), "vec"), 10, least)
-    kinds = found.join(new.select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("qid"), F.col("dimension").alias("_d")), "qid").join(own.select(F.col("id").cast("string").alias("id"), "dimension"), "id").where("_d = dimension")
-    best = kinds.groupBy("qid").agg(F.max_by("id", F.struct("score", "id")).alias("target"))
-    matched = new.withColumn("qid", F.concat(F.lit("n"), F.col("id").cast("string"))).join(best, "qid", "left")
-    step = matched.where("target is not null").groupBy("target").agg(F.flatten(F.collect_list("evidences")).alias("_e"), F.max("confidence").alias("_c"))
-    merged = assertions.join(step, F.col("id").cast("string") == F.col("target"), "left")
-    merged = merged.withColumn("evidences", F.when(F.col("_e").isNotNull(), F.array_sort(F.array_distinct(F.concat("evidences", "_e")))).otherwise(F.col("evidences"))).withColumn("confidence", F.when(F.col("_c").isNotNull(), F.least(F.lit(1.0), F.greatest("confidence", "_c") + 0.03)).otherwise(F.col("confidence")))
-    return merged.drop("_e", "_c", "target"), matched.where("target is null").drop("qid", "target")
+    own = assertions.where(~F.col("locked") & ~F.col("is_superseded"))
+    fresh = new.select(F.col("id").alias("qid"), "vec")
+    same = lambda df, other: df.join(new.select(F.col("id").alias("qid"), F.col("dimension").alias("_d")), "qid").join(other.select("id", "dimension"), "id").where("_d = dimension").select("qid", "id", "score")
+    old = saved(same(vector_topk(fresh, own.select("id", "vec"), None, least), own), "near")
+    near = saved(same(vector_topk(fresh, new.select("id", "vec"), None, least), new).where("id < qid"), "near")
+    open_ = saved(new.select("id").join(old.select(F.col("qid").alias("id")), "id", "left_anti"), "open")
+    edges = near.join(open_.select(F.col("id").alias("qid")), "qid", "left_semi").join(open_, "id", "left_semi").select("qid", "id")
+    first = open_.limit(0)
+    while open_.head(1):
+        leaders = saved(open_.join(edges.select(F.col("qid").alias("id")).distinct(), "id", "left_anti"), "leaders")
+        first = first.union(leaders)
+        joined = edges.join(leaders, "id", "left_semi").select("qid").distinct()
+        open_ = saved(open_.join(leaders, "id", "left_anti").join(joined.withColumnRenamed("qid", "id"), "id", "left_anti"), "open")
+        edges = saved(edges.join(open_.select(F.col("id").alias("qid")), "qid", "left_semi").join(open_, "id", "left_semi"), "edges")
+    first = saved(first, "first")
+    found = old.withColumn("kind", F.lit("old")).union(near.join(first, "id", "left_semi").join(first.select(F.col("id").alias("qid")), "qid", "left_anti").select("qid", "id", "score", F.lit("new")))
+    best = found.groupBy("qid").agg(F.max_by(F.struct("kind", "id"), F.struct("score", F.col("kind") == "old", -F.col("id"))).alias("t")).select("qid", "t.kind", F.col("t.id").alias("target"))
+    order = W.Window.partitionBy("kind", "target").orderBy("id")
+    step = new.join(best.withColumnRenamed("qid", "id"), "id").select("kind", "target", "id", "confidence", "evidences", F.row_number().over(order).alias("i"))
+    counted = step.groupBy("kind", "target").agg(F.max("i").alias("n"), F.max(F.col("confidence") - 0.03 * (F.col("i") - 1)).alias("_x"), F.array_sort(F.flatten(F.collect_list("evidences"))).alias("_e"))
+    counted = saved(counted, "merged")
+
+    def fold(df: DataFrame, kind: str) -> DataFrame:
+        """Each joining one adds 0.03 to the larger confidence, so the last value is the largest of all with what came after them."""
+        out = df.join(counted.where(F.col("kind") == kind).drop("kind").withColumnRenamed("target", "id"), "id", "left")
+        sure = F.least(F.lit(1.0), F.greatest("confidence", "_x") + 0.03 * F.col("n"))
+        proof = F.concat("evidences", F.array_except(F.array_distinct("_e"), "evidences"))
+        return out.withColumns({"confidence": F.when(F.col("n").isNotNull(), sure).otherwise(F.col("confidence")), "evidences": F.when(F.col("n").isNotNull(), proof).otherwise(F.col("evidences"))}).drop("n", "_x", "_e")
+
+    return fold(assertions, "old"), fold(new.join(first, "id", "left_semi"), "new")
 
 
 def edit(assertions: DataFrame, events: DataFrame) -> DataFrame:

@@ -63,8 +63,8 @@ def _pair_schema(names: tuple[str, str], left: DataFrame, right: DataFrame) -> T
     return T.StructType([T.StructField(names[0], left.schema["key"].dataType), T.StructField(names[1], right.schema["key"].dataType), T.StructField("score", T.DoubleType())])
 
 
-def vector_topk(queries: DataFrame, items: DataFrame, k: int = 20, least: float | None = None, query_rows: int = 2048, item_rows: int = 16_384) -> DataFrame:
-    """qid, id, score, rank: the k items of the largest dot product with each query, among all items but its own id.
+def vector_topk(queries: DataFrame, items: DataFrame, k: int | None = 20, least: float | None = None, query_rows: int = 2048, item_rows: int = 16_384) -> DataFrame:
+    """qid, id, score, rank: the k items of the largest dot product with each query, among all items but its own id; without k, all above `least`.
 
     queries: qid, vec; items: id, vec.  Query blocks of about query_rows rows meet blocks of about item_rows items in tasks that
     multiply matrices and return k rows for each query; neither side is collected or broadcast.  Vectors that are null, empty
@@ -85,13 +85,15 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int = 20, least: float
                     scores = np.round(x[at : at + 256] @ y.T, 9)
                     scores[codes[rows[at : at + 256], None] == codes[None, left.num_rows + own]] = -np.inf
                     for row, at_row in zip(scores, rows[at : at + 256], strict=True):
-                        floor = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+                        floor = np.partition(row, len(row) - k)[len(row) - k] if k is not None and len(row) > k else -np.inf
                         good = np.flatnonzero((row >= floor) & (row > (-np.inf if least is None else least)))
                         good = good[np.argsort(-row[good], kind="stable")][:k]
                         found.append((np.full(len(good), at_row), own[good], row[good]))
         return _gathered(left, right, ("qid", "id"), found)
 
     found = a.groupBy("_q", "_i").cogroup(b.groupBy("_q", "_i")).applyInArrow(meet, _pair_schema(("qid", "id"), q, i))
+    if k is None:
+        return found.withColumn("rank", F.lit(None).cast("int"))
     return _top(found, ["qid"], [F.desc("score"), F.asc("id")], k)
 
 

@@ -80,7 +80,7 @@ def _persona_states(s, d):
 def _merged(s, d):
     """New assertions: damped vectors of old ones, the last of another dimension."""
     new = V.near_vectors(s, d).where("id >= 1000000").select("id", "vec", ((F.col("id") % 5).cast("string")).alias("dimension"), F.lit(0.6).cast("double").alias("confidence"), F.array(F.concat(F.lit("n"), F.col("id").cast("string"))).alias("evidences"))
-    return persona.merge_assertions(_held(s, d).where("not is_superseded"), new)
+    return persona.merge_assertions(_held(s, d), new)
 
 
 def _home_spaces(s, d):
@@ -161,7 +161,7 @@ QUERIES = {
     "u2_counts": lambda s, d: persona.prefilter_counts(*_persona_states(s, d), _held(s, d)),
     "u2_pairs": lambda s, d: _persona_states(s, d)[1].select("qid", "id", "rank", F.round("score", 6).alias("score")),
     "u4_merged": lambda s, d: _merged(s, d)[0].select("id", F.round("confidence", 6).alias("confidence"), F.array_join("evidences", ",").alias("evidences")),
-    "u4_inserted": lambda s, d: _merged(s, d)[1].select("id", "dimension"),
+    "u4_inserted": lambda s, d: _merged(s, d)[1].select("id", "dimension", F.round("confidence", 6).alias("confidence"), F.array_join("evidences", ",").alias("evidences")),
     "u2_prefilter": lambda s, d: persona.prefilter(V.memories(s, d), F.lit("2024-01-01 05:00:00").cast("timestamp")),
     "u3_verdicts": lambda s, d: persona.apply_verdicts(_assertions(s, d), _verdicts(s, d)).select("id", "dimension", "assertion", F.round("confidence", 6).alias("confidence"), F.size("evidences").alias("n_evidences"), "is_superseded"),
     "u5_route": lambda s, d: persona.route(V.near_vectors(s, d).where("id % 50 = 0").select(F.col("id").alias("qid"), "vec"), V.vectors(s, d).withColumn("confidence", 0.3 + F.col("id") % 5 / 10.0), 1).withColumn("citations", F.array_join(F.transform("citations", lambda x: x.cast("string")), ",")),
@@ -218,8 +218,8 @@ _DECIDED = f"""{_CANDIDATES}, dec AS (SELECT *, ['accept', 'merge', 'new_space',
 _HELD = "held AS (SELECT vec_id AS id, embedding AS vec, (label % 3)::VARCHAR AS dim, vec_id % 7 = 0 AS locked, vec_id % 13 = 0 AS sup, 0.3::DOUBLE + vec_id % 5 / 10.0::DOUBLE AS c FROM embeddings WHERE vec_id % 2 = 1)"
 _NEARBY = f"""WITH {V.REMEMBERED}, {_HELD}, free AS (SELECT * FROM held WHERE NOT locked AND NOT sup), states AS (SELECT id, vec, CASE WHEN length(trim(coalesce(nullif(raw_text, ''), summary))) < 50 THEN 'short' WHEN memory_type IN ('PREFERENCE', 'DECISION', 'REASONING') THEN 'checked' ELSE 'irrelevant' END AS state FROM rem WHERE vec IS NOT NULL AND created_at > TIMESTAMP '2024-01-01 01:00:00' AND NOT is_superseded),
   near8 AS (SELECT * FROM (SELECT q.id AS qid, i.id, round(list_dot_product(CAST(q.vec AS DOUBLE[]), CAST(i.vec AS DOUBLE[])), 9) AS s, row_number() OVER (PARTITION BY q.id ORDER BY round(list_dot_product(CAST(q.vec AS DOUBLE[]), CAST(i.vec AS DOUBLE[])), 9) DESC, i.id) AS rank FROM states q JOIN free i ON q.id <> i.id WHERE q.state = 'checked') WHERE rank <= 8 AND s >= 0.12)"""
-_MERGE = f"""WITH {_HELD.replace("WHERE vec_id % 2 = 1", "WHERE vec_id % 2 = 1 AND vec_id % 13 <> 0")}, {V.NEAR.replace("WHERE vec_id % 23 <> 0", "")}, fresh AS (SELECT * FROM near WHERE id >= 1000000),
-  best AS (SELECT qid, target FROM (SELECT n.id AS qid, h.id AS target, round(list_dot_product(CAST(n.vec AS DOUBLE[]), CAST(h.vec AS DOUBLE[])), 9) AS s FROM fresh n JOIN held h ON NOT h.locked AND h.dim = (n.id % 5)::VARCHAR) WHERE s > 0.88 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, target::VARCHAR DESC) = 1)"""
+_MERGE = f"""WITH {_HELD}, {V.NEAR.replace("WHERE vec_id % 23 <> 0", "")}, fresh AS (SELECT * FROM near WHERE id >= 1000000),
+  best AS (SELECT qid, target FROM (SELECT n.id AS qid, h.id AS target, round(list_dot_product(CAST(n.vec AS DOUBLE[]), CAST(h.vec AS DOUBLE[])), 9) AS s FROM fresh n JOIN held h ON NOT h.locked AND NOT h.sup AND h.dim = (n.id % 5)::VARCHAR) WHERE s > 0.88 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, target) = 1)"""
 ORACLES = {
     "w1_task_risk": f"""WITH {V.TASKS}, x AS (SELECT id, priority, (epoch_us(due) - epoch_us(TIMESTAMP '{V.AS_OF}')) / 86400000000.0::DOUBLE AS days, floor((epoch_us(TIMESTAMP '{V.AS_OF}') - epoch_us(created_at)) / 86400000000.0::DOUBLE) AS idle FROM tasks WHERE status IN ('todo', 'doing')),
         r AS (SELECT id, priority, CASE WHEN days < 0 THEN 'overdue' WHEN days <= 1 AND priority = 'high' THEN 'urgent' WHEN days <= 3 THEN 'due_soon' WHEN priority = 'high' AND idle >= 3 THEN 'idle_high' WHEN idle >= 7 THEN 'idle' END AS risk FROM x)
@@ -286,8 +286,9 @@ ORACLES = {
     "u2_newest": f"WITH {V.MEMORIES} SELECT id, CASE WHEN length(trim(coalesce(nullif(raw_text, ''), summary))) < 50 THEN 'short' WHEN memory_type IN ('PREFERENCE', 'DECISION', 'REASONING') THEN 'checked' ELSE 'irrelevant' END AS state FROM mem WHERE NOT is_superseded ORDER BY created_at DESC, id DESC LIMIT 50",
     "u2_pairs": f"{_NEARBY} SELECT qid, id, CAST(rank AS INT) AS rank, round(s, 6) AS score FROM near8",
     "u2_counts": f"{_NEARBY} SELECT (SELECT count(*) FROM states) AS memories, (SELECT count(*) FROM states WHERE state <> 'checked' OR id NOT IN (SELECT qid FROM near8)) AS skipped, (SELECT count(*) FROM near8) AS checks, (SELECT count(*) FROM states) * (SELECT count(*) FROM free) - (SELECT count(*) FROM near8) AS saved",
-    "u4_merged": f"{_MERGE} SELECT h.id, round(CASE WHEN n IS NULL THEN h.c ELSE least(1.0, greatest(h.c, 0.6) + 0.03) END, 6) AS confidence, array_to_string(list_sort(list_concat(['e' || h.id::VARCHAR], coalesce(ev, []))), ',') AS evidences FROM held h LEFT JOIN (SELECT target, list('n' || qid::VARCHAR) AS ev, count(*) AS n FROM best GROUP BY target) b ON b.target = h.id",
-    "u4_inserted": f"{_MERGE} SELECT id, (id % 5)::VARCHAR AS dimension FROM fresh WHERE id NOT IN (SELECT qid FROM best)",
+    "u4_merged": f"{_MERGE} SELECT h.id, round(CASE WHEN n IS NULL THEN h.c ELSE least(1.0, greatest(h.c, 0.6) + 0.03::DOUBLE * n) END, 6) AS confidence, array_to_string(list_concat(['e' || h.id::VARCHAR], coalesce(ev, [])), ',') AS evidences FROM held h LEFT JOIN (SELECT target, list('n' || qid::VARCHAR ORDER BY 'n' || qid::VARCHAR) AS ev, count(*) AS n FROM best GROUP BY target) b ON b.target = h.id",
+    "u4_inserted": f"""{_MERGE}, free AS (SELECT id, vec FROM fresh WHERE id NOT IN (SELECT qid FROM best)), fol AS (SELECT b.id AS b, a.id AS a FROM free a JOIN free b ON b.id = a.id + 1000000 AND round(list_dot_product(CAST(a.vec AS DOUBLE[]), CAST(b.vec AS DOUBLE[])), 9) > 0.88)
+        SELECT f.id, (f.id % 5)::VARCHAR AS dimension, CASE WHEN fol.b IS NULL THEN 0.6::DOUBLE ELSE 0.63::DOUBLE END AS confidence, 'n' || f.id::VARCHAR || coalesce(',n' || fol.b::VARCHAR, '') AS evidences FROM free f LEFT JOIN fol ON fol.a = f.id WHERE f.id NOT IN (SELECT b FROM fol)""",
     "a6_profile": "SELECT (label % 4)::VARCHAR AS dimension, vec_id AS id, CAST(row_number() OVER (PARTITION BY label % 4 ORDER BY 0.3::DOUBLE + vec_id % 5 / 10.0::DOUBLE DESC, vec_id) AS INT) AS rank FROM embeddings WHERE vec_id % 13 <> 0 QUALIFY rank <= 2",
     "x4_due_jobs": f"WITH j AS (SELECT c_custkey AS job, max(o_orderdate) AS last_run FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey) SELECT job, CASE WHEN job % 3 = 0 THEN 12 >= job % 24 AND (last_run IS NULL OR last_run::DATE < DATE '2001-06-01') ELSE last_run IS NULL OR epoch_us(TIMESTAMP '{V.AS_OF}') - epoch_us(last_run) >= (job % 900) * 86400000000 END AS due FROM j",
     "s11_upsert": "WITH u AS (SELECT o_custkey, max(o_orderkey) AS k FROM orders GROUP BY o_custkey) SELECT coalesce(c_custkey, o_custkey) AS c_custkey, CASE WHEN k % 2 = 1 THEN 'Name ' || k::VARCHAR ELSE coalesce(c_name, CASE WHEN k IS NOT NULL THEN '' END) END AS c_name, c_mktsegment, k AS updated FROM customer FULL JOIN u ON c_custkey = o_custkey",

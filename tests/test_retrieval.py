@@ -89,3 +89,29 @@ def test_the_sample_of_a_level_is_exact_with_ties(spark):
     assert got == {k for k, level, _ in data if level} | {k for _, k in low[: max(1, len(low) // 5)]}
     one = spark.createDataFrame([(1, 0, 0.1)], "id long, signal_level int, confidence double")
     assert persona.baseline_sample(one).count() == 1 and persona.baseline_sample(one.where(F.lit(False))).count() == 0
+
+
+def test_new_assertions_merge_with_each_other_in_order(spark):
+    r = random.Random(7)
+    unit = lambda v: [x / math.sqrt(sum(y * y for y in v)) for x in v]
+    centres = [unit([r.gauss(0, 1) for _ in range(12)]) for _ in range(5)]
+    near = lambda: unit([x + r.gauss(0, 0.11) for x in r.choice(centres)])
+    old = [(k, str(k % 2), near(), 0.4, [f"e{k}"], k % 5 == 0, k % 7 == 0) for k in range(1, 8)]
+    new = [(100 + k, str(r.randint(0, 1)), near(), r.choice([0.3, 0.6, 0.9]), [f"n{k}"]) for k in range(60)]
+    a = spark.createDataFrame(old, "id long, dimension string, vec array<double>, confidence double, evidences array<string>, locked boolean, is_superseded boolean")
+    b = spark.createDataFrame(new, "id long, dimension string, vec array<double>, confidence double, evidences array<string>")
+    merged, inserted = persona.merge_assertions(a, b)
+    state = {k: [d, v, c, list(e), not locked and not gone] for k, d, v, c, e, locked, gone in old}
+    fresh = {}
+    for k, d, v, c, e in new:
+        all_ = [(dot(v, x[1]), i < 100, -i, i) for i, x in {**state, **fresh}.items() if x[0] == d and x[4] and dot(v, x[1]) > 0.88]
+        if not all_:
+            fresh[k] = [d, v, c, list(e), True]
+            continue
+        i = max(all_)[3]
+        x = (state if i < 100 else fresh)[i]
+        x[2], x[3] = min(1.0, max(x[2], c) + 0.03), x[3] + e
+    for got, want in ((merged, state), (inserted, fresh)):
+        rows_ = {x.id: (round(x.confidence, 9), sorted(x.evidences)) for x in got.collect()}
+        assert rows_ == {k: (round(x[2], 9), sorted(x[3])) for k, x in want.items()}
+    assert 5 < len(fresh) < 40 and any(len(x[3]) > 2 for x in fresh.values())
