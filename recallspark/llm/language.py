@@ -82,7 +82,7 @@ def document_counts(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(SIZE + 1, np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 512)):
             for text in batch.column(0).to_pylist():
                 if (found := grams(text)) is not None:
                     seen[found[0]] += 1
@@ -194,7 +194,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         return model.languages[k], float(min(1.0, p[k] / p.sum()))
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        for part in slices(batch, 1024):
+        for part in slices(batch, 512):
             got = [one(x) for x in part.column(len(kept)).to_pylist()]
             yield {c: part.column(k) for k, c in enumerate(kept)} | {"lang_pred": [x[0] for x in got], "score": [x[1] for x in got]}
 

@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from recallspark.llm._common import fresh, require, row_key, saved, table
+from recallspark.llm._common import fresh, require, row_key, saved, slices, table
 from recallspark.llm.components import components, dealt_join
 from recallspark.llm.shingles import _mix, set_key, shingles_of
 
 #: Counters of the sketch, in CHUNKS parts; a shingle is frequent where its counter reaches FLOOR and LOAD times the mean.
 WIDTH, CHUNKS, FLOOR, LOAD = 1 << 20, 64, 64, 8
-#: Shingles for each bucket of the exact counts, at least; a batch that is sent to the buckets has twice as many.
+#: Shingles for each bucket of the exact counts, at least, and for each batch that is sent to the buckets.
 BUCKET = 1_000_000
 #: Shingles of a set for each class that frequent tokens are dealt into.
 SPREAD = 16
@@ -61,7 +61,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(WIDTH, np.uint32)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 512)):
             keys, sizes, seen = [], [], set()
             for text in batch.column(1).to_pylist():
                 h = shingles_of(text)
@@ -137,7 +137,7 @@ def exchange(docs: DataFrame, text_col: str, frequent: bytes, buckets: int, most
         batch = TaskContext.get().partitionId() << 24
         held: list[tuple[bytes, np.ndarray]] = []
         seen, size = set(), 0
-        for part in batches:
+        for part in (part for whole in batches for part in slices(whole, 512)):
             for text in part.column(0).to_pylist():
                 h = shingles_of(text)
                 if not len(h) or (key := set_key(h)) in seen:
@@ -335,7 +335,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
         return own, sets.withColumn("root", F.col("set"))
     frequent = frequent_class(first.where("chunk is not null").select("chunk", "counts"), total)
     size = bucket_size(total)
-    answers = exchange(docs, text_col, frequent, max(1, -(-total // size)), 2 * size).groupBy("key").applyInArrow(count_bucket, _MESSAGE)
+    answers = exchange(docs, text_col, frequent, max(1, -(-total // size)), size).groupBy("key").applyInArrow(count_bucket, _MESSAGE)
     members = saved(answers.groupBy("key").applyInArrow(gather_batch, _MEMBER).dropDuplicates(["set"]), "members")
     roots = components(links(members))
     return own, sets.join(roots.withColumnRenamed("node", "set"), "set", "left").select("set", F.coalesce("root", "set").alias("root"))

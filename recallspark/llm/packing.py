@@ -25,9 +25,9 @@ TIERS = (512, 1024, 2048, 4096)
 #: Tokens that a task holds back per tier before it forms sequences of them.
 HOLD = 1 << 18
 #: Words whose ids a task remembers; the memory is emptied when it is full.
-WORDS = 600_000
+WORDS = 400_000
 #: Bytes of text, and rows, whose words are looked up together.
-RUN_BYTES, RUN_ROWS = 8 << 20, 8192
+RUN_BYTES, RUN_ROWS = 4 << 20, 8192
 #: Sequences of a tier that one step takes, and the ranks that share them.
 STEP, RANKS = 64, 8
 #: A word of Latin letters, which is one match of the splitting pattern, and a run of marks behind it, which is another.

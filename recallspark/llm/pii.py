@@ -149,7 +149,7 @@ def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1024):
+            for part in slices(batch, 512):
                 columns = [[], [], [], []]
                 for text in part.column(1).to_pylist():
                     own, entities, terms = base_spans(text), set(), {}
@@ -205,7 +205,7 @@ def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, copied: DataFr
         bits, repeated = (np.unpackbits(np.frombuffer(p, np.uint8)).astype(bool) for p in (packed, packed_keys))
         known: dict[str, tuple[str, ...]] = {}
         told: set[bytes] = set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1024)):
             seen: dict[str, int] = {}
             held: list[tuple[bytes, set[str]]] = []
             for text in batch.column(0).to_pylist():

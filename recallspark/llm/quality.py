@@ -159,7 +159,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        for part in slices(batch, 1024):
+        for part in slices(batch, 512):
             texts = part.column(len(kept)).to_pylist()
             if model.weights:
                 x = np.array([features(t, model.good, model.bad) for t in texts])
