@@ -19,9 +19,16 @@ def _written(s, d, line, kind="transcripts"):
     return f"{path}/*/*"
 
 
-_K = F.col("turn_index")
-_STAMP = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("session_id") * 3600 + F.col("turn_index") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-_NAME = F.concat(F.lit("s"), F.col("session_id").cast("string"))
+def _number():
+    return F.col("turn_index")
+
+
+def _stamp():
+    return F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("session_id") * 3600 + F.col("turn_index") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def _name():
+    return F.concat(F.lit("s"), F.col("session_id").cast("string"))
 
 
 def _json(**fields):
@@ -30,7 +37,7 @@ def _json(**fields):
 
 def _transcripts(s, d):
     """Lines of the generic shape; those of the system are not JSON."""
-    line = _json(type="message", role=F.when(F.col("role") == "user", "human").otherwise(F.col("role")), content=F.col("content"), session_id=_NAME)
+    line = _json(type="message", role=F.when(F.col("role") == "user", "human").otherwise(F.col("role")), content=F.col("content"), session_id=_name())
     return _written(s, d, F.when(F.col("role") == "system", F.concat(F.lit("{broken "), F.substring(F.regexp_replace("content", "\\s+", " "), 1, 20))).otherwise(line))
 
 
@@ -42,30 +49,30 @@ def _parts(*extra):
 def _session_lines(s, d):
     """The first line names the session, answers are lists of parts with a tool call, others strings."""
     call = F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), F.lit("shell").alias("name"))
-    said = F.when(F.col("role") == "assistant", _json(type="message", message=F.struct(F.col("role"), _parts(call).alias("content")), timestamp=_STAMP)).otherwise(_json(type="message", message=F.struct(F.when(F.col("role") == "system", "toolResult").otherwise(F.col("role")).alias("role"), F.col("content").alias("content")), timestamp=_STAMP))
+    said = F.when(F.col("role") == "assistant", _json(type="message", message=F.struct(F.col("role"), _parts(call).alias("content")), timestamp=_stamp())).otherwise(_json(type="message", message=F.struct(F.when(F.col("role") == "system", "toolResult").otherwise(F.col("role")).alias("role"), F.col("content").alias("content")), timestamp=_stamp()))
     head = _json(type="session", id=F.concat(F.lit("x"), F.col("session_id").cast("string")))
-    return readers.read_session_jsonl(s, _written(s, d, F.when(_K == 0, F.concat(head, F.lit("\n"), said)).otherwise(said)))
+    return readers.read_session_jsonl(s, _written(s, d, F.when(_number() == 0, F.concat(head, F.lit("\n"), said)).otherwise(said)))
 
 
 def _nested_lines(s, d):
     """Content at the top of users' lines and in message of others; the system's come as snapshots."""
-    said = F.when(F.col("role") == "user", _json(type="message", role=F.col("role"), content=F.col("content"), sessionId=_NAME)).when(F.col("role") == "assistant", _json(type="reasoning", message=F.struct(F.col("content")), sessionId=_NAME)).otherwise(_json(type="file-snapshot", content=F.col("content"), sessionId=_NAME))
+    said = F.when(F.col("role") == "user", _json(type="message", role=F.col("role"), content=F.col("content"), sessionId=_name())).when(F.col("role") == "assistant", _json(type="reasoning", message=F.struct(F.col("content")), sessionId=_name())).otherwise(_json(type="file-snapshot", content=F.col("content"), sessionId=_name()))
     return readers.read_nested_jsonl(s, _written(s, d, said))
 
 
 def _payload_lines(s, d):
     """Events of users, messages of assistants, and outputs of tools in payloads, behind a line that names the session."""
-    user = _json(timestamp=_STAMP, type="event_msg", payload=F.struct(F.lit("user_message").alias("type"), F.col("content").alias("message")))
-    answer = _json(timestamp=_STAMP, type="response_item", payload=F.struct(F.lit("message").alias("type"), F.lit("assistant").alias("role"), F.array(F.struct(F.lit("output_text").alias("type"), F.col("content").alias("text"))).alias("content")))
-    tool = _json(timestamp=_STAMP, type="response_item", payload=F.struct(F.lit("function_call_output").alias("type"), F.col("content").alias("output")))
+    user = _json(timestamp=_stamp(), type="event_msg", payload=F.struct(F.lit("user_message").alias("type"), F.col("content").alias("message")))
+    answer = _json(timestamp=_stamp(), type="response_item", payload=F.struct(F.lit("message").alias("type"), F.lit("assistant").alias("role"), F.array(F.struct(F.lit("output_text").alias("type"), F.col("content").alias("text"))).alias("content")))
+    tool = _json(timestamp=_stamp(), type="response_item", payload=F.struct(F.lit("function_call_output").alias("type"), F.col("content").alias("output")))
     said = F.when(F.col("role") == "user", user).when(F.col("role") == "assistant", answer).otherwise(tool)
-    head = _json(timestamp=_STAMP, type="session_meta", payload=F.struct(_NAME.alias("id")))
-    return readers.read_payload_jsonl(s, _written(s, d, F.when(_K == 0, F.concat(head, F.lit("\n"), said)).otherwise(said)))
+    head = _json(timestamp=_stamp(), type="session_meta", payload=F.struct(_name().alias("id")))
+    return readers.read_payload_jsonl(s, _written(s, d, F.when(_number() == 0, F.concat(head, F.lit("\n"), said)).otherwise(said)))
 
 
 def _plain_lines(s, d):
     """Prefixes start a turn; texts go on over lines."""
-    who = F.when(F.col("role") == "user", F.when(_K % 2 == 0, "User: ").otherwise("human：")).when(F.col("role") == "assistant", F.when(_K % 2 == 0, "AI: ").otherwise("Assistant:")).otherwise("Tool: ")
+    who = F.when(F.col("role") == "user", F.when(_number() % 2 == 0, "User: ").otherwise("human：")).when(F.col("role") == "assistant", F.when(_number() % 2 == 0, "AI: ").otherwise("Assistant:")).otherwise("Tool: ")
     return readers.read_plain(s, _written(s, d, F.concat(who, F.col("content"))))
 
 
