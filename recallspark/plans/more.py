@@ -91,7 +91,7 @@ QUERIES = {
 _NORM = V.normalized_sql
 _SCAN = """{name}n AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY ts, id) AS rn FROM {rows}), {name}k AS (SELECT id, {key} AS k, rn, ts AS last, true AS kept FROM {name}n WHERE rn = 1 AND {key} IS NOT NULL
           UNION ALL SELECT x.id, k, x.rn, CASE WHEN x.ts > y.last + INTERVAL 10 MINUTE THEN x.ts ELSE y.last END, x.ts > y.last + INTERVAL 10 MINUTE FROM {name}k y JOIN {name}n x ON x.{key} = y.k AND x.rn = y.rn + 1), {name} AS (SELECT {name}n.* EXCLUDE (rn), coalesce(q.kept, true) AS kept FROM {name}n LEFT JOIN {name}k q USING (id))"""
-_HISTORY = "hist AS (SELECT make_timestamp((986083200 + n_nationkey * 3600)::BIGINT * 1000000) AS taken_at, n_nationkey + 100 AS n_memories, n_name AS hot_tags FROM nation)"
+_HISTORY = "hist AS (SELECT make_timestamp((986083200 + n_nationkey * 3600)::BIGINT * 1000000) AS taken_at, CAST(n_nationkey + 100 AS BIGINT) AS n_memories, n_name AS hot_tags FROM nation)"
 ORACLES = {
     "d4_records": f"""WITH RECURSIVE {V.MEMORIES}, st AS (SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN '添加了一个测试待办“买牛奶 ' || (id % 12)::VARCHAR || ' 号”。 ' || left(raw_text, 60) WHEN id % 3 = 1 THEN 'note ' || (id % 9)::VARCHAR ELSE raw_text END AS raw_text, TIMESTAMP '2024-01-01' + to_seconds(id * 20) AS created_at, CASE WHEN id % 2 = 0 THEN 't' ELSE title END AS title, CASE WHEN id % 2 = 0 THEN 's' || (id % 5)::VARCHAR ELSE summary END AS summary) FROM mem),
         n0 AS (SELECT id, created_at AS ts, {_NORM("raw_text")} AS nr, {_NORM("title || chr(10) || summary || chr(10) || coalesce(raw_text, '')")} AS nj, {_NORM("title || chr(10) || summary")} AS nt FROM st),
