@@ -205,8 +205,18 @@ def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, copied: DataFr
         bits, repeated = (np.unpackbits(np.frombuffer(p, np.uint8)).astype(bool) for p in (packed, packed_keys))
         known: dict[str, tuple[str, ...]] = {}
         told: set[bytes] = set()
+        seen: dict[str, int] = {}
+
+        def rows(keys: list, terms: list, counts: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((keys, terms, counts), (pa.binary(), pa.list_(pa.string()), pa.int64()), strict=True)], names=["key", "terms", "n"])
+
+        def counted() -> pa.RecordBatch:
+            """A row for each term that was counted so far; a task gives it once, or when it has counted very many."""
+            out = rows([None] * len(seen), [[t] for t in seen], list(seen.values()))
+            seen.clear()
+            return out
+
         for batch in (part for whole in batches for part in slices(whole, 1024)):
-            seen: dict[str, int] = {}
             held: list[tuple[bytes, set[str]]] = []
             for text in batch.column(0).to_pylist():
                 own = terms_of(text, base_spans(text))
@@ -230,9 +240,12 @@ def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, copied: DataFr
                         seen[term] = seen.get(term, 0) + 1
                 elif hits:
                     held.append((key, hits))
-            if seen or held:
-                rows = [[None] * len(seen) + [k for k, _ in held], [[t] for t in seen] + [list(h) for _, h in held], [*seen.values(), *[1] * len(held)]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.binary(), pa.list_(pa.string()), pa.int64()), strict=True)], names=["key", "terms", "n"])
+            if held:
+                yield rows([k for k, _ in held], [list(h) for _, h in held], [1] * len(held))
+            if len(seen) > KNOWN:
+                yield counted()
+        if seen:
+            yield counted()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,8 +255,8 @@ def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, copied: DataFr
                     sums[term] = sums.get(term, 0) + n
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], names=["term", "n"])
 
-    counted = saved(docs.select(F.col(text_col).cast("string")).mapInArrow(count, "key binary, terms array<string>, n long"), "counts")
-    once = counted.where("key is null").union(counted.where("key is not null").dropDuplicates(["key"]))
+    found = saved(docs.select(F.col(text_col).cast("string")).mapInArrow(count, "key binary, terms array<string>, n long"), "counts")
+    once = found.where("key is null").union(found.where("key is not null").dropDuplicates(["key"]))
     return once.select("terms", "n").mapInArrow(add, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
