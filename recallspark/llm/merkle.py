@@ -1,7 +1,7 @@
 """A Merkle manifest of a table, level by level with joins of siblings.
 
 Rows are leaves; the leaves of each group form a tree, and the roots of the groups form one more tree.  Every level is a table of nodes, numbered
-within their tree: each node computes the indices of its siblings (its own index XOR 1 in a binary tree, its slot shifted by each offset within
+within their tree: each node asks for its siblings (its own index XOR 1 in a binary tree, its slot shifted by each offset within
 its run otherwise) and an equijoin with the same table brings their digests; the rows in slot zero emit the parents.
 """
 
@@ -73,16 +73,16 @@ def levels(nodes: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
     out = []
     more = [c for c in nodes.columns if c not in ("g", "i", "n", "digest")]
     while True:
-        # Nodes of one run share a partition, so the join and the grouping behind it need no further exchange.
-        own = nodes.withColumn("block", F.floor(F.col("i") / fanout)).repartition("g", "block")
-        shift = F.explode(F.sequence(F.lit(0), F.lit(fanout - 1)))
+        # Nodes of one run share a partition, and the join and the grouping keep it: what is shuffled is each node twice, not its siblings.
+        own = nodes.withColumn("block", F.expr(f"i div {fanout}")).repartition("g", "block")
+        asks = own.select("g", "block", "i", "n", *more, F.explode(F.sequence(F.lit(0), F.lit(fanout - 1))).alias("shift"))
+        has = own.select(F.col("g").alias("g2"), F.col("block").alias("block2"), F.col("i").alias("sibling"), "digest")
         if fanout == 2:
-            sibling = F.col("i").bitwiseXOR(F.col("_o").cast("long"))
+            shifted = F.col("sibling").bitwiseXOR(F.col("i"))
         else:
-            sibling = F.col("block") * fanout + (F.col("i") + F.col("_o")) % fanout
-        asks = own.select("g", "block", "i", "n", *more, shift.alias("_o")).withColumn("sibling", sibling).where("sibling < n").drop("_o")
-        has = own.select("g", "block", F.col("i").alias("sibling"), "digest")
-        level = asks.join(has, ["g", "block", "sibling"]).groupBy("g", "block", "i").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("sibling", "digest"))).alias("_run"), *[F.first(c).alias(c) for c in more])
+            shifted = F.pmod(F.col("sibling") - F.col("i"), F.lit(fanout))
+        met = asks.join(has, (F.col("g") == F.col("g2")) & (F.col("block") == F.col("block2")) & (shifted == F.col("shift").cast("long")))
+        level = met.groupBy("g", "block", "i").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("sibling", "digest"))).alias("_run"), *[F.first(c).alias(c) for c in more])
         level = saved(level.select("g", "block", "i", "n", F.transform("_run", lambda x: x["digest"]).alias("run"), *more), "level")
         out.append(level)
         if most <= 1:
@@ -156,6 +156,7 @@ def op11_merkle_manifest(spark, sf_dir: str) -> DataFrame:
     hit = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
     now = F.when(hit, row_digest(*(field | {"text": lowered(field["text"])}).values()))
     rows = docs.select("doc_id", "lang", row_digest(*field.values()).alias("digest"), now.alias("now"))
+    rows = saved(rows, "digests")  # texts are read once, not again for the ranges
     out = manifest(rows).withColumn("folded", folded(F.coalesce("now", "digest"), F.col("path")))
     return out.select(
         "doc_id", hexed(F.col("digest")).alias("leaf"), hexed(F.col("subroot")).alias("subroot"), hexed(F.col("root")).alias("root"), hexed(proof(F.col("path"))).alias("proof_sha256"),
