@@ -26,7 +26,7 @@ from recallspark.llm.components import HUBS, LEAST, components
 #: Share of the pairs at the threshold that the tables are to find, cells that each table asks besides a vector's own, and strangers in a cell.
 RECALL, PROBES, STRANGERS, SEED = 0.995, 8, 0.05, 88
 #: Rows of a cell that are compared as one block, rows of a task, and rows up to which groups are compared together.
-BLOCK, BUNDLE, SMALL = 2048, 16_384, 24
+BLOCK, BUNDLE, SMALL = 2048, 4096, 24
 #: Projected coordinates are integers with so many bits behind the point, so a cell is the same wherever it is computed.
 BITS, VECTOR_BITS, MATRIX_BITS = 20, 20, 12
 #: Components of a vector that are projected at a time.
