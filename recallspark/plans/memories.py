@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recallspark.functions import text as X
-from recallspark.operators import dedupe, quality, reports, retrieval, spaces, tags
+from recallspark.operators import bm25, dedupe, quality, reports, retrieval, spaces, tags
 from recallspark.plans import views as V
+from recallspark.sources.scratch import saved, scratch_path
 
 M = V.memories
 NORM = V.normalized_sql("raw_text")
@@ -36,7 +37,26 @@ def _queries(s, d):
     return b.select(F.col("item_id").alias("qid"), F.array_join(words, " ").alias("text"))
 
 
+def _indexed(s, d):
+    """An index of documents that are built from first and added after, by their ids."""
+    own = V.read(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    path = bm25.build(own.where("id % 3 <> 0"), scratch_path(s, "index"))
+    bm25.append(own.where("id % 3 = 0"), path)
+    return path
+
+
+def _superseded(s, d):
+    """An index of titles, summaries and texts of memories, of which the superseded ones are taken out."""
+    m = saved(M(s, d).select("id", "title", "summary", "raw_text", "is_superseded"), "memories")
+    path = bm25.build(m, scratch_path(s, "index"), text=["title", "summary", "raw_text"])
+    bm25.remove(m.where("is_superseded"), path)
+    return path
+
+
 QUERIES = {
+    "v4_build": lambda s, d: bm25.terms(s, _indexed(s, d)),
+    "v4_indexed": lambda s, d: bm25.search(_queries(s, d), _indexed(s, d), 10),
+    "v4_removed": lambda s, d: bm25.search(_queries(s, d), _superseded(s, d), 10),
     "t1_normalized": lambda s, d: V.operational(s, d).select("id", F.sha2(X.normalize_conversation("raw_text"), 256).alias("h"), X.compact_key("raw_text").alias("key")),
     "t4_action_keys": lambda s, d: V.operational(s, d).select("id", X.action_keys("raw_text", "title", "summary").alias("k")).select("id", "k.action_key", "k.entity_key", "k.fact_key"),
     "t6_titles": lambda s, d: M(s, d).select("id", "title", X.title_key("title").alias("title_key"), "summary"),
@@ -122,6 +142,11 @@ _GROUPS = f"""WITH {V.MEMORIES}, n AS (SELECT *, {NORM} AS norm FROM mem WHERE s
 _HOMES = "homes AS (SELECT session_id, 'agent ' || (min(id) % 2)::VARCHAR AS agent, 'Home of ' || session_id AS display_title, CASE WHEN length(session_id) % 2 = 0 THEN 'missing' ELSE 'index' END AS title_source FROM mem WHERE session_id IS NOT NULL GROUP BY session_id)"
 _MERGES = f"""{_GROUPS}, old AS (SELECT id AS source_id, min(id) OVER (PARTITION BY group_key) AS target_id FROM k), new AS (SELECT m AS source_id, canonical_id AS target_id FROM (SELECT unnest(members) AS m, canonical_id FROM groups) WHERE m <> canonical_id AND NOT EXISTS (SELECT 1 FROM old WHERE source_id % 2 = 0 AND source_id <> target_id AND source_id = m AND target_id = canonical_id))"""
 _TOK = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: length(t) > 0)"
+_BM25 = f"""d AS (SELECT id, {_TOK.format("text")} AS t FROM src), st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d),
+        q AS (SELECT DISTINCT item_id AS qid, unnest(({_TOK.format("text")})[1:2]) AS term FROM benchmark), need AS (SELECT qid, count(*) AS need FROM q GROUP BY qid),
+        p AS (SELECT term, id, size, count(*) AS tf FROM (SELECT id, len(t) AS size, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+        s AS (SELECT qid, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score, count(*) AS c FROM q JOIN p USING (term) JOIN df USING (term), st GROUP BY qid, id)
+        SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank FROM s JOIN need USING (qid) WHERE c = need QUALIFY rank <= 10"""
 ORACLES = {
     "t1_normalized": f"WITH {V.OPERATIONAL}, n AS (SELECT id, {V.normalized_sql(V.DATED.format('raw_text'))} AS t FROM oper) SELECT id, sha256(t) AS h, CASE WHEN t = '' THEN '' ELSE sha256(left(t, 120)) END AS key FROM n",
     "t4_action_keys": f"""WITH {V.OPERATIONAL}, j AS (SELECT id, title || chr(10) || summary || chr(10) || raw_text AS joined FROM oper), n AS (SELECT id, joined, {V.normalized_sql(V.DATED.format('joined'))} AS t, {V.ACTION_SQL} AS a FROM j),
@@ -164,11 +189,10 @@ ORACLES = {
         df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), sz AS (SELECT doc, sum(tf) AS size FROM tf GROUP BY doc),
         x AS (SELECT doc, term, tf / size::DOUBLE * ln((SELECT count(*) FROM documents) / df::DOUBLE) AS weight FROM tf JOIN df USING (term) JOIN sz USING (doc))
         SELECT doc, term, round(weight, 6) AS weight FROM x WHERE weight > 0.05 QUALIFY row_number() OVER (PARTITION BY doc ORDER BY round(weight, 9) DESC, term) <= 6""",
-    "v4_bm25": f"""WITH d AS (SELECT doc_id AS id, {_TOK.format("text")} AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d),
-        q AS (SELECT DISTINCT item_id AS qid, unnest(({_TOK.format("text")})[1:2]) AS term FROM benchmark), need AS (SELECT qid, count(*) AS need FROM q GROUP BY qid),
-        p AS (SELECT term, id, size, count(*) AS tf FROM (SELECT id, len(t) AS size, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-        s AS (SELECT qid, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score, count(*) AS c FROM q JOIN p USING (term) JOIN df USING (term), st GROUP BY qid, id)
-        SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank FROM s JOIN need USING (qid) WHERE c = need QUALIFY rank <= 10""",
+    "v4_bm25": f"WITH src AS (SELECT doc_id AS id, text FROM documents), {_BM25}",
+    "v4_indexed": f"WITH src AS (SELECT doc_id AS id, text FROM documents), {_BM25}",
+    "v4_removed": f"WITH {V.MEMORIES}, src AS (SELECT id, concat_ws(chr(10), title, summary, raw_text) AS text FROM mem WHERE NOT is_superseded), {_BM25}",
+    "v4_build": f"SELECT term, count(*) AS df, CAST(max(tf) AS INT) AS max_tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term",
     "j2_title_ranges": """WITH e AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), f AS (SELECT user_id * 1000 + (t // 86400) % 1000 AS file_id, min(t) AS a, max(t) AS b FROM e GROUP BY 1),
         ti AS (SELECT event_id % 300 AS title_id, min(t) AS c, min(t) + 40000 AS d FROM e WHERE event_id % 5 = 0 GROUP BY 1),
         m AS (SELECT file_id, title_id, least(b, d + 900) - greatest(a, c - 900) AS o, CASE WHEN c - 900 <= a AND d + 900 >= b THEN b - a + 1 ELSE 0 END AS full_ FROM f JOIN ti ON least(b, d + 900) >= greatest(a, c - 900)),
