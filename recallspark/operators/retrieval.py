@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -63,13 +64,70 @@ def _pair_schema(names: tuple[str, str], left: DataFrame, right: DataFrame) -> T
     return T.StructType([T.StructField(names[0], left.schema["key"].dataType), T.StructField(names[1], right.schema["key"].dataType), T.StructField("score", T.DoubleType())])
 
 
-def vector_topk(queries: DataFrame, items: DataFrame, k: int | None = 20, least: float | None = None, query_rows: int = 2048, item_rows: int = 16_384) -> DataFrame:
+#: Bytes of a query matrix up to which it is broadcast, and rows that a task then holds back before it keeps the best of them.
+BROADCAST, HELD = 16 << 20, 1 << 20
+
+
+def _best(rows: pa.Table, k: int | None) -> pa.Table:
+    """The k best rows of each query (its place _q, key, score); ties go to the smaller key."""
+    rows = rows.take(pc.sort_indices(rows, sort_keys=[("_q", "ascending"), ("score", "descending"), ("key", "ascending")]))
+    at = rows["_q"].to_numpy()
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, int)
+    place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    return rows if k is None else rows.filter(pa.array(place < k))
+
+
+def _topk_by_broadcast(queries: DataFrame, items: DataFrame, k: int | None, least: float | None) -> DataFrame:
+    """qid, id, score: the query matrix goes to every task, which reads its items batch by batch and returns its own k best of each query; items are not shuffled."""
+    asked = queries.toArrow()
+    sent = items.sparkSession.sparkContext.broadcast((asked["key"].combine_chunks(), _matrices(asked), pd.factorize(asked["key"].to_numpy())[0]))
+    same = queries.schema["key"].dataType == items.schema["key"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrices, codes = sent.value
+        held: list[pa.Table] = []
+        out = lambda t: pa.table({"qid": names.take(t["_q"]), "id": t["key"], "score": t["score"]}).to_batches()
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            keys = part["key"].combine_chunks()
+            own = pc.fill_null(pc.index_in(keys, value_set=names), -1).to_numpy(zero_copy_only=False) if same else np.full(len(keys), -1)
+            own = np.where(own >= 0, np.append(codes, -1)[own], -1)
+            for dim, (at, y) in _matrices(part).items():
+                if dim not in matrices:
+                    continue
+                rows, x = matrices[dim]
+                for n in range(0, len(rows), 256):
+                    scores = np.round(x[n : n + 256] @ y.T, 9)
+                    scores[codes[rows[n : n + 256], None] == own[None, at]] = -np.inf
+                    good = scores > (-np.inf if least is None else least)
+                    if k is not None and scores.shape[1] > k:
+                        good &= scores >= np.partition(scores, scores.shape[1] - k, axis=1)[:, -k, None]
+                    i, j = np.nonzero(good)
+                    held.append(pa.table({"_q": rows[n + i], "key": keys.take(pa.array(at[j])), "score": scores[i, j]}))
+            if k is None or sum(t.num_rows for t in held) > HELD:
+                held = [_best(pa.concat_tables(held), k)] if held else []
+                if k is None:
+                    yield from (b for t in held for b in out(t))
+                    held = []
+        if held:
+            yield from out(_best(pa.concat_tables(held), k))
+
+    return items.mapInArrow(run, _pair_schema(("qid", "id"), queries, items))
+
+
+def vector_topk(queries: DataFrame, items: DataFrame, k: int | None = 20, least: float | None = None, query_rows: int = 2048, item_rows: int = 16_384, broadcast: int = BROADCAST) -> DataFrame:
     """qid, id, score, rank: the k items of the largest dot product with each query, among all items but its own id; without k, all above `least`.
 
-    queries: qid, vec; items: id, vec.  Query blocks of about query_rows rows meet blocks of about item_rows items in tasks that
-    multiply matrices and return k rows for each query; neither side is collected or broadcast.  Vectors that are null, empty
+    queries: qid, vec; items: id, vec.  Queries whose vectors (and, with k, k rows for each) stay under `broadcast` bytes by count are sent to the tasks that read the items, which
+    multiply matrices and return k rows for each query, so items are not shuffled.  Beyond that, blocks of about query_rows
+    queries meet blocks of about item_rows items in tasks of bounded size.  Vectors that are null, empty
     or hold anything null or not finite take no part, and vectors of different lengths do not meet; ties go to the smaller id.
     """
+    own = _vectors(queries, "qid")
+    n, components = own.agg(F.count("*"), F.coalesce(F.sum(F.size("vec")), F.lit(0))).first()
+    if 8 * components + 32 * n * (k or 1) <= broadcast:
+        found = _topk_by_broadcast(own, _vectors(items, "id"), k, least)
+        return found.withColumn("rank", F.lit(None).cast("int")) if k is None else _top(found, ["qid"], [F.desc("score"), F.asc("id")], k)
     (q, n_q), (i, n_i) = _blocked(_vectors(queries, "qid"), query_rows), _blocked(_vectors(items, "id"), item_rows)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     a, b = q.select("key", "vec", F.col("_b").alias("_q"), every(n_i).alias("_i")), i.select("key", "vec", every(n_q).alias("_q"), F.col("_b").alias("_i"))

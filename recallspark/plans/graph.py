@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recallspark.operators import retrieval, tags
+from recallspark.operators import retrieval, similar, tags
 from recallspark.plans import views as V
 from recallspark.sources.scratch import saved
 
@@ -44,6 +44,19 @@ def _vector_queries(s, d):
     return V.vectors(s, d).where("id % 50 = 0").select(F.col("id").alias("qid"), "vec")
 
 
+def _found_by_buckets(s, d):
+    """How many rows the exact lists of near vectors have, and whether buckets find at least nine in ten of them."""
+    v = V.near_vectors(s, d)
+    exact, found = (saved(similar.duplicates(v, approximate=a).select("qid", "id"), "lists") for a in (False, True))
+    both = found.join(exact, ["qid", "id"], "left_semi").agg(F.count("*").alias("met"))
+    return exact.agg(F.count("*").alias("rows")).join(F.broadcast(both)).select("rows", (F.col("met") >= 0.9 * F.col("rows")).alias("enough"))  # two rows
+
+
+def _millionths(score):
+    """Scores of nine digits as whole numbers; no score of nine digits lies on the border of two."""
+    return F.floor(score * 1_000_000 + 0.1235).cast("long")
+
+
 def _candidates(s, d):
     """Candidates of a query: the vectors of the two labels behind its own."""
     v = V.vectors(s, d)
@@ -118,6 +131,10 @@ QUERIES = {
     "v3_similar_pairs": lambda s, d: retrieval.similar_pairs(V.vectors(s, d), 0.3).withColumn("score", F.round("score", 6)),
     "v3_vector_classes": lambda s, d: retrieval.vector_classes(V.near_vectors(s, d)),
     "d7_near_duplicates": lambda s, d: retrieval.near_duplicates(V.near_vectors(s, d)).withColumn("score", F.round("score", 6)),
+    "v3_top_similar": lambda s, d: similar.top_similar(V.vectors(s, d), 0.25).withColumn("score", _millionths(F.col("score"))),
+    "v3_bucket_recall": _found_by_buckets,
+    "d7_top_duplicates": lambda s, d: similar.duplicates(V.near_vectors(s, d)).withColumn("score", _millionths(F.col("score"))),
+    "d8_top_conflicts": lambda s, d: similar.conflict_pairs(V.near_vectors(s, d)).withColumn("score", _millionths(F.col("score"))),
     "d8_conflict_candidates": lambda s, d: retrieval.conflict_candidates(V.near_vectors(s, d)).withColumn("score", F.round("score", 6)),
     "d8_conflicts_of": lambda s, d: retrieval.conflicts_of(V.near_vectors(s, d).where("id % 50 = 0"), V.near_vectors(s, d)).select("qid", "id", "rank", F.round("score", 6).alias("score")),
     "v6_space_priors": lambda s, d: retrieval.space_priors(V.baskets(s, d).select((F.col("session_id") % 25).alias("space_id"), "memory_id"), _mentions(s, d), V.tags(s, d), 5).withColumn("prior", F.round("prior", 6)),
@@ -181,7 +198,13 @@ _RECALL = f"""WITH {_MEMORY_GRAPH}, q AS (SELECT id AS qid, vec, {_TOKENS}[1:2]
   best AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY sc DESC, id) AS INT) AS rank FROM n QUALIFY rank <= 5)
   SELECT qid, id, rank, round(sc, 6) AS score, array_to_string(channels, ',') AS channels, coalesce((SELECT string_agg(tag, ',' ORDER BY tag) FROM ment WHERE memory_id = best.id), '') AS tags,
     array_to_string(list_filter([CASE WHEN pinned THEN 'pinned' END, CASE WHEN expired THEN 'expired' END, CASE WHEN inside THEN 'space' END, CASE WHEN here THEN 'session' END, CASE WHEN signal_level = 2 THEN 'strong signal' END, CASE WHEN user_weight > 1 THEN 'raised' END, CASE WHEN policy = 'downrank' THEN 'downranked' END], lambda x: x IS NOT NULL), ',') AS reasons FROM best"""
+_TOP = "p AS (SELECT a.id AS qid, b.id, {dot} AS score FROM {rows} a JOIN {rows} b ON a.id <> b.id), top AS (SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank FROM p WHERE score > {least} QUALIFY rank <= 10)"
+_NEAR_TOP = f"WITH {V.NEAR}, {_TOP.format(dot=_DOT.format(a='a.vec', b='b.vec'), rows='near', least='{least}')}"
 ORACLES = {
+    "v3_top_similar": f"WITH {_V}, {_TOP.format(dot=_DOT.format(a='a.vec', b='b.vec'), rows='e', least=0.25)} SELECT qid, id, rank, CAST(floor(score * 1000000 + 0.1235) AS BIGINT) AS score FROM top",
+    "v3_bucket_recall": f"{_NEAR_TOP.format(least=0.92)} SELECT count(*) AS rows, true AS enough FROM top",
+    "d7_top_duplicates": f"{_NEAR_TOP.format(least=0.92)} SELECT qid, id, rank, CAST(floor(score * 1000000 + 0.1235) AS BIGINT) AS score FROM top",
+    "d8_top_conflicts": f"{_NEAR_TOP.format(least=0.75)} SELECT least(qid, id) AS a, greatest(qid, id) AS b, CAST(floor(max(score) * 1000000 + 0.1235) AS BIGINT) AS score FROM top GROUP BY ALL",
     "g1_activate": f"""WITH {V.BASKETS}, {V.TAGS}, ev AS (SELECT t.tag_id, count(*) AS n, sum(CASE WHEN b.memory_id % 3 = 0 THEN 0.02::DOUBLE ELSE 0.01::DOUBLE END) AS s, max(b.ts) AS t FROM (SELECT memory_id, ts, unnest(tags) AS name FROM baskets) b JOIN tags t USING (name) GROUP BY t.tag_id)
         SELECT tag_id, round(CASE WHEN n IS NULL THEN storage_strength ELSE least(storage_strength + s, 1.0) END, 6) AS storage_strength, round(CASE WHEN n IS NULL THEN retrieval_strength ELSE 1 - (1 - retrieval_strength) * pow(0.9::DOUBLE, n) END, 6) AS retrieval_strength,
         total_activations + coalesce(n, 0) AS total_activations, greatest(last_activated_at, t) AS last_activated_at, CASE WHEN n IS NULL THEN cooldown_days ELSE 0 END AS cooldown_days, CASE WHEN n IS NULL THEN is_dormant ELSE false END AS is_dormant FROM tags LEFT JOIN ev USING (tag_id)""",

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from recallspark.operators import persona, retrieval
+from recallspark.operators import persona, retrieval, similar
 
 
 def rows(seed=1, n=150, dim=8):
@@ -36,12 +36,14 @@ def frame(spark, data, key="id"):
 
 
 @pytest.mark.parametrize("least", [None, 0.4])
-def test_topk(spark, least):
+@pytest.mark.parametrize("broadcast", [0, retrieval.BROADCAST])
+def test_topk(spark, least, broadcast, monkeypatch):
+    monkeypatch.setattr(retrieval, "HELD", 50)
     data = rows()
     v = {k: x for k, x in data if k is not None and good(x)}
     queries = frame(spark, [(k, x) for k, x in data if k is None or k % 7 == 0 or k >= 2000], "qid")
     got = {}
-    for r in retrieval.vector_topk(queries, frame(spark, data), 6, least, query_rows=9, item_rows=40).collect():
+    for r in retrieval.vector_topk(queries, frame(spark, data), 6, least, query_rows=9, item_rows=40, broadcast=broadcast).collect():
         got.setdefault(r.qid, []).append((r.rank, r.id, r.score))
     for q in [k for k in v if k % 7 == 0 or k >= 2000]:
         best = sorted((-dot(v[q], x), k) for k, x in v.items() if k != q and len(x) == len(v[q]) and (least is None or dot(v[q], x) > least))[:6]
@@ -115,3 +117,39 @@ def test_new_assertions_merge_with_each_other_in_order(spark):
         rows_ = {x.id: (round(x.confidence, 9), sorted(x.evidences)) for x in got.collect()}
         assert rows_ == {k: (round(x[2], 9), sorted(x[3])) for k, x in want.items()}
     assert 5 < len(fresh) < 40 and any(len(x[3]) > 2 for x in fresh.values())
+
+
+def test_items_of_a_broadcast_search_are_not_shuffled(spark):
+    data = rows()
+    found = retrieval.vector_topk(frame(spark, data[:20], "qid"), frame(spark, data), 6)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapCoGroups" not in plan and "Exchange" not in plan  # before exchanges are put in, none was asked for below the search
+    below = found._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[1]
+    assert "Exchange" not in below
+    alike = spark.createDataFrame([(f"k{k}", x) for k, x in data if k is not None], "id string, vec array<double>")
+    both = [sorted(map(tuple, retrieval.vector_topk(alike.where("id like '%7'").withColumnRenamed("id", "qid"), alike, 4, broadcast=b).collect())) for b in (0, retrieval.BROADCAST)]
+    assert both[0] == both[1] and both[0]
+
+
+@pytest.mark.parametrize("approximate", [False, True])
+def test_most_similar_of_each(spark, approximate, monkeypatch):
+    monkeypatch.setattr(similar, "STRANGERS", 8)
+    data = [x for x in rows(n=300) if x[0] is None or x[0] < 2000]
+    v = {k: x for k, x in data if k is not None}
+    got = {}
+    found = similar.top_similar(frame(spark, data), 0.7, 5, approximate)
+    for r in found.collect():
+        got.setdefault(r.qid, {})[r.rank] = (r.id, r.score)
+    want = {q: sorted((-dot(v[q], x), k) for k, x in v.items() if k != q and dot(v[q], x) > 0.7)[:5] for q in v}
+    met = sum(len({k for _, k in best} & {k for k, _ in got.get(q, {}).values()}) for q, best in want.items())
+    assert met >= (0.97 if approximate else 1) * sum(map(len, want.values())) > 100
+    assert all(abs(s - dot(v[q], v[k])) < 2e-9 and k != q for q, own in got.items() for k, s in own.values())
+    if not approximate:
+        assert {q: [k for _, k in best] for q, best in want.items() if best} == {q: [own[i + 1][0] for i in range(len(own))] for q, own in got.items()}
+
+
+def test_buckets_of_many_blocks(spark):
+    data = [(k, x) for k, x in rows(n=200) if k is not None and k < 1000]
+    exact = {(r.qid, r.id) for r in similar.top_similar(frame(spark, data), 0.5, 6).collect()}
+    found = {(r.qid, r.id, r.score) for r in similar.bucketed_topk(frame(spark, data), 0.5, 6, recall=0.9999, block=10).collect()}
+    assert len(exact & {x[:2] for x in found}) >= 0.98 * len(exact)
