@@ -1,6 +1,6 @@
 """Deduplication by fingerprints: gates, exact and windowed duplicates, source groups.
 
-Hot keys: groups are pre-aggregated, and the windowed scan is one pass in time order per key that carries one timestamp.
+Hot keys: groups are pre-aggregated, and the windowed scan deals the rows of a key by ranges of time.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from recallspark.functions.text import action_keys, let, normalize_conversation, title_key, title_summary_key
+from recallspark.operators import greedy
 from recallspark.sources.scratch import saved
 
 TYPE_RANK = ("DECISION", "PREFERENCE", "FACT", "REASONING", "EVENT")
@@ -50,28 +51,11 @@ def exact(memories: DataFrame, text: str = "raw_text", at: str = "created_at", k
 def windowed(rows: DataFrame, key: str, at: str = "ts", id_col: str = "id", minutes: int = 10) -> DataFrame:
     """rows with kept: false if a kept row of the same key came at most `minutes` before; skipped rows never block later ones.
 
-    Rows further from the row before than the window start anew, so keys are cut there into runs.  Rows that are a run alone are kept; the kept
-    rows of a longer run depend on each other in time order, so a run is one scan, over (time, id) only.  Null and empty keys are always kept.
+    Keys and runs of rows may hold any number of rows: the chain of kept rows is followed range by range (see greedy).  Null and empty keys are always
+    kept, rows without a time never.
     """
-    window = minutes * 60_000_000
     keyed = rows.where(F.col(key).isNotNull() & (F.col(key) != "")).select(F.col(key).alias("_key"), F.unix_micros(at).alias("_t"), F.col(id_col).alias("_id"))
-    order = W.Window.partitionBy("_key").orderBy("_t", "_id")
-    starts = F.coalesce(F.col("_t") - F.lag("_t").over(order) > window, F.lit(True))
-    own = keyed.withColumn("_starts", starts)
-    own = own.withColumns({"_run": F.sum(F.col("_starts").cast("long")).over(order.rowsBetween(W.Window.unboundedPreceding, 0)), "_alone": F.col("_starts") & F.coalesce(F.lead("_starts").over(order), F.lit(True))})
-    alone = own.where("_alone").select(F.col("_id").alias(id_col))
-
-    def scan(part: pa.Table) -> pa.Table:
-        part = part.sort_by([("_t", "ascending"), ("_id", "ascending")])
-        times = part["_t"].to_numpy()
-        kept, at_row = [], 0
-        while at_row < len(times):
-            kept.append(at_row)
-            at_row = int(np.searchsorted(times, times[at_row] + window, "right"))
-        return pa.table({id_col: part["_id"].take(pa.array(kept, pa.int64()))})
-
-    chained = own.where("not _alone").select("_key", "_run", "_t", "_id").groupBy("_key", "_run").applyInArrow(scan, T.StructType([T.StructField(id_col, rows.schema[id_col].dataType)]))
-    kept = alone.union(chained).withColumn("_kept", F.lit(True))
+    kept = greedy.kept(keyed.where("_t is not null and _id is not null"), minutes * 60_000_000).withColumnRenamed("_id", id_col).withColumn("_kept", F.lit(True))
     free = F.col(key).isNull() | (F.col(key) == "")
     return rows.join(kept, id_col, "left").withColumn("kept", F.coalesce("_kept", free)).drop("_kept")
 

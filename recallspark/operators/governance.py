@@ -13,21 +13,24 @@ def apply_events(units: DataFrame, events: DataFrame, key: str = "id") -> DataFr
     """units (key, status, user_weight, pinned, valid_until, note) after events (key, ts, event_id, action, weight, note).
 
     pin sets the weight given, or 1.5 at least; unpin takes the pin away; mark_wrong, mute, delete and restore set the status, mark_expired ends
-    validity at its time, update sets note and weight where given.  Each field is decided by the last event that sets it, but
-    the weight, which a pin may raise: so it is folded in order, over the few events of one unit that set it.  Unknown actions and ids change nothing.
+    validity at its time, update sets note and weight where given.  Each field is decided by the last event that sets it.  A weight is set, or raised to 1.5
+    at least by a pin that gives none; put together, such steps are one set and one raise behind it, so the last of either kind tells all, and
+    events of one unit are aggregated where they stand, however many there are.  Unknown actions and ids change nothing.
     """
     good = events.where(F.col("action").isin(*ACTIONS))
     at = F.struct("ts", "event_id")
     last = lambda value, when: F.max_by(F.when(when, value), F.when(when, at))
     act = F.col("action")
     status = F.when(act == "mark_wrong", "wrong").when(act == "mute", "muted").when(act == "delete", "deleted").when(act == "restore", "active")
-    weighty = F.array_sort(F.array_compact(F.collect_list(F.when(act.isin("pin", "update"), F.struct("ts", "event_id", "action", "weight")))))
+    sets, raises = act.isin("pin", "update") & F.col("weight").isNotNull(), (act == "pin") & F.col("weight").isNull()
     out = good.groupBy(key).agg(
         last(status, status.isNotNull()).alias("_status"), last(act == "pin", act.isin("pin", "unpin")).alias("_pinned"), last(F.col("ts"), act == "mark_expired").alias("_until"),
-        last(F.col("note"), F.col("note").isNotNull()).alias("_note"), weighty.alias("_w"), F.count("*").alias("_n"),
+        last(F.col("note"), F.col("note").isNotNull()).alias("_note"), last(F.col("weight"), sets).alias("_set"), F.max(F.when(sets, at)).alias("_set_at"), F.max(F.when(raises, at)).alias("_raised"), F.count("*").alias("_n"),
     )
     joined = units.join(out, key, "left")
-    fold = F.aggregate(F.coalesce("_w", F.array().cast("array<struct<ts:timestamp,event_id:bigint,action:string,weight:double>>")), F.col("user_weight"), lambda w, e: F.coalesce(e["weight"], F.when(e["action"] == "pin", F.greatest(w, F.lit(1.5))).otherwise(w)))
+    later = F.col("_raised").isNotNull() & (F.col("_set_at").isNull() | (F.col("_raised") > F.col("_set_at")))
+    base = F.coalesce("_set", "user_weight")
+    fold = F.when(later, F.greatest(base, F.lit(1.5))).otherwise(base)
     return joined.select(
         *[c for c in units.columns if c not in ("status", "user_weight", "pinned", "valid_until", "note")],
         F.coalesce("_status", "status").alias("status"), fold.alias("user_weight"), F.coalesce("_pinned", "pinned").alias("pinned"),
