@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from recallspark.functions.text import normalize_conversation
 from recallspark.operators.retrieval import tokens, vector_topk
@@ -14,17 +18,66 @@ from recallspark.sources.scratch import saved
 from recallspark.sources.sinks import insert_ignore
 
 
+#: Characters of the names that one automaton holds; it takes some 50 bytes a character.
+AUTOMATON = 1 << 20
+
+
+def names_in(texts: DataFrame, names: DataFrame, characters: int = AUTOMATON) -> DataFrame:
+    """id, name: the names (name) that stand in each text (id, text), once each; upper and lower case differ.
+
+    The names are put into an Aho-Corasick automaton, which finds them all in one pass over a text.  Their length is summed first: names of up to
+    `characters` are sent to the tasks together, more of them in parts of that size, each of which is one more pass over the texts.  A name that is longer is a part of its own.
+    """
+    own = names.where("name is not null and name <> ''").distinct()
+    own = saved(own.withColumn("_row", F.monotonically_increasing_id()), "names")
+    total = own.agg(F.coalesce(F.sum(F.length("name")), F.lit(0))).first()[0]
+    parts = max(1, -(-2 * total // characters) if total > characters else 1)
+    own = own.withColumn("_part", F.pmod(F.xxhash64("name"), F.lit(parts)))
+    schema = T.StructType([texts.schema["id"], T.StructField("name", T.StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def pass_over(words: list[str]) -> DataFrame:
+        sent = texts.sparkSession.sparkContext.broadcast(words)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for k, word in enumerate(sent.value):
+                automaton.add_word(word, k)
+            automaton.make_automaton()
+            for batch in batches:
+                rows, found = [], []
+                for row, text in enumerate(batch["text"]):
+                    if text.is_valid:
+                        for k in sorted({k for _, k in automaton.iter(text.as_py())}):
+                            rows.append(row)
+                            found.append(sent.value[k])
+                        if len(rows) > 100_000:
+                            yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(rows)), pa.array(found, pa.string())], schema=arrow)
+                            rows, found = [], []
+                yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], schema=arrow)
+
+        return texts.select("id", "text").mapInArrow(run, schema)
+
+    found = []
+    for part in range(parts):
+        words = [r.name for r in own.where(F.col("_part") == part).select("name").collect()]
+        if words:
+            found.append(pass_over(words))
+    return reduce(DataFrame.union, found) if found else texts.sparkSession.createDataFrame([], schema)
+
+
 def detect(texts: DataFrame, spaces: DataFrame, k: int = 3, similarity: DataFrame | None = None) -> DataFrame:
     """id, space_id, score, rank: spaces whose name (0.45) or an alias (0.35) stands in a text, and how near its centre is (to 0.35).
 
-    texts: id, text; spaces: space_id, name, aliases; similarity: id, space_id, sim.  A name is looked for only where its first
-    word stands, by an equality join of words, so texts are not compared with all spaces.
+    texts: id, text; spaces: space_id, name, aliases; similarity: id, space_id, sim.  All names and aliases are looked for in one pass over each
+    text (see names_in), whatever case they stand in; empty names stand in no text.
     """
-    names = spaces.select("space_id", F.explode(F.concat(F.array(F.struct(F.col("name").alias("n"), F.lit(True).alias("own"))), F.transform("aliases", lambda a: F.struct(a.alias("n"), F.lit(False).alias("own"))))).alias("x")).select("space_id", F.lower("x.n").alias("n"), "x.own")
-    names = names.withColumn("word", F.element_at(tokens("n"), 1)).where("word is not null")
-    words = texts.select("id", F.explode(F.array_distinct(tokens("text"))).alias("word"))
-    met = words.join(names, "word").join(texts.select("id", F.lower("text").alias("t")), "id")  # texts come only where a name may stand
-    hits = met.where(F.contains("t", "n")).groupBy("id", "space_id").agg(F.max(F.when(F.col("own"), 0.45).otherwise(0.0)).alias("by_name"), F.max(F.when(~F.col("own"), 0.35).otherwise(0.0)).alias("by_alias"))
+    names = spaces.select("space_id", F.explode(F.concat(F.array(F.struct(F.col("name").alias("n"), F.lit(True).alias("own"))), F.transform("aliases", lambda a: F.struct(a.alias("n"), F.lit(False).alias("own"))))).alias("x")).select("space_id", F.lower("x.n").alias("n"), "x.own").where("n <> ''")
+    names = saved(names.distinct(), "names")
+    hits = names_in(texts.select("id", F.lower("text").alias("text")), names.select(F.col("n").alias("name"))).withColumnRenamed("name", "n").join(names, "n")
+    hits = hits.groupBy("id", "space_id").agg(F.max(F.when(F.col("own"), 0.45).otherwise(0.0)).alias("by_name"), F.max(F.when(~F.col("own"), 0.35).otherwise(0.0)).alias("by_alias"))
     score = F.col("by_name") + F.col("by_alias")
     if similarity is not None:
         near = similarity.select("id", "space_id", F.least(F.greatest((F.col("sim") - 0.35) * 0.7, F.lit(0.0)), F.lit(0.35)).alias("by_sim"))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from recallspark.operators import dedupe, governance
+from recallspark.operators import dedupe, governance, spaces
 
 
 def greedy(rows, minutes=10):
@@ -54,3 +54,15 @@ def test_a_unit_of_a_million_events(spark):
     got = governance.apply_events(units, events)
     assert {r.id: r.user_weight for r in got.collect()} == want
     assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_in_one_pass_and_in_parts(spark):
+    r = random.Random(8)
+    names = ["a", "aa", "aba", "bab", "ünï", "x y", ".", *("".join(r.choices("ab", k=r.randrange(3, 9))) for _ in range(60))]
+    texts = [(k, "".join(r.choices("ab. xyünï", k=r.randrange(0, 60)))) for k in range(300)] + [(900, None), (901, ""), (902, "aab" * 50_000), (5, "repeated id aba")]
+    df, known = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(n,) for n in [*names, "aa", "", None]], "name string")
+    want = sorted((k, n) for k, t in texts if t for n in set(names) if n in t)
+    for characters in (spaces.AUTOMATON, 40):
+        assert sorted(map(tuple, spaces.names_in(df, known, characters).collect())) == want
+    assert spaces.names_in(df, known.limit(0)).count() == spaces.names_in(df.limit(0), known).count() == 0
+    assert "Generate" not in spaces.names_in(df, known)._jdf.queryExecution().optimizedPlan().toString()
