@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,13 +102,39 @@ def route(questions: DataFrame, assertions: DataFrame, level: int = 2, k: int =
     return own.select("qid", "mean", "best", "route", "deviates", F.when(F.col("route") == "experience", F.array().cast(T.ArrayType(assertions.schema["id"].dataType))).otherwise(ids).alias("citations"), F.when(F.col("route") == "persona", F.col("_m")).otherwise(0.0).alias("confidence"))
 
 
+def first_come(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The nodes (id) that lead if all are taken in turn, and one leads unless an earlier leader is its neighbour (edges: qid, id, the earlier one).
+
+    Rounds decide at once whatever has no undecided neighbour left.  A node with one such neighbour is its opposite, so whatever waits for it waits
+    for that neighbour instead: waits get twice as long each round, and a chain of any length is decided in a number of rounds that grows
+    with its logarithm.  Each round is written.
+    """
+    todo = saved(nodes.select("id"), "open")
+    waits = saved(edges.select("qid", "id", F.lit(False).alias("other")).distinct(), "waits")  # qid leads if no (id leads) <> other holds
+    forced = todo.limit(0)
+    leaders = []
+    while todo.head(1):
+        free = todo.join(waits.select(F.col("qid").alias("id")).distinct(), "id", "left_anti").join(forced, "id", "left_anti")
+        now = saved(free.select("id", F.lit(True).alias("leads")).union(forced.select("id", F.lit(False))), "decided")
+        leaders.append(now.where("leads").select("id"))
+        todo = saved(todo.join(now, "id", "left_anti"), "open")
+        waits = waits.join(now.select(F.col("id").alias("qid")), "qid", "left_anti").join(now, "id", "left")
+        waits = saved(waits.withColumn("met", F.col("leads") != F.col("other")).where("met is null or met").select("qid", "id", "other", "met").distinct(), "waits")
+        both = waits.where("met is null").groupBy("qid", "id").agg(F.count("*").alias("n")).where("n > 1")
+        forced = saved(waits.where("met").select(F.col("qid").alias("id")).union(both.select("qid")).distinct(), "forced")
+        waits = waits.where("met is null").drop("met").join(forced.withColumnRenamed("id", "qid"), "qid", "left_anti")
+        alone = waits.groupBy("qid").agg(F.count("*").alias("n"), F.min("id").alias("next"), F.min("other").alias("turned")).where("n = 1").select(F.col("qid").alias("id"), "next", "turned")
+        waits = waits.join(alone, "id", "left").select("qid", F.coalesce("next", "id").alias("id"), F.when(F.col("next").isNull(), F.col("other")).otherwise(F.col("other") == F.col("turned")).alias("other")).distinct()
+        waits = saved(waits, "waits")
+    return reduce(DataFrame.union, leaders) if leaders else todo
+
+
 def merge_assertions(assertions: DataFrame, new: DataFrame, least: float = 0.88) -> tuple[DataFrame, DataFrame]:
     """Assertions (id, dimension, confidence, evidences, locked, is_superseded, vec) after new ones (id, dimension, confidence, evidences, vec), and the new ones that say something else.
 
     New ones come in the order of their ids.  Each joins the nearest live, unlocked assertion of its dimension above a similarity, among those that
     exist and the new ones before it that joined none; what joins brings its evidences, and sets the confidence to the larger of both plus 0.03.
-    All pairs above the similarity are found first; who joins none is settled in rounds, each of which decides all new ones whose
-    earlier neighbours are decided.
+    All pairs above the similarity are found first; who joins none is settled by first_come.
     """
     own = assertions.where(~F.col("locked") & ~F.col("is_superseded"))
     fresh = new.select(F.col("id").alias("qid"), "vec")
@@ -115,14 +143,7 @@ def merge_assertions(assertions: DataFrame, new: DataFrame, least: float = 0.88)
     near = saved(same(vector_topk(fresh, new.select("id", "vec"), None, least), new).where("id < qid"), "near")
     open_ = saved(new.select("id").join(old.select(F.col("qid").alias("id")), "id", "left_anti"), "open")
     edges = near.join(open_.select(F.col("id").alias("qid")), "qid", "left_semi").join(open_, "id", "left_semi").select("qid", "id")
-    first = open_.limit(0)
-    while open_.head(1):
-        leaders = saved(open_.join(edges.select(F.col("qid").alias("id")).distinct(), "id", "left_anti"), "leaders")
-        first = first.union(leaders)
-        joined = edges.join(leaders, "id", "left_semi").select("qid").distinct()
-        open_ = saved(open_.join(leaders, "id", "left_anti").join(joined.withColumnRenamed("qid", "id"), "id", "left_anti"), "open")
-        edges = saved(edges.join(open_.select(F.col("id").alias("qid")), "qid", "left_semi").join(open_, "id", "left_semi"), "edges")
-    first = saved(first, "first")
+    first = saved(first_come(open_, edges), "first")
     found = old.withColumn("kind", F.lit("old")).union(near.join(first, "id", "left_semi").join(first.select(F.col("id").alias("qid")), "qid", "left_anti").select("qid", "id", "score", F.lit("new")))
     best = found.groupBy("qid").agg(F.max_by(F.struct("kind", "id"), F.struct("score", F.col("kind") == "old", -F.col("id"))).alias("t")).select("qid", "t.kind", F.col("t.id").alias("target"))
     order = W.Window.partitionBy("kind", "target").orderBy("id")

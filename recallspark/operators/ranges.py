@@ -22,3 +22,16 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str | Column], carry:
     parts = parts.select("_range", *keys, F.coalesce(F.sum("_n").over(outer.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"), F.lag(f"_last.{carry}").over(outer).alias("_carried"))
     out = own.join(parts, ["_range", *keys])
     return out.withColumn("before", F.when(F.col("_k") == 1, F.col("_carried")).otherwise(F.col("before"))).withColumn("k", F.col("_k") + F.col("_start")).drop("_range", "_k", "_next", "_start", "_carried")
+
+
+def running(rows: DataFrame, keys: list[str], order: list[str | Column], value: Column, name: str) -> DataFrame:
+    """rows with `name`, the sum of value over the rows of their key up to them; keys are not null, and order leaves no ties that matter.
+
+    Dealt as in `numbered`: each range sums its own rows, and one row for each range and key carries the sums of the ranges before.
+    """
+    own = saved(rows.withColumn("_v", value).repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    inner, outer = W.Window.partitionBy("_range", *keys).orderBy(*order), W.Window.partitionBy(*keys).orderBy("_range")
+    own = own.withColumn("_s", F.sum("_v").over(inner.rowsBetween(W.Window.unboundedPreceding, 0)))
+    parts = own.groupBy("_range", *keys).agg(F.sum("_v").alias("_n"))
+    parts = parts.select("_range", *keys, F.coalesce(F.sum("_n").over(outer.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    return own.join(parts, ["_range", *keys]).withColumn(name, F.coalesce("_s", F.lit(0)) + F.col("_start")).drop("_range", "_v", "_s", "_start")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from recallspark.operators.ranges import numbered
+from recallspark.operators.ranges import numbered, running
+from recallspark.sources.scratch import saved
 
 CATEGORIES = ("PERSON", "PROJECT", "TOOL", "CONCEPT", "EVENT", "PLACE", "EMOTION", "DECISION")
 RATE, FLOOR = 0.05, 0.1
@@ -146,18 +147,17 @@ def keyword_tags(docs: DataFrame, id_col: str = "id", text: str = "text", n: int
 def merge_chains(memories: DataFrame, mentions: DataFrame, refines: DataFrame, least: int = 5) -> DataFrame:
     """memory_id, superseded_by: memories of a session that follow each other and whose tags a REFINES edge joins form a chain; older ones give way to the newest.
 
-    memories: memory_id, session_id, created_at; mentions: memory_id, tag; refines: source_tag, target_tag.
+    memories: memory_id, session_id, created_at; mentions: memory_id, tag; refines: source_tag, target_tag.  A session of any length is dealt by ranges of time.
     """
     big = memories.groupBy("session_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("session_id")
-    order = W.Window.partitionBy("session_id").orderBy("created_at", "memory_id")
-    own = memories.join(big, "session_id").withColumn("before", F.lag("memory_id").over(order))
+    own = numbered(memories.select("memory_id", "session_id", "created_at").join(big, "session_id"), ["session_id"], ["created_at", "memory_id"], "memory_id").drop("k")
+    own = saved(own, "followed")
     both = refines.select("source_tag", "target_tag").union(refines.select("target_tag", "source_tag")).distinct()
     mine = mentions.select(F.col("memory_id"), F.col("tag").alias("source_tag"))
     other = mentions.select(F.col("memory_id").alias("before"), F.col("tag").alias("target_tag"))
     joined = own.where("before is not null").select("memory_id", "before").join(mine, "memory_id").join(both, "source_tag").join(other, ["before", "target_tag"]).select("memory_id").distinct().withColumn("_joined", F.lit(True))
-    own = own.join(joined, "memory_id", "left")
-    island = F.sum(F.when(F.coalesce("_joined", F.lit(False)), 0).otherwise(1)).over(order.rowsBetween(W.Window.unboundedPreceding, 0))
-    own = own.withColumn("island", island)
+    own = running(own.join(joined, "memory_id", "left"), ["session_id"], ["created_at", "memory_id"], F.when(F.coalesce("_joined", F.lit(False)), 0).otherwise(1), "island")
+    own = saved(own.select("memory_id", "session_id", "created_at", "island"), "islands")
     last = own.groupBy("session_id", "island").agg(F.max_by("memory_id", F.struct("created_at", "memory_id")).alias("superseded_by"), F.count("*").alias("_m")).where("_m > 1")
     return own.join(last, ["session_id", "island"]).where("memory_id <> superseded_by").select("memory_id", "superseded_by")
 

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import time
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from recallspark.plans import views as V
 from recallspark.sources import readers, sinks
@@ -82,10 +87,15 @@ def _told(turns):
 
 
 def _newest(s, d):
-    """The ten files of the largest conversations, as all were written at one time."""
-    path = _written(s, d, F.col("content"), "plain")
-    found = readers.newest_files(s, path, 10**6)
-    return found.agg(F.count("*").alias("files"), F.sum("length").cast("long").alias("bytes"))
+    """The last three of seven files that are written one after the other, a file for each seventh of the conversations, and the last written one first."""
+    path = scratch_path(s, "written")
+    t = V.turns(s, d)
+    for k in range(7):
+        t.where(F.col("session_id") % 7 == k).select("content").coalesce(1).write.mode("append").option("maxRecordsPerFile", 0).text(f"{path}/{k}")
+        time.sleep(1.1)  # times of files may be whole seconds
+    found = readers.newest_files(s, f"{path}/*/*.txt", 3)
+    place = F.row_number().over(W.Window.orderBy(F.desc("modificationTime"), "path"))  # three rows
+    return found.select(place.alias("place"), F.regexp_extract("path", r"/([0-9])/[^/]*$", 1).cast("int").alias("file"), "length")
 
 
 def _generic(s, d):
@@ -115,6 +125,41 @@ def _streamed(s, d):
     return s.read.parquet(out).groupBy("gate").agg(F.count("*").alias("n"), F.count_distinct("conversation").alias("texts"))
 
 
+def _late(s, d):
+    """Three batches of texts an hour apart through the gate with event times.
+
+    Each batch has its third of the conversations, a copy of each of its rows ten seconds later, the third of the batch before once more, which is still known, and rows that are later than
+    the watermark.  The last batch has the first third again, which is new then, as its state went with the watermark.
+    """
+    path, out, check = (scratch_path(s, k) for k in ("late", "taken", "state"))
+    t = V.turns(s, d).withColumn("third", F.col("session_id") % 3)
+    at = lambda b, seconds: F.timestamp_seconds(F.lit(1704067200 + 3600 * b + seconds))
+    for b in range(3):
+        now = t.where(F.col("third") == b)
+        parts = [now.select("content", at(b, 0).alias("at")), now.select("content", at(b, 10).alias("at")), t.where(F.col("third") == b - 1).select("content", at(b, 5).alias("at"))]
+        if b == 2:
+            parts.append(t.where("third = 0").select("content", at(b, 20).alias("at")))
+        if b:
+            parts.append(t.where(F.col("third") == (b + 1) % 3).select("content", at(b - 1, -1800).alias("at")))
+        reduce(DataFrame.union, parts).coalesce(1).write.parquet(f"{path}/{b}")
+        time.sleep(1.1)
+        # Each call takes in what is new as one batch, and the watermark of the batches before holds.
+        stream = s.readStream.schema("content string, at timestamp").parquet(f"{path}/*")
+        ingest.run_once(ingest.gated(stream, "content", "at").select("content", "at", "gate"), out, check).awaitTermination()
+    return s.read.parquet(out).groupBy(F.date_trunc("hour", "at").alias("hour"), "gate").agg(F.count("*").alias("n"))
+
+
+def _idle(s, d):
+    """Turns in two batches a day apart, watched by event time: sessions that wait for an hour at most are forgotten between them."""
+    path, out, check = (scratch_path(s, k) for k in ("turns", "answers", "state"))
+    t = V.turns(s, d).where(F.col("role").isin("user", "assistant"))
+    for b, part in enumerate((t.where("turn_index % 4 < 2"), s.range(1).select(F.lit(-1).cast("long").alias("session_id"), F.lit(0).cast("long").alias("turn_index"), F.lit("user").alias("role"), F.lit("tick").alias("content"), F.lit(0).alias("agent")), t.where("turn_index % 4 >= 2"))):
+        part.select("session_id", F.col("turn_index").cast("long"), "role", "content", F.timestamp_seconds(F.lit(1704067200 + 86_400 * b)).alias("at")).coalesce(1).write.parquet(f"{path}/{b}")
+        stream = s.readStream.schema("session_id long, turn_index long, role string, content string, at timestamp").parquet(f"{path}/*")
+        ingest.run_once(ingest.watched(stream, at="at", idle=3600).withColumn("batch", F.lit(b)), out, check).awaitTermination()
+    return s.read.parquet(out).select("session_id", "turn_index", F.when(F.col("batch") == 2, 1).otherwise(F.col("batch")).alias("batch"), F.sha2("conversation", 256).alias("h"))
+
+
 QUERIES = {
     "s1_session_jsonl": lambda s, d: _told(_session_lines(s, d)),
     "s2_nested_jsonl": lambda s, d: _told(_nested_lines(s, d)).drop("ts"),
@@ -123,6 +168,7 @@ QUERIES = {
     "s7_newest_files": _newest,
     "j4_time_ranges": lambda s, d: readers.time_ranges(_payload_lines(s, d)).select(F.regexp_extract("path", "file=([0-9]+)", 1).cast("long").alias("session_id"), "n", "start", "end"),
     "s4_generic_jsonl": _generic, "s8_profile_jsonl": _profile, "s10_bridge": _bridge, "x3_gated_stream": _streamed,
+    "x3_late_rows": _late, "x1_forgotten": _idle,
 }
 _GATE = "CASE WHEN length(trim(text)) > 500 THEN 'write' ELSE 'skip' END"
 _FILES = "WITH t AS (SELECT * FROM conversations)"
@@ -137,7 +183,15 @@ ORACLES = {
     "s2_nested_jsonl": f"{_FILES}, {_FINAL.format(rows='t')} SELECT 's' || conv_id::VARCHAR AS session_id, turn_index, role, sha256(trim(text)) AS h, false AS is_tool_call, false AS is_tool_result, is_final_answer, '' AS tool_name FROM fin",
     "s3_payload_jsonl": f"{_FILES}, g AS (SELECT * REPLACE (CASE role WHEN 'system' THEN 'tool' ELSE role END AS role) FROM t), {_FINAL.format(rows='g')} SELECT 's' || conv_id::VARCHAR AS session_id, turn_index, role, sha256(trim(text)) AS h, false AS is_tool_call, false AS is_tool_result, is_final_answer, '' AS tool_name, {_AT} AS ts FROM fin",
     "s5_plain": f"{_FILES} SELECT conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_index, CASE role WHEN 'system' THEN 'tool' ELSE role END AS role, sha256(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))) AS h FROM t",
-    "s7_newest_files": "SELECT count(DISTINCT conv_id) AS files, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM conversations",
+    "s7_newest_files": "SELECT CAST(7 - conv_id % 7 AS INT) AS place, CAST(conv_id % 7 AS INT) AS file, CAST(sum(strlen(text) + 1) AS BIGINT) AS length FROM conversations WHERE conv_id % 7 >= 4 GROUP BY conv_id % 7",
+    "x1_forgotten": """WITH m AS (SELECT conv_id AS session_id, turn AS turn_index, role, trim(coalesce(text, '')) AS c, CASE WHEN turn % 4 < 2 THEN 0 ELSE 1 END AS batch FROM conversations WHERE role IN ('user', 'assistant')),
+        w AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY session_id, batch ORDER BY turn_index DESC) <= 10), a AS (SELECT session_id, batch FROM m WHERE role = 'assistant' AND length(c) >= 30 GROUP BY ALL),
+        l AS (SELECT session_id, batch, max(turn_index) AS turn_index, list('User: ' || c ORDER BY turn_index) FILTER (role = 'user' AND length(c) >= 30) AS u, list('Assistant: ' || c ORDER BY turn_index) FILTER (role = 'assistant' AND length(c) >= 30) AS v FROM w JOIN a USING (session_id, batch) GROUP BY ALL),
+        n AS (SELECT *, greatest(coalesce(len(u), 0), coalesce(len(v), 0)) AS n FROM l)
+        SELECT session_id, turn_index, CAST(batch AS INT) AS batch, sha256(CASE WHEN n > 1 THEN concat_ws(chr(10), u[n - 1], v[n - 1], u[n], v[n]) ELSE concat_ws(chr(10), u[n], v[n]) END) AS h FROM n""",
+    "x3_late_rows": f"""WITH n AS (SELECT conv_id % 3 AS third, {V.normalized_sql('text')} AS t FROM conversations WHERE {_GATE} = 'write'), a AS (SELECT DISTINCT third, t FROM n), one AS (SELECT t FROM a WHERE third = 1 AND t NOT IN (SELECT t FROM a WHERE third = 0)),
+          b AS (SELECT 0 AS hour, t FROM a WHERE third = 0 UNION SELECT 1, t FROM one UNION SELECT 2, t FROM a WHERE third <> 1 AND t NOT IN (SELECT t FROM one))
+        SELECT TIMESTAMP '2024-01-01' + to_hours(hour) AS hour, 'write' AS gate, count(*) AS n FROM b GROUP BY hour""",
     "j4_time_ranges": "SELECT conv_id AS session_id, count(*) AS n, 1704067200 + conv_id * 3600 + min(turn) * 60 AS start, 1704067200 + conv_id * 3600 + max(turn) * 60 AS end FROM conversations GROUP BY conv_id",
     "s10_bridge": "SELECT 'a' || (conv_id % 3)::VARCHAR AS agent, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations WHERE length(trim(text)) >= 30 GROUP BY 1",
     "x3_gated_stream": f"WITH n AS (SELECT text, {V.normalized_sql('text')} AS t FROM conversations WHERE {_GATE} = 'write') SELECT 'write' AS gate, count(DISTINCT t) AS n, count(DISTINCT t) AS texts FROM n",

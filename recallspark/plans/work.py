@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from recallspark.functions import text as X
 from recallspark.operators import dedupe, governance, persona, spaces, tasks
 from recallspark.plans import views as V
+from recallspark.sources.scratch import scratch_path
 from recallspark.sources import sinks
 from recallspark.streaming import ingest
 
@@ -121,6 +122,18 @@ def _jobs(s, d):
     return V.read(s, d, "customer").select("c_custkey").join(last, "c_custkey", "left").select(k.alias("job"), "last_run", ((k % 900) * 86400).alias("every"), F.when(k % 3 == 0, k % 24).alias("hour"))
 
 
+def _upserted_table(s, d):
+    """Customers as a table of files: their orders in two parts bring names, a first and a largest order, a market segment and a total."""
+    path = scratch_path(s, "customers")
+    c = V.read(s, d, "customer").select("c_custkey", "c_name", F.lit(None).cast("string").alias("segment"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("largest"), F.lit(0).cast("long").alias("last"))
+    sinks.upsert_table(path, c, ["c_custkey"], buckets=16)
+    k = F.col("o_orderkey")
+    o = V.read(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), k.alias("last"), F.when(k % 3 == 0, " ").otherwise(F.concat(F.lit("Name "), k.cast("string"))).alias("c_name"), F.when(k % 2 == 0, F.col("o_orderpriority")).alias("segment"), k.alias("first"), k.alias("largest"))
+    for part in (o.where("last % 5 < 2"), o.where("last % 5 >= 2")):
+        sinks.upsert_table(path, part, ["c_custkey"], ["last"], {"segment": "replace", "first": "keep", "largest": "max"})
+    return sinks.read_table(s, path)
+
+
 def _upserted(s, d):
     c = V.read(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
     o = V.read(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.when(F.col("o_orderkey") % 2 == 0, "").otherwise(F.concat(F.lit("Name "), F.col("o_orderkey").cast("string"))).alias("c_name"), F.col("o_orderkey").alias("updated"))
@@ -167,7 +180,7 @@ QUERIES = {
     "u5_route": lambda s, d: persona.route(V.near_vectors(s, d).where("id % 50 = 0").select(F.col("id").alias("qid"), "vec"), V.vectors(s, d).withColumn("confidence", 0.3 + F.col("id") % 5 / 10.0), 1).withColumn("citations", F.array_join(F.transform("citations", lambda x: x.cast("string")), ",")),
     "a6_profile": lambda s, d: persona.active_profile(_assertions(s, d)).select("dimension", "id", "rank"),
     "x4_due_jobs": lambda s, d: ingest.due_jobs(_jobs(s, d), _as_of()),
-    "s11_upsert": _upserted,
+    "s11_upsert": _upserted, "s11_upsert_table": _upserted_table,
     "s12_insert_ignore": lambda s, d: sinks.insert_ignore(V.read(s, d, "customer").where("c_custkey % 2 = 0").select("c_custkey", "c_name"), V.read(s, d, "customer").select("c_custkey", F.lit("new").alias("c_name")), ["c_custkey"]),
     "m2_links": lambda s, d: governance.link_neighbors(governance.link(_merge_links(s, d).where("source_id % 2 = 0"), _merge_links(s, d))),
 }
@@ -291,6 +304,10 @@ ORACLES = {
         SELECT f.id, (f.id % 5)::VARCHAR AS dimension, CASE WHEN fol.b IS NULL THEN 0.6::DOUBLE ELSE 0.63::DOUBLE END AS confidence, 'n' || f.id::VARCHAR || coalesce(',n' || fol.b::VARCHAR, '') AS evidences FROM free f LEFT JOIN fol ON fol.a = f.id WHERE f.id NOT IN (SELECT b FROM fol)""",
     "a6_profile": "SELECT (label % 4)::VARCHAR AS dimension, vec_id AS id, CAST(row_number() OVER (PARTITION BY label % 4 ORDER BY 0.3::DOUBLE + vec_id % 5 / 10.0::DOUBLE DESC, vec_id) AS INT) AS rank FROM embeddings WHERE vec_id % 13 <> 0 QUALIFY rank <= 2",
     "x4_due_jobs": f"WITH j AS (SELECT c_custkey AS job, max(o_orderdate) AS last_run FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey) SELECT job, CASE WHEN job % 3 = 0 THEN 12 >= job % 24 AND (last_run IS NULL OR last_run::DATE < DATE '2001-06-01') ELSE last_run IS NULL OR epoch_us(TIMESTAMP '{V.AS_OF}') - epoch_us(last_run) >= (job % 900) * 86400000000 END AS due FROM j",
+    "s11_upsert_table": """WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderpriority AS p, o_orderkey % 5 >= 2 AS second FROM orders), u AS (SELECT c, second, max(k) AS k, arg_max(p, k) AS p FROM o GROUP BY ALL), x AS (SELECT * FROM u WHERE NOT second), y AS (SELECT * FROM u WHERE second)
+        SELECT coalesce(c_custkey, x.c, y.c) AS c_custkey, CASE WHEN y.k % 3 <> 0 THEN 'Name ' || y.k::VARCHAR WHEN x.k % 3 <> 0 THEN 'Name ' || x.k::VARCHAR WHEN c_name IS NOT NULL THEN c_name ELSE ' ' END AS c_name,
+          CASE WHEN y.k IS NOT NULL THEN CASE WHEN y.k % 2 = 0 THEN y.p END WHEN x.k % 2 = 0 THEN x.p END AS segment, coalesce(x.k, y.k) AS first, greatest(x.k, y.k) AS largest, coalesce(y.k, x.k, 0) AS last
+        FROM customer FULL JOIN x ON c_custkey = x.c FULL JOIN y ON coalesce(c_custkey, x.c) = y.c""",
     "s11_upsert": "WITH u AS (SELECT o_custkey, max(o_orderkey) AS k FROM orders GROUP BY o_custkey) SELECT coalesce(c_custkey, o_custkey) AS c_custkey, CASE WHEN k % 2 = 1 THEN 'Name ' || k::VARCHAR ELSE coalesce(c_name, CASE WHEN k IS NOT NULL THEN '' END) END AS c_name, c_mktsegment, k AS updated FROM customer FULL JOIN u ON c_custkey = o_custkey",
     "s12_insert_ignore": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'new' END AS c_name FROM customer",
     "m2_links": f"{_SPACE_GROUPS} SELECT s AS id, t AS other_id, 'MERGED_INTO' AS relation_type, 'out' AS direction FROM links UNION ALL SELECT t, s, 'MERGED_INTO', 'in' FROM links",

@@ -1,6 +1,7 @@
 """Transcripts of agents as turns: JSON lines in four shapes, plain text, and an inbox of whole conversations.
 
-A file is read whole, for the order of its lines; the rest is built-in expressions.  Files must fit a task.  Turns:
+Files are split by byte ranges as any text is; a line's place is the start of its split and its number there, so a file of any size is
+read by many tasks, and what depends on the order of its lines is worked out range by range.  All is built-in expressions.  Turns:
 path, session_id, turn_index, role, content, is_tool_call, is_tool_result, is_final_answer, tool_name, ts.
 """
 
@@ -10,13 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from recallspark.operators.ranges import numbered, running
+from recallspark.sources.scratch import saved
+
 PARTS = "array<struct<type:string,text:string,name:string,tool_name:string>>"
 TOOL_CALLS, TOOL_RESULTS, TEXTS = ("tool_use", "function_call"), ("tool_result", "function_call_result"), ("text", "input_text", "output_text")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, pos, line of all files; blank lines are dropped, positions stay."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
+    """path, pos, line of all files; blank lines are dropped.  pos orders the lines of a file: where their split begins, and their order in it."""
+    pos = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    whole = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("path"), pos.alias("pos"), F.regexp_replace("value", "\r$", "").alias("line"))
     return whole.where(F.trim("line") != "")
 
 
@@ -31,8 +36,8 @@ def flatten_content(c: Column) -> Column:
     parts = F.when(s.rlike(r"^\s*\["), F.from_json(s, PARTS)).when(s.rlike(r"^\s*\{"), F.from_json(F.concat(F.lit("["), s, F.lit("]")), PARTS))
     plain = F.filter(F.when(s.rlike(r"^\s*\["), F.from_json(s, "array<string>")), lambda x: ~x.rlike(r"^\s*[\{\[]"))
     texts = F.filter(F.transform(F.filter(parts, lambda p: p["type"].isin(*TEXTS) | p["type"].isNull()), lambda p: F.trim(F.coalesce(p["text"], F.lit("")))), lambda t: t != "")
-    texts = F.concat(texts, F.coalesce(plain, F.array().cast("array<string>")))
-    is_list = parts.isNotNull()
+    texts = F.concat(F.coalesce(texts, F.array().cast("array<string>")), F.coalesce(plain, F.array().cast("array<string>")))
+    is_list = parts.isNotNull() | (F.size(plain) > 0)  # of objects, which a list of strings alone is not read as
     call = F.coalesce(F.exists(parts, lambda p: p["type"].isin(*TOOL_CALLS)), F.lit(False))
     result = F.coalesce(F.exists(parts, lambda p: p["type"].isin(*TOOL_RESULTS)), F.lit(False))
     named = F.filter(F.transform(parts, lambda p: F.coalesce(p["name"], p["tool_name"])), lambda n: n.isNotNull())
@@ -46,13 +51,15 @@ def _field(*paths: str) -> Column:
 
 
 def _turns(df: DataFrame, session: Column, role: Column, content: Column, ts: Column, keep: Column) -> DataFrame:
-    by_file = W.Window.partitionBy("path")
     flat = df.select("path", "pos", session.alias("_s"), role.alias("role"), flatten_content(content).alias("_c"), ts.alias("_ts"), keep.alias("_k"))
-    flat = flat.withColumn("session_id", F.coalesce(F.max("_s").over(by_file), F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1))).where("_k")
-    flat = flat.withColumn("turn_index", F.row_number().over(by_file.orderBy("pos")) - 1)
-    last = F.last(F.when((F.col("role") == "assistant") & (F.col("_c.text") != ""), F.col("turn_index")), ignorenulls=True).over(by_file.orderBy("pos").rowsBetween(0, W.Window.unboundedFollowing))
-    nxt = F.lead("role").over(by_file.orderBy("pos"))
-    final = (F.col("role") == "assistant") & (F.col("_c.text") != "") & (nxt.isNull() | (nxt == "user") | ((nxt == "tool") & (last == F.col("turn_index"))))
+    # Backwards, so that the row before one is the turn that follows it.
+    flat = saved(flat, "lines")
+    said = F.when((F.col("role") == "assistant") & (F.col("_c.text") != "") & F.col("_k"), F.col("pos"))
+    files = flat.groupBy("path").agg(F.max("_s").alias("_named"), F.sum(F.col("_k").cast("long")).alias("_n"), F.max(said).alias("_last"))
+    flat = numbered(flat.where("_k"), ["path"], [F.desc("pos")], "role").join(files, "path")
+    flat = flat.withColumn("session_id", F.coalesce("_named", F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1))).withColumn("turn_index", (F.col("_n") - F.col("k")).cast("int"))
+    nxt = F.when(F.col("k") > 1, F.coalesce("before", F.lit("")))
+    final = (F.col("role") == "assistant") & (F.col("_c.text") != "") & (nxt.isNull() | (nxt == "user") | ((nxt == "tool") & (F.col("_last") == F.col("pos"))))
     return flat.select("path", "session_id", "turn_index", "role", F.col("_c.text").alias("content"), F.col("_c.is_tool_call").alias("is_tool_call"), F.col("_c.is_tool_result").alias("is_tool_result"), final.alias("is_final_answer"), F.col("_c.tool_name").alias("tool_name"), F.coalesce(F.try_to_timestamp("_ts"), F.lit(None).cast("timestamp")).alias("ts"))
 
 
@@ -95,8 +102,7 @@ def read_plain(spark: SparkSession, path: str) -> DataFrame:
     """Lines that start with User:, Human:, Assistant:, AI: or Tool: begin a turn; the others belong to the turn before."""
     df = lines(spark, path)
     who = F.lower(F.regexp_extract("line", r"(?i)^\s*(user|human|assistant|ai|tool)\s*[:：]", 1))
-    order = W.Window.partitionBy("path").orderBy("pos")
-    df = df.withColumn("who", who).withColumn("turn", F.sum(F.when(F.col("who") != "", 1).otherwise(0)).over(order)).where("turn > 0")
+    df = running(df.withColumn("who", who), ["path"], ["pos"], F.when(F.col("who") != "", 1).otherwise(0), "turn").where("turn > 0")
     text = F.trim(F.regexp_replace("line", r"(?i)^\s*(user|human|assistant|ai|tool)\s*[:：]", ""))
     rows = F.array_sort(F.collect_list(F.struct("pos", text.alias("t"), "who")))
     out = df.groupBy("path", "turn").agg(rows.alias("r"))

@@ -28,37 +28,53 @@ def gated(stream: DataFrame, text: str = "conversation", at: str | None = None,
     return own.withWatermark(at, delay).dropDuplicatesWithinWatermark(["conversation_hash"])
 
 
-_SEEN = T.StructType([T.StructField("turns", T.ArrayType(T.LongType())), T.StructField("roles", T.ArrayType(T.StringType())), T.StructField("texts", T.ArrayType(T.StringType()))])
+_SEEN = T.StructType([T.StructField("turns", T.ArrayType(T.LongType())), T.StructField("roles", T.ArrayType(T.StringType())), T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("newest", T.LongType())])
 
 
-def watched(turns: DataFrame, window: int = 10, last: int = 2, least: int = 30) -> DataFrame:
+def watched(turns: DataFrame, window: int = 10, last: int = 2, least: int = 30, at: str | None = None, delay: str = "10 minutes", idle: float = 7 * 86_400) -> DataFrame:
     """session_id, turn_index, conversation: where a session gets an answer, its last pairs, as a stream of turns comes in.
 
     turns: session_id, turn_index, role, content.  The state of a session is its last `window` messages of users and assistants, so a question and its answer
     may come in different micro-batches.  Texts under `least` characters do not count; the i-th question of the window goes with the
     i-th answer, and the last `last` of these are the conversation.  turn_index is that of the newest message.  Within a
     micro-batch messages go by turn_index; what comes later is taken as newer unless its turn_index says otherwise.
+
+    Where `at` names a timestamp of turns, state is bounded: a message later than `delay` behind the newest is dropped, and a session is forgotten when the watermark has
+    passed its last message by `idle` seconds.  Without it the state of a session is kept for good.
     """
     session = turns.schema["session_id"]
     out = T.StructType([session, T.StructField("turn_index", T.LongType()), T.StructField("conversation", T.StringType())])
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(zip(*state.get, strict=True)) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        newest = 0
+        kept = list(zip(*state.get[:3], strict=True)) if state.exists else []
         answered = False
         for frame in frames:
             texts = frame["content"].fillna("").str.strip()
+            if at is not None:
+                newest = max(newest, int(frame["_ms"].max()))
             answered |= bool(((frame["role"] == "assistant") & (texts.str.len() >= least)).any())
             kept += zip(frame["turn_index"].astype("int64").tolist(), frame["role"].tolist(), texts.tolist(), strict=True)
             kept = sorted(kept, key=lambda x: x[0])[-window:]
-        state.update(tuple(map(list, zip(*kept, strict=True))))
+        state.update((*map(list, zip(*kept, strict=True)), max(newest, state.get[3] if state.exists else 0)))
+        if at is not None:
+            state.setTimeoutTimestamp(max(state.get[3] + int(idle * 1000), state.getCurrentWatermarkMs() + 1))
         if answered:
             said = {who: [f"{who.capitalize()}: {text}" for _, role, text in kept if role == who and len(text) >= least] for who in ("user", "assistant")}
             pairs = ["\n".join(x for x in pair if x) for pair in zip_longest(said["user"], said["assistant"])]
             if pairs:
                 yield pd.DataFrame({session.name: [key[0]], "turn_index": [kept[-1][0]], "conversation": ["\n".join(pairs[-last:])]})
 
-    talk = turns.where(F.col("role").isin("user", "assistant")).select("session_id", F.col("turn_index").cast("long"), "role", "content")
-    return talk.groupBy("session_id").applyInPandasWithState(step, out, _SEEN, "append", GroupStateTimeout.NoTimeout)
+    talk = turns.where(F.col("role").isin("user", "assistant"))
+    if at is None:
+        timeout, more = GroupStateTimeout.NoTimeout, []
+    else:
+        talk, timeout, more = talk.withWatermark(at, delay), GroupStateTimeout.EventTimeTimeout, [F.unix_millis(at).alias("_ms"), at]
+    talk = talk.select("session_id", F.col("turn_index").cast("long"), "role", "content", *more)
+    return talk.groupBy("session_id").applyInPandasWithState(step, out, _SEEN, "append", timeout)
 
 
 def watch(turns: DataFrame, write: Callable[[DataFrame], None], checkpoint: str, seconds: int = 5, **settings):

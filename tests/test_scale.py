@@ -1,10 +1,12 @@
 """Keys, units and runs that hold nearly all rows, against plain loops."""
 
+import os
 import random
 
 from pyspark.sql import functions as F
 
-from recallspark.operators import dedupe, governance, spaces
+from recallspark.operators import dedupe, governance, persona, spaces, tags
+from recallspark.sources import sinks
 
 
 def greedy(rows, minutes=10):
@@ -66,3 +68,67 @@ def test_names_in_one_pass_and_in_parts(spark):
         assert sorted(map(tuple, spaces.names_in(df, known, characters).collect())) == want
     assert spaces.names_in(df, known.limit(0)).count() == spaces.names_in(df.limit(0), known).count() == 0
     assert "Generate" not in spaces.names_in(df, known)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def leaders(nodes, edges):
+    """Each node leads unless an earlier leader is its neighbour."""
+    out = set()
+    for n in sorted(nodes):
+        if not any(b in out for a, b in edges if a == n):
+            out.add(n)
+    return out
+
+
+def test_leaders_of_a_long_chain_in_few_rounds(spark, monkeypatch):
+    rounds = []
+    whole = persona.saved
+    monkeypatch.setattr(persona, "saved", lambda df, name: rounds.append(name) or whole(df, name))
+    nodes = spark.range(10_000).select("id")
+    chain = nodes.where("id > 0").select(F.col("id").alias("qid"), (F.col("id") - 1).alias("id"))
+    assert {r.id for r in persona.first_come(nodes, chain).collect()} == set(range(0, 10_000, 2))
+    assert rounds.count("decided") < 20
+
+
+def test_leaders_of_any_graph(spark):
+    r = random.Random(9)
+    edges = {(a, b) for a in range(120) for b in r.sample(range(a), min(a, r.randrange(0, 4)))} | {(200 + k, 200 + k - 1) for k in range(1, 40)} | {(239, 200), (239, 210)}
+    nodes = [*range(120), *range(200, 240)]
+    got = persona.first_come(spark.createDataFrame([(n,) for n in nodes], "id long"), spark.createDataFrame(sorted(edges), "qid long, id long"))
+    assert {x.id for x in got.collect()} == leaders(nodes, edges)
+    assert persona.first_come(spark.createDataFrame([], "id long"), spark.createDataFrame([], "qid long, id long")).count() == 0
+
+
+def test_chains_of_one_session(spark):
+    r = random.Random(5)
+    n = 1500
+    at = {k: r.randrange(0, 400) for k in range(n)}
+    tag = {k: r.choice("abcd") for k in range(n)}
+    memories = spark.createDataFrame([(k, 1, at[k]) for k in range(n)], "memory_id long, session_id long, created_at long")
+    mentions = spark.createDataFrame([(k, tag[k]) for k in range(n)], "memory_id long, tag string")
+    refines = spark.createDataFrame([("a", "b"), ("b", "c")], "source_tag string, target_tag string")
+    got = {x.memory_id: x.superseded_by for x in tags.merge_chains(memories, mentions, refines).collect()}
+    order, want, run = sorted(range(n), key=lambda k: (at[k], k)), {}, []
+    for k in [*order, None]:
+        if run and (k is None or {tag[k], tag[run[-1]]} not in ({"a", "b"}, {"b", "c"})):
+            want |= dict.fromkeys(run[:-1], run[-1])
+            run = []
+        run.append(k)
+    assert got == want and len(want) > 100
+
+
+def test_upsert_writes_touched_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "table")
+    rows = lambda data: spark.createDataFrame(data, "id long, content string, n long, first string, at long")
+    sinks.upsert_table(path, rows([(k, f"text {k}", 5, None, 1) for k in range(200)]), ["id"], buckets=16)
+    files = lambda: {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+    before = files()
+    new = [(3, " ", 9, "a", 2), (3, None, 7, "b", 3), (500, "new", 1, "c", 2), (None, "no key", 1, None, 2), (None, "no key again", None, "d", 4)]
+    sinks.upsert_table(path, rows(new), ["id"], ["at"], {"n": "max", "first": "keep", "at": "replace"})
+    after = files()
+    changed = {f.split("_bucket=")[1].split("/")[0] for f in before.keys() ^ after.keys()}
+    assert 1 <= len(changed) <= 3 and all(before[f] == after[f] for f in before.keys() & after.keys()) and len(before.keys() & after.keys()) >= 13
+    sinks.upsert_table(path, rows([(3, "later", 1, "z", 9)]), ["id"], ["at"], {"n": "max", "first": "keep", "at": "replace"})
+    got = {r.id: (r.content, r.n, r.first, r.at) for r in sinks.read_table(spark, path).collect()}
+    assert len(got) == 202 and got[3] == ("later", 7, "b", 9) and got[500] == ("new", 1, "c", 2) and got[None] == ("no key again", None, "d", 4) and got[7] == ("text 7", 5, None, 1)
+    sinks.upsert_table(path, rows([]), ["id"])
+    assert sinks.read_table(spark, path).count() == 202
