@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -21,7 +22,12 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 #: Elements that are kept on the stack as containers of lines.
 CONTAINERS = frozenset("html body main article section div td table ul ol dl blockquote figure details".split())
 #: Elements that never hold article text.
-OUTSIDE = frozenset("head nav aside footer form script style noscript template iframe object svg canvas button select textarea datalist dialog menu search audio video map math".split())
+OUTSIDE = frozenset("head nav aside footer script style noscript template iframe object svg canvas button select textarea datalist dialog menu search audio video map math".split())
+#: Elements that hold no blocks of text: one that is not ended ends where such a block begins.
+NARROW = ("iframe", "button", "select", "textarea")
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 article section main header footer nav aside ul ol table blockquote figure".split())
+#: Words that only place or shape what a name says.
+LAYOUT = frozenset("left right top bottom main site page global primary secondary wrapper wrap container box area block inner outer link links list bar slot section content panel row col column item items button buttons icon icons form text title head heading body group set unit zone region element module sticky fixed float inline post article story".split())
 HIDDEN = re.compile(r"display\s*:\s*none")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements that the next one of their name ends.
@@ -61,6 +67,13 @@ def mark_of(name: str) -> int:
     return CLEAN if WEAK.isdisjoint(words) and STRONG.isdisjoint(words) else MAYBE
 
 
+@lru_cache(1 << 16)
+def names_part(name: str) -> bool:
+    """A strong word stands beside one that says more than a place, as in social-history: inside an article that is a part of it, unless the text around says otherwise."""
+    words = {w.lower() for w in WORD.findall(name)}
+    return bool(words - STRONG - WEAK - LAYOUT)
+
+
 class Node:
     """A container: its parent, its own mark, and what is summed up of its lines."""
 
@@ -89,6 +102,7 @@ class Lines(HTMLParser):
         self.tags = self.links = self.in_link = 0
         self.heading = self.item = False
         self.begun: set[str] = set()
+        self.unended: list[str] = []
 
     def _flush(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -98,6 +112,10 @@ class Lines(HTMLParser):
         self.tags = self.links = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in TEXTUAL:
+            for name in self.unended:
+                if self.open[name]:
+                    self.handle_endtag(name)
         if tag in BLOCKS:
             self._flush()
             self.heading, self.item = tag in HEADINGS, tag == "li"
@@ -111,15 +129,17 @@ class Lines(HTMLParser):
             self.in_link = 1
         if tag in VOID:
             return
-        mark = NEVER if tag in OUTSIDE else HEADER if tag == "header" else CLEAN
+        # A form is dropped by a mark that an article or nearly all prose inside it can lift, as some pages are one form.
+        mark = NEVER if tag in OUTSIDE else MARKED if tag == "form" else HEADER if tag == "header" else CLEAN
+        inside = self.stack[-1].article
         for name, value in attrs if tag in BLOCKS and tag not in HEADINGS else ():
             if not value:
                 if name == "hidden":
                     mark = NEVER
             elif name == "class" and tag not in ("html", "body", "main"):
-                mark = max(mark, *(mark_of(x) for x in value.split()), CLEAN)
+                mark = max(mark, *(MAYBE if inside and mark_of(x) == MARKED and names_part(x) else mark_of(x) for x in value.split()), CLEAN)
             elif name == "id" and tag not in ("html", "body", "main"):
-                mark = max(mark, mark_of(value))
+                mark = max(mark, MAYBE if inside and mark_of(value) == MARKED and names_part(value) else mark_of(value))
             elif name == "role":
                 mark = max(mark, ROLES.get(value.strip().lower(), CLEAN))
             elif name == "hidden" or name == "style" and HIDDEN.search(value):
@@ -166,16 +186,36 @@ class Lines(HTMLParser):
         pass
 
 
-def lines_of(html: str) -> tuple[list[dict], list[Node]]:
+def _fed(html: str) -> Lines:
+    """The events of a page, in time that grows with its length.
+
+    The parser stops at a tag or comment that is not ended, and would look at the rest again from each < on.  Instead its next > ends it, and the
+    rest is read on; after some of those, or without one, the rest is text without tags.
+    """
     parser = Lines()
+    low = html.lower()
+    parser.unended = [x for x in NARROW if low.count(f"<{x}") > low.count(f"</{x}")]
+    parser.feed(html)
+    for _ in range(16):
+        rest = parser.rawdata
+        if parser.cdata_elem is not None or "<" not in rest:
+            break
+        if (at := rest.find(">")) < 0:
+            break
+        parser.rawdata = ""
+        parser.feed(rest[at + 1 :])
+    rest, parser.rawdata = parser.rawdata, ""
+    if rest and parser.cdata_elem is None:
+        parser.handle_data(unescape(re.sub(r"<[^<>]*>", " ", rest)))
+    parser._flush()
+    return parser
+
+
+def lines_of(html: str) -> tuple[list[dict], list[Node]]:
     try:
-        parser.feed(html)
-        parser.close()
+        parser = _fed(html)
     except AssertionError:  # a malformed marked section
-        parser = Lines()
-        parser.feed(html.replace("<![", "&lt;!["))
-        parser.close()
-    parser._flush()
+        parser = _fed(html.replace("<![", "&lt;!["))
     return parser.lines, parser.nodes
 
 

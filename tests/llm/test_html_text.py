@@ -85,3 +85,39 @@ def test_odd_input(spark):
 def test_columns_with_clashing_names(spark):
     df = spark.createDataFrame([(1, "u", "<p>words of a page</p>", "kept")], "page_id int, url string, html string, _html string")
     assert [tuple(r) for r in html_text.extract(df, keep=("url", "_html")).collect()] == [(1, "u", "kept", "words of a page", 15)]
+
+
+BODY = "".join(f"<p>Paragraph {k} of the article tells at some length what happened on that day and why it matters.</p>" for k in range(6))
+KEPT = "\n\n".join(f"Paragraph {k} of the article tells at some length what happened on that day and why it matters." for k in range(6))
+
+
+def test_pages_that_are_one_form():
+    nav = "<nav><a href='/'>Home</a></nav>"
+    assert html_text.main_text(f"<html><body><form id='aspnet'>{nav}<div><h1>Title</h1>{BODY}</div><input value='x'><button>Send it</button></form></body></html>") == f"Title\n\n{KEPT}"
+    assert html_text.main_text(f"<body><form>{nav}<div>{BODY}</div></form></body>") == KEPT
+    assert html_text.main_text(f"<body><article><h1>Title</h1>{BODY}</article><form>Tell us what you think of this page: <input></form></body>") == f"Title\n\n{KEPT}"
+
+
+def test_elements_without_an_end():
+    for tag in ("iframe src='x'", "button", "select"):
+        assert html_text.main_text(f"<body><article><h1>Title</h1><p>First words of the article, long enough to count.</p><{tag}>{BODY}</article></body>") == f"Title\n\nFirst words of the article, long enough to count.\n\n{KEPT}", tag
+    whole = html_text.main_text(f"<body><article><h1>Title</h1><iframe><p>Your browser shows no frames, which is a pity for all of us here.</p></iframe>{BODY}</article></body>")
+    assert whole == f"Title\n\n{KEPT}"
+
+
+def test_names_of_parts_inside_an_article():
+    page = "<body><article><h1>Title</h1><p>First of all this is an opening paragraph which says what the page is about.</p><section class='social-history'><p>The social history of the town is told in this long section of it.</p></section><div class='newsletter-archive'><p>The archive of the newsletter is described in this long paragraph.</p></div>{}<div class='share-buttons'><a href='#'>Share this</a></div><div class='ad'>Buy now</div></article></body>"
+    first = "First of all this is an opening paragraph which says what the page is about."
+    assert html_text.main_text(page.format(BODY)) == f"Title\n\n{first}\n\nThe social history of the town is told in this long section of it.\n\nThe archive of the newsletter is described in this long paragraph.\n\n{KEPT}"
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    unit = ["<a href='", "<a href='x>", "<!-- ", "<![", "<div class=\"", "&#x", "</", "<p><a b='"]
+    for x in unit:
+        html = f"<body><article><h1>Title</h1>{BODY}" + x * (1_000_000 // len(x)) + ">"
+        began = time.time()
+        text = html_text.main_text(html)
+        assert time.time() - began < 6, x
+        assert "Paragraph 3 of the article" in text or x == "&#x", x
