@@ -25,7 +25,7 @@ _compressors: dict[bytes, zstandard.ZstdCompressor] = {}
 
 @dataclass(frozen=True)
 class Model:
-    """good and bad: dictionaries; mean, scale, weights: the calibration; constant: the score where no model was learnt."""
+    """good and bad: dictionaries; mean, scale, weights: the calibration of the difference; constant: the score where no model was learnt."""
 
     good: bytes = b""
     bad: bytes = b""
@@ -54,23 +54,21 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
     return _compressors[key]
 
 
-def features(text: str | None, good: bytes, bad: bytes) -> tuple[float, ...]:
-    """The normalised difference of the compressed sizes, the two rates, the rate without a dictionary, and the length."""
+def difference(text: str | None, good: bytes, bad: bytes) -> float:
+    """How many bytes fewer a text takes with the dictionary of good text than with that of bad text, for each byte of it: the one input of a score."""
     data = (text or "").encode()
     with_good, with_bad = compressor(good), compressor(bad)
     g = b = 0
     for k in range(0, max(1, len(data)), PIECE):
         piece = data[k : k + PIECE]
-        g += len(with_good.compress(piece)) - 4
-        b += len(with_bad.compress(piece)) - 4
-    n = len(data) + 8
-    return (b - g) / max(1, min(b, g)), float(np.log((g + 4) / n)), float(np.log((b + 4) / n)), float(np.log((len(compressor(b"").compress(data)) + 4) / n)), float(np.log(n))
+        g += len(with_good.compress(piece))
+        b += len(with_bad.compress(piece))
+    return (b - g) / (len(data) + 8)
 
 
 def expand(x: np.ndarray, mean, scale) -> np.ndarray:
     z = np.clip((x - np.asarray(mean)) / np.asarray(scale), -6, 6)
-    k = z.shape[1]
-    return np.hstack([np.ones((len(z), 1)), z, *[z[:, [i]] * z[:, [j]] for i in range(k) for j in range(i, k)]])
+    return np.hstack([np.ones((len(z), 1)), z])
 
 
 #: Weight of the squared weights against the summed log loss.
@@ -84,7 +82,7 @@ def loss(w: np.ndarray, a: np.ndarray, y: np.ndarray) -> float:
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[tuple, tuple, tuple]:
-    """Logistic regression of the labels on the features and their products, by Newton's method with steps that are halved until the loss falls.
+    """Logistic regression of the labels on the difference, by Newton's method with steps that are halved until the loss falls.
 
     The loss is convex, so this ends at its only minimum, also where the classes can be parted without an error.
     """
@@ -135,15 +133,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model(constant=1.0 if by[1] else 0.0 if by[0] else 0.5)
     good, bad = dictionary(by[1]), dictionary(by[0])
     sample = texts.join(F.broadcast(own.where(half == 1).orderBy("_h", "_id").limit(calibration_rows)), "_id").select("_text", "_y")
-    schema = T.StructType([T.StructField("y", T.IntegerType()), *[T.StructField(f"x{k}", T.DoubleType()) for k in range(5)]])
+    schema = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("x", T.DoubleType())])
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        found = np.array([features(x, good, bad) for x in batch.column(0).to_pylist()]).reshape(-1, 5)
-        yield {"y": batch.column(1)} | {f"x{k}": found[:, k] for k in range(5)}
+        yield {"y": batch.column(1), "x": [difference(x, good, bad) for x in batch.column(0).to_pylist()]}
 
-    got = np.array(map_batches(sample, run, schema).collect(), dtype=float).reshape(-1, 6)  # at most calibration_rows
+    got = np.array(map_batches(sample, run, schema).collect(), dtype=float).reshape(-1, 2)  # at most calibration_rows
     if not len(got):
-        got = np.array([(y, *features(t.decode("utf-8", "ignore"), good, bad)) for y in (0, 1) for t in by[y]])
+        got = np.array([(y, difference(t.decode("utf-8", "ignore"), good, bad)) for y in (0, 1) for t in by[y]])
     order = np.lexsort(got.T)  # the sums do not depend on the order of arrival
     return Model(good, bad, *calibrate(got[order, 1:], got[order, 0]))
 
@@ -162,7 +159,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for part in slices(batch, 512):
             texts = part.column(len(kept)).to_pylist()
             if model.weights:
-                x = np.array([features(t, model.good, model.bad) for t in texts])
+                x = np.array([difference(t, model.good, model.bad) for t in texts]).reshape(-1, 1)
                 p = 1 / (1 + np.exp(-np.clip(expand(x, model.mean, model.scale) @ np.array(model.weights), -30, 30)))
             else:
                 p = np.full(len(texts), model.constant)
