@@ -12,6 +12,8 @@ the few conversations that reach over a border, and every segment is then solved
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -90,6 +92,19 @@ def solve(roles: list[str | None], entry: int, final: list[int]) -> list[tuple[s
     return out
 
 
+_MARK, _ESCAPED = re.compile(r"<(\\*)\|im_(start|end)\|>"), re.compile(r"<\\(\\*)\|im_(start|end)\|>")
+
+
+def escaped(text: str | None) -> str:
+    """A text with the marks in it made harmless by a backslash behind <, one more where backslashes stand there already."""
+    return _MARK.sub(r"<\\\1|im_\2|>", text or "")
+
+
+def unescaped(text: str) -> str:
+    """The text that was escaped."""
+    return _ESCAPED.sub(r"<\1|im_\2|>", text)
+
+
 def block(role: str, text: str) -> str:
     return f"<|im_start|>{role}\n{text}<|im_end|>\n"
 
@@ -163,7 +178,7 @@ def render_segment(turns: pa.Table, plan: pa.Table) -> pa.Table:
         for k, (role, put, merged) in enumerate(steps, a):
             piece = "" if k == a and own["first"] else "\n" if merged else "<|im_end|>\n"
             piece += "".join(block(q, "") for q in put)
-            piece += ("" if merged else f"<|im_start|>{role}\n") + (texts[k] or "")
+            piece += ("" if merged else f"<|im_start|>{role}\n") + escaped(texts[k])
             cost = INSERT * len(put) + MERGE * merged + (0 if role == known_role(roles[k]) else NAME if known_role(roles[k]) is None else RELABEL)
             action = "+".join([*(["insert"] * bool(put)), "merge" if merged else "keep" if role == known_role(roles[k]) else "relabel", *(["relabel"] * (merged and role != known_role(roles[k])))])
             if k == b - 1 and own["last"]:
@@ -189,7 +204,7 @@ def format_turns(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     new_role is the role that the turn is rendered with, action what was done (keep, relabel, merge, insert for empty turns
     before it, close for empty turns behind the last), cost its part of the conversation's least total, and piece its part
     of the rendered text: the pieces of a conversation put together by place, their order in the whole table, are the
-    conversation.
+    conversation.  Marks inside texts are escaped, so that no text can begin or end a turn; `unescaped` gives them back.
 
     Turns are ordered by number, then role, then the first 64 characters of the text, nulls first, then a hash of the text and the
     place in the table; so repeated rows, which are turns of their own, can be parted as well.  A null text is
