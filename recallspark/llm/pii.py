@@ -21,9 +21,9 @@ KINDS = ("email", "ip", "card", "phone")
 #: A term is looked at from so many different documents of an entity; it is generalised where it gives away this share of the
 #: entity's information, and removed where it gives away that share.
 SUPPORT, GENERALISE, REMOVE = 3, 0.6, 0.85
-#: Bits of the filters that spare most words the count over the corpus, and most documents the search for copies; they let
-#: some through, and drop none.
-FILTER_BITS = 1 << 22
+#: Bits, at least and at most, of the filters that spare most words the count over the corpus, and most documents the search for copies, and bits for each value
+#: in between; they let some through, and drop none.
+FILTER_BITS, FILTER_SHARE = (1 << 22, 1 << 28), 16
 #: Words, and witness keys, that a task remembers; the memory is emptied when it is full.
 KNOWN = 200_000
 #: Letters at the end of a word that name its more general classes, the narrower first.
@@ -171,38 +171,41 @@ def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def _slot(value: str | bytes) -> int:
+def _slot(value: str | bytes, size: int) -> int:
     raw = value if isinstance(value, bytes) else value.encode("utf-8", "surrogatepass")
-    return zlib.crc32(raw) % FILTER_BITS
+    return zlib.crc32(raw) % size
 
 
-def _filter(values: DataFrame) -> bytes:
-    """Bits of the slots of the values of a single column."""
+def _filter(values: DataFrame) -> np.ndarray:
+    """Bits of the slots of the values of a single column: FILTER_SHARE for each value, between the bounds of FILTER_BITS, set by an aggregation of words of 64 bits."""
+    (name,) = values.columns
+    least, most = FILTER_BITS
+    size = least
+    n = values.count()
+    while size < most and size < FILTER_SHARE * n:
+        size *= 2
+    slot = F.pmod(F.crc32(F.col(name).cast("binary")), F.lit(size))
+    words = values.select((slot / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    whole = np.zeros(size // 64, np.int64)
+    for word, bits in words.collect():  # at most size / 64 rows
+        whole[word] = bits
+    return whole
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            for value in batch.column(0).to_pylist():
-                bits[_slot(value)] = True
-        if bits.any():
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
-    whole = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in values.coalesce(8).mapInArrow(fill, "bits binary").collect():  # at most 8 rows
-        whole |= np.frombuffer(row.bits, np.uint8)
-    return whole.tobytes()
+def _bits(whole: np.ndarray) -> np.ndarray:
+    return np.unpackbits(whole.astype("<i8").view(np.uint8), bitorder="little").astype(bool)
 
 
 def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, copied: DataFrame) -> DataFrame:
     """term and n_term: in how many different documents each of `terms` and each of their classes stands, and few others; `copied` holds the witness keys that come more than once.
 
-    Filters of fixed size keep most other words out of the shuffle, and let most documents be counted without their key.
+    Filters keep most other words out of the shuffle, and let most documents be counted without their key.
     """
     classes = F.array(F.col("term"), *[_ending(k)(F.col("term")) for k in CLASS_LETTERS])
     packed, packed_keys = _filter(terms.select(F.explode(classes).alias("term")).distinct()), _filter(copied.select("key"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, repeated = (np.unpackbits(np.frombuffer(p, np.uint8)).astype(bool) for p in (packed, packed_keys))
+        bits, repeated = _bits(packed), _bits(packed_keys)
         known: dict[str, tuple[str, ...]] = {}
         told: set[bytes] = set()
         seen: dict[str, int] = {}
@@ -222,7 +225,7 @@ def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, copied: DataFr
                 own = terms_of(text, base_spans(text))
                 key = witness(own)
                 hits: set[str] = set()
-                if maybe := bool(repeated[_slot(key)]):
+                if maybe := bool(repeated[_slot(key, len(repeated))]):
                     if key in told:
                         continue
                     if len(told) > KNOWN:
@@ -233,7 +236,7 @@ def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, copied: DataFr
                     if hit is None:
                         if len(known) > KNOWN:
                             known.clear()
-                        hit = known[term] = tuple(x for x in (term, *classes_of(term)) if bits[_slot(x)])
+                        hit = known[term] = tuple(x for x in (term, *classes_of(term)) if bits[_slot(x, len(bits))])
                     hits.update(hit)
                 if not maybe:
                     for term in hits:
@@ -260,36 +263,52 @@ def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, copied: DataFr
     return once.select("terms", "n").mapInArrow(add, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, support: int, generalise: float, remove: float) -> DataFrame:
-    """entity, term, share (the part of an entity's information that a term gives away) and level (of the class to write for it).
+def _sets(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """by, n and name: what stands in the same documents (_row) has the same `name`, by its number of documents and 128 bits of their hashes."""
+    hashes = [F.bit_xor(F.xxhash64(F.lit(k), "_row")).alias(f"h{k}") for k in (1, 2)]
+    return rows.groupBy(by).agg(F.count("*").alias("n"), *hashes).select(by, "n", F.struct("n", "h1", "h2").alias(name))
+
+
+def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, support: int, generalise: float, remove: float) -> tuple[DataFrame, DataFrame]:
+    """Sets and shares.  sets: entity and ec, the entities that stand in the same documents; shares: ec, term, share (the part of the information of each of these entities that a
+    term gives away) and level (of the class to write for it).
 
     share = PMI(term, entity) / IC(entity), with PMI = log(n_both * N / (n_term * n_entity)) and IC = log(N / n_entity).  All
     four numbers count whole documents, of which copies (the same words outside patterns) are one.
+
+    Entities do not meet words in every document: words that are too frequent in the corpus to give `generalise` of anything away go first, then entities, and
+    words, of the same documents count as one.
     """
     keys = saved(found.groupBy("key").agg(F.count("*").alias("copies")), "keys")
     held = found.where(F.size("entities") > 0)
-    seen = held.select("key", F.explode("entities").alias("entity")).distinct()
-    entities = saved(seen.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support), "entities")
     one = held.groupBy("key").agg(F.min("_row").alias("_row"))
-    looked = seen.join(entities, "entity", "left_semi").join(one, "key").select("_row", "entity")
-    pairs = looked.join(held.select("_row", F.col("terms.term").alias("terms")), "_row").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    pairs = saved(pairs.join(entities, "entity"), "pairs")
-    if not pairs.head(1):
-        return pairs.select("entity", "term", F.lit(0.0).alias("share"), F.lit(0).alias("level"))
+    seen = saved(held.select("key", F.explode("entities").alias("entity")).distinct().join(one, "key").select("_row", "entity"), "seen")
+    sets = saved(_sets(seen, "entity", "ec").where(F.col("n") >= support).select("entity", "ec"), "entities")
+    shares = "ec struct<n:bigint,h1:bigint,h2:bigint>, term string, share double, level int"
+    if not sets.head(1):
+        return sets, docs.sparkSession.createDataFrame([], shares)
+    looked = saved(seen.join(sets, "entity").select("_row", "ec").distinct(), "looked")
+    rows = looked.select("_row").distinct()
+    stand = saved(held.join(rows, "_row", "left_semi").select("_row", F.explode("terms.term").alias("term")), "stand")
+    terms = saved(_sets(stand, "term", "tc").where(F.col("n") >= support).withColumnRenamed("n", "n_held"), "terms")
     n = float(max(keys.count(), 2))
-    told = saved(term_counts(docs, text_col, pairs, keys.where("copies > 1")), "told")
-    information = F.greatest(F.log(F.lit(n) / F.col("n_entity")), F.lit(1e-9))
-    share = F.log(F.col("n_both") * n / (F.col("n_term") * F.col("n_entity"))) / information
-    shares = saved(pairs.join(told, "term").select("entity", "term", "n_entity", share.alias("share")).where(F.col("share") >= generalise), "shares")
+    told = saved(term_counts(docs, text_col, terms, keys.where("copies > 1")), "told")
+    # No entity is given away more than one that stands in just the documents of the word would be.
+    terms = saved(terms.join(told, "term").where(F.log(F.lit(n) / F.col("n_term")) >= generalise * F.log(F.lit(n) / F.col("n_held")) - 1e-9).select("term", "tc", "n_term"), "rare")
+    groups = stand.join(terms, "term").select("_row", "tc").distinct()
+    both = looked.join(groups, "_row").groupBy("ec", "tc").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    information = F.greatest(F.log(F.lit(n) / F.col("ec.n")), F.lit(1e-9))
+    share = F.log(F.col("n_both") * n / (F.col("n_term") * F.col("ec.n"))) / information
+    shares = saved(both.join(terms, "tc").select("ec", "term", share.alias("share")).where(F.col("share") >= generalise), "shares")
     # The narrowest class of a word that gives away less than `generalise` of the entity; level 0 is the narrowest, none is beyond the last.
-    wide = shares.where(F.col("share") < remove).select("entity", "term", "n_entity", F.posexplode(F.array(*[_ending(k)(F.col("term")) for k in CLASS_LETTERS])).alias("level", "class"))
+    wide = shares.where(F.col("share") < remove).select("ec", "term", F.posexplode(F.array(*[_ending(k)(F.col("term")) for k in CLASS_LETTERS])).alias("level", "class"))
     wide = saved(wide, "classes")
-    held_classes = F.array_distinct(F.flatten(F.array(*[F.transform("terms.term", _ending(k)) for k in CLASS_LETTERS])))
-    own = looked.join(wide.select("entity").distinct(), "entity", "left_semi").join(held.select("_row", held_classes.alias("classes")), "_row").select("entity", F.explode("classes").alias("class"))
-    both = own.join(wide.select("entity", "class").distinct(), ["entity", "class"], "left_semi").groupBy("entity", "class").agg(F.count("*").alias("n_both"))
-    fit = wide.join(both, ["entity", "class"]).join(told.withColumnRenamed("term", "class"), "class").where(share < generalise)
-    level = fit.groupBy("entity", "term").agg(F.min("level").alias("level"))
-    return saved(shares.join(level, ["entity", "term"], "left").select("entity", "term", "share", F.coalesce("level", F.lit(len(CLASS_LETTERS))).alias("level")), "disclosing")
+    held_classes = stand.select("_row", F.explode(F.array(*[_ending(k)(F.col("term")) for k in CLASS_LETTERS])).alias("class")).distinct()
+    wanted = looked.join(wide.select("ec", "class").distinct(), "ec")
+    both = wanted.join(held_classes, ["_row", "class"], "left_semi").groupBy("ec", "class").agg(F.count("*").alias("n_both"))
+    fit = wide.join(both, ["ec", "class"]).join(told.withColumnRenamed("term", "class"), "class").where(share < generalise)
+    level = fit.groupBy("ec", "term").agg(F.min("level").alias("level"))
+    return sets, saved(shares.join(level, ["ec", "term"], "left").select("ec", "term", "share", F.coalesce("level", F.lit(len(CLASS_LETTERS))).alias("level")), "disclosing")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
@@ -309,10 +328,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
     require(docs, id_col, text_col)
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     found = saved(mentions(own, "_id", "_text").withColumn("_row", F.monotonically_increasing_id()), "mentions")
-    share = disclosing_terms(found, own, "_text", support, generalise, remove)
-    told = found.where(F.size("entities") > 0).select("_row", "terms", F.explode("entities").alias("entity")).join(share.select("entity").distinct(), "entity", "left_semi")
-    places = told.select("_row", "entity", F.explode("terms").alias("t")).select("_row", "entity", "t.term", "t.at").join(share, ["entity", "term"])
-    marked = places.select("_row", "share", "level", "term", F.explode("at").alias("p")).groupBy("_row", "p.start", "p.end", "term").agg(F.max("share").alias("share"), F.max("level").alias("level"))
+    sets, share = disclosing_terms(found, own, "_text", support, generalise, remove)
+    held = found.where(F.size("entities") > 0)
+    told = held.select("_row", F.explode("entities").alias("entity")).join(sets, "entity").select("_row", "ec").distinct()
+    hits = told.join(share, "ec").groupBy("_row", "term").agg(F.max("share").alias("share"), F.max("level").alias("level"))
+    places = held.select("_row", F.explode("terms").alias("t")).select("_row", "t.term", "t.at").join(hits, ["_row", "term"])
+    marked = places.select("_row", "share", "level", "term", F.explode("at").alias("p")).select("_row", "p.start", "p.end", "term", "share", "level")
     by = F.when(F.col("share") >= remove, "TERM").otherwise(reduce(lambda rest, k: F.when(F.col("level") == k, _ending(CLASS_LETTERS[k])(F.col("term"))).otherwise(rest), range(len(CLASS_LETTERS)), F.lit("WORD")))
     terms = marked.groupBy("_row").agg(F.collect_list(F.struct("start", "end", F.lit("term").alias("kind"), F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"), by.alias("by"))).alias("_terms"))
     base = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), F.lit("remove").alias("action"), F.upper(x["kind"]).alias("by")))

@@ -1,9 +1,12 @@
 import hashlib
 import math
 import random
+import time
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from recallspark.llm import pii
 
 PATTERNS = {
@@ -126,6 +129,27 @@ def test_many_mentions_in_one_text_take_linear_time(spark):
     assert len(pii.find(df).first().spans) == 100_000
 
 
+def test_many_entities_and_words_in_the_same_documents(spark):
+    """50,000 addresses and as many words, which all stand in the same three documents."""
+    letters = lambda k: "".join(chr(97 + int(c)) for c in f"{k:06d}")
+    text = " ".join(f"zq{letters(k)} someone{k}@mail.com" for k in range(50_000))
+    noise = [f"plain text number {letters(k)}" for k in range(300)]
+    df = spark.createDataFrame(list(enumerate([*(f"{text} copy{letters(k)}" for k in range(3)), *noise])), "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r.n for r in pii.find(df).select("doc_id", F.size("spans").alias("n")).collect()}
+    assert got[0] == got[1] == got[2] == 100_000 and got[10] == 0
+    assert time.time() - began < 120
+
+
+def test_filters_hold_all_and_grow(spark, monkeypatch):
+    monkeypatch.setattr(pii, "FILTER_BITS", (1 << 8, 1 << 12))
+    values = [f"w{k}é" for k in range(200)]
+    whole = pii._filter(spark.createDataFrame([(v,) for v in values], "v string"))
+    bits = pii._bits(whole)
+    assert len(bits) == 1 << 12 and all(bits[pii._slot(v, len(bits))] for v in values) and bits.sum() <= 200
+    assert len(pii._bits(pii._filter(spark.createDataFrame([], "v string")))) == 1 << 8
+
+
 def test_terms_that_reveal_an_entity(spark):
     noise = [f"plain common words number{chr(97 + k % 26)}{chr(97 + k // 26)} stand here" for k in range(300)]
     told = [f"{w} common zorblax wrote from boss@corp.com about {w} words" for w in ("alpha", "bravo", "charlie", "delta")]
