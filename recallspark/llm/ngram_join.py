@@ -357,8 +357,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     own, roots = _classes(docs, id_col, text_col)
     classes = own.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id")).join(roots, "set")
     least = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    classes = dealt_join(classes, least, "root", own.count()).select("set", "component_id")
-    out = own.join(classes, "set", "left")
+    n = own.count()
+    classes = dealt_join(classes, least, "root", n).select("set", "component_id")
+    # Copies of one text, and texts without words, may be any share of the rows: the ones are dealt, the others meet nothing.
+    out = dealt_join(own.where("set is not null"), classes, "set", n).select("doc_id", "n", "component_id").union(own.where("set is null").select("doc_id", "n", F.lit(None).cast("long")))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
