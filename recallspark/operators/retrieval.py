@@ -295,9 +295,10 @@ def spread(seeds: DataFrame, neighbors: DataFrame, hops: int = 3, decay: float =
     hebbian_weight.
     """
     factor = F.coalesce(F.create_map(*[F.lit(x) for kv in RELATION_FACTORS.items() for x in kv])[F.col("relation_type")], F.lit(1.0))
-    edges = neighbors.select("tag", "neighbor", (F.col("hebbian_weight") * decay * factor).alias("carry")).where("carry > 0")
+    edges = saved(neighbors.select("tag", "neighbor", (F.col("hebbian_weight") * decay * factor).alias("carry")).where("carry > 0").repartition("tag").sortWithinPartitions("tag"), "carries")
     state = seeds.select("qid", "tag", "activation")
-    for _ in range(hops):
+    for hop in range(hops):
+        state = saved(state, "frontier") if hop else state  # cuts the plan, which would hold each hop twice
         flow = state.join(edges, "tag").select("qid", F.col("neighbor").alias("tag"), (F.col("activation") * F.col("carry")).alias("p"))
         flow = flow.groupBy("qid", "tag").agg(F.max("p").alias("most"), F.sum("p").alias("sum"))
         state = state.join(flow, ["qid", "tag"], "full").select("qid", "tag", F.when(F.col("activation").isNull(), F.col("most")).otherwise(F.col("activation") + 0.3 * F.coalesce("sum", F.lit(0.0))).alias("activation"))
@@ -362,6 +363,7 @@ def recall(
     pool: int | None = None,
     text: str | list[str] = "text",
     n_tags: int = 5,
+    index: str | None = None,
 ) -> DataFrame:
     """End-to-end batch recall: qid, id, score, rank, raw_score, channels, tags and reasons of the k best memories of each query.
 
@@ -369,24 +371,28 @@ def recall(
     tag, relevance; tags: name, vec, is_dormant; neighbors as spread takes them; space_memories: space_id, memory_id; reviews: memory_id,
     recall_policy, quality_score.  Three channels of `depth` memories each, by vectors, by words and by activation that spreads from seed tags and the
     priors of the query's space, are fused by reciprocal ranks and re-ranked under governance.  Queries in a space have a pool of max(5 k, 30), or
-    `pool`; others have k, so what governance drops makes their answers shorter.  channels names those that found a memory.
+    `pool`; others have k, so what governance drops makes their answers shorter.  channels names those that found a memory.  With `index`, the path of
+    a full-text index of the memories (see bm25), words are looked up there instead of in their texts.  What is looked at more than once is written once.
     """
+    queries = saved(queries, "queries")
+    from recallspark.operators import bm25  # which uses tokens of this module
+
     q = queries.select("qid", "vec")
     by_vector = saved(vector_topk(q, memories.select("id", "vec"), max(depth, 5)), "nearest")
-    by_words = bm25_search(queries.select("qid", "text"), memories, "id", text, depth)
+    by_words = saved(bm25.search(queries.select("qid", "text"), index, depth) if index else bm25_search(queries.select("qid", "text"), memories, "id", text, depth), "words")
     named = vector_topk(q, tags.where(~F.col("is_dormant")).select(F.col("name").alias("id"), "vec"), 5)
     # The five nearest of memories and tags together are among the five nearest of each, so memories are searched once.
     both = _united([by_vector.where("rank <= 5").select("qid", F.col("id").cast("string").alias("id"), "score", "rank", F.lit("memory").alias("kind")), named.select("qid", "id", "score", "rank", F.lit("tag"))], "qid")
     near = _top(both.withColumnRenamed("rank", "_r"), ["qid"], [F.desc("score"), F.asc("kind"), F.asc("_r")], 5).drop("_r")
     seeds = with_priors(seed_tags(near), queries, space_priors(space_memories, mentions, tags))
-    by_graph = landing(spread(seeds, neighbors), mentions, memories, queries, depth)
+    by_graph = saved(landing(spread(saved(seeds, "seeds"), neighbors), mentions, memories, queries, depth), "graph")
     channels = {"vector": by_vector.where(F.col("rank") <= depth), "words": by_words, "graph": by_graph}
     ranked = _united([c.select("qid", "id", "rank", F.lit(name).alias("channel")) for name, c in channels.items()], "qid", "id")
     fused = ranked.groupBy("qid", "id").agg(F.round(F.sum(1 / (60 + F.col("rank"))), 9).alias("raw_score"), F.sort_array(F.collect_set("channel")).alias("channels"))
     wide = F.when(F.col("space_id").isNull(), k).otherwise(pool or max(5 * k, 30))
     fused = fused.withColumn("rank", F.row_number().over(W.Window.partitionBy("qid").orderBy(F.desc("raw_score"), "id")))
-    fused = fused.join(queries.select("qid", wide.alias("_wide")), "qid").where(F.col("rank") <= F.col("_wide")).drop("_wide")
-    best = rerank(fused.withColumn("score", F.col("raw_score")), memories, reviews, queries, as_of, k, mode)
+    fused = saved(fused.join(queries.select("qid", wide.alias("_wide")), "qid").where(F.col("rank") <= F.col("_wide")).drop("_wide"), "fused")
+    best = saved(rerank(fused.withColumn("score", F.col("raw_score")), memories, reviews, queries, as_of, k, mode), "best")
     first = W.Window.partitionBy("memory_id").orderBy(F.desc("relevance"), "tag")
     wanted = best.select(F.col("id").alias("memory_id")).distinct()
     words = mentions.join(wanted, "memory_id", "left_semi").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= n_tags)

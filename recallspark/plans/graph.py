@@ -28,16 +28,18 @@ def _seeds(s, d):
 
 
 def _active(s, d):
+    """Activation that spreads from the seeds of all askers."""
     return retrieval.spread(_seeds(s, d), saved(_awake_edges(s, d), "neighbors"))
 
 
-def _mentions(s, d):
-    return V.baskets(s, d).select("memory_id", F.explode(F.array_distinct("tags")).alias("tag")).withColumn("relevance", 0.5 + F.pmod("memory_id", F.lit(5)) / 10.0)
+def _mentions(s, d, baskets=None):
+    return (V.baskets(s, d) if baskets is None else baskets).select("memory_id", F.explode(F.array_distinct("tags")).alias("tag")).withColumn("relevance", 0.5 + F.pmod("memory_id", F.lit(5)) / 10.0)
 
 
 def _landed(s, d, k=10):
-    m = V.baskets(s, d).select(F.col("memory_id").alias("id"), "session_id", (F.col("session_id") % 25).alias("space_id"))
-    return retrieval.landing(_active(s, d), _mentions(s, d), m, _askers(s, d), k)
+    b = saved(V.baskets(s, d), "baskets")
+    m = b.select(F.col("memory_id").alias("id"), "session_id", (F.col("session_id") % 25).alias("space_id"))
+    return retrieval.landing(saved(_active(s, d), "active"), _mentions(s, d, b), m, _askers(s, d), k)
 
 
 def _vector_queries(s, d):
@@ -89,7 +91,7 @@ def _reviewed(v, n):
 
 def _recalled(s, d):
     """Recall over documents with vectors, words and a graph of their tags; every document whose id is divisible by 50 asks."""
-    m = V.remembered(s, d)
+    m = saved(V.remembered(s, d), "memories")
     k = F.col("id")
     space = F.when(k % 100 == 0, F.col("space_id"))
     q = m.where(k % 50 == 0).select(k.alias("qid"), F.array_join(F.slice(retrieval.tokens("raw_text"), 1, 2), " ").alias("text"), "vec", "session_id", space.alias("space_id"))
@@ -108,11 +110,11 @@ def _activation_events(s, d):
 
 def _chains(s, d):
     """Edges between brands whose numbers follow each other refine."""
-    b = V.baskets(s, d)
+    b = saved(V.baskets(s, d), "baskets")
     m = b.select("memory_id", "session_id", F.col("ts").alias("created_at"))
     n = b.select("memory_id", F.explode(F.array_distinct("tags")).alias("tag"))
     number = lambda c: F.substring(c, 7, 9).cast("int")
-    r = V.edges(s, d).where((F.col("hebbian_weight") >= 0.05) & (number("target_tag") - number("source_tag") == 1)).select("source_tag", "target_tag")
+    r = V.edges(s, d, b).where((F.col("hebbian_weight") >= 0.05) & (number("target_tag") - number("source_tag") == 1)).select("source_tag", "target_tag")
     return m, n, r
 
 
@@ -144,7 +146,7 @@ QUERIES = {
     "v10_rerank": lambda s, d: _reranked(s, d).select("qid", "id", "rank", F.round("score", 6).alias("score"), F.array_join("reasons", ",").alias("reasons")),
     "v12_recall": lambda s, d: _recalled(s, d).select("qid", "id", "rank", F.round("score", 6).alias("score"), F.array_join("channels", ",").alias("channels"), F.array_join("tags", ",").alias("tags"), F.array_join("reasons", ",").alias("reasons")),
     "g10_merge_chains": lambda s, d: tags.merge_chains(*_chains(s, d), 5),
-    "g10_copied_tags": lambda s, d: tags.copied_tags(tags.merge_chains(*_chains(s, d), 5), _chains(s, d)[1]),
+    "g10_copied_tags": lambda s, d: (lambda m, n, r: tags.copied_tags(tags.merge_chains(m, n, r, 5), n))(*_chains(s, d)),
 }
 
 

@@ -137,16 +137,16 @@ pairs AS (SELECT memory_id, session_id, ts, tags[i] AS source_tag, tags[j] AS ta
   FROM uniq, unnest(range(1, len(tags) + 1)) AS a(i), unnest(range(1, len(tags) + 1)) AS b(j) WHERE i < j)"""
 
 
-def pairs(spark, sf) -> DataFrame:
+def pairs(spark, sf, known: DataFrame | None = None) -> DataFrame:
     from recallspark.operators.tags import cooccurrences
 
-    return cooccurrences(baskets(spark, sf)).withColumn("relation_type", F.lit("CO_OCCUR")).withColumn("id", F.col("memory_id")).withColumn("sim", (F.lit(3) + F.col("memory_id") % 7) / 10.0)
+    return cooccurrences(baskets(spark, sf) if known is None else known).withColumn("relation_type", F.lit("CO_OCCUR")).withColumn("id", F.col("memory_id")).withColumn("sim", (F.lit(3) + F.col("memory_id") % 7) / 10.0)
 
 
-def edges(spark, sf) -> DataFrame:
+def edges(spark, sf, known: DataFrame | None = None) -> DataFrame:
     from recallspark.operators.tags import hebbian
 
-    return hebbian(pairs(spark, sf))
+    return hebbian(pairs(spark, sf, known))
 
 
 RELATIONS = ("CO_OCCUR", "DERIVED", "CAUSAL", "TEMPORAL", "CONTRADICT", "REFINES", "SUPERSEDES", "OTHER")
