@@ -28,12 +28,12 @@ def _flag(turns: DataFrame, name: str, default: Column) -> Column:
     return F.coalesce(F.col(name), F.lit(False)) if name in turns.columns else default
 
 
-def episode_turns(turns: DataFrame) -> DataFrame:
-    """session_id, episode_no, turn_index, role, role_in_episode, weight: a user turn worth remembering starts an episode."""
+def episode_turns(turns: DataFrame, start: Column | None = None) -> DataFrame:
+    """session_id, episode_no, turn_index, role, role_in_episode, weight: a user turn worth remembering, or one that `start` holds for, starts an episode."""
     upto = W.Window.partitionBy("session_id").orderBy("turn_index").rowsBetween(W.Window.unboundedPreceding, 0)
-    starts = (F.col("role") == "user") & is_memory_subject_text("content")
+    starts = (F.col("role") == "user") & (is_memory_subject_text("content") if start is None else start)
     own = turns.select(
-        "session_id", "turn_index", "role", starts.alias("starts"),
+        "session_id", "turn_index", "role", F.coalesce(starts, F.lit(False)).alias("starts"),
         _flag(turns, "is_final_answer", F.col("role") == "assistant").alias("final"),
         (_flag(turns, "is_tool_call", F.lit(False)) | _flag(turns, "is_tool_result", F.lit(False))).alias("tool"),
     ).withColumn("episode_no", F.sum(F.when(F.col("starts"), 1).otherwise(0)).over(upto)).where("episode_no > 0")
@@ -62,6 +62,24 @@ def extract(turns: DataFrame, found: DataFrame, existing: DataFrame | None = Non
     return out if existing is None else out.join(existing.select("memory_id"), "memory_id", "left_anti")
 
 
+def placeholders(turns: DataFrame, least: int = 30, title: str = "Memory") -> DataFrame:
+    """One memory for each user turn of `least` characters, which starts an episode, without any of its text: ids are hashes of its place and content.
+
+    content_length and content_hash are taken where turns have them, so texts need not be there.  memory_id, session_id, episode_id, title (numbered within
+    the session), start_turn, end_turn, n_turns, granularity, speaker_scope and confidence; the turn is the memory's one source.
+    """
+    size = F.col("content_length") if "content_length" in turns.columns else F.length("content")
+    said = F.col("content_hash") if "content_hash" in turns.columns else F.sha2("content", 256)
+    found = episodes(episode_turns(turns, size >= least)).select("session_id", "episode_no", "start_turn", "end_turn", "n_turns")
+    out = found.join(turns.select("session_id", F.col("turn_index").alias("start_turn"), said.alias("_h")), ["session_id", "start_turn"])
+    hashed = lambda prefix, *parts: F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256), 1, 24))
+    out = out.withColumn("episode_id", hashed("ep_", F.col("session_id"), F.col("start_turn"), F.col("_h")))
+    return out.select(
+        hashed("mem_", F.col("episode_id"), F.col("_h")).alias("memory_id"), "session_id", "episode_id", F.concat(F.lit(f"{title} "), F.col("episode_no").cast("string")).alias("title"), "start_turn", "end_turn", "n_turns",
+        F.lit("turn").alias("granularity"), F.lit("user_claim").alias("speaker_scope"), F.lit(0.5).alias("confidence"),
+    )
+
+
 def evidence(memories: DataFrame) -> DataFrame:
     """memory_id, session_id, turn_index, evidence_role, weight of extracted memories."""
     own = F.array(F.struct(F.col("source_turn").alias("turn_index"), F.lit("source").alias("evidence_role"), F.lit(1.0).alias("weight")), F.struct(F.col("support_turn").alias("turn_index"), F.lit("support").alias("evidence_role"), F.lit(0.5).alias("weight")))

@@ -56,6 +56,7 @@ def _watched(s, d):
 QUERIES = {
     "r1_turn_pairs": lambda s, d: turns.pair(V.turns(s, d)),
     "r2_episode_turns": lambda s, d: turns.episode_turns(V.turns(s, d)),
+    "r2_placeholders": lambda s, d: turns.placeholders(V.turns(s, d)),
     "r2_episodes": lambda s, d: _chain(s, d)[2],
     "r3_memories": lambda s, d: _chain(s, d)[3],
     "r3_evidence": lambda s, d: _chain(s, d)[4],
@@ -99,6 +100,10 @@ ORACLES = {
         n AS (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY turn_index) AS BIGINT) AS pair_no FROM said)
         SELECT session_id, pair_no, left(string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || c, chr(10) ORDER BY turn_index), 5000) AS text FROM n WHERE pair_no > 0 GROUP BY session_id, pair_no""",
     "r2_episode_turns": f"{_EP} SELECT session_id, episode_no, turn_index, role, role_in_episode, weight FROM linked",
+    "r2_placeholders": f"""WITH {V.TURNS}, n AS (SELECT *, sum(CASE WHEN role = 'user' AND length(content) >= 30 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY turn_index) AS no FROM turns),
+        e AS (SELECT session_id, no, min(turn_index) AS start_turn, max(turn_index) AS end_turn, count(*) AS n_turns, sha256(arg_min(content, turn_index)) AS h FROM n WHERE no > 0 GROUP BY session_id, no),
+        i AS (SELECT *, 'ep_' || left(sha256(session_id::VARCHAR || '|' || start_turn::VARCHAR || '|' || h), 24) AS episode_id FROM e)
+        SELECT 'mem_' || left(sha256(episode_id || '|' || h), 24) AS memory_id, session_id, episode_id, 'Memory ' || CAST(no AS BIGINT)::VARCHAR AS title, start_turn, end_turn, n_turns, 'turn' AS granularity, 'user_claim' AS speaker_scope, 0.5::DOUBLE AS confidence FROM i""",
     "r2_episodes": f"{_EP} SELECT session_id, episode_no, start_turn, end_turn, n_turns, answer_turn, episode_id, title FROM eps2",
     "r3_memories": f"{_EP} SELECT * FROM mems",
     "r3_evidence": f"{_EP} SELECT * FROM ev",

@@ -11,10 +11,10 @@ from recallspark.plans.graph import _mentions
 
 
 def _stamped(s, d):
-    """Texts that say what was done, of which many say the same within minutes, as their numbers repeat."""
+    """Texts of which a third begins with what was done; many say the same within minutes, as their numbers repeat."""
     m = V.memories(s, d)
     k = F.col("id")
-    said = F.when(k % 3 == 0, F.concat(F.lit("添加了一个测试待办“买牛奶 "), (k % 12).cast("string"), F.lit(" 号”。 "), F.substring("raw_text", 1, 60))).when(k % 3 == 1, F.concat(F.lit("note "), (k % 9).cast("string"))).otherwise(F.col("raw_text"))
+    said = F.when(k % 3 == 0, F.concat(F.lit("添加了一个测试待办“买牛奶 "), (k % 12).cast("string"), F.lit(" 号”。 "), F.coalesce("raw_text", F.lit("")))).otherwise(F.col("raw_text"))
     return m.withColumns({"raw_text": said, "created_at": F.timestamp_seconds(F.lit(1704067200) + k * 20), "title": F.when(k % 2 == 0, "t").otherwise(F.col("title")), "summary": F.when(k % 2 == 0, F.concat(F.lit("s"), (k % 5).cast("string"))).otherwise(F.col("summary"))})
 
 
@@ -93,7 +93,7 @@ _SCAN = """{name}n AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY
           UNION ALL SELECT x.id, k, x.rn, CASE WHEN x.ts > y.last + INTERVAL 10 MINUTE THEN x.ts ELSE y.last END, x.ts > y.last + INTERVAL 10 MINUTE FROM {name}k y JOIN {name}n x ON x.{key} = y.k AND x.rn = y.rn + 1), {name} AS (SELECT {name}n.* EXCLUDE (rn), coalesce(q.kept, true) AS kept FROM {name}n LEFT JOIN {name}k q USING (id))"""
 _HISTORY = "hist AS (SELECT make_timestamp((986083200 + n_nationkey * 3600)::BIGINT * 1000000) AS taken_at, CAST(n_nationkey + 100 AS BIGINT) AS n_memories, n_name AS hot_tags FROM nation)"
 ORACLES = {
-    "d4_records": f"""WITH RECURSIVE {V.MEMORIES}, st AS (SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN '添加了一个测试待办“买牛奶 ' || (id % 12)::VARCHAR || ' 号”。 ' || left(raw_text, 60) WHEN id % 3 = 1 THEN 'note ' || (id % 9)::VARCHAR ELSE raw_text END AS raw_text, TIMESTAMP '2024-01-01' + to_seconds(id * 20) AS created_at, CASE WHEN id % 2 = 0 THEN 't' ELSE title END AS title, CASE WHEN id % 2 = 0 THEN 's' || (id % 5)::VARCHAR ELSE summary END AS summary) FROM mem),
+    "d4_records": f"""WITH RECURSIVE {V.MEMORIES}, st AS (SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN '添加了一个测试待办“买牛奶 ' || (id % 12)::VARCHAR || ' 号”。 ' || coalesce(raw_text, '') ELSE raw_text END AS raw_text, TIMESTAMP '2024-01-01' + to_seconds(id * 20) AS created_at, CASE WHEN id % 2 = 0 THEN 't' ELSE title END AS title, CASE WHEN id % 2 = 0 THEN 's' || (id % 5)::VARCHAR ELSE summary END AS summary) FROM mem),
         n0 AS (SELECT id, created_at AS ts, {_NORM("raw_text")} AS nr, {_NORM("title || chr(10) || summary || chr(10) || coalesce(raw_text, '')")} AS nj, {_NORM("title || chr(10) || summary")} AS nt FROM st),
         n AS (SELECT id, ts, CASE WHEN nr = '' THEN '#' || id::VARCHAR ELSE nr END AS h, CASE WHEN id % 3 = 0 THEN 'todo_add:' || {_NORM("'买牛奶 ' || (id % 12)::VARCHAR || ' 号'")} END AS ak, CASE WHEN id % 3 = 0 THEN 'todo_add:' || left(nj, 160) ELSE left(nj, 180) END AS fk, nt AS tk FROM n0),
         a AS (SELECT *, arg_min(id, (ts, id)) OVER (PARTITION BY h) = id AS ok FROM n),
