@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from recallspark.llm._common import fold, fresh, map_batches, require, slices, table
 
 #: At most so many labelled documents of each class, and so many pieces of them, make the dictionaries; and so many more documents calibrate the score.
-DICTIONARY_ROWS, DICTIONARY_PIECES, CALIBRATION_ROWS = 1500, 6000, 8000
+DICTIONARY_ROWS, DICTIONARY_PIECES, CALIBRATION_ROWS = 1500, 12_000, 8000
 #: Bytes of a dictionary, and of the pieces that a text is compressed in (a long text must not learn from itself).
 DICTIONARY_BYTES, PIECE = 112_640, 512
 LEVEL = 3
@@ -106,14 +106,14 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[dict]:
     """Pieces of whole texts, each with a hash of its document and place."""
     for y, h, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
         data = (text or "").encode()
-        own = [data[k : k + 4 * PIECE] for k in range(0, max(1, len(data)), 4 * PIECE)]
+        own = [data[k : k + PIECE] for k in range(0, max(1, len(data)), PIECE)]
         yield {"y": [y] * len(own), "h": [int.from_bytes(hashlib.blake2b(f"{h}:{k}".encode(), digest_size=7).digest(), "big") for k in range(len(own))], "piece": own}
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", dictionary_rows: int = DICTIONARY_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
     """Learn from a bounded sample of labelled rows: the first by a hash of their id, other rows for each purpose.
 
-    The dictionaries are trained on pieces of 2048 bytes from anywhere in the whole texts of their rows, at most DICTIONARY_PIECES
+    The dictionaries are trained on pieces of PIECE bytes, as texts are compressed in, from anywhere in the whole texts of their rows, at most DICTIONARY_PIECES
     of a class, the first by a hash of id and place; so what comes to the driver is bounded however long texts are.
 
     Labels other than 0 and 1 and ids with contradicting labels are left out.  Where a class is missing, the model
