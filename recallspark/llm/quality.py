@@ -75,10 +75,16 @@ def expand(x: np.ndarray, mean, scale) -> np.ndarray:
 RIDGE = 0.1
 
 
+def balance(y: np.ndarray) -> np.ndarray:
+    """Weights of the rows, so that both classes weigh the same: a score does not say how many documents of a sample were good."""
+    good = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
+    return len(y) / 2 / np.where(y == 1, good[0], good[1])
+
+
 def loss(w: np.ndarray, a: np.ndarray, y: np.ndarray) -> float:
-    """Summed log loss of the labels, and the ridge."""
+    """Summed log loss of the labels, both classes weighing the same, and the ridge."""
     z = a @ w
-    return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * RIDGE * (w * w).sum())
+    return float((balance(y) * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * RIDGE * (w * w).sum())
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[tuple, tuple, tuple]:
@@ -89,10 +95,10 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[tuple, tuple, tuple]:
     mean, scale = x.mean(0), x.std(0) + 1e-9
     a = expand(x, mean, scale)
     w = np.zeros(a.shape[1])
-    now = loss(w, a, y)
+    now, even = loss(w, a, y), balance(y)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + RIDGE * np.eye(len(w)), a.T @ (p - y) + RIDGE * w)
+        step = np.linalg.solve((a * (even * p * (1 - p))[:, None]).T @ a + RIDGE * np.eye(len(w)), a.T @ (even * (p - y)) + RIDGE * w)
         size = 1.0
         while (new := loss(w - size * step, a, y)) > now and size > 1e-10:
             size /= 2
