@@ -9,8 +9,9 @@ from recallspark.llm import language, packing, pii, quality
 from recallspark.llm._common import fold, saved, table
 from recallspark.llm.ngram_join import first_rows
 
-#: A document stays if its quality score and the probability of its language are at least so high.
-QUALITY, LANGUAGE = 0.5, 0.3
+#: A document stays if its quality score and the probability of its language are at least so high.  Quality weighs good and bad the same; as most documents are good, only
+#: those go that are bad six times as likely.
+QUALITY, LANGUAGE = 0.15, 0.3
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
