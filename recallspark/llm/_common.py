@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -50,6 +52,15 @@ def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
         yield batch.slice(k, rows)
 
 
+def trim() -> None:
+    """Give what is free back to the system: a worker lives on, and its next tasks are of other stages."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def fold(col: str, mod: int) -> F.Column:
     """crc32 of the id as text, modulo mod: the split into learning and held-out rows."""
     return (F.crc32(F.col(col).cast("string").cast("binary")) % mod).cast("int")

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from tokenizers import Tokenizer
 
-from recallspark.llm._common import require, table
+from recallspark.llm._common import require, table, trim
 
 #: Context sizes; the last one is the window.
 TIERS = (512, 1024, 2048, 4096)
@@ -284,6 +284,7 @@ def pack(
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         base = TaskContext.get().partitionId() << 40
         coder, packer, steps, count = WordIds.of(path), Packer(tiers, hold), Steps(step, ranks), 0
         steps.next = base

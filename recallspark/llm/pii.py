@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from recallspark.llm._common import fresh, require, row_key, saved, slices, table
+from recallspark.llm._common import fresh, require, row_key, saved, slices, table, trim
 
 KINDS = ("email", "ip", "card", "phone")
 #: A term is looked at from so many different documents of an entity; it is generalised where it gives away this share of the
@@ -176,7 +176,7 @@ def _slot(value: str | bytes, size: int) -> int:
     return zlib.crc32(raw) % size
 
 
-def _filter(values: DataFrame) -> np.ndarray:
+def _filter(values: DataFrame) -> bytes:
     """Bits of the slots of the values of a single column: FILTER_SHARE for each value, between the bounds of FILTER_BITS, set by an aggregation of words of 64 bits."""
     (name,) = values.columns
     least, most = FILTER_BITS
@@ -189,11 +189,12 @@ def _filter(values: DataFrame) -> np.ndarray:
     whole = np.zeros(size // 64, np.int64)
     for word, bits in words.collect():  # at most size / 64 rows
         whole[word] = bits
-    return whole
+    return whole.astype("<i8").tobytes()
 
 
-def _bits(whole: np.ndarray) -> np.ndarray:
-    return np.unpackbits(whole.astype("<i8").view(np.uint8), bitorder="little").astype(bool)
+def _has(bits: bytes, value: str | bytes) -> bool:
+    slot = _slot(value, 8 * len(bits))
+    return bool(bits[slot >> 3] >> (slot & 7) & 1)
 
 
 def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, copied: DataFrame) -> DataFrame:
@@ -205,7 +206,6 @@ def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, copied: DataFr
     packed, packed_keys = _filter(terms.select(F.explode(classes).alias("term")).distinct()), _filter(copied.select("key"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, repeated = _bits(packed), _bits(packed_keys)
         known: dict[str, tuple[str, ...]] = {}
         told: set[bytes] = set()
         seen: dict[str, int] = {}
@@ -225,7 +225,7 @@ def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, copied: DataFr
                 own = terms_of(text, base_spans(text))
                 key = witness(own)
                 hits: set[str] = set()
-                if maybe := bool(repeated[_slot(key, len(repeated))]):
+                if maybe := _has(packed_keys, key):
                     if key in told:
                         continue
                     if len(told) > KNOWN:
@@ -236,7 +236,7 @@ def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, copied: DataFr
                     if hit is None:
                         if len(known) > KNOWN:
                             known.clear()
-                        hit = known[term] = tuple(x for x in (term, *classes_of(term)) if bits[_slot(x, len(bits))])
+                        hit = known[term] = tuple(x for x in (term, *classes_of(term)) if _has(packed, x))
                     hits.update(hit)
                 if not maybe:
                     for term in hits:
@@ -249,6 +249,9 @@ def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, copied: DataFr
                 yield counted()
         if seen:
             yield counted()
+        known.clear()
+        told.clear()
+        trim()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
