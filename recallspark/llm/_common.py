@@ -42,6 +42,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], s
         for batch in batches:
             for cols in fn(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if not isinstance(cols[f.name], pa.Array) else cols[f.name].cast(f.type) for f in arrow], schema=arrow)
+        trim()
 
     return df.mapInArrow(run, schema)
 
@@ -55,6 +56,7 @@ def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
 def trim() -> None:
     """Give what is free back to the system: a worker lives on, and its next tasks are of other stages."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library

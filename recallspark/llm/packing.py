@@ -310,6 +310,8 @@ def pack(
             dealt += steps.close(tier)
         if dealt:
             yield rows(dealt)
+        del dealt, packer, steps
+        trim()
 
     return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
 

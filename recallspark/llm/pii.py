@@ -167,6 +167,7 @@ def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     for column, value in zip(columns, row, strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:], strict=True)]], schema=arrow)
+        trim()
 
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
