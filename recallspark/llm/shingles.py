@@ -10,7 +10,9 @@ _BYTES = np.random.default_rng(90_210).integers(1, 1 << 63, 256, dtype=np.uint64
 _PLACE = np.random.default_rng(90_211).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers: list[np.ndarray] = []
+#: Bytes of a text that are hashed together, and powers of an odd number modulo 2^64, and of its inverse, for each place in them.
+RUN = 1 << 16
+_POWER, _INVERSE = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(RUN - 1, x, np.uint64))]) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -19,25 +21,35 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2^64 and of its inverse, at least size of each; kept in each worker."""
-    if not _powers or len(_powers[0]) < size:
-        n = max(1 << 17, 1 << (size - 1).bit_length())
-        _powers[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, x, np.uint64))]) for x in (_ODD, pow(_ODD, -1, 1 << 64))]
-    return _powers[0], _powers[1]
-
-
 def words_of(text: str | None) -> np.ndarray:
-    """A 64-bit hash of every word [^\\x20\\x09-\\x0D]+ of a text, A-Z in lower case, in order."""
+    """A 64-bit hash of every word [^\\x20\\x09-\\x0D]+ of a text, A-Z in lower case, in order.
+
+    A word's hash follows from its bytes and their places in it.  Texts of any length are read in runs of RUN bytes; a word that goes on over runs is carried.
+    """
     if not text:
         return np.zeros(0, np.uint64)
     data = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
-    space = _SPACE[data]
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]])))
-    starts, ends = edges[::2], edges[1::2]
-    power, inverse = _power(len(data) + 1)
-    summed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * power[: len(data)])])
-    return _mix((summed[ends] - summed[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    found: list[np.ndarray] = []
+    carried = size = 0  # of a word that has not ended yet
+    for k in range(0, len(data), RUN):
+        part = data[k : k + RUN]
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[part], [True]])))
+        starts, ends = edges[::2], edges[1::2]
+        summed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[part] * _POWER[: len(part)])])
+        sums, sizes = (summed[ends] - summed[starts]) * _INVERSE[starts], (ends - starts).astype(np.uint64)
+        if size and _SPACE[part[0]]:
+            found.append(np.array([(carried + size) & _MASK], np.uint64))
+        elif size:
+            sums[0] = (carried + int(sums[0]) * pow(_ODD, size, 1 << 64)) & _MASK
+            sizes[0] += np.uint64(size)
+        carried = size = 0
+        if not _SPACE[part[-1]]:
+            carried, size = int(sums[-1]), int(sizes[-1])
+            sums, sizes = sums[:-1], sizes[:-1]
+        found.append(sums + sizes)
+    if size:
+        found.append(np.array([(carried + size) & _MASK], np.uint64))
+    return _mix(np.concatenate(found))
 
 
 def shingles_of(text: str | None, width: int = 5) -> np.ndarray:

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from recallspark.llm import components, ngram_join
+from recallspark.llm import components, ngram_join, shingles as hashed
 
 
 def shingles(text):
@@ -13,6 +13,20 @@ def shingles(text):
     return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4)))
 
 
+def test_words_are_hashed_run_by_run(monkeypatch):
+    """Whatever the runs, a word's hash is the polynomial of its own bytes."""
+    r = random.Random(5)
+    texts = ["a", " ", "\t\n", "x" * 40, "x" * 14 + " " + "y" * 7, " ab  Cd\x0b", *["".join(r.choice("abC é漢 \n ") for _ in range(r.randint(1, 60))) for _ in range(300)]]
+
+    def plain(text):
+        own = [sum(int(hashed._BYTES[b]) * pow(hashed._ODD, k, 1 << 64) for k, b in enumerate(w)) + len(w) for w in text.encode().lower().split()]
+        return hashed._mix(np.array([x % (1 << 64) for x in own], np.uint64)).tolist()
+
+    for run in (1, 2, 7, 1 << 16):
+        monkeypatch.setattr(hashed, "RUN", run)
+        assert [hashed.words_of(t).tolist() for t in texts] == [plain(t) for t in texts]
+
+
 def brute_components(texts):
     """doc_id -> (size of its set, smallest id of its component), by comparing all sets that share a shingle."""
     sets = {d: shingles(t) for d, t in texts.items()}
