@@ -56,17 +56,26 @@ def safe_parts(text: str, limit: int = LONG) -> Iterator[tuple[str, bool]]:
         yield text[start:], False
 
 
-def encode_text(text: str, enc: tiktoken.Encoding, pieces: regex.Pattern) -> list[int]:
+def id_parts(text: str, enc: tiktoken.Encoding, pieces: regex.Pattern) -> Iterator[list[int]]:
+    """The ids of a whole text, part by part, so that no list grows with a long text."""
     if len(text) <= LONG:
-        return enc.encode_ordinary(text)
-    ids: list[int] = []
+        yield enc.encode_ordinary(text)
+        return
     for part, by_match in safe_parts(text):
-        if by_match:
-            for match in pieces.finditer(part):
-                ids += enc._encode_single_piece(match.group())
-        else:
-            ids += enc.encode_ordinary(part)
-    return ids
+        if not by_match:
+            yield enc.encode_ordinary(part)
+            continue
+        ids: list[int] = []
+        for match in pieces.finditer(part):
+            ids += enc._encode_single_piece(match.group())
+            if len(ids) > LONG:
+                yield ids
+                ids = []
+        yield ids
+
+
+def encode_text(text: str, enc: tiktoken.Encoding, pieces: regex.Pattern) -> list[int]:
+    return [i for part in id_parts(text, enc, pieces) for i in part]
 
 
 def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_file: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -84,8 +93,15 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         enc, pieces = encoder(path, pattern)
         for part in slices(batch):
-            ids = [encode_text(text or "", enc, pieces) for text in part.column(1).to_pylist()]
-            yield {id_col: part.column(0), "ids": [np.array(x, "<u4").tobytes() for x in ids], "decoded": [enc.decode_bytes(x) for x in ids]}
+            ids, decoded = [], []
+            for text in part.column(1).to_pylist():
+                own, back = bytearray(), bytearray()
+                for some in id_parts(text or "", enc, pieces):
+                    own += np.array(some, "<u4").tobytes()
+                    back += enc.decode_bytes(some)
+                ids.append(bytes(own))
+                decoded.append(bytes(back))
+            yield {id_col: part.column(0), "ids": ids, "decoded": decoded}
 
     return map_batches(df.select(id_col, F.col(text_col).cast("string")), run, schema)
 

@@ -25,6 +25,7 @@ def test_long_texts_are_cut_safely(monkeypatch):
         monkeypatch.setattr(bpe.safe_parts, "__defaults__", (limit,))
         for text in fuzz(limit, 400, 60) + ["a" * 300, " " * 300, "x" + " " * 200 + "y" * 100, "1a2b" * 50]:
             assert bpe.encode_text(text, enc, pieces) == enc.encode_ordinary(text), (limit, text)
+            assert b"".join(enc.decode_bytes(x) for x in bpe.id_parts(text, enc, pieces)).decode() == text
 
 
 def test_very_long_runs():
