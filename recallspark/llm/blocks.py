@@ -17,7 +17,7 @@ WIDE = 1024
 
 def usable(vec: str) -> F.Column:
     """A vector that is there, and holds no null and nothing infinite or undefined; one without components is usable."""
-    good = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    good = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (x < float("inf")) & (x > float("-inf")))
     return F.col(vec).isNotNull() & F.coalesce(good, F.lit(False))
 
 

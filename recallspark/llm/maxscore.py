@@ -33,7 +33,7 @@ class Shard:
         head = min(HEAD, self.n)
         self.tops = [np.argpartition(w, self.n - head)[self.n - head :] for w in self.weights]
         self.bottoms = [np.argpartition(w, head - 1)[:head] for w in self.weights]
-        self.largest = int(max(-self.low.min(), self.high.max(), 1))
+        self.largest = max(-int(self.low.min()), int(self.high.max()), 1)
 
     def search(self, own_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and scores of the k best rows; ties go to the smaller id.
@@ -44,7 +44,10 @@ class Shard:
         """
         q = np.zeros(self.terms, np.int64)
         q[: min(len(query), self.terms)] = query[: self.terms]
-        exact = float(np.abs(q).sum()) * self.largest < 2**52
+        reach = float(np.abs(q.astype(np.float64)).sum()) * self.largest
+        if reach >= 2**62:
+            return self.search_wide(own_id, q, k)
+        exact = reach < 2**52
         weights = self.floats() if exact else self.weights
         q = q.astype(weights.dtype)
         bound = np.maximum(q * self.low, q * self.high)
@@ -75,6 +78,16 @@ class Shard:
         order = np.lexsort((self.ids[rows], -part))[:k]
         return rows[order], part[order].astype(np.int64)
 
+    def search_wide(self, own_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """As `search` where a sum may leave 64 bits: integers of any size over all postings; a score beyond a long is given as the end of its range."""
+        rows = np.flatnonzero(self.ids != own_id)
+        sums = np.zeros(len(rows), object)
+        for t in np.flatnonzero(q):
+            sums += self.weights[t, rows].astype(object) * int(q[t])
+        score = np.array([min(max(s, -(2**63)), 2**63 - 1) for s in sums], np.int64)
+        order = np.lexsort((self.ids[rows], ~score))[:k]
+        return rows[order], score[order]
+
     def floats(self) -> np.ndarray:
         """The same integers as doubles, where all sums are exact in these."""
         if not hasattr(self, "_floats"):
@@ -88,6 +101,8 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 5, id_col: str = "vec_i
     Returns query_id, rank (from 1), vec_id, score; a query is not compared with items of its own id, equal scores go by
     the smaller id, and there are fewer rows where there are fewer items.  A missing component counts as 0, so a
     vector without components scores 0; rows that are null or hold nulls take no part; a query id that comes twice is asked once; repeated items each count.
+    Components are longs (`quantised` gives the end of that range for what is beyond it); sums are exact, and a score beyond a long is given as the end of its range, so such
+    scores are ties.
     Items are dealt into shards by a hash of the id; in a shard, rows of like lengths share posting lists, so one long vector costs
     its own length only.  Each shard returns k rows for each query, and the shards are merged.  Other columns are left out.
     """

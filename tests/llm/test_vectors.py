@@ -86,6 +86,17 @@ def test_maxscore_edge_cases(spark):
     assert items.where(F.col("vec_id") == 2001).count() == 1
 
 
+def test_scores_beyond_a_long(spark):
+    rows = [(1, [1e12, 3e8]), (2, [3e8, 1e12]), (3, [1e30, -1.0]), (4, [-1e30, 5.0]), (5, [2.0, 1.0]), (6, [2.0, 1.0])]
+    items = maxscore.quantised(frame(spark, rows))
+    low, high = -(2**63), 2**63 - 1
+    v = {k: [min(max(math.floor(256 * x), low), high) for x in own] for k, own in rows}
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in maxscore.top_k(items, items, k=5, shard_rows=2).collect()}
+    for q in v:
+        best = sorted((-min(max(sum(a * b for a, b in zip(v[q], v[k])), low), high), k) for k in v if k != q)
+        assert [got[q, i + 1] for i in range(5)] == [(k, -s) for s, k in best]
+
+
 def test_one_very_long_vector_and_many_lengths(spark):
     r = random.Random(3)
     rows = [(k, [r.gauss(0, 1) for _ in range(1 + k % 40)]) for k in range(200)] + [(999, [1.0] * 1_000_000)]
