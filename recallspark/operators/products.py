@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,8 +13,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from recallspark.sources.scratch import saved
 
-#: Weights of queries in a block, rows of memories in a block, and cells of a matrix in a task.
-WEIGHTS, ROWS, CELLS = 500_000, 100_000, 4 << 20
+#: Weights of queries in a block, rows of memories in a block, cells of a matrix in a task, and sets of terms in a block.
+WEIGHTS, ROWS, CELLS, SETS = 500_000, 100_000, 4 << 20, 50_000
 
 
 def _codes(left: pa.ChunkedArray, right: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,3 +166,63 @@ def _kinds(kind: np.ndarray, wide: int) -> list[tuple[int, int]]:
     """Begin and end of runs of one kind, none longer than `wide`."""
     cuts = np.flatnonzero(np.append(True, kind[1:] != kind[:-1])).tolist()
     return [(n, min(n + wide, b)) for a, b in zip(cuts, [*cuts[1:], len(kind)], strict=True) for n in range(a, b, wide)]
+
+
+def conjunctions(terms: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+    """qid, id, score, rank: the k best documents that hold all terms of a query, by the sum of their parts, rounded to six digits; ties go to the smaller id.
+
+    terms: qid, term; postings: term, id, part.  Queries of the same terms are asked once.  Blocks of postings by documents meet blocks of about SETS sets of terms in tasks that intersect sorted lists and return k
+    documents of each set.
+    """
+    asked = saved(terms.groupBy("qid").agg(F.array_sort(F.collect_set("term")).alias("set")), "asked")  # a query's own words
+    sets, rows = saved(asked.select("set").distinct(), "sets"), saved(postings.select("term", "id", F.col("part").cast("double").alias("part")), "postings")
+    n_q, n_i = max(1, -(-sets.count() // SETS)), max(1, -(-rows.count() // (10 * ROWS)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    a = sets.withColumns({"_q": place("set", n_q), "_i": every(n_i)})
+    b = rows.withColumns({"_q": every(n_q), "_i": place("id", n_i)})
+    out = T.StructType([sets.schema["set"], rows.schema["id"], T.StructField("score", T.DoubleType())])
+    arrow = to_arrow_schema(out)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return arrow.empty_table()
+        right = right.sort_by([("term", "ascending"), ("id", "ascending")])
+        words = right["term"].combine_chunks().dictionary_encode()
+        words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+        code, names = words.indices.to_numpy(), words.dictionary.to_pylist()
+        order = pc.rank(right["id"], tiebreaker="dense").to_numpy().astype(np.int64)  # documents as numbers in the order of their ids
+        first = np.zeros(int(order.max()) + 1, np.int64)
+        first[order] = np.arange(len(order))
+        part, cuts = right["part"].to_numpy(), np.searchsorted(code, np.arange(len(names) + 1))
+        lists = {name: (order[cuts[n] : cuts[n + 1]], part[cuts[n] : cuts[n + 1]]) for n, name in enumerate(names)}
+        found: list[list] = [[], [], []]
+        for n, wanted in enumerate(left["set"].to_pylist()):
+            own = sorted((lists[w] for w in wanted if w in lists), key=lambda x: len(x[0]))
+            if len(own) < len(wanted):
+                continue
+            docs, score = own[0]
+            for other, more in own[1:]:
+                spot = np.searchsorted(other, docs)
+                spot[spot == len(other)] = 0
+                both = other[spot] == docs
+                docs, score = docs[both], score[both] + more[spot[both]]
+            score = np.round(score, 6)
+            if len(docs) > k:
+                least = np.partition(score, len(score) - k)[len(score) - k]
+                over = np.flatnonzero(score > least)
+                ties = np.flatnonzero(score == least)[: k - len(over)]
+                chosen = np.concatenate([over, ties])
+                docs, score = docs[chosen], score[chosen]
+            found[0].append(np.full(len(docs), n))
+            found[1].append(first[docs])
+            found[2].append(score)
+        if not found[0]:
+            return arrow.empty_table()
+        which, at, score = (np.concatenate(c) for c in found)
+        columns = [left["set"].combine_chunks().take(pa.array(which)), right["id"].combine_chunks().take(pa.array(at)), pa.array(score)]
+        return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=["set", "id", "score"]).cast(arrow)
+
+    met = a.groupBy("_q", "_i").cogroup(b.groupBy("_q", "_i")).applyInArrow(meet, out)
+    best = met.withColumn("rank", F.row_number().over(W.Window.partitionBy("set").orderBy(F.desc("score"), F.asc("id")))).where(F.col("rank") <= k)
+    return asked.join(best, "set").select("qid", "id", "score", "rank")

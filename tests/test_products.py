@@ -43,6 +43,23 @@ def test_pairs_are_not_shuffled(spark):
     met = []
     top = products.landing(one, mentions, memories, queries, 5)
     met.append(top.count())
-    assert met == [1500]
-    for frame in (top,):  # no join of queries with rows by a tag
+    terms = spark.range(300).selectExpr("id AS qid", "explode(array('a', concat('b', id % 3))) AS term")
+    postings = spark.range(3000).selectExpr("explode(array('a', concat('b', id % 3))) AS term", "id", "id / 1e4 AS part")
+    words = products.conjunctions(terms, postings, 5)
+    assert met == [1500] and {(x.qid, x.rank): x.id for x in words.collect()} == {(q, n + 1): 2999 - (2999 - q) % 3 - 3 * n for q in range(300) for n in range(5)}
+    for frame in (top, words):  # no join of queries with rows by a tag or a word
         assert "tag#" not in "".join(x for x in frame._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+
+
+def test_conjunctions(spark, monkeypatch):
+    monkeypatch.setattr(products, "ROWS", 5)
+    monkeypatch.setattr(products, "SETS", 3)
+    r = random.Random(6)
+    docs = {d: {w: r.randrange(1, 5) / 3 for w in r.sample("abcdef", r.randrange(0, 6))} for d in range(120)}
+    asked = {q: r.sample("abcdefz", r.randrange(1, 4)) for q in range(20)}
+    got = {}
+    out = products.conjunctions(spark.createDataFrame([(q, w) for q, ws in asked.items() for w in ws], "qid long, term string"), spark.createDataFrame([(w, d, p) for d, ws in docs.items() for w, p in ws.items()], "term string, id long, part double"), 4)
+    for x in sorted(out.collect(), key=lambda x: (x.qid, x.rank)):
+        got.setdefault(x.qid, []).append((x.id, x.score))
+    want = {q: sorted(((d, round(sum(ws[w] for w in words), 6)) for d, ws in docs.items() if set(words) <= set(ws)), key=lambda x: (-x[1], x[0]))[:4] for q, words in asked.items()}
+    assert got == {q: rows for q, rows in want.items() if rows}
