@@ -131,8 +131,11 @@ def action_of(joined: Column) -> Column:
     return reduce(lambda rest, a: F.when(joined.rlike("(?i)" + a[1]), a[0]).otherwise(rest), reversed(ACTIONS), F.lit(""))
 
 
-def action_keys(text: Column | str, title: Column | str | None = None, summary: Column | str | None = None) -> Column:
-    """Struct of action_key, entity_key and fact_key: what was done to which thing, as short hashes."""
+def action_keys(text: Column | str, title: Column | str | None = None, summary: Column | str | None = None, by_text: bool = False) -> Column:
+    """Struct of action_key, entity_key and fact_key: what was done to which thing, as short hashes.
+
+    The first quotation of title, summary and text names a task; `by_text`: that of the text, if it has one, as titles and summaries may quote what stands further on in it.
+    """
     joined = joined_text(text, F.lit("") if title is None else title, F.lit("") if summary is None else summary)
     short = lambda c: F.substring(F.sha2(c, 256), 1, 16)
 
@@ -140,6 +143,8 @@ def action_keys(text: Column | str, title: Column | str | None = None, summary:
         joined, action = x["joined"], x["action"]
         uuid = F.lower(F.regexp_extract(joined, "(?i)" + UUID, 0))
         quoted = F.regexp_extract(joined, QUOTED, 1)
+        if by_text:
+            quoted = F.coalesce(F.nullif(F.regexp_extract(text_of(text), QUOTED, 1), F.lit("")), quoted)
         named = F.regexp_extract(joined, "(?iU)" + SPACE_NAME, 1)
         name = F.when(action.startswith("todo"), quoted).when(action.startswith("space"), named).otherwise("")
         own = F.when(name != "", normalize_conversation(name)).otherwise(F.substring(x["norm"], 1, 80))

@@ -140,9 +140,9 @@ def records(memories: DataFrame, minutes: int = 10) -> DataFrame:
     """The fingerprint log: id, decision (created or skipped) and reason of every memory.
 
     Staged: exact text first, then the same action, the same fact, and the same title with summary within some minutes; each
-    stage looks at the survivors of the one before, so a row that is dropped late never blocks an early one.
+    stage looks at the survivors of the one before, so a row that is dropped late never blocks an early one.  A task is what the text itself quotes first.
     """
-    keyed = memories.withColumn("_k", action_keys("raw_text", "title", "summary"))
+    keyed = memories.withColumn("_k", action_keys("raw_text", "title", "summary", by_text=True))
     keyed = keyed.select("id", F.col("created_at").alias("ts"), normalized_hash("raw_text", "id").alias("h"), F.col("_k.action_key").alias("action_key"), F.col("_k.fact_key").alias("fact_key"), title_summary_key("title", "summary").alias("title_summary_key"))
     keyed = saved(keyed, "fingerprints")  # four stages look at the keys; texts are normalised once
     first = keyed.groupBy("h").agg(F.min_by("id", F.struct("ts", "id")).alias("kept_id"))

@@ -70,3 +70,12 @@ def test_subjects_titles_gates_and_dates(spark):
     assert one(X.content_length("t", F.lit("abc")), "{}") == 3
     assert one(X.title_key("t"), "A b-C! 中文é") == "abc中文é"
     assert one(X.quality_flags("t", F.lit("")), "my API key sk-1") == ["pollution:api key", "pollution:sk-"]
+
+
+def test_a_record_is_of_the_task_that_its_text_names(spark):
+    from recallspark.operators import dedupe
+
+    said = "添加了一个测试待办“买牛奶 3 号”。 "
+    rows = [(1, said + "one", "t", "s", 0), (2, said + 'two. key = "49c25cfcc734f18e"', 'two. key = "49c25cfcc734f18e"', 'two. key = "49c25cfcc734f18e"', 60), (3, "添加了一个测试待办 three", "u “买牛奶 3 号”", "v", 90)]
+    df = spark.createDataFrame(rows, "id long, raw_text string, title string, summary string, s long").selectExpr("*", "timestamp_seconds(s) AS created_at")
+    assert {r.id: r.reason for r in dedupe.records(df).collect()} == {1: None, 2: "action_duplicate", 3: "action_duplicate"}
