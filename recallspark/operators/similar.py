@@ -117,7 +117,7 @@ def top_similar(items: DataFrame, least: float, k: int = 10, approximate: bool =
         near = bucketed_topk(classes, least, k)
     else:
         near = vector_topk(classes.withColumnRenamed("id", "qid"), classes, k, least)
-    self = F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x), 9)
+    self = F.round(F.aggregate(F.col("vec").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x), 9)
     copies = first.where("n > 1").select(F.col("id").alias("qid"), "id", self.alias("score")).where(F.col("score") > least)
     near = saved(near.select("qid", "id", "score").unionByName(copies).repartition("qid"), "near")
     heads = _top(members, ["class_id"], [F.asc("id")], k + 1).select(F.col("class_id").alias("_c"), F.col("id").alias("other"))

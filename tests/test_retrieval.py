@@ -153,3 +153,50 @@ def test_buckets_of_many_blocks(spark):
     exact = {(r.qid, r.id) for r in similar.top_similar(frame(spark, data), 0.5, 6).collect()}
     found = {(r.qid, r.id, r.score) for r in similar.bucketed_topk(frame(spark, data), 0.5, 6, recall=0.9999, block=10).collect()}
     assert len(exact & {x[:2] for x in found}) >= 0.98 * len(exact)
+
+
+def test_topk_within_groups(spark):
+    data = [(k, x) for k, x in rows() if k is not None]
+    groups = spark.createDataFrame([(k, x, g) for k, x in data for g in ({k % 4, k % 3} if k % 5 else {k % 4})], "id long, vec array<double>, group int")
+    asked = groups.where("id % 7 = 0 and group <> 2").withColumnRenamed("id", "qid")
+    v, of = {k: x for k, x in data if good(x)}, {}
+    for k in v:
+        of[k] = {k % 4, k % 3} if k % 5 else {k % 4}
+    for size in ({}, {"query_rows": 5, "item_rows": 11}):
+        for least in (None, 0.3):
+            got = {}
+            for r in retrieval.group_topk(asked, groups, 6, least, **size).collect():
+                got.setdefault(r.qid, []).append((r.rank, r.id, r.score))
+            for q in [k for k in v if k % 7 == 0]:
+                best = sorted((-dot(v[q], x), k) for k, x in v.items() if k != q and len(x) == len(v[q]) and (of[q] - {2}) & of[k] and (least is None or dot(v[q], x) > least))[:6]
+                assert [(k, pytest.approx(-s, abs=2e-9)) for s, k in best] == [(k, s) for _, k, s in sorted(got.get(q, []))], q
+    plan = retrieval.group_topk(asked, groups, 6)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan  # no pair of a query and a candidate is joined
+
+
+def test_blocks_of_floats_are_few_and_exact(spark, monkeypatch):
+    r = random.Random(2)
+    data = [(k, [float(r.randrange(-64, 65)) / 64 for _ in range(8)]) for k in range(300)]  # exact as floats
+    v = spark.createDataFrame(data, "id long, vec array<float>")
+    assert retrieval._vectors(v, "id").schema["vec"].dataType.elementType.typeName() == "float"
+    assert retrieval._blocked(spark.range(200_000).selectExpr("id AS key", "array_repeat(1.0F, 64) AS vec"), None)[1] == 4  # 13 by rows of 16,384
+    monkeypatch.setattr(retrieval, "CELLS", 400)
+    monkeypatch.setattr(retrieval, "SCORES", 900)
+    for least in (1.0, dot(data[0][1], data[1][1])):
+        want = {(a, b) for a, x in data for b, y in data if a < b and dot(x, y) > least}
+        first = {}
+        for k, x in data:
+            first.setdefault(tuple(x), k)
+        assert {(x.a, x.b) for x in retrieval.similar_pairs(v, least).collect()} == {p for p in want if all(first[tuple(data[k][1])] == k for k in p)}
+        found = {(x.qid, x.id) for x in retrieval.vector_topk(v.withColumnRenamed("id", "qid"), v, None, least, broadcast=0).collect()}
+        assert {p for p in found if p[0] < p[1]} == want and len(found) == 2 * len(want)
+
+
+def test_new_assertions_join_within_their_source(spark):
+    a = spark.createDataFrame([(1, "d", [0.0, 1.0], 0.5, ["e"], False, False)], "id long, dimension string, vec array<double>, confidence double, evidences array<string>, locked boolean, is_superseded boolean")
+    new = [(10, "d", [1.0, 0.0], 0.6, ["n10"], 1), (11, "d", [1.0, 0.0], 0.6, ["n11"], 2), (12, "d", [1.0, 0.01], 0.6, ["n12"], 1), (13, "e", [1.0, 0.0], 0.6, ["n13"], 1)]
+    b = spark.createDataFrame(new, "id long, dimension string, vec array<double>, confidence double, evidences array<string>, source long")
+    _, inserted = persona.merge_assertions(a, b, within="source")
+    assert {r.id: sorted(r.evidences) for r in inserted.collect()} == {10: ["n10", "n12"], 11: ["n11"], 13: ["n13"]}
+    _, inserted = persona.merge_assertions(a, b)
+    assert {r.id: sorted(r.evidences) for r in inserted.collect()} == {10: ["n10", "n11", "n12"], 13: ["n13"]}
