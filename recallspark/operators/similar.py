@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from recallspark.operators.retrieval import _matrices, _top, _vectors, vector_topk
+from recallspark.operators.retrieval import SCORES, _kept, _matrices, _near, _top, _vectors, similar_topk
 from recallspark.sources.scratch import saved
 
 #: Vectors that share a bucket by chance, rows of a bucket that are compared as one block, rows of a task, and tables at most.
-STRANGERS, BLOCK, BUNDLE, TABLES = 64, 2048, 16_384, 200
+STRANGERS, BLOCK, BUNDLE, TABLES = 4096, 16_384, 32_768, 200
 
 
 def fitted(rows: int, least: float, recall: float) -> tuple[int, int]:
@@ -54,19 +54,17 @@ def bucketed_topk(items: DataFrame, least: float, k: int = 10, recall: float = 0
                         took = part.take(pa.array(rows))
                         yield from pa.table({"bucket": pa.array(code[:, t] * 31 + dim), "key": took["key"], "vec": took["vec"]}).to_batches()
 
-    each = saved(own.mapInArrow(dealt, entry), "buckets")
-    busy = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    each = own.mapInArrow(dealt, entry)  # made twice, as its vectors are many times the input
+    sizes = saved(own.select("key", "vec").mapInArrow(dealt, entry).groupBy("bucket").agg(F.count("*").alias("n")), "sizes")
     parts = F.ceil(F.col("n") / block).cast("int")
-    hot = F.broadcast(busy.where(F.col("n") > block).select("bucket", parts.alias("_parts")))  # buckets of over `block` rows: few by their size
-    small = busy.where(F.col("n") <= block).select("bucket")
-    spot = F.pmod(F.xxhash64("key"), F.col("_parts")).cast("int")
-    wide = each.join(hot, "bucket").withColumn("_s", spot)
+    hot = F.broadcast(sizes.where(F.col("n") > block).select("bucket", parts.alias("_parts")))  # buckets of over `block` rows: few by their size
+    wide = each.join(hot, "bucket", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    wide = wide.withColumn("_s", F.pmod(F.xxhash64("key"), F.col("_parts")).cast("int"))
     one = F.transform(F.sequence(F.col("_s"), F.col("_parts") - 1), lambda j: F.struct(F.col("_s").alias("i"), j.alias("j")))
     two = F.filter(F.transform(F.sequence(F.lit(0), F.col("_s")), lambda i: F.struct(i.alias("i"), F.col("_s").alias("j"))), lambda x: x["i"] < F.col("_s"))
-    wide = wide.select("bucket", "key", "vec", F.inline(F.concat(one, two)), F.col("_s"))
-    whole = each.join(small, "bucket", "left_semi").select("bucket", "key", "vec", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("_s"))
-    rows = whole.unionByName(wide)
-    bundles = max(1, -(-each.count() // BUNDLE))
+    rows = wide.select("bucket", "key", "vec", F.inline(F.concat(one, two)), F.col("_s"))
+    total = sizes.agg(F.coalesce(F.sum(F.col("n") * parts), F.lit(0))).first()[0]
+    bundles = max(1, -(-total // BUNDLE))
     rows = rows.withColumn("bundle", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(bundles)).cast("int"))
     kind = own.schema["key"].dataType
     out = T.StructType([T.StructField("qid", kind), T.StructField("id", kind), T.StructField("score", T.DoubleType())])
@@ -82,21 +80,20 @@ def bucketed_topk(items: DataFrame, least: float, k: int = 10, recall: float = 0
                 continue
             own = part.slice(a, b - a)
             side = own["_s"].to_numpy()
-            for rows, x in _matrices(own).values():
+            for rows, x in _matrices(own, False).values():
                 keys = own["key"].combine_chunks().take(pa.array(rows))
-                scores = np.round(x @ x.T, 9)
-                np.fill_diagonal(scores, -np.inf)
-                if own["i"][0].as_py() != own["j"][0].as_py():
-                    scores[side[rows][:, None] == side[rows][None]] = -np.inf  # the same side meets in a block of its own
-                good = scores > least
-                if scores.shape[1] > k:
-                    good &= scores >= np.partition(scores, scores.shape[1] - k, axis=1)[:, -k, None]
-                i, j = np.nonzero(good)
-                order = np.lexsort((j, -scores[i, j], i))  # rows are in the order of their keys
-                i, j = i[order], j[order]
-                first = np.searchsorted(i, i)
-                keep = np.arange(len(i)) - first < k
-                found.append(pa.table({"qid": keys.take(pa.array(i[keep])), "id": keys.take(pa.array(j[keep])), "score": scores[i[keep], j[keep]]}))
+                apart = own["i"][0].as_py() != own["j"][0].as_py()
+                best: list[tuple[np.ndarray, ...]] = []
+                for i, j, score in _near(x, x, least):
+                    good = i != j
+                    if apart:
+                        good &= side[rows[i]] != side[rows[j]]  # the same side meets in a block of its own
+                    best.append((i[good], j[good], score[good]))
+                    if sum(len(f[0]) for f in best[1:]) > SCORES:
+                        best = [_kept(best, k)]
+                if best:
+                    i, j, score = _kept(best, k)
+                    found.append(pa.table({"qid": keys.take(pa.array(i)), "id": keys.take(pa.array(j)), "score": score}))
         return pa.concat_tables(found).cast(arrow) if found else arrow.empty_table()
 
     near = rows.groupBy("bundle").applyInArrow(met, out).groupBy("qid", "id").agg(F.max("score").alias("score"))
@@ -116,7 +113,7 @@ def top_similar(items: DataFrame, least: float, k: int = 10, approximate: bool =
     if approximate:
         near = bucketed_topk(classes, least, k)
     else:
-        near = vector_topk(classes.withColumnRenamed("id", "qid"), classes, k, least)
+        near = similar_topk(classes, k, least)
     self = F.round(F.aggregate(F.col("vec").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x), 9)
     copies = first.where("n > 1").select(F.col("id").alias("qid"), "id", self.alias("score")).where(F.col("score") > least)
     near = saved(near.select("qid", "id", "score").unionByName(copies).repartition("qid"), "near")

@@ -200,3 +200,23 @@ def test_new_assertions_join_within_their_source(spark):
     assert {r.id: sorted(r.evidences) for r in inserted.collect()} == {10: ["n10", "n12"], 11: ["n11"], 13: ["n13"]}
     _, inserted = persona.merge_assertions(a, b)
     assert {r.id: sorted(r.evidences) for r in inserted.collect()} == {10: ["n10", "n11", "n12"], 13: ["n13"]}
+
+
+def test_similar_ones_meet_once_and_tell_both_sides(spark, monkeypatch):
+    r = random.Random(4)
+    data = [(k, [float(r.randrange(-8, 9)) for _ in range(6)]) for k in range(120)]
+    v = spark.createDataFrame(data, "id long, vec array<float>")
+    monkeypatch.setattr(retrieval, "TILE", (7, 16))
+    monkeypatch.setattr(retrieval, "SCORES", 40)
+    want = {(q, k) for q, x in data for _, k in sorted((-dot(x, y), k) for k, y in data if k != q and dot(x, y) > 30)[:4]}
+    for rows in (None, 25):
+        found = retrieval.similar_topk(v, 4, 30.0, rows)
+        assert {(x.qid, x.id) for x in found.collect()} == want
+        assert all(x.score == dot(data[x.qid][1], data[x.id][1]) for x in found.collect())
+    sent = spark.range(400_000).selectExpr("id AS key", "array_repeat(1.0F, 64) AS vec")
+    assert retrieval._blocked(sent, None)[1] == 4  # 7 blocks of a quarter of the components before, each sent to all
+
+
+def test_few_buckets_carry_vectors(spark):
+    bits, tables = similar.fitted(1_800_000, 0.92, 0.995)
+    assert tables <= 16 and bits == 9  # 39 tables of 15 bits before, so that many copies of each vector
