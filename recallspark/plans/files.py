@@ -141,7 +141,7 @@ def _late(s, d):
             parts.append(t.where("third = 0").select("content", at(b, 20).alias("at")))
         if b:
             parts.append(t.where(F.col("third") == (b + 1) % 3).select("content", at(b - 1, -1800).alias("at")))
-        reduce(DataFrame.union, parts).coalesce(1).write.parquet(f"{path}/{b}")
+        reduce(DataFrame.union, parts).repartition(s.sparkContext.defaultParallelism).write.parquet(f"{path}/{b}")  # files of all tasks, or few would read and gate the batch
         time.sleep(1.1)
         # Each call takes in what is new as one batch, and the watermark of the batches before holds.
         stream = s.readStream.schema("content string, at timestamp").parquet(f"{path}/*")
@@ -154,7 +154,7 @@ def _idle(s, d):
     path, out, check = (scratch_path(s, k) for k in ("turns", "answers", "state"))
     t = V.turns(s, d).where(F.col("role").isin("user", "assistant"))
     for b, part in enumerate((t.where("turn_index % 4 < 2"), s.range(1).select(F.lit(-1).cast("long").alias("session_id"), F.lit(0).cast("long").alias("turn_index"), F.lit("user").alias("role"), F.lit("tick").alias("content"), F.lit(0).alias("agent")), t.where("turn_index % 4 >= 2"))):
-        part.select("session_id", F.col("turn_index").cast("long"), "role", "content", F.timestamp_seconds(F.lit(1704067200 + 86_400 * b)).alias("at")).coalesce(1).write.parquet(f"{path}/{b}")
+        part.select("session_id", F.col("turn_index").cast("long"), "role", "content", F.timestamp_seconds(F.lit(1704067200 + 86_400 * b)).alias("at")).repartition(s.sparkContext.defaultParallelism).write.parquet(f"{path}/{b}")
         stream = s.readStream.schema("session_id long, turn_index long, role string, content string, at timestamp").parquet(f"{path}/*")
         ingest.run_once(ingest.watched(stream, at="at", idle=3600).withColumn("batch", F.lit(b)), out, check).awaitTermination()
     return s.read.parquet(out).select("session_id", "turn_index", F.when(F.col("batch") == 2, 1).otherwise(F.col("batch")).alias("batch"), F.sha2("conversation", 256).alias("h"))

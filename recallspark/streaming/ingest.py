@@ -52,12 +52,13 @@ def watched(turns: DataFrame, window: int = 10, last: int = 2, least: int = 30,
         newest = 0
         kept = list(zip(*state.get[:3], strict=True)) if state.exists else []
         answered = False
-        for frame in frames:
-            texts = frame["content"].fillna("").str.strip()
+        for frame in frames:  # lists, as most sessions have a few rows, for which calls on columns cost more than the rows
+            texts = [x.strip() if isinstance(x, str) else "" for x in frame["content"].tolist()]
+            roles = frame["role"].tolist()
             if at is not None:
-                newest = max(newest, int(frame["_ms"].max()))
-            answered |= bool(((frame["role"] == "assistant") & (texts.str.len() >= least)).any())
-            kept += zip(frame["turn_index"].astype("int64").tolist(), frame["role"].tolist(), texts.tolist(), strict=True)
+                newest = max(newest, max(frame["_ms"].tolist(), default=0))
+            answered |= any(role == "assistant" and len(text) >= least for role, text in zip(roles, texts, strict=True))
+            kept += zip(map(int, frame["turn_index"].tolist()), roles, texts, strict=True)
             kept = sorted(kept, key=lambda x: x[0])[-window:]
         state.update((*map(list, zip(*kept, strict=True)), max(newest, state.get[3] if state.exists else 0)))
         if at is not None:

@@ -127,3 +127,28 @@ def test_due_jobs(spark):
     rows = [("refresh", at(2, 0), 43200, None), ("late", at(1, 23), 43200, None), ("never", None, 5, None), ("risk", at(1, 23), 0, 10), ("risk done", at(2, 10), 0, 10), ("risk later", at(1, 9), 0, 13)]
     got = {r.job: r.due for r in ingest.due_jobs(spark.createDataFrame(rows, "job string, last_run timestamp, every long, hour int"), F.lit("2024-01-02 11:30:00").cast("timestamp")).collect()}
     assert got == {"refresh": False, "late": True, "never": True, "risk": True, "risk done": False, "risk later": False}
+
+
+def test_small_files_are_read_by_few_tasks(spark, tmp_path):
+    for k in range(300):
+        (tmp_path / f"d{k % 50}").mkdir(exist_ok=True)
+        (tmp_path / f"d{k % 50}" / f"{k}.jsonl").write_text('{"type": "message", "role": "user"}\n{broken\n')
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))  # a task for each file
+    try:
+        own = readers.lines(spark, f"{tmp_path}/*/*")
+        assert own.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism  # 300 before
+        assert own.count() == own.select("path", "pos").distinct().count() == 600
+        p = readers.profile_jsonl(spark, f"{tmp_path}/*/*").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(p) == 300 and {(r.valid, r.invalid, r.types["message"], r.roles["user"]) for r in p} == {(1, 1, 1, 1)}
+
+
+def test_batches_of_streams_are_files_of_many_tasks(spark, tmp_path, monkeypatch):
+    from recallspark.plans import files
+
+    for k, run in enumerate((files._late, files._idle)):
+        monkeypatch.setattr(files, "scratch_path", lambda s, name, k=k: f"{tmp_path}/{k}/{name}")
+        run(spark, "/root/testdata/sf0.001")
+    for name in ("0/late/0", "0/late/2", "1/turns/0"):
+        assert len(list(tmp_path.glob(f"{name}/*.parquet"))) > 1, name  # one file before, which one task read
