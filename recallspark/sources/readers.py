@@ -14,15 +14,19 @@ from pyspark.sql import window as W
 from recallspark.operators.ranges import numbered, running
 from recallspark.sources.scratch import saved
 
+TASKS = 8
 PARTS = "array<struct<type:string,text:string,name:string,tool_name:string>>"
 TOOL_CALLS, TOOL_RESULTS, TEXTS = ("tool_use", "function_call"), ("tool_result", "function_call_result"), ("text", "input_text", "output_text")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, pos, line of all files; blank lines are dropped.  pos orders the lines of a file: where their split begins, and their order in it."""
+    """path, pos, line of all files; blank lines are dropped.  pos orders the lines of a file: where their split begins, and their order in it.
+
+    Very many small files, of which Spark would give each task a few, are read by TASKS tasks for each core.
+    """
     pos = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
     whole = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("path"), pos.alias("pos"), F.regexp_replace("value", "\r$", "").alias("line"))
-    return whole.where(F.trim("line") != "")
+    return whole.where(F.trim("line") != "").coalesce(TASKS * spark.sparkContext.defaultParallelism)
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -113,10 +117,13 @@ def read_plain(spark: SparkSession, path: str) -> DataFrame:
 
 def profile_jsonl(spark: SparkSession, path: str, n: int = 20) -> DataFrame:
     """path, valid, invalid and the n most frequent types and roles of each file."""
-    own = lines(spark, path).withColumn("ok", F.try_parse_json("line").isNotNull())
-    total = own.groupBy("path").agg(F.sum(F.when(F.col("ok"), 1).otherwise(0)).alias("valid"), F.sum(F.when(F.col("ok"), 0).otherwise(1)).alias("invalid"))
-    for name, field in (("types", _field("$.type")), ("roles", _field("$.role", "$.message.role", "$.payload.role"))):
-        count = own.where("ok").select("path", field.alias("v")).where("v is not null").groupBy("path", "v").agg(F.count("*").alias("n"))
+    ok = F.try_parse_json("line").isNotNull()
+    fields = {"types": _field("$.type"), "roles": _field("$.role", "$.message.role", "$.payload.role")}
+    own = lines(spark, path).select("path", ok.alias("ok"), *[F.when(ok, v).alias(name) for name, v in fields.items()])
+    own = saved(own.groupBy("path", "ok", *fields).agg(F.count("*").alias("n")), "profiles")  # files are read once
+    total = own.groupBy("path").agg(F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("valid"), F.sum(F.when(F.col("ok"), 0).otherwise(F.col("n"))).alias("invalid"))
+    for name in fields:
+        count = own.where(F.col(name).isNotNull()).groupBy("path", F.col(name).alias("v")).agg(F.sum("n").alias("n"))
         best = count.withColumn("r", F.row_number().over(W.Window.partitionBy("path").orderBy(F.desc("n"), "v"))).where(F.col("r") <= n)
         total = total.join(best.groupBy("path").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("v", "n")))).alias(name)), "path", "left")
     return total
