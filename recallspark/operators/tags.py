@@ -135,11 +135,13 @@ def keyword_tags(docs: DataFrame, id_col: str = "id", text: str = "text", n: int
     """The n keywords of each document with the largest TF-IDF (tf / words * ln(N / df)) in its whole text."""
     words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
     own = docs.select(F.col(id_col).alias("doc"), F.explode(words).alias("term")).where((F.length("term") > 1) & ~F.col("term").isin(*stop))
-    tf = own.groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    tf = saved(own.groupBy("doc", "term").agg(F.count("*").alias("tf")), "terms")  # texts are taken apart once
     size = tf.groupBy("doc").agg(F.sum("tf").alias("size"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("total"))
-    weighed = tf.join(df, "term").join(size, "doc").join(F.broadcast(total)).select("doc", "term", (F.col("tf") / F.col("size") * F.log(F.col("total") / F.col("df"))).alias("weight"))
+    most = F.col("tf") / F.col("size") * F.log(F.col("total"))  # of a term that no other document has; what stays below need not meet its document frequency
+    able = tf.join(size, "doc").join(F.broadcast(total)).where(most > least - 1e-9)
+    weighed = able.join(df, "term").select("doc", "term", (F.col("tf") / F.col("size") * F.log(F.col("total") / F.col("df"))).alias("weight"))
     best = W.Window.partitionBy("doc").orderBy(F.desc(F.round("weight", 9)), "term")
     return weighed.where(F.col("weight") > least).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
 
