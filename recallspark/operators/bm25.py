@@ -7,31 +7,44 @@ bucket, `removed` (id, generation) and `log`, whose rows make a generation or a
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from recallspark.functions.text import let
 from recallspark.operators.retrieval import _top, tokens
 from recallspark.sources.scratch import saved
 
-#: Postings of a block, postings of a file about, and blocks that set a query's first threshold.
-BLOCK, FILE, FIRST = 128, 4_000_000, 8
+#: Postings of a block, postings of a file about, blocks that set a query's first threshold, and texts whose words are counted together.
+BLOCK, FILE, FIRST, ROWS = 128, 4_000_000, 8, 256
 K1, B = 1.2, 0.75
 _LOG = "seq long, kind string, generation string, docs long, words long, buckets int"
 
 
-def counted(words: Column) -> Column:
-    """The different words of an array with their counts (term, tf), in one pass over the sorted array."""
+def counted(docs: DataFrame, body: Column) -> DataFrame:
+    """term, id, size, tf: a row for each different word of a document (id).  Spark cuts texts into words, as for queries; their counts are made batch by batch."""
+    types = {f.name: f.dataType for f in docs.schema}
+    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("id", types["id"]), T.StructField("size", T.IntegerType()), T.StructField("tf", T.IntegerType())])
 
-    def runs(s: Column) -> Column:
-        placed = F.transform(s, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-        starts = F.filter(placed, lambda x: (x["i"] == 0) | (F.get(s, x["i"] - 1) != x["w"]))
-        return let(starts, lambda b: F.transform(b, lambda x, j: F.struct(x["w"].alias("term"), (F.coalesce(F.get(b, j + 1)["i"], F.size(s)) - x["i"]).alias("tf"))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+            words = pc.split_pattern(batch.column(1), " ")
+            flat = words.flatten().dictionary_encode()
+            codes, names = flat.indices.to_numpy(), flat.dictionary
+            rows = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
+            real = codes != names.index("").as_py()  # there are empty ones before a text's first word and after its last
+            keys, tf = np.unique(rows[real] * len(names) + codes[real], return_counts=True)
+            rows, codes = keys // max(len(names), 1), keys % max(len(names), 1)
+            size = np.bincount(rows, weights=tf, minlength=len(words)).astype(np.int32)
+            columns = [names.take(pa.array(codes)).cast(pa.string()), batch.column(0).take(pa.array(rows)), pa.array(size[rows]), pa.array(tf.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "id", "size", "tf"])
 
-    return let(F.array_sort(words), runs)
+    return docs.select("id", F.regexp_replace(F.lower(body), r"[^\p{L}\p{N}]+", " ")).mapInArrow(run, schema)
 
 
 def _impact(tf: Column, size: Column, mean: float) -> Column:
@@ -59,9 +72,9 @@ def _commit(spark: SparkSession, path: str, *row) -> None:
 def append(docs: DataFrame, path: str, id_col: str = "id", text: str | list[str] = "text", buckets: int = 64) -> None:
     """Add documents to an index; the first call builds it and sets the number of buckets.
 
-    Each text is read once for its length and once for its postings, whose counts are made within the row.  Postings are dealt by bucket and a hash of the id, so a
-    word of all documents spreads over files; in a file they are sorted by term, the best first, and cut into blocks, so that blocks differ in
-    what their best posting can give.  An id that is there already is added once more: `upsert` takes the old one out.
+    Each text is read once for its length and once for its postings, whose counts are made before anything is shuffled.  A file has the postings of one bucket and of some
+    hashes of the id, so a word of all documents spreads over files, and each is made by a task of its own; in a file they are sorted by one number, a hash of the
+    term and then the best first, and cut into blocks, so that blocks differ in what their best posting can give.  An id that is there already is added once more: `upsert` takes the old one out.
     """
     spark, generation = docs.sparkSession, uuid.uuid4().hex
     done = log(spark, path)
@@ -71,9 +84,11 @@ def append(docs: DataFrame, path: str, id_col: str = "id", text: str | list[str]
     n, words = spark.read.parquet(f"{path}/docs/generation={generation}").agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     files = max(1, -(-words // (buckets * FILE)))
     mean = max(words / max(n, 1), 1.0)
-    own = docs.select(F.col(id_col).alias("id"), tokens(body).alias("t")).select("id", F.size("t").alias("size"), F.inline(counted(F.col("t"))))
-    own = own.withColumns({"bucket": _bucket("term", buckets), "_file": F.pmod(F.xxhash64("id"), F.lit(files)).cast("int")}).repartition(buckets * files, "bucket", "_file")
-    own = own.sortWithinPartitions("bucket", "_file", "term", F.desc(_impact(F.col("tf"), F.col("size"), mean)), "id")
+    named = docs.select(F.col(id_col).alias("id"), body.alias("body"))
+    own = counted(named, F.col("body")).repartitionById(buckets * files, _bucket("term", buckets) * files + F.pmod(F.xxhash64("id"), F.lit(files)).cast("int"))
+    best_first = F.floor((1 - _impact(F.col("tf"), F.col("size"), mean) / (K1 + 1)) * 0xFFFFFF)
+    place = F.xxhash64("term").bitwiseAND(F.lit(-0x1000000)).bitwiseOR(best_first)  # a column, as Spark works out what it sorts by anew each time that it compares two rows
+    own = own.withColumns({"bucket": _bucket("term", buckets), "_place": place}).sortWithinPartitions("bucket", "_place")
     postings = f"{path}/postings/generation={generation}"
     own.select("term", "id", "size", "tf", F.floor(F.monotonically_increasing_id() / BLOCK).alias("block"), "bucket").write.partitionBy("bucket").parquet(postings)
     if words:
@@ -146,7 +161,7 @@ def terms(spark: SparkSession, path: str) -> DataFrame:
 def search(queries: DataFrame, path: str, k: int = 20) -> DataFrame:
     """qid, id, score, rank: the k best documents that hold all terms of a query (qid, text), by BM25; exact, ties by the smaller id.
 
-    Only the buckets of the queries' terms are read.  A query starts from the blocks of its rarest term: the ones with the highest bounds
+    Only the buckets of the queries' terms are read: once for the postings of these terms, which are saved, and once for blocks that the threshold leaves.  A query starts from the blocks of its rarest term: the ones with the highest bounds
     give a first k and a threshold, then those that can still reach it; the other terms are looked up for these documents only.  A bound is what the block's best posting
     and the best postings of the other terms could give together.  Queries without a term find nothing.
     """
@@ -162,10 +177,11 @@ def search(queries: DataFrame, path: str, k: int = 20) -> DataFrame:
     mean = words / n
     wanted = asked.select("bucket", "term").distinct()
     postings, blocks = (x.join(wanted, ["bucket", "term"], "left_semi") for x in (postings, blocks))
+    own = saved(postings.select("term", "generation", "block", "id", "tf", "size"), "postings")  # few of those in the buckets
     gone = _removed(spark, path, done)
     known = blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max(_impact(F.col("max_tf"), F.col("min_size"), mean)).alias("most"))
     if gone is not None:
-        dead = postings.join(gone, ["id", "generation"], "left_semi").groupBy("term").agg(F.count("*").alias("dead"))
+        dead = own.join(gone, ["id", "generation"], "left_semi").groupBy("term").agg(F.count("*").alias("dead"))
         known = known.join(dead, "term", "left").withColumn("df", F.col("df") - F.coalesce("dead", F.lit(0))).where("df > 0")
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     found = asked.join(known, "term", "left").withColumn("idf", idf)
@@ -176,17 +192,17 @@ def search(queries: DataFrame, path: str, k: int = 20) -> DataFrame:
     ranked = plans.join(blocks, "term").withColumn("bound", F.col("idf") * _impact(F.col("max_tf"), F.col("min_size"), mean) + F.col("rest"))
     ranked = saved(ranked.select("qid", "need", "parts", "term", "generation", "block", "bound", F.row_number().over(order).alias("place")), "blocks")
 
-    def scored(some: DataFrame) -> DataFrame:
-        """Documents of some blocks that hold all terms: the others are looked up by term and document."""
-        first = some.join(postings.select("term", "generation", "block", "id"), ["term", "generation", "block"]).select("qid", "need", "id", "generation", F.explode(F.transform("parts", lambda x: F.struct(x["term"].alias("term"), x["idf"].alias("idf")))).alias("p"))
+    def scored(some: DataFrame, held: DataFrame) -> DataFrame:
+        """Documents of some blocks that hold all terms: the others are looked up by term and document.  held: where the postings of the blocks are."""
+        first = some.join(held.select("term", "generation", "block", "id"), ["term", "generation", "block"]).select("qid", "need", "id", "generation", F.explode(F.transform("parts", lambda x: F.struct(x["term"].alias("term"), x["idf"].alias("idf")))).alias("p"))
         if gone is not None:
             first = first.join(gone, ["id", "generation"], "left_anti")
-        hit = first.select("qid", "need", "id", "generation", "p.term", "p.idf").join(postings.select("term", "generation", "id", "tf", "size"), ["term", "generation", "id"])
+        hit = first.select("qid", "need", "id", "generation", "p.term", "p.idf").join(own.select("term", "generation", "id", "tf", "size"), ["term", "generation", "id"])
         part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / mean))
         return hit.groupBy("qid", "id", "generation").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("_n"), F.first("need").alias("need")).where("_n = need").select("qid", "id", "score")
 
     most = FIRST + -(-k // BLOCK)
-    best = saved(scored(ranked.where(F.col("place") <= most)), "first")
+    best = saved(scored(ranked.where(F.col("place") <= most), own), "first")
     threshold = _top(best, ["qid"], [F.desc("score"), F.asc("id")], k).where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
     more = ranked.where(F.col("place") > most).join(threshold, "qid", "left").where("least is null or bound >= least - 0.000001").drop("least")
-    return _top(best.unionByName(scored(more)).repartition("qid"), ["qid"], [F.desc("score"), F.asc("id")], k)
+    return _top(best.unionByName(scored(more, postings)).repartition("qid"), ["qid"], [F.desc("score"), F.asc("id")], k)
