@@ -1,7 +1,7 @@
 """A full-text index in files: postings in buckets of terms with the best of each block, built once, appended to, and searched by BM25.
 
-Layout below a path: `docs` (id, size), `postings` (term, id, size, tf, block) and `blocks` (term, block, n, max_tf, min_size) in a folder for each generation and
-bucket, `removed` (id, generation) and `log`, whose rows make a generation or a removal count: what a job that failed has left is never read.
+Layout below a path: `docs` (id, size) in a folder for each generation, `postings` (term, block, n, max_tf, min_size, and arrays of id, size, tf) in a folder for each
+generation and bucket, `removed` (id, generation) and `log`, whose rows make a generation or a removal count: what a job that failed has left is never read.
 """
 
 from __future__ import annotations
@@ -20,35 +20,85 @@ from pyspark.sql import window as W
 from recallspark.operators.retrieval import _top, tokens
 from recallspark.sources.scratch import saved
 
-#: Postings of a block, postings of a file about, blocks that set a query's first threshold, and texts whose words are counted together.
-BLOCK, FILE, FIRST, ROWS = 128, 4_000_000, 8, 256
+#: Postings of a block, words of a file about, and blocks that set a query's first threshold.
+BLOCK, FILE, FIRST = 128, 16_000_000, 8
+#: Bytes of texts whose words are counted together, and postings that are sorted together, about.
+RUN, SORTED = 8_000_000, 1_000_000
 K1, B = 1.2, 0.75
 _LOG = "seq long, kind string, generation string, docs long, words long, buckets int"
 
 
-def counted(docs: DataFrame, body: Column) -> DataFrame:
-    """term, id, size, tf: a row for each different word of a document (id).  Spark cuts texts into words, as for queries; their counts are made batch by batch."""
-    types = {f.name: f.dataType for f in docs.schema}
-    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("id", types["id"]), T.StructField("size", T.IntegerType()), T.StructField("tf", T.IntegerType())])
+def _impact(tf: Column, size: Column, mean: float) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+
+
+def _lists(docs: DataFrame, files: int) -> DataFrame:
+    """term, file, id, size, tf: for some documents (id, words, file) that are read together, the lists of those that hold a term; words are parted by one blank."""
+    kind = docs.schema["id"].dataType
+    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("file", T.IntegerType()), *_arrays(kind)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64) // RUN
+            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
+            for part in (batch.slice(x, y - x) for x, y in zip(cuts, cuts[1:]) if y > x):
+                words = pc.split_pattern(part.column(1), " ")
+                flat = words.flatten().dictionary_encode()
+                codes, names = flat.indices.to_numpy().astype(np.int64), flat.dictionary
+                rows = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
+                real = codes != names.index("").as_py()  # there are empty ones before a text's first word and after its last
+                keys, tf = np.unique((codes * files + part.column(2).to_numpy()[rows])[real] * len(words) + rows[real], return_counts=True)
+                rows, lists = keys % len(words), keys // len(words)
+                size = np.bincount(rows, weights=tf, minlength=len(words)).astype(np.int32)
+                starts = np.flatnonzero(np.diff(lists, prepend=-1))
+                ends_ = pa.array(np.append(starts, len(keys)).astype(np.int32))
+                columns = (part.column(0).take(pa.array(rows)), pa.array(size[rows]), pa.array(tf.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(lists[starts] // files)), pa.array((lists[starts] % files).astype(np.int32)), *(pa.ListArray.from_arrays(ends_, c) for c in columns)], ["term", "file", "id", "size", "tf"]
+                )
+
+    return docs.mapInArrow(run, schema)
+
+
+def _blocks(lists: DataFrame, mean: float) -> DataFrame:
+    """Blocks of postings, from lists that come term by term: of some that are read together, those of a term in blocks, the best first."""
+    kind = lists.schema["id"].dataType.elementType
+    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("n", T.LongType()), T.StructField("max_tf", T.IntegerType()), T.StructField("min_size", T.IntegerType()), *_arrays(kind)])
+
+    def made(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        term, ids, size, tf = (pa.concat_arrays([b.column(c) for b in held]) for c in ("term", "id", "size", "tf"))
+        term, counts = term.dictionary_encode(), pc.list_value_length(ids).to_numpy(zero_copy_only=False)
+        codes, size, tf = np.repeat(term.indices.to_numpy().astype(np.int64), counts), size.flatten().to_numpy(), tf.flatten().to_numpy()
+        order = np.argsort((codes << 32) + ((1 - _impact(tf, size, mean) / (K1 + 1)) * 0xFFFFFFFF).astype(np.int64))
+        codes, size, tf = codes[order], size[order], tf[order]
+        first = np.flatnonzero(np.diff(codes, prepend=-1))
+        inside = np.arange(len(codes)) - np.repeat(first, np.diff(np.append(first, len(codes))))
+        starts = np.flatnonzero(inside % BLOCK == 0)
+        ends = np.append(starts, len(codes)).astype(np.int32)
+        best = [np.diff(ends).astype(np.int64), np.maximum.reduceat(tf, starts), np.minimum.reduceat(size, starts)]
+        columns = (ids.flatten().take(pa.array(order)), pa.array(size), pa.array(tf))
+        return pa.RecordBatch.from_arrays([term.dictionary.take(pa.array(codes[starts])), *map(pa.array, best), *(pa.ListArray.from_arrays(pa.array(ends), c) for c in columns)], schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
-            words = pc.split_pattern(batch.column(1), " ")
-            flat = words.flatten().dictionary_encode()
-            codes, names = flat.indices.to_numpy(), flat.dictionary
-            rows = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
-            real = codes != names.index("").as_py()  # there are empty ones before a text's first word and after its last
-            keys, tf = np.unique(rows[real] * len(names) + codes[real], return_counts=True)
-            rows, codes = keys // max(len(names), 1), keys % max(len(names), 1)
-            size = np.bincount(rows, weights=tf, minlength=len(words)).astype(np.int32)
-            columns = [names.take(pa.array(codes)).cast(pa.string()), batch.column(0).take(pa.array(rows)), pa.array(size[rows]), pa.array(tf.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["term", "id", "size", "tf"])
+        held, n = [], 0
+        for batch in batches:
+            held, n = [*held, batch], n + len(batch.column("id").flatten())
+            if n >= SORTED:
+                yield made(held)
+                held, n = [], 0
+        if n:
+            yield made(held)
 
-    return docs.select("id", F.regexp_replace(F.lower(body), r"[^\p{L}\p{N}]+", " ")).mapInArrow(run, schema)
+    return lists.mapInArrow(run, schema)
 
 
-def _impact(tf: Column, size: Column, mean: float) -> Column:
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+def _arrays(kind: T.DataType) -> list[T.StructField]:
+    return [T.StructField(c, T.ArrayType(k)) for c, k in (("id", kind), ("size", T.IntegerType()), ("tf", T.IntegerType()))]
+
+
+def _each(postings: DataFrame) -> DataFrame:
+    """A row for each posting of blocks."""
+    return postings.select("term", "generation", F.inline(F.arrays_zip("id", "size", "tf")))
 
 
 def _bucket(term: str, buckets: int) -> Column:
@@ -72,9 +122,9 @@ def _commit(spark: SparkSession, path: str, *row) -> None:
 def append(docs: DataFrame, path: str, id_col: str = "id", text: str | list[str] = "text", buckets: int = 64) -> None:
     """Add documents to an index; the first call builds it and sets the number of buckets.
 
-    Each text is read once for its length and once for its postings, whose counts are made before anything is shuffled.  A file has the postings of one bucket and of some
-    hashes of the id, so a word of all documents spreads over files, and each is made by a task of its own; in a file they are sorted by one number, a hash of the
-    term and then the best first, and cut into blocks, so that blocks differ in what their best posting can give.  An id that is there already is added once more: `upsert` takes the old one out.
+    Each text is read once for its length and once for its postings, whose counts and lists are made before anything is shuffled, so that few rows are.  A file has the
+    postings of one bucket and of some hashes of the id, so a word of all documents spreads over files, and each is made by a task of its own.  In a file they come
+    term by term, the best first, in blocks that differ in what their best posting can give; a block is a row.  An id that is there already is added once more: `upsert` takes the old one out.
     """
     spark, generation = docs.sparkSession, uuid.uuid4().hex
     done = log(spark, path)
@@ -84,16 +134,12 @@ def append(docs: DataFrame, path: str, id_col: str = "id", text: str | list[str]
     n, words = spark.read.parquet(f"{path}/docs/generation={generation}").agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     files = max(1, -(-words // (buckets * FILE)))
     mean = max(words / max(n, 1), 1.0)
-    named = docs.select(F.col(id_col).alias("id"), body.alias("body"))
-    own = counted(named, F.col("body")).repartitionById(buckets * files, _bucket("term", buckets) * files + F.pmod(F.xxhash64("id"), F.lit(files)).cast("int"))
-    best_first = F.floor((1 - _impact(F.col("tf"), F.col("size"), mean) / (K1 + 1)) * 0xFFFFFF)
-    place = F.xxhash64("term").bitwiseAND(F.lit(-0x1000000)).bitwiseOR(best_first)  # a column, as Spark works out what it sorts by anew each time that it compares two rows
-    own = own.withColumns({"bucket": _bucket("term", buckets), "_place": place}).sortWithinPartitions("bucket", "_place")
-    postings = f"{path}/postings/generation={generation}"
-    own.select("term", "id", "size", "tf", F.floor(F.monotonically_increasing_id() / BLOCK).alias("block"), "bucket").write.partitionBy("bucket").parquet(postings)
-    if words:
-        best = spark.read.parquet(postings).groupBy("bucket", "term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("size").alias("min_size"))
-        best.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/blocks/generation={generation}")
+    own = docs.select(F.col(id_col).alias("id"), F.regexp_replace(F.lower(body), r"[^\p{L}\p{N}]+", " ").alias("words"))
+    own = _lists(own.withColumn("file", F.pmod(F.xxhash64("id"), F.lit(files)).cast("int")), files)
+    own = own.repartitionById(buckets * files, _bucket("term", buckets) * files + F.col("file"))
+    own = own.withColumn("_hash", F.xxhash64("term")).sortWithinPartitions("_hash").select("term", "id", "size", "tf")
+    own = _blocks(own, mean).withColumns({"block": F.monotonically_increasing_id(), "bucket": _bucket("term", buckets)})
+    own.write.partitionBy("bucket").parquet(f"{path}/postings/generation={generation}")
     _commit(spark, path, "append" if words else "empty", generation, n, words, buckets)
 
 
@@ -139,11 +185,12 @@ def _removed(spark: SparkSession, path: str, done: list) -> DataFrame | None:
 
 
 def _live(spark: SparkSession, path: str, done: list, table: str, buckets: list[int] | None = None) -> DataFrame | None:
-    """postings or blocks of all generations that count, of some buckets."""
+    """Blocks of all generations that count, of some buckets, with their postings or without."""
     names = [r.generation for r in done if r.kind == "append"]
     if not names or buckets == []:
         return None
-    own = _read(spark, path, table, names)
+    own = _read(spark, path, "postings", names)
+    own = own.drop("id", "size", "tf") if table == "blocks" else own
     return own if buckets is None else own.where(F.col("bucket").isin(buckets))
 
 
@@ -154,7 +201,7 @@ def terms(spark: SparkSession, path: str) -> DataFrame:
     if postings is None:
         return spark.createDataFrame([], "term string, df long, max_tf int")
     if gone := _removed(spark, path, done):
-        return postings.join(gone, ["id", "generation"], "left_anti").groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"))
+        return _each(postings).join(gone, ["id", "generation"], "left_anti").groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"))
     return _live(spark, path, done, "blocks").groupBy("term").agg(F.sum("n").alias("df"), F.max("max_tf").alias("max_tf"))
 
 
@@ -177,11 +224,11 @@ def search(queries: DataFrame, path: str, k: int = 20) -> DataFrame:
     mean = words / n
     wanted = asked.select("bucket", "term").distinct()
     postings, blocks = (x.join(wanted, ["bucket", "term"], "left_semi") for x in (postings, blocks))
-    own = saved(postings.select("term", "generation", "block", "id", "tf", "size"), "postings")  # few of those in the buckets
+    own = saved(postings.select("term", "generation", "block", "id", "size", "tf"), "postings")  # few of those in the buckets
     gone = _removed(spark, path, done)
     known = blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max(_impact(F.col("max_tf"), F.col("min_size"), mean)).alias("most"))
     if gone is not None:
-        dead = own.join(gone, ["id", "generation"], "left_semi").groupBy("term").agg(F.count("*").alias("dead"))
+        dead = _each(own).join(gone, ["id", "generation"], "left_semi").groupBy("term").agg(F.count("*").alias("dead"))
         known = known.join(dead, "term", "left").withColumn("df", F.col("df") - F.coalesce("dead", F.lit(0))).where("df > 0")
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     found = asked.join(known, "term", "left").withColumn("idf", idf)
@@ -194,10 +241,10 @@ def search(queries: DataFrame, path: str, k: int = 20) -> DataFrame:
 
     def scored(some: DataFrame, held: DataFrame) -> DataFrame:
         """Documents of some blocks that hold all terms: the others are looked up by term and document.  held: where the postings of the blocks are."""
-        first = some.join(held.select("term", "generation", "block", "id"), ["term", "generation", "block"]).select("qid", "need", "id", "generation", F.explode(F.transform("parts", lambda x: F.struct(x["term"].alias("term"), x["idf"].alias("idf")))).alias("p"))
+        first = some.join(held.select("term", "generation", "block", "id"), ["term", "generation", "block"]).withColumn("id", F.explode("id")).select("qid", "need", "id", "generation", F.explode(F.transform("parts", lambda x: F.struct(x["term"].alias("term"), x["idf"].alias("idf")))).alias("p"))
         if gone is not None:
             first = first.join(gone, ["id", "generation"], "left_anti")
-        hit = first.select("qid", "need", "id", "generation", "p.term", "p.idf").join(own.select("term", "generation", "id", "tf", "size"), ["term", "generation", "id"])
+        hit = first.select("qid", "need", "id", "generation", "p.term", "p.idf").join(_each(own), ["term", "generation", "id"])
         part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / mean))
         return hit.groupBy("qid", "id", "generation").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("_n"), F.first("need").alias("need")).where("_n = need").select("qid", "id", "score")
 

@@ -101,3 +101,34 @@ def test_failed_and_empty_builds(spark, tmp_path):
     assert found(spark, [(1, "b"), (2, "a b")], path, 3) == {1: ([2, 1], pytest.approx([0.2, 0.2], abs=0.1)), 2: ([1], pytest.approx([0.8], abs=0.3))}
     with pytest.raises(ValueError, match="append"):
         bm25.build(docs, path)
+
+
+def test_each_file_has_a_task_of_its_own_and_each_block_a_row(spark, tmp_path):
+    docs = corpus()
+    path = bm25.build(spark.createDataFrame(docs, "id long, text string"), str(tmp_path / "index"), buckets=16)
+    own = bm25._live(spark, path, bm25.log(spark, path), "postings")
+    files = [re.search(r"bucket=(\d+)/part-(\d+)", r[0]).groups() for r in own.select(F.input_file_name()).distinct().collect()]
+    assert len({part for _, part in files}) == len(files) == len({bucket for bucket, _ in files})
+    df = Counter(w for _, t in docs for w in set(words(t)))
+    rows = own.select("term", "n", F.size("id").alias("ids"), (F.array_min("size") == F.col("min_size")).alias("size"), (F.array_max("tf") == F.col("max_tf")).alias("tf")).collect()
+    assert all(r.n == r.ids <= bm25.BLOCK and r.size and r.tf for r in rows)
+    assert Counter(r.term for r in rows) == {w: -(-n // bm25.BLOCK) for w, n in df.items()}
+
+
+def test_small_runs_and_files(spark, tmp_path, monkeypatch):
+    for name, value in (("RUN", 300), ("SORTED", 40), ("FILE", 700)):
+        monkeypatch.setattr(bm25, name, value)
+    docs = [*corpus(400), (900, ""), (901, None), (902, "...w1 w2? ")]
+    path = bm25.build(spark.createDataFrame(docs, "id long, text string"), str(tmp_path / "index"), buckets=2)
+    assert len({r[0] for r in bm25._live(spark, path, bm25.log(spark, path), "postings").select(F.input_file_name()).distinct().collect()}) > 4
+    same(found(spark, QUERIES, path, 10), plain(QUERIES, docs, 10))
+    named = [(f"d{k:04}", t) for k, t in docs]
+    other = bm25.build(spark.createDataFrame([*named, (None, "w1 w2")], "id string, text string"), str(tmp_path / "named"), buckets=2)
+    got = found(spark, [(3, "w3 W7 common")], other, 5)
+    assert got[3][0] and set(got[3][0]) <= {i for i, t in named if {"w3", "w7", "common"} <= set(words(t))}
+
+
+def test_a_search_reads_its_postings_from_the_index_once_more_only(spark, tmp_path):
+    path = bm25.build(spark.createDataFrame(corpus(), "id long, text string"), str(tmp_path / "index"), buckets=4)
+    plan = bm25.search(spark.createDataFrame([(1, "w3 w4")], "qid int, text string"), path, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[[^\]]*generation#\d+,bucket#\d+", plan)) == 1
