@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANK = r"[\s\p{Z}]+"
+#: All characters that BLANK matches.
+BLANKS = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 # Boilerplate, actions and hints that texts are searched for.
 BOILERPLATE = [
@@ -173,10 +175,16 @@ def is_persona_relevant(text: Column | str, title: Column | str, summary: Column
     return F.when(kind.isin("PREFERENCE", "DECISION", "REASONING"), True).when((kind == "EVENT") & (signal_level <= 0) & is_structured_operational(joined), False).otherwise(joined.rlike(PERSONA))
 
 
+def trimmed(c: Column) -> Column:
+    """No blanks at the ends; a text is only searched where its last character is one."""
+    ended = lambda s: F.when(reduce(lambda a, b: a | b, [s.endswith(b) for b in BLANKS]), F.regexp_replace(s, BLANK + "$", "")).otherwise(s)
+    return let(F.ltrim(c, F.lit(BLANKS)), ended)
+
+
 def auto_title(c: Column | str) -> Column:
     """The first sentence by the first separator that is present, cut to 80 characters."""
-    first = lambda s: F.when(F.instr(s, "。") > 0, F.substring_index(s, "。", 1)).when(F.instr(s, "\n") > 0, F.substring_index(s, "\n", 1)).when(F.instr(s, ". ") > 0, F.substring_index(s, ". ", 1)).otherwise(s)
-    return cut(let(F.regexp_replace(text_of(c), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), first), 80, "...")
+    first = lambda s: F.when(F.contains(s, F.lit("。")), F.substring_index(s, "。", 1)).when(F.contains(s, F.lit("\n")), F.substring_index(s, "\n", 1)).when(F.contains(s, F.lit(". ")), F.substring_index(s, ". ", 1)).otherwise(s)
+    return cut(let(trimmed(text_of(c)), first), 80, "...")
 
 
 def cut(c: Column, n: int, mark: str) -> Column:
@@ -209,7 +217,9 @@ def quality_flags(title: Column | str, summary: Column | str) -> Column:
 
 
 def compact(c: Column | str, n: int) -> Column:
-    return cut(squeeze(text_of(c)), n, "...")
+    """The squeezed text, cut to n characters; all of a text is only squeezed where its start does not leave so many."""
+    whole = lambda s: lambda head: F.when(F.length(head) > n, F.concat(F.substring(head, 1, n), F.lit("..."))).otherwise(cut(squeeze(s), n, "..."))
+    return let(text_of(c), lambda s: let(squeeze(F.substring(s, 1, 2 * n)), whole(s)))
 
 
 def due_date(c: Column | str) -> Column:

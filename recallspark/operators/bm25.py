@@ -6,8 +6,11 @@ generation and bucket, `removed` (id, generation) and `log`, whose rows make a g
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
+import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +19,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
-from recallspark.operators.retrieval import _top, tokens
+from recallspark.operators.retrieval import _top
 from recallspark.sources.scratch import saved
 
 #: Postings of a block, words of a file about, and blocks that set a query's first threshold.
 BLOCK, FILE, FIRST = 128, 16_000_000, 8
 #: Bytes of texts whose words are counted together, and postings that are sorted together, about.
 RUN, SORTED = 8_000_000, 1_000_000
+#: Characters of a text that are looked up together.
+PIECE = 1_000_000
 K1, B = 1.2, 0.75
 _LOG = "seq long, kind string, generation string, docs long, words long, buckets int"
 
@@ -32,39 +38,101 @@ def _impact(tf: Column, size: Column, mean: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
 
 
-def _lists(docs: DataFrame, files: int) -> DataFrame:
-    """term, file, id, size, tf: for some documents (id, words, file) that are read together, the lists of those that hold a term; words are parted by one blank."""
-    kind = docs.schema["id"].dataType
-    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("file", T.IntegerType()), *_arrays(kind)])
+#: ASCII: letters in lower case and digits stay, others become blanks.
+_PLAIN = bytes(ord(chr(c).lower()) if c > 127 or chr(c).isalnum() else 32 for c in range(128)) + bytes(range(128, 256))
+
+
+@cache
+def _kept() -> np.ndarray:
+    """For each code point whether it is a letter or a digit, as \\p{L} and \\p{N} have it."""
+    return np.array([unicodedata.category(chr(c))[0] in "LN" for c in range(0x110000)])
+
+
+def _words(text: bytes) -> bytes:
+    """A text in lower case, with a blank for each character that is no letter or digit."""
+    if text.isascii():
+        return text.translate(_PLAIN)
+    lower, out = text.decode("utf-8", "replace").lower(), []
+    for k in range(0, len(lower), PIECE):
+        codes = np.frombuffer(lower[k : k + PIECE].encode("utf-32-le", "replace"), "<u4")
+        out.append(np.where(_kept()[codes], codes, np.uint32(32)).astype("<u4").tobytes().decode("utf-32-le").encode())
+    return b"".join(out)
+
+
+def _size(words: bytes) -> int:
+    blank = np.frombuffer(words, np.uint8) == 32
+    return int(np.count_nonzero(blank[:-1] & ~blank[1:])) + int(len(blank) > 0 and not blank[0])
+
+
+def _texts(column: pa.Array) -> list[bytes]:
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def _sizes(docs: DataFrame) -> DataFrame:
+    """id, size: the words of each document (id, body)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_size(_words(x)) for x in _texts(batch.column(1))], pa.int32())], ["id", "size"])
+
+    return docs.mapInArrow(run, T.StructType([docs.schema["id"], T.StructField("size", T.IntegerType())]))
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    """qid, term: the different words of each query (qid, text), cut as those of documents are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [sorted({w.decode() for w in _words(x).split(b" ") if w}) for x in _texts(batch.column(1))]
+            rows = np.repeat(np.arange(len(words)), [len(x) for x in words])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([w for x in words for w in x], pa.string())], ["qid", "term"])
+
+    return queries.select("qid", "text").mapInArrow(run, T.StructType([queries.schema["qid"], T.StructField("term", T.StringType())]))
+
+
+def _lists(docs: DataFrame, files: int, buckets: int, parts: int) -> DataFrame:
+    """place, part, lists: for some documents (id, body, file) that are read together, the lists of those that hold a term.
+
+    All lists of a bucket, file and part of its terms are one row, as Arrow's bytes of (term, id, size, tf): most terms are rare, so there would be a row for every few postings.
+    """
+    kind = to_arrow_type(docs.schema["id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64) // RUN
             cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
-            for part in (batch.slice(x, y - x) for x, y in zip(cuts, cuts[1:]) if y > x):
-                words = pc.split_pattern(part.column(1), " ")
+            for some in (batch.slice(x, y - x) for x, y in zip(cuts, cuts[1:]) if y > x):
+                words = pc.ascii_split_whitespace(pa.array(map(_words, _texts(some.column(1))), pa.string()))
                 flat = words.flatten().dictionary_encode()
-                codes, names = flat.indices.to_numpy().astype(np.int64), flat.dictionary
-                rows = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
-                real = codes != names.index("").as_py()  # there are empty ones before a text's first word and after its last
-                keys, tf = np.unique((codes * files + part.column(2).to_numpy()[rows])[real] * len(words) + rows[real], return_counts=True)
+                hashes = np.fromiter(map(zlib.crc32, flat.dictionary.cast(pa.binary()).to_pylist()), np.int64, len(flat.dictionary))
+                spots = hashes % buckets * parts + hashes // buckets % parts
+                order = np.argsort(spots, kind="stable")
+                names, spots, place = flat.dictionary.take(pa.array(order)), spots[order], np.empty_like(order)
+                place[order] = np.arange(len(order))
+                codes, rows = place[flat.indices.to_numpy()], np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
+                real = codes != names.index("").as_py()  # there may be empty ones before a text's first word and after its last
+                keys, tf = np.unique((some.column(2).to_numpy()[rows] * np.int64(len(names)) + codes)[real] * len(words) + rows[real], return_counts=True)
                 rows, lists = keys % len(words), keys // len(words)
                 size = np.bincount(rows, weights=tf, minlength=len(words)).astype(np.int32)
                 starts = np.flatnonzero(np.diff(lists, prepend=-1))
-                ends_ = pa.array(np.append(starts, len(keys)).astype(np.int32))
-                columns = (part.column(0).take(pa.array(rows)), pa.array(size[rows]), pa.array(tf.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(
-                    [names.take(pa.array(lists[starts] // files)), pa.array((lists[starts] % files).astype(np.int32)), *(pa.ListArray.from_arrays(ends_, c) for c in columns)], ["term", "file", "id", "size", "tf"]
-                )
+                file, code = lists[starts] // len(names), lists[starts] % len(names)
+                stops = pa.array(np.append(starts, len(keys)).astype(np.int32))
+                columns = (some.column(0).cast(kind).take(pa.array(rows)), pa.array(size[rows]), pa.array(tf.astype(np.int32)))
+                made = pa.RecordBatch.from_arrays([names.take(pa.array(code)), *(pa.ListArray.from_arrays(stops, c) for c in columns)], ["term", "id", "size", "tf"])
+                first = np.flatnonzero(np.diff(file * (buckets * parts) + spots[code], prepend=-1))
+                sent = [made.slice(x, y - x).serialize().to_pybytes() for x, y in zip(first, [*first[1:], len(code)])]
+                spot = spots[code[first]]
+                yield pa.RecordBatch.from_arrays([pa.array((spot // parts * files + file[first]).astype(np.int32)), pa.array((spot % parts).astype(np.int32)), pa.array(sent, pa.binary())], ["place", "part", "lists"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, "place int, part int, lists binary")
 
 
-def _blocks(lists: DataFrame, mean: float) -> DataFrame:
-    """Blocks of postings, from lists that come term by term: of some that are read together, those of a term in blocks, the best first."""
-    kind = lists.schema["id"].dataType.elementType
+def _blocks(lists: DataFrame, mean: float, kind: T.DataType) -> DataFrame:
+    """Blocks of postings, from lists that come part by part: of some that are read together, those of a term in blocks, the best first."""
     schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("n", T.LongType()), T.StructField("max_tf", T.IntegerType()), T.StructField("min_size", T.IntegerType()), *_arrays(kind)])
 
+    own = pa.schema([("term", pa.string()), ("id", pa.list_(to_arrow_type(kind))), ("size", pa.list_(pa.int32())), ("tf", pa.list_(pa.int32()))])
+
     def made(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         term, ids, size, tf = (pa.concat_arrays([b.column(c) for b in held]) for c in ("term", "id", "size", "tf"))
         term, counts = term.dictionary_encode(), pc.list_value_length(ids).to_numpy(zero_copy_only=False)
@@ -80,12 +148,14 @@ def _blocks(lists: DataFrame, mean: float) -> DataFrame:
         return pa.RecordBatch.from_arrays([term.dictionary.take(pa.array(codes[starts])), *map(pa.array, best), *(pa.ListArray.from_arrays(pa.array(ends), c) for c in columns)], schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, n, last = [], 0, None
         for batch in batches:
-            held, n = [*held, batch], n + len(batch.column("id").flatten())
-            if n >= SORTED:
-                yield made(held)
-                held, n = [], 0
+            for part, sent in zip(batch.column("part").to_pylist(), batch.column("lists")):
+                if n >= SORTED and (part != last or n >= 4 * SORTED):
+                    yield made(held)
+                    held, n = [], 0
+                held.append(pa.ipc.read_record_batch(sent.as_buffer(), own))
+                n, last = n + len(held[-1].column("id").flatten()), part
         if n:
             yield made(held)
 
@@ -102,7 +172,7 @@ def _each(postings: DataFrame) -> DataFrame:
 
 
 def _bucket(term: str, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+    return F.pmod(F.crc32(F.col(term).cast("binary")), F.lit(buckets)).cast("int")
 
 
 def log(spark: SparkSession, path: str) -> list:
@@ -122,24 +192,23 @@ def _commit(spark: SparkSession, path: str, *row) -> None:
 def append(docs: DataFrame, path: str, id_col: str = "id", text: str | list[str] = "text", buckets: int = 64) -> None:
     """Add documents to an index; the first call builds it and sets the number of buckets.
 
-    Each text is read once for its length and once for its postings, whose counts and lists are made before anything is shuffled, so that few rows are.  A file has the
-    postings of one bucket and of some hashes of the id, so a word of all documents spreads over files, and each is made by a task of its own.  In a file they come
-    term by term, the best first, in blocks that differ in what their best posting can give; a block is a row.  An id that is there already is added once more: `upsert` takes the old one out.
+    Each text is read once for its length and once for its postings, whose counts and lists are made before anything is shuffled, and many lists are shuffled as one row.  A file has the
+    postings of one bucket and of some hashes of the id, so a word of all documents spreads over files, and each is made by a task of its own.  In a file a term's come
+    together, the best first, in blocks that differ in what their best posting can give; a block is a row.  An id that is there already is added once more: `upsert` takes the old one out.
     """
     spark, generation = docs.sparkSession, uuid.uuid4().hex
     done = log(spark, path)
     buckets = done[0].buckets if done else buckets
-    body = F.concat_ws("\n", *([text] if isinstance(text, str) else text))
-    docs.select(F.col(id_col).alias("id"), F.regexp_count(F.lower(body), F.lit(r"[\p{L}\p{N}]+")).alias("size")).write.parquet(f"{path}/docs/generation={generation}")
+    own = docs.select(F.col(id_col).alias("id"), F.concat_ws("\n", *([text] if isinstance(text, str) else text)).alias("body"))
+    _sizes(own).write.parquet(f"{path}/docs/generation={generation}")
     n, words = spark.read.parquet(f"{path}/docs/generation={generation}").agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     files = max(1, -(-words // (buckets * FILE)))
     mean = max(words / max(n, 1), 1.0)
-    own = docs.select(F.col(id_col).alias("id"), F.regexp_replace(F.lower(body), r"[^\p{L}\p{N}]+", " ").alias("words"))
-    own = _lists(own.withColumn("file", F.pmod(F.xxhash64("id"), F.lit(files)).cast("int")), files)
-    own = own.repartitionById(buckets * files, _bucket("term", buckets) * files + F.col("file"))
-    own = own.withColumn("_hash", F.xxhash64("term")).sortWithinPartitions("_hash").select("term", "id", "size", "tf")
-    own = _blocks(own, mean).withColumns({"block": F.monotonically_increasing_id(), "bucket": _bucket("term", buckets)})
-    own.write.partitionBy("bucket").parquet(f"{path}/postings/generation={generation}")
+    parts = max(1, -(-words // (buckets * files * SORTED)))
+    lists = _lists(own.withColumn("file", F.pmod(F.xxhash64("id"), F.lit(files)).cast("int")), files, buckets, parts)
+    lists = lists.repartitionById(buckets * files, F.col("place")).sortWithinPartitions("part")
+    own = _blocks(lists.select("part", "lists"), mean, own.schema["id"].dataType).withColumns({"block": F.monotonically_increasing_id(), "bucket": _bucket("term", buckets)})
+    own.write.option("parquet.enable.dictionary#id.list.element", "false").partitionBy("bucket").parquet(f"{path}/postings/generation={generation}")
     _commit(spark, path, "append" if words else "empty", generation, n, words, buckets)
 
 
@@ -214,7 +283,7 @@ def search(queries: DataFrame, path: str, k: int = 20) -> DataFrame:
     """
     spark = queries.sparkSession
     done = log(spark, path)
-    asked = saved(queries.select("qid", F.explode(F.array_distinct(tokens("text"))).alias("term")).withColumn("bucket", _bucket("term", done[0].buckets if done else 1)), "terms")
+    asked = saved(_asked(queries).withColumn("bucket", _bucket("term", done[0].buckets if done else 1)), "terms")
     buckets = sorted(r.bucket for r in asked.select("bucket").distinct().collect())  # as many as the index has buckets, at most
     postings, blocks = (_live(spark, path, done, t, buckets) for t in ("postings", "blocks"))
     n, words = sum(r.docs for r in done), sum(r.words for r in done)
@@ -244,7 +313,7 @@ def search(queries: DataFrame, path: str, k: int = 20) -> DataFrame:
         first = some.join(held.select("term", "generation", "block", "id"), ["term", "generation", "block"]).withColumn("id", F.explode("id")).select("qid", "need", "id", "generation", F.explode(F.transform("parts", lambda x: F.struct(x["term"].alias("term"), x["idf"].alias("idf")))).alias("p"))
         if gone is not None:
             first = first.join(gone, ["id", "generation"], "left_anti")
-        hit = first.select("qid", "need", "id", "generation", "p.term", "p.idf").join(_each(own), ["term", "generation", "id"])
+        hit = first.select("qid", "need", "id", "generation", "p.term", "p.idf").hint("shuffle_hash").join(_each(own), ["term", "generation", "id"])
         part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / mean))
         return hit.groupBy("qid", "id", "generation").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("_n"), F.first("need").alias("need")).where("_n = need").select("qid", "id", "score")
 

@@ -47,7 +47,7 @@ def _indexed(s, d):
 
 def _superseded(s, d):
     """An index of titles, summaries and texts of memories, of which the superseded ones are taken out."""
-    m = saved(M(s, d).select("id", "title", "summary", "raw_text", "is_superseded"), "memories")
+    m = M(s, d)
     path = bm25.build(m, scratch_path(s, "index"), text=["title", "summary", "raw_text"])
     bm25.remove(m.where("is_superseded"), path)
     return path

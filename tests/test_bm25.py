@@ -132,3 +132,32 @@ def test_a_search_reads_its_postings_from_the_index_once_more_only(spark, tmp_pa
     path = bm25.build(spark.createDataFrame(corpus(), "id long, text string"), str(tmp_path / "index"), buckets=4)
     plan = bm25.search(spark.createDataFrame([(1, "w3 w4")], "qid int, text string"), path, 3)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"Relation \[[^\]]*generation#\d+,bucket#\d+", plan)) == 1
+
+
+ODD = [None, "", " ", "a-b_c  D", "İstanbul ΑΣ Σ x²½ ⅷ ǅ ß", "日本語 テスト。é, é!", "x y　z w", "😀 1٢3 " * 50, "Éa èB." * 300]
+
+
+def test_words_are_those_of_the_pattern(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "PIECE", 7)
+    docs = spark.createDataFrame(list(enumerate(ODD)), "id long, text string").select("id", F.coalesce("text", F.lit("")).alias("body"))
+    want = docs.select("id", F.split(F.lower("body"), r"[^\p{L}\p{N}]+").alias("w")).select("id", F.filter("w", lambda w: w != "").alias("w"))
+    want = {r.id: r.w for r in want.collect()}
+    assert {r.id: r.size for r in bm25._sizes(docs).collect()} == {i: len(w) for i, w in want.items()}
+    assert {i: [x.decode() for x in bm25._words((t or "").encode()).split()] for i, t in enumerate(ODD)} == want
+    asked = bm25._asked(docs.select(F.col("id").alias("qid"), F.col("body").alias("text"))).collect()
+    assert sorted((r.qid, r.term) for r in asked) == sorted((i, x) for i, w in want.items() for x in set(w))
+
+
+def test_lists_of_many_terms_are_one_row(spark):
+    docs = spark.createDataFrame([(k, f"own{k} common") for k in range(2000)], "id long, body string").coalesce(1).withColumn("file", (F.col("id") % 2).cast("int"))
+    rows = bm25._lists(docs, 2, 4, 3).collect()
+    assert len(rows) == len({(r.place, r.part) for r in rows}) <= 2 * 4 * 3
+    assert {r.place % 2 for r in rows} == {0, 1} and {r.place // 2 for r in rows} == {0, 1, 2, 3}
+
+
+def test_memories_are_not_written_before_they_are_indexed(spark, monkeypatch):
+    from recallspark.plans import memories
+
+    monkeypatch.setattr(memories, "saved", lambda df, name: pytest.fail(f"{name} are written"))
+    path = memories._superseded(spark, "/root/testdata/sf0.001")
+    assert [r.kind for r in bm25.log(spark, path)] == ["append", "remove"]

@@ -79,3 +79,14 @@ def test_a_record_is_of_the_task_that_its_text_names(spark):
     rows = [(1, said + "one", "t", "s", 0), (2, said + 'two. key = "49c25cfcc734f18e"', 'two. key = "49c25cfcc734f18e"', 'two. key = "49c25cfcc734f18e"', 60), (3, "添加了一个测试待办 three", "u “买牛奶 3 号”", "v", 90)]
     df = spark.createDataFrame(rows, "id long, raw_text string, title string, summary string, s long").selectExpr("*", "timestamp_seconds(s) AS created_at")
     assert {r.id: r.reason for r in dedupe.records(df).collect()} == {1: None, 2: "action_duplicate", 3: "action_duplicate"}
+
+
+def test_titles_and_summaries_of_long_and_blank_texts(spark):
+    odd = [None, "", " ", "\n", "  a. \n ", " x y　", "a" * 300, " " * 700 + "b c " * 100, "b " * 120, "b " * 121, "b  " * 160 + " ", "x. ", "x\n", "  Ab。\n", "a" + " " * 500 + "b" * 300, "ab " * 79 + "abc" + "  " * 200, "😀 " * 400]
+    df = spark.createDataFrame(list(enumerate(odd)), "id int, t string")
+    squeezed = F.trim(F.regexp_replace(X.text_of("t"), X.BLANK, " "))
+    bare = F.regexp_replace(X.text_of("t"), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    first = F.when(bare.contains("。"), F.substring_index(bare, "。", 1)).when(bare.contains("\n"), F.substring_index(bare, "\n", 1)).when(bare.contains(". "), F.substring_index(bare, ". ", 1)).otherwise(bare)
+    for n in (3, 240):
+        assert df.where(~X.compact("t", n).eqNullSafe(X.cut(squeezed, n, "..."))).count() == 0
+    assert df.where(~X.auto_title("t").eqNullSafe(X.cut(first, 80, "..."))).count() == 0
