@@ -1,7 +1,10 @@
 """Vector searches and joins against plain loops, with unusable, ragged and repeated vectors."""
 
+import contextlib
 import math
+import pathlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -220,3 +223,34 @@ def test_similar_ones_meet_once_and_tell_both_sides(spark, monkeypatch):
 def test_few_buckets_carry_vectors(spark):
     bits, tables = similar.fitted(1_800_000, 0.92, 0.995)
     assert tables <= 16 and bits == 9  # 39 tables of 15 bits before, so that many copies of each vector
+
+
+def test_a_task_holds_its_blocks_and_not_their_pairs(spark):
+    """The memory of Python's workers while one block makes 12.5 million pairs."""
+
+    def workers(field):
+        found = {}
+        for p in pathlib.Path("/proc").glob("[0-9]*"):
+            with contextlib.suppress(OSError, IndexError):
+                if b"pyspark.daemon" in (p / "cmdline").read_bytes():
+                    found[p.name] = int(re.findall(rf"{field}:\s*(\d+) kB", (p / "status").read_text())[0]) / 1024
+        return found
+
+    n = 5000
+    v = spark.range(n).select("id", F.array(F.lit(1.0), F.col("id") / n, 1 - F.col("id") / n).alias("vec"))
+    assert retrieval.similar_pairs(v.where("id < 10"), 0.3).count() == 45
+    for p in workers("VmRSS"):
+        with contextlib.suppress(OSError):
+            pathlib.Path(f"/proc/{p}/clear_refs").write_text("5")  # the peak starts anew
+    before = workers("VmRSS")
+    assert before and retrieval.similar_pairs(v, 0.3, rows=n).count() == n * (n - 1) // 2
+    after = workers("VmHWM")
+    assert max(mb - before.get(p, min(before.values())) for p, mb in after.items()) < 450  # over 900 where a block's pairs were gathered
+
+
+def test_blocks_of_which_some_are_empty(spark):
+    for n in range(2, 7):
+        data = [(k, [1.0, k / 10]) for k in range(n)]
+        pairs = {(a, b, dot(x, y)) for a, x in data for b, y in data if a < b}
+        assert sorted(map(tuple, retrieval.similar_pairs(frame(spark, data), 0.1, rows=1).collect())) == sorted(pairs)
+        assert {(r.qid, r.id) for r in retrieval.similar_topk(frame(spark, data), n, 0.1, rows=1).collect()} == {p for a, b, _ in pairs for p in ((a, b), (b, a))}
