@@ -22,11 +22,14 @@ TOOL_CALLS, TOOL_RESULTS, TEXTS = ("tool_use", "function_call"), ("tool_result",
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """path, pos, line of all files; blank lines are dropped.  pos orders the lines of a file: where their split begins, and their order in it.
 
-    Very many small files, of which Spark would give each task a few, are read by TASKS tasks for each core.
+    Very many small files, of which Spark would give each task a few, are read by TASKS tasks for each core; more bytes than fill the splits of these have more tasks.
     """
     pos = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
-    whole = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("path"), pos.alias("pos"), F.regexp_replace("value", "\r$", "").alias("line"))
-    return whole.where(F.trim("line") != "").coalesce(TASKS * spark.sparkContext.defaultParallelism)
+    text = spark.read.text(path, lineSep="\n")
+    size = int(str(text._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # as the files were listed
+    tasks = max(TASKS * spark.sparkContext.defaultParallelism, -(-size // spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()))
+    whole = text.select(F.col("_metadata.file_path").alias("path"), pos.alias("pos"), F.regexp_replace("value", "\r$", "").alias("line"))
+    return whole.where(F.trim("line") != "").coalesce(tasks)
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
